@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from weir.llm import exact_dedup, near_dedup
+from weir.llm import decontaminate, exact_dedup, near_dedup
 
 QUERIES = {
     "op1_near_dedup": near_dedup.query,
+    "op6_decontaminate": decontaminate.query,
     "op10_exact_dedup": exact_dedup.query,
 }
 SQL = {
     "op1_near_dedup": near_dedup.SQL,
+    "op6_decontaminate": decontaminate.SQL,
     "op10_exact_dedup": exact_dedup.SQL,
 }
