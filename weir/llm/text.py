@@ -10,6 +10,7 @@ import pyarrow as pa
 U64 = np.uint64
 _SEED = np.random.Generator(np.random.PCG64(20240607))
 _LETTER = _SEED.integers(0, 2**64, 256, dtype=U64) | U64(1)
+_EXACT = _LETTER.copy()
 _LETTER[65:91] = _LETTER[97:123]  # A-Z hash as a-z
 _P = U64(0x9E3779B97F4A7C15)
 _PINV = U64(pow(0x9E3779B97F4A7C15, -1, 2**64))
@@ -90,13 +91,13 @@ def words(raw: np.ndarray, bounds: np.ndarray, sep: np.ndarray = SPACE) -> tuple
     return start, end, np.searchsorted(bounds, start, "right") - 1
 
 
-def word_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of words with A-Z lower-cased, from prefix sums of a polynomial."""
+def word_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray, fold: bool = True) -> np.ndarray:
+    """64-bit hashes of words, with A-Z lower-cased if `fold`, from prefix sums of a polynomial."""
     with np.errstate(over="ignore"):
         up, down = powers(len(raw))
         sums = np.empty(len(raw) + 1, U64)
         sums[0] = 0
-        np.cumsum(_LETTER[raw] * up[: len(raw)], out=sums[1:])
+        np.cumsum((_LETTER if fold else _EXACT)[raw] * up[: len(raw)], out=sums[1:])
         return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(U64))
 
 
