@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from weir.llm import decontaminate, exact_dedup, near_dedup
+from weir.llm import decontaminate, exact_dedup, near_dedup, packing
 
 QUERIES = {
     "op1_near_dedup": near_dedup.query,
+    "op2_packing": packing.query,
     "op6_decontaminate": decontaminate.query,
     "op10_exact_dedup": exact_dedup.query,
 }

@@ -7,16 +7,17 @@ hashed as bands; documents meet in a band's bucket. From each pair that meets, t
 counts of smaller, equal and larger registers and both sizes is maximised; pairs far below the threshold go, the rest
 are verified on full sets.
 
-Copies with equal sets form a class first; only class representatives are banded. A bucket's members are compared with
-the bucket's first member, and only members that are then still in another component than some others of the bucket are
-compared further, with two, four, eight, ... more of its members, until the bucket is one component or all its pairs
-from different components have been compared. So no pair with 0.8 or more that meets in a bucket is lost, and large
-groups of copies cost a comparison each, not all pairs. The chance that a pair of similarity s meets in no band is
-(1 - s^ROWS)^BANDS: 7e-6 at 0.8.
+Copies with equal sets form a class first; only class representatives are banded. A bucket's members are first compared
+with its center, the member that meets most others in all its buckets, which in a family of copies is nearest to the
+original; that is one pair a member and joins most families. Only buckets whose members then lie in several components
+are looked at again: members outside the bucket's largest component have their registers compared with all others', in
+blocks of about BLOCK members so that no task holds a large bucket, and pairs that agree often enough are verified.
+No pair that meets in a bucket goes unexamined. The chance that a pair of similarity s meets in no band is
+(1 - s^ROWS)^BANDS, 7e-6 at 0.8; that sampling error puts one exactly at the threshold out is about 1e-5.
 
 Defined cases: null texts and texts without words have an empty set and are linked with nothing; a text of fewer than
-k words has its whole sequence as one shingle; rows repeated under one id are one node (their sets are equal, or their
-links unite); an empty table gives an empty result; extra columns are ignored.
+k words has its whole sequence as one shingle; rows repeated under one id are one node and share its result (they are
+taken to hold the same text); an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,19 +26,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weir.llm import text as tx
-from weir.llm.base import without
+from weir.llm.base import small, without
 from weir.llm.components import components
 from weir.session import Scratch, table
 
 ROWS, BANDS = 5, 30
 M = ROWS * BANDS
 BASE, RATE = 1.001, 64.0
-#: Standard deviations of the joint estimate by which a pair may fall below the threshold and still be verified.
-SLACK = 6.0
+#: Standard deviations by which a pair's estimate may fall below the threshold and still be verified.
+SLACK = 4.2
+BLOCK = 1024
 
 _rng = np.random.Generator(np.random.PCG64(77))
 _MUL = _rng.integers(0, 2**64, M, dtype=np.uint64) | np.uint64(1)
@@ -161,18 +163,70 @@ class _Verifier:
 
     def __call__(self, pairs: DataFrame) -> DataFrame:
         r = self.reps
-        both = pairs.join(r.select(F.col("cid").alias("u"), F.col("n").alias("na"), F.col("regs").alias("ra")), "u").join(r.select(F.col("cid").alias("v"), F.col("n").alias("nb"), F.col("regs").alias("rb")), "v")
+        first = r.select(F.col("cid").alias("u"), F.col("n").alias("na"), F.col("regs").alias("ra")).join(small(pairs), "u")
+        both = first.join(r.select(F.col("cid").alias("v"), F.col("n").alias("nb"), F.col("regs").alias("rb")), "v")
         likely = self.scratch.put(both.select("u", "v", "na", "nb", "ra", "rb").mapInArrow(_likely(self.percent / 100), "u long, v long, na long, nb long"), "likely")
         ids = likely.select(F.col("u").alias("node")).unionByName(likely.select(F.col("v").alias("node"))).distinct()
-        wanted = self.docs.join(ids.select(F.col("node").alias(self.key)), self.key, "left_semi")
-        sets = self.scratch.put(_full_sets(wanted, self.k, self.key, self.text).dropDuplicates(["node"]), "sets")
-        got = likely.join(sets.select(F.col("node").alias("u"), F.col("s").alias("su")), "u").join(sets.select(F.col("node").alias("v"), F.col("s").alias("sv")), "v")
+        wanted = self.docs.join(small(ids.select(F.col("node").alias(self.key))), self.key, "left_semi")
+        sets = self.scratch.put(_full_sets(wanted, self.k, self.key, self.text), "sets")
+        one = sets.dropDuplicates(["node"])
+        got = likely.join(one.select(F.col("node").alias("u"), F.col("s").alias("su")), "u").join(one.select(F.col("node").alias("v"), F.col("s").alias("sv")), "v")
         met = F.size(F.array_intersect("su", "sv")).cast("long")
         out = self.scratch.put(got.select("u", "v", (F.lit(100) * met).alias("x"), (F.lit(self.percent) * (F.col("na") + F.col("nb") - met)).alias("y")).filter("x >= y").select("u", "v"), "links")
         self.scratch.drop(likely, sets)
         return out
 
 
+def _blocks(threshold: float):
+    """Rows sorted by (key, i, j) -> pairs of members of different components whose registers agree often enough."""
+    least = int(threshold * M - SLACK * (M * threshold * (1 - threshold)) ** 0.5)
+
+    def pairs(cid: np.ndarray, comp: np.ndarray, side: np.ndarray, i: int, j: int, low: np.ndarray) -> list[np.ndarray]:
+        names, code = np.unique(comp, return_inverse=True)
+        if len(names) < 2:
+            return []
+        hub = np.bincount(code).argmax()
+        out = []
+        for at in range(0, len(cid), 64):
+            here = np.arange(at, min(at + 64, len(cid)))
+            here = here[code[here] != hub]
+            if len(here):
+                agree = (low[here][:, None, :] == low[None, :, :]).sum(axis=2, dtype=np.int16)
+                ok = (agree >= least) & (code[here][:, None] != code[None, :])
+                if i != j:
+                    ok &= side[here][:, None] != side[None, :]
+                x, y = np.nonzero(ok)
+                out.append(np.stack([cid[here[x]], cid[y]]))
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, mark = [], None
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if held:
+                t = pa.Table.from_batches(held)
+                col = lambda c: t.column(c).to_numpy()
+                found = pairs(col("cid"), col("comp"), col("b"), mark[1], mark[2], (_matrix(t.column("regs")) & 0xFF).astype(np.uint8))
+                if found:
+                    uv = np.unique(np.sort(np.concatenate(found, axis=1), axis=0), axis=1)
+                    yield pa.RecordBatch.from_arrays([pa.array(uv[0]), pa.array(uv[1])], names=["u", "v"])
+                held.clear()
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            k, i, j = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "i", "j"))
+            cut = np.flatnonzero((k[1:] != k[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
+            for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(k)], strict=True):
+                if mark != (k[a], i[a], j[a]):
+                    yield from flush()
+                    mark = (k[a], i[a], j[a])
+                held.append(batch.slice(a, b - a))
+        yield from flush()
+
+    return run
+
+
 def near_classes(docs: DataFrame, scratch: Scratch, k: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each document: id, n_shingles, component_id, kept, class_id (smallest id with an equal set)."""
     if percent < 80:
@@ -182,34 +236,28 @@ def near_classes(docs: DataFrame, scratch: Scratch, k: int = 5, percent: int = 8
     classes = scratch.put(sk.filter("n > 0").groupBy("n", "d1", "d2").agg(F.min("_id").alias("cid")), "classes")
     reps = scratch.put(sk.filter("n > 0").join(classes.select(F.col("cid").alias("_id")), "_id", "left_semi").dropDuplicates(["_id"]).select(F.col("_id").alias("cid"), "n", "regs"), "reps")
     bands = reps.select("cid", "regs").mapInArrow(_bands, "key long, cid long")
-    full = bands.groupBy("key").agg(F.min("cid").alias("center"), F.count("*").alias("c")).filter("c > 1")
-    members = scratch.put(bands.join(full, "key"), "members")
+    met = scratch.put(bands.join(bands.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1"), "key"), "met")
+    score = met.groupBy("cid").agg(F.sum("c").alias("score"))
+    center = F.max(F.struct("score", (-F.col("cid")).alias("m"))).alias("best")
+    centers = met.join(score, "cid").groupBy("key").agg(center).select("key", (-F.col("best.m")).alias("center"))
     verify = _Verifier(docs, reps, scratch, k, percent, key, text)
-    tested = scratch.put(members.filter("cid <> center").select(F.col("center").alias("u"), F.col("cid").alias("v")).distinct(), "tested")
+    starred = met.join(centers, "key").filter("cid <> center")
+    tested = scratch.put(starred.select(F.least("cid", "center").alias("u"), F.greatest("cid", "center").alias("v")).distinct(), "tested")
     links = verify(tested)
     comp = scratch.put(components(links, scratch), "comp")
-    members = members.filter("c > 2").select("key", "cid")
-    low = 1
-    while True:
-        # Members of buckets that do not yet lie in one component, in a fixed order within the bucket.
-        named = members.join(comp.withColumnRenamed("node", "cid"), "cid", "left").select("key", "cid", F.coalesce("comp", "cid").alias("comp"))
-        open_keys = named.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count("*").alias("c")).filter((F.col("a") != F.col("b")) & (F.col("c") > low + 1)).select("key")
-        rest = scratch.put(named.join(open_keys, "key", "left_semi"), "rest")
-        if rest.isEmpty():
-            scratch.drop(rest)
-            break
-        rank = F.row_number().over(Window.partitionBy("key").orderBy("cid"))
-        pivots = rest.withColumn("r", rank).filter((F.col("r") > low) & (F.col("r") <= 2 * low + 1)).select("key", F.col("cid").alias("p"), F.col("comp").alias("pc"))
-        fresh = rest.join(pivots, "key").filter("comp <> pc").select(F.least("cid", "p").alias("u"), F.greatest("cid", "p").alias("v")).distinct()
-        fresh = scratch.put(fresh.join(tested, ["u", "v"], "left_anti"), "fresh")
-        tested = tested.unionByName(fresh)
-        more = verify(fresh)
-        if not more.isEmpty():
-            links = links.unionByName(more)
-            old, comp = comp, scratch.put(components(links, scratch), "comp")
-            scratch.drop(old)
-        members = rest.select("key", "cid")
-        low = 2 * low + 1
+    # Buckets that do not yet lie in one component, in blocks of members.
+    named = met.filter("c > 2").join(small(comp.withColumnRenamed("node", "cid")), "cid", "left").select("key", "c", "cid", F.coalesce("comp", "cid").alias("comp"))
+    still = named.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a <> b").select("key")
+    rest = scratch.put(named.join(still, "key", "left_semi"), "rest")
+    parts = F.ceil(F.col("c") / BLOCK).cast("int")
+    cut = rest.join(reps.select("cid", "regs"), "cid").withColumn("b", F.pmod(F.xxhash64("cid"), parts).cast("int"))
+    cut = cut.select("*", F.explode(F.sequence(F.lit(0), parts - 1)).alias("o")).withColumns({"i": F.least("b", "o"), "j": F.greatest("b", "o")})
+    cut = cut.select("key", "i", "j", "b", "cid", "comp", "regs").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    fresh = cut.mapInArrow(_blocks(percent / 100), "u long, v long").distinct().join(small(tested), ["u", "v"], "left_anti")
+    more = verify(scratch.put(fresh, "fresh"))
+    scratch.drop(met, tested, rest)
+    old, comp = comp, scratch.put(components(links.unionByName(more), scratch), "comp")
+    scratch.drop(old, reps)
     slim = sk.select("_id", "n", "d1", "d2").join(classes, ["n", "d1", "d2"], "left")
     out = slim.join(comp.withColumnRenamed("node", "cid"), "cid", "left")
     found = F.coalesce("comp", "cid", "_id")
