@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from weir.llm import decontaminate, exact_dedup, near_dedup, packing
+from weir.llm import decontaminate, exact_dedup, near_dedup, packing, token_files
 
 QUERIES = {
     "op1_near_dedup": near_dedup.query,
     "op2_packing": packing.query,
     "op6_decontaminate": decontaminate.query,
+    "op9_token_files": token_files.query,
     "op10_exact_dedup": exact_dedup.query,
 }
 SQL = {
