@@ -10,9 +10,11 @@ are verified on full sets.
 Copies with equal sets form a class first; only class representatives are banded. A bucket's members are first compared
 with its center, the member that meets most others in all its buckets, which in a family of copies is nearest to the
 original; that is one pair a member and joins most families. Only buckets whose members then lie in several components
-are looked at again: members outside the bucket's largest component have their registers compared with all others', in
-blocks of about BLOCK members so that no task holds a large bucket, and pairs that agree often enough are verified.
-No pair that meets in a bucket goes unexamined. The chance that a pair of similarity s meets in no band is
+are looked at again: members outside the bucket's largest component have their sketches compared with all others', in blocks
+of about BLOCK members so that no task holds a large bucket. Each is first linked with its likeliest partner where that
+is verified; then every remaining pair of different components that agrees often enough is verified. Sketches also hold
+the minima of BINS bins of the set (8 bits each), whose agreement tells pairs just below the threshold from links more
+sharply than the registers do. No pair that meets in a bucket goes unexamined. The chance that a pair of similarity s meets in no band is
 (1 - s^ROWS)^BANDS, 7e-6 at 0.8; that sampling error puts one exactly at the threshold out is about 1e-5.
 
 Defined cases: null texts and texts without words have an empty set and are linked with nothing; a text of fewer than
@@ -40,6 +42,8 @@ BASE, RATE = 1.001, 64.0
 #: Standard deviations by which a pair's estimate may fall below the threshold and still be verified.
 SLACK = 4.2
 BLOCK = 1024
+#: Bins of a set whose least values sharpen the comparison in blocks.
+BINS = 1024
 
 _rng = np.random.Generator(np.random.PCG64(77))
 _MUL = _rng.integers(0, 2**64, M, dtype=np.uint64) | np.uint64(1)
@@ -66,6 +70,18 @@ def registers(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out
 
 
+def bin_minima(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """(texts, BINS) uint8: 0 for an empty bin, else 1 to 255 from the bin's least value."""
+    n = len(bounds) - 1
+    least = np.full(n * BINS, np.uint64(2**64 - 1))
+    owner = np.repeat(np.arange(n), np.diff(bounds))
+    with np.errstate(over="ignore"):
+        np.minimum.at(least, owner * BINS + (values & np.uint64(BINS - 1)).astype(np.int64), values >> np.uint64(10))
+        mark = (tx.mix(least) % np.uint64(255)).astype(np.uint8) + np.uint8(1)
+    mark[least == np.uint64(2**64 - 1)] = 0
+    return mark.reshape(n, BINS)
+
+
 def band_keys(regs: np.ndarray) -> np.ndarray:
     """(texts, BANDS) int64."""
     with np.errstate(over="ignore"):
@@ -103,21 +119,21 @@ def sketch(docs: DataFrame, k: int, key: str = "doc_id", text: str = "text") ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in tx.parts(batch, "_text"):
+            for part in tx.parts(batch, "_text", 2 << 20):
                 value, bounds = _sets(part, k, "_text")
                 n = np.diff(bounds)
                 with np.errstate(over="ignore"):
                     d1 = tx.segment(np.add, tx.mix(value ^ np.uint64(0x5851F42D4C957F2D)), bounds, np.uint64(0))
                     d2 = tx.segment(np.add, tx.mix(value ^ np.uint64(0x14057B7EF767814F)), bounds, np.uint64(0))
                 regs = registers(value, bounds).astype("<u2")
-                offs = pa.py_buffer(np.arange(len(n) + 1, dtype=np.int32) * (2 * M))
+                fixed = lambda x, width: pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(np.arange(len(n) + 1, dtype=np.int32) * width), pa.py_buffer(x.tobytes())])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("_id"), pa.array(n, pa.int64()), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), pa.Array.from_buffers(pa.binary(), len(n), [None, offs, pa.py_buffer(regs.tobytes())])],
-                    names=["_id", "n", "d1", "d2", "regs"],
+                    [part.column("_id"), pa.array(n, pa.int64()), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), fixed(regs, 2 * M), fixed(bin_minima(value, bounds), BINS)],
+                    names=["_id", "n", "d1", "d2", "regs", "bins"],
                 )
 
     slim = docs.select(F.col(key).cast("long").alias("_id"), F.col(text).alias("_text"))
-    return slim.mapInArrow(run, "_id long, n long, d1 long, d2 long, regs binary")
+    return slim.mapInArrow(run, "_id long, n long, d1 long, d2 long, regs binary, bins binary")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -177,11 +193,14 @@ class _Verifier:
         return out
 
 
-def _blocks(threshold: float):
-    """Rows sorted by (key, i, j) -> pairs of members of different components whose registers agree often enough."""
+def _blocks(threshold: float, best: bool):
+    """Rows sorted by (key, i, j) -> pairs of members of different components whose sketches agree often enough.
+
+    best: of each member outside the largest component only the pair that agrees most often.
+    """
     least = int(threshold * M - SLACK * (M * threshold * (1 - threshold)) ** 0.5)
 
-    def pairs(cid: np.ndarray, comp: np.ndarray, side: np.ndarray, i: int, j: int, low: np.ndarray) -> list[np.ndarray]:
+    def pairs(cid: np.ndarray, comp: np.ndarray, side: np.ndarray, i: int, j: int, low: np.ndarray, bins: np.ndarray) -> list[np.ndarray]:
         names, code = np.unique(comp, return_inverse=True)
         if len(names) < 2:
             return []
@@ -195,8 +214,18 @@ def _blocks(threshold: float):
                 ok = (agree >= least) & (code[here][:, None] != code[None, :])
                 if i != j:
                     ok &= side[here][:, None] != side[None, :]
-                x, y = np.nonzero(ok)
-                out.append(np.stack([cid[here[x]], cid[y]]))
+                if best:
+                    y = np.where(ok, agree, -1).argmax(axis=1)
+                    x = np.flatnonzero(ok[np.arange(len(here)), y])
+                    y = y[x]
+                else:
+                    x, y = np.nonzero(ok)
+                for a in range(0, len(x), 4096):
+                    own, other = bins[here[x[a : a + 4096]]], bins[y[a : a + 4096]]
+                    some = np.count_nonzero(own | other, axis=1)
+                    same = np.count_nonzero((own == other) & (own > 0), axis=1)
+                    near = same >= threshold * some - SLACK * np.sqrt(some * threshold * (1 - threshold))
+                    out.append(np.stack([cid[here[x[a : a + 4096][near]]], cid[y[a : a + 4096][near]]]))
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,7 +235,7 @@ def _blocks(threshold: float):
             if held:
                 t = pa.Table.from_batches(held)
                 col = lambda c: t.column(c).to_numpy()
-                found = pairs(col("cid"), col("comp"), col("b"), mark[1], mark[2], (_matrix(t.column("regs")) & 0xFF).astype(np.uint8))
+                found = pairs(col("cid"), col("comp"), col("b"), mark[1], mark[2], (_matrix(t.column("regs")) & 0xFF).astype(np.uint8), np.frombuffer(b"".join(t.column("bins").to_pylist()), np.uint8).reshape(-1, BINS))
                 if found:
                     uv = np.unique(np.sort(np.concatenate(found, axis=1), axis=0), axis=1)
                     yield pa.RecordBatch.from_arrays([pa.array(uv[0]), pa.array(uv[1])], names=["u", "v"])
@@ -234,7 +263,7 @@ def near_classes(docs: DataFrame, scratch: Scratch, k: int = 5, percent: int = 8
     docs = docs.select(key, text)
     sk = scratch.put(sketch(docs, k, key, text), "sketch")
     classes = scratch.put(sk.filter("n > 0").groupBy("n", "d1", "d2").agg(F.min("_id").alias("cid")), "classes")
-    reps = scratch.put(sk.filter("n > 0").join(classes.select(F.col("cid").alias("_id")), "_id", "left_semi").dropDuplicates(["_id"]).select(F.col("_id").alias("cid"), "n", "regs"), "reps")
+    reps = scratch.put(sk.filter("n > 0").join(classes.select(F.col("cid").alias("_id")), "_id", "left_semi").dropDuplicates(["_id"]).select(F.col("_id").alias("cid"), "n", "regs", "bins"), "reps")
     bands = reps.select("cid", "regs").mapInArrow(_bands, "key long, cid long")
     met = scratch.put(bands.join(bands.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1"), "key"), "met")
     score = met.groupBy("cid").agg(F.sum("c").alias("score"))
@@ -245,19 +274,19 @@ def near_classes(docs: DataFrame, scratch: Scratch, k: int = 5, percent: int = 8
     tested = scratch.put(starred.select(F.least("cid", "center").alias("u"), F.greatest("cid", "center").alias("v")).distinct(), "tested")
     links = verify(tested)
     comp = scratch.put(components(links, scratch), "comp")
-    # Buckets that do not yet lie in one component, in blocks of members.
-    named = met.filter("c > 2").join(small(comp.withColumnRenamed("node", "cid")), "cid", "left").select("key", "c", "cid", F.coalesce("comp", "cid").alias("comp"))
-    still = named.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a <> b").select("key")
-    rest = scratch.put(named.join(still, "key", "left_semi"), "rest")
-    parts = F.ceil(F.col("c") / BLOCK).cast("int")
-    cut = rest.join(reps.select("cid", "regs"), "cid").withColumn("b", F.pmod(F.xxhash64("cid"), parts).cast("int"))
-    cut = cut.select("*", F.explode(F.sequence(F.lit(0), parts - 1)).alias("o")).withColumns({"i": F.least("b", "o"), "j": F.greatest("b", "o")})
-    cut = cut.select("key", "i", "j", "b", "cid", "comp", "regs").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    fresh = cut.mapInArrow(_blocks(percent / 100), "u long, v long").distinct().join(small(tested), ["u", "v"], "left_anti")
-    more = verify(scratch.put(fresh, "fresh"))
-    scratch.drop(met, tested, rest)
-    old, comp = comp, scratch.put(components(links.unionByName(more), scratch), "comp")
-    scratch.drop(old, reps)
+    for best in (True, False):  # buckets that do not yet lie in one component, in blocks of members
+        named = met.filter("c > 2").join(small(comp.withColumnRenamed("node", "cid")), "cid", "left").select("key", "c", "cid", F.coalesce("comp", "cid").alias("comp"))
+        still = named.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a <> b").select("key")
+        rest = scratch.put(named.join(still, "key", "left_semi"), "rest")
+        parts = F.ceil(F.col("c") / BLOCK).cast("int")
+        cut = rest.join(reps.select("cid", "regs", "bins"), "cid").withColumn("b", F.pmod(F.xxhash64("cid"), parts).cast("int"))
+        cut = cut.select("*", F.explode(F.sequence(F.lit(0), parts - 1)).alias("o")).withColumns({"i": F.least("b", "o"), "j": F.greatest("b", "o")})
+        cut = cut.select("key", "i", "j", "b", "cid", "comp", "regs", "bins").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+        fresh = scratch.put(cut.mapInArrow(_blocks(percent / 100, best), "u long, v long").distinct().join(small(tested), ["u", "v"], "left_anti"), "fresh")
+        links, tested = links.unionByName(verify(fresh)), tested.unionByName(fresh)
+        old, comp = comp, scratch.put(components(links, scratch), "comp")
+        scratch.drop(old, rest)
+    scratch.drop(met, reps)
     slim = sk.select("_id", "n", "d1", "d2").join(classes, ["n", "d1", "d2"], "left")
     out = slim.join(comp.withColumnRenamed("node", "cid"), "cid", "left")
     found = F.coalesce("comp", "cid", "_id")
