@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from weir.llm import decontaminate, exact_dedup, near_dedup, packing, token_files
+from weir.llm import decontaminate, exact_dedup, langid, near_dedup, packing, quality, token_files, toxicity
 
 QUERIES = {
     "op1_near_dedup": near_dedup.query,
     "op2_packing": packing.query,
+    "op3_toxicity": toxicity.query,
+    "op4_quality": quality.query,
     "op6_decontaminate": decontaminate.query,
+    "op8_language_id": langid.query,
     "op9_token_files": token_files.query,
     "op10_exact_dedup": exact_dedup.query,
 }
