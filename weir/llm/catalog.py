@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from weir.llm import decontaminate, exact_dedup, langid, near_dedup, packing, quality, token_files, toxicity
+from weir.llm import decontaminate, exact_dedup, html_text, langid, near_dedup, packing, pii, quality, token_files, toxicity
 
 QUERIES = {
     "op1_near_dedup": near_dedup.query,
     "op2_packing": packing.query,
     "op3_toxicity": toxicity.query,
     "op4_quality": quality.query,
+    "op5_html_text": html_text.query,
     "op6_decontaminate": decontaminate.query,
+    "op7_pii": pii.query,
     "op8_language_id": langid.query,
     "op9_token_files": token_files.query,
     "op10_exact_dedup": exact_dedup.query,
