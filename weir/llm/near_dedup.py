@@ -114,6 +114,10 @@ def similarity(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) ->
     return (lo + hi) / 2
 
 
+def _fixed(x: np.ndarray, width: int) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(np.arange(len(x) + 1, dtype=np.int32) * width), pa.py_buffer(x.tobytes())])
+
+
 def sketch(docs: DataFrame, k: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """id, set size n, two sums that identify the set, and the registers."""
 
@@ -126,14 +130,13 @@ def sketch(docs: DataFrame, k: int, key: str = "doc_id", text: str = "text") ->
                     d1 = tx.segment(np.add, tx.mix(value ^ np.uint64(0x5851F42D4C957F2D)), bounds, np.uint64(0))
                     d2 = tx.segment(np.add, tx.mix(value ^ np.uint64(0x14057B7EF767814F)), bounds, np.uint64(0))
                 regs = registers(value, bounds).astype("<u2")
-                fixed = lambda x, width: pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(np.arange(len(n) + 1, dtype=np.int32) * width), pa.py_buffer(x.tobytes())])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("_id"), pa.array(n, pa.int64()), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), fixed(regs, 2 * M), fixed(bin_minima(value, bounds), BINS)],
-                    names=["_id", "n", "d1", "d2", "regs", "bins"],
+                    [part.column("_id"), pa.array(n, pa.int64()), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), _fixed(regs, 2 * M)],
+                    names=["_id", "n", "d1", "d2", "regs"],
                 )
 
     slim = docs.select(F.col(key).cast("long").alias("_id"), F.col(text).alias("_text"))
-    return slim.mapInArrow(run, "_id long, n long, d1 long, d2 long, regs binary, bins binary")
+    return slim.mapInArrow(run, "_id long, n long, d1 long, d2 long, regs binary")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -145,7 +148,8 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if batch.num_rows:
             keys = band_keys(_matrix(batch.column("regs")))
             cid = np.repeat(batch.column("cid").to_numpy(zero_copy_only=False), BANDS)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(cid)], names=["key", "cid"])
+            band = np.tile(np.arange(BANDS, dtype=np.int8), len(keys))
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(cid), pa.array(band)], names=["key", "cid", "band"])
 
 
 def _likely(threshold: float):
@@ -161,6 +165,15 @@ def _likely(threshold: float):
     return run
 
 
+def _bin_sketches(docs: DataFrame, k: int, key: str, text: str) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in tx.parts(batch, "_text", 2 << 20):
+                yield pa.RecordBatch.from_arrays([part.column("cid"), _fixed(bin_minima(*_sets(part, k, "_text")), BINS)], names=["cid", "bins"])
+
+    return docs.select(F.col(key).cast("long").alias("cid"), F.col(text).alias("_text")).mapInArrow(run, "cid long, bins binary")
+
+
 def _full_sets(docs: DataFrame, k: int, key: str, text: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -196,15 +209,18 @@ class _Verifier:
 def _blocks(threshold: float, best: bool):
     """Rows sorted by (key, i, j) -> pairs of members of different components whose sketches agree often enough.
 
-    best: of each member outside the largest component only the pair that agrees most often.
+    best: of each member outside the largest component only the pair that agrees most often. Else a pair is examined in
+    the first band it meets in only. The minima of bins are a sample without replacement of the union, nearly all of it
+    for small sets, and their agreement varies the less.
     """
     least = int(threshold * M - SLACK * (M * threshold * (1 - threshold)) ** 0.5)
 
-    def pairs(cid: np.ndarray, comp: np.ndarray, side: np.ndarray, i: int, j: int, low: np.ndarray, bins: np.ndarray) -> list[np.ndarray]:
+    def pairs(cid: np.ndarray, comp: np.ndarray, side: np.ndarray, i: int, j: int, band: int, n: np.ndarray, regs: np.ndarray, bins: np.ndarray) -> list[np.ndarray]:
         names, code = np.unique(comp, return_inverse=True)
         if len(names) < 2:
             return []
         hub = np.bincount(code).argmax()
+        low = (regs & 0xFF).astype(np.uint8)
         out = []
         for at in range(0, len(cid), 64):
             here = np.arange(at, min(at + 64, len(cid)))
@@ -221,11 +237,15 @@ def _blocks(threshold: float, best: bool):
                 else:
                     x, y = np.nonzero(ok)
                 for a in range(0, len(x), 4096):
-                    own, other = bins[here[x[a : a + 4096]]], bins[y[a : a + 4096]]
-                    some = np.count_nonzero(own | other, axis=1)
-                    same = np.count_nonzero((own == other) & (own > 0), axis=1)
-                    near = same >= threshold * some - SLACK * np.sqrt(some * threshold * (1 - threshold))
-                    out.append(np.stack([cid[here[x[a : a + 4096][near]]], cid[y[a : a + 4096][near]]]))
+                    p, q = here[x[a : a + 4096]], y[a : a + 4096]
+                    if not best:
+                        first = (regs[p] == regs[q]).reshape(len(p), BANDS, ROWS).all(axis=2).argmax(axis=1) == band
+                        p, q = p[first], q[first]
+                    some = np.count_nonzero(bins[p] | bins[q], axis=1)
+                    same = np.count_nonzero((bins[p] == bins[q]) & (bins[p] > 0), axis=1)
+                    left = np.maximum(1 - some * (1 + threshold) / (n[p] + n[q]), 0.05)
+                    near = same >= threshold * some - SLACK * np.sqrt(1.5 * left * some * threshold * (1 - threshold))
+                    out.append(np.stack([cid[p[near]], cid[q[near]]]))
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,7 +255,7 @@ def _blocks(threshold: float, best: bool):
             if held:
                 t = pa.Table.from_batches(held)
                 col = lambda c: t.column(c).to_numpy()
-                found = pairs(col("cid"), col("comp"), col("b"), mark[1], mark[2], (_matrix(t.column("regs")) & 0xFF).astype(np.uint8), np.frombuffer(b"".join(t.column("bins").to_pylist()), np.uint8).reshape(-1, BINS))
+                found = pairs(col("cid"), col("comp"), col("b"), mark[1], mark[2], int(col("band")[0]), col("n"), _matrix(t.column("regs")), np.frombuffer(b"".join(t.column("bins").to_pylist()), np.uint8).reshape(-1, BINS))
                 if found:
                     uv = np.unique(np.sort(np.concatenate(found, axis=1), axis=0), axis=1)
                     yield pa.RecordBatch.from_arrays([pa.array(uv[0]), pa.array(uv[1])], names=["u", "v"])
@@ -263,8 +283,8 @@ def near_classes(docs: DataFrame, scratch: Scratch, k: int = 5, percent: int = 8
     docs = docs.select(key, text)
     sk = scratch.put(sketch(docs, k, key, text), "sketch")
     classes = scratch.put(sk.filter("n > 0").groupBy("n", "d1", "d2").agg(F.min("_id").alias("cid")), "classes")
-    reps = scratch.put(sk.filter("n > 0").join(classes.select(F.col("cid").alias("_id")), "_id", "left_semi").dropDuplicates(["_id"]).select(F.col("_id").alias("cid"), "n", "regs", "bins"), "reps")
-    bands = reps.select("cid", "regs").mapInArrow(_bands, "key long, cid long")
+    reps = scratch.put(sk.filter("n > 0").join(classes.select(F.col("cid").alias("_id")), "_id", "left_semi").dropDuplicates(["_id"]).select(F.col("_id").alias("cid"), "n", "regs"), "reps")
+    bands = reps.select("cid", "regs").mapInArrow(_bands, "key long, cid long, band byte")
     met = scratch.put(bands.join(bands.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1"), "key"), "met")
     score = met.groupBy("cid").agg(F.sum("c").alias("score"))
     center = F.max(F.struct("score", (-F.col("cid")).alias("m"))).alias("best")
@@ -275,18 +295,21 @@ def near_classes(docs: DataFrame, scratch: Scratch, k: int = 5, percent: int = 8
     links = verify(tested)
     comp = scratch.put(components(links, scratch), "comp")
     for best in (True, False):  # buckets that do not yet lie in one component, in blocks of members
-        named = met.filter("c > 2").join(small(comp.withColumnRenamed("node", "cid")), "cid", "left").select("key", "c", "cid", F.coalesce("comp", "cid").alias("comp"))
+        named = met.filter("c > 2").join(small(comp.withColumnRenamed("node", "cid")), "cid", "left").select("key", "c", "band", "cid", F.coalesce("comp", "cid").alias("comp"))
         still = named.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a <> b").select("key")
         rest = scratch.put(named.join(still, "key", "left_semi"), "rest")
+        if best:  # what is open later is open now
+            own = docs.join(small(rest.select(F.col("cid").alias(key)).distinct()), key, "left_semi")
+            bins = scratch.put(_bin_sketches(own, k, key, text), "bins")
         parts = F.ceil(F.col("c") / BLOCK).cast("int")
-        cut = rest.join(reps.select("cid", "regs", "bins"), "cid").withColumn("b", F.pmod(F.xxhash64("cid"), parts).cast("int"))
+        cut = rest.join(reps.join(bins.dropDuplicates(["cid"]), "cid").select("cid", "n", "regs", "bins"), "cid").withColumn("b", F.pmod(F.xxhash64("cid"), parts).cast("int"))
         cut = cut.select("*", F.explode(F.sequence(F.lit(0), parts - 1)).alias("o")).withColumns({"i": F.least("b", "o"), "j": F.greatest("b", "o")})
-        cut = cut.select("key", "i", "j", "b", "cid", "comp", "regs", "bins").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+        cut = cut.select("key", "i", "j", "b", "band", "cid", "comp", "n", "regs", "bins").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
         fresh = scratch.put(cut.mapInArrow(_blocks(percent / 100, best), "u long, v long").distinct().join(small(tested), ["u", "v"], "left_anti"), "fresh")
         links, tested = links.unionByName(verify(fresh)), tested.unionByName(fresh)
         old, comp = comp, scratch.put(components(links, scratch), "comp")
         scratch.drop(old, rest)
-    scratch.drop(met, reps)
+    scratch.drop(met, reps, bins)
     slim = sk.select("_id", "n", "d1", "d2").join(classes, ["n", "d1", "d2"], "left")
     out = slim.join(comp.withColumnRenamed("node", "cid"), "cid", "left")
     found = F.coalesce("comp", "cid", "_id")
