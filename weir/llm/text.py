@@ -33,7 +33,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _powers or len(_powers[0]) < n + 1:
-        n = max(n + 1, 1 << 22)
+        n = max(n + 1, (1 << 20) + (1 << 17))
         with np.errstate(over="ignore"):
             a, b = np.full(n, _P, U64), np.full(n, _PINV, U64)
             a[0] = b[0] = 1
@@ -60,7 +60,7 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]], off - off[0]
 
 
-def parts(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def parts(batch: pa.RecordBatch, column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of a batch whose texts hold about `most` bytes, at least one row each: what bounds the memory of a step."""
     if not batch.num_rows:
         return
