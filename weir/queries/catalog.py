@@ -1,2 +1,15 @@
-QUERIES: dict = {}
-SQL: dict = {}
+"""All queries but those of the llm subpackage."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from weir.operators import policies
+from weir.queries import scalars  # noqa: F401
+from weir.queries.registry import QUERIES, SQL  # noqa: F401
+from weir.session import table
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reject reasons of the quality filter by source, with documents and bytes."""
+    return policies.report(table(spark, sf_dir, "documents"), policies.quality("english"), "source")
