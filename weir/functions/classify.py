@@ -73,7 +73,7 @@ def scored(t: E) -> Steps:
     score = score - less(c("symbol") > 0.18, x.least(wrapd(0.25), (c("symbol") - 0.18) * 1.5)) - less(c("digit") > 0.25, 0.15)
     score = score - less(c("rep") > 0.18, x.least(wrapd(0.35), c("rep"))) - less(c("signal") < 0.035, 0.18)
     score = score - less((c("mean_word") < 3.0) | (c("mean_word") > 10.5), 0.08)
-    return vector(t).add(score=x.greatest(0.0, x.least(1.0, score)))
+    return vector(t).add(score=x.digits(x.greatest(0.0, x.least(1.0, score)), 4))
 
 
 def wrapd(v: float) -> E:

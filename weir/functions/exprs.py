@@ -204,7 +204,7 @@ def flags(*pairs: tuple[E, str]) -> E:
 
 def share(part: E, whole: E) -> E:
     """part / whole, 0 where whole is 0."""
-    return case((whole > 0, two("CAST({} AS DOUBLE) / {}", "{}::DOUBLE / {}", part, whole)), otherwise=0.0)
+    return case((whole > 0, two("CAST({} AS DOUBLE) / {}", "({})::DOUBLE / ({})", part, whole)), otherwise=0.0)
 
 
 def least(*xs: object) -> E:
@@ -224,7 +224,7 @@ def joined(words: object, by: str = " ") -> E:
 
 
 def digits(x: E, places: int) -> E:
-    return both(f"(floor({{}} * {10**places} + 0.5) / {float(10**places)})", x)
+    return two(f"(floor({{}} * {10**places} + 0.5D) / {10**places}D)", f"(floor({{}} * {10**places} + 0.5::DOUBLE) / {10**places}::DOUBLE)", x)
 
 
 @dataclass

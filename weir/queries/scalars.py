@@ -62,7 +62,7 @@ for name, e in METRICS.items():
     steps(name, "documents", BASE.add(v=e), "doc_id; round(CAST(v AS DOUBLE), 6) AS value")
 
 steps("x08_document_vector", "documents", c.vector(T), "doc_id; chars; n_words; n_paragraphs; n_sentences; alpha; symbol; digit; rep; signal; mean_word")
-steps("x09_quality_score", "documents", c.scored(T), "doc_id; round(score, 4) AS score")
+steps("x09_quality_score", "documents", c.scored(T), "doc_id; score")
 steps("x13_url_chars_alpha_words", "documents", c.url_chars(T), "doc_id; round(url_chars, 6) AS url_chars; round(alpha_words, 6) AS alpha_words")
 steps("x14_curator_scores", "documents", c.curator(T), "doc_id; word_count; round(non_alnum, 6) AS non_alnum; round(numbers, 6) AS numbers; round(urls, 6) AS urls; round(white, 6) AS white; round(bullets, 6) AS bullets; round(punct_lines, 6) AS punct_lines; round(symbol_words, 6) AS symbol_words; long_word; round(mean_word, 6) AS mean_word; round(with_alpha, 6) AS with_alpha; round(parens, 6) AS parens; round(ellipsis, 6) AS ellipsis; round(rep_lines, 6) AS rep_lines; round(rep_paragraphs, 6) AS rep_paragraphs; round(rep_line_chars, 6) AS rep_line_chars; round(rep_paragraph_chars, 6) AS rep_paragraph_chars; round(dup3, 6) AS dup3; round(top3, 6) AS top3")
 steps("x16_oldprint_score", "documents", Steps().add(head=x.left(T, 20_000)).add(hits=x.hits(x.col("head"), p.OLDPRINT, True), breaks=x.least(x.hits(x.col("head"), p.HYPHEN_BREAK), 6)), "doc_id; CAST(hits + breaks AS BIGINT) AS score")
@@ -85,7 +85,7 @@ LABELS = {
 }
 for name, (plan, out) in LABELS.items():
     steps(name, "documents", plan, f"doc_id; {out}")
-steps("c05b_domain_flags", "documents", c.domain(T), "doc_id; FLAGS_TEXT" .replace("FLAGS_TEXT", "flag_text"))
+steps("c05b_domain_flags", "documents", c.domain(T), "doc_id; flag_text")
 steps("c06b_triage_flags", "documents", c.triage(T), "doc_id; flag_text")
 steps("c10_profile_decision", "documents", c.decision(T), "doc_id; warn_text; drop_text")
 steps("c18_secrets", "documents", Steps().add(**{k: x.has(T, v) for k, v in p.SECRETS.items()}), "doc_id; aws_access_key; private_key; github_token; generic_token")
