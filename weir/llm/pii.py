@@ -332,9 +332,10 @@ def train(texts: list[str], seed: int = 9) -> Field:
 
 def sample(docs: DataFrame, most: int = MOST, key: str = "doc_id", text: str = "text") -> list[str]:
     """At most `most` texts of up to 32,768 code points with an at sign, a plus or a long number, by the hash of their ids."""
-    some = docs.select(key, text).filter((F.char_length(text) <= 32_768) & F.col(text).rlike(r"@[A-Za-z0-9-]+\.|\+[0-9][ ().0-9-]{8}|[0-9]{14}|[0-9]\.[0-9]+\.[0-9]+\.[0-9]"))
-    rows = some.orderBy(F.xxhash64(key), key).limit(most).collect()
-    return [r[1] for r in sorted(rows, key=lambda r: (r[0] is None, r[0]))]
+    some = docs.filter((F.char_length(text) <= 32_768) & F.col(text).rlike(r"@[A-Za-z0-9-]+\.|\+[0-9][ ().0-9-]{8}|[0-9]{14}|[0-9]\.[0-9]+\.[0-9]+\.[0-9]"))
+    ids = some.select(key).orderBy(F.xxhash64(key), key).limit(most).distinct()
+    rows = some.select(key, text).join(F.broadcast(ids), key).dropDuplicates([key]).collect()  # at most `most` ids
+    return [r[1] for r in sorted(rows, key=lambda r: r[0])]
 
 
 def _digest(spans: list[Span]) -> str:
