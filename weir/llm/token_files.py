@@ -118,13 +118,30 @@ def decode(bits: np.ndarray, marks: np.ndarray, lens: np.ndarray, byte_bounds: n
     return out.T[keep]
 
 
+def _ids(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all rows in a row (16 or 32 bits each) and their bounds."""
+    wide = batch.column("wide").to_numpy(zero_copy_only=False)
+    runs = [np.frombuffer(x, "<u4" if w else "<u2") for x, w in zip(batch.column("ids").to_pylist(), wide, strict=True)]
+    ids = np.concatenate([np.zeros(0, np.uint16), *runs]).astype(np.int64)
+    return ids, np.concatenate([[0], np.cumsum([len(r) for r in runs])]).astype(np.int64)
+
+
 def write(docs: DataFrame, scratch: Scratch, spec: str, end: int = END, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """Write `codes` and `blocks` and return the tables as read back."""
     slim = docs.select(F.col(key).cast("long").alias("_id"), F.col(text).alias("_text"))
 
+    def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, ids, bounds in tokens.encoded(batches, spec, "word", end):
+            wide = bool(len(ids)) and int(ids.max()) > 0xFFFF
+            kind = "<u4" if wide else "<u2"
+            edge = (bounds * (4 if wide else 2)).astype(np.int32)
+            runs = pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(edge), pa.py_buffer(ids.astype(kind).tobytes())])
+            yield pa.RecordBatch.from_arrays([part.column("_id"), pa.array(np.full(len(bounds) - 1, wide)), runs], names=["id", "wide", "ids"])
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << 16, np.int64)
-        for _, ids, _ in tokens.encoded(batches, spec, "word", end):
+        for batch in batches:
+            ids, _ = _ids(batch)
             own = np.bincount(ids)
             if len(own) > len(total):
                 total = np.concatenate([total, np.zeros(len(own) - len(total), np.int64)])
@@ -132,7 +149,8 @@ def write(docs: DataFrame, scratch: Scratch, spec: str, end: int = END, key: str
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], names=["id", "n"])
 
-    counts = slim.mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).orderBy("id").toPandas()  # at most the vocabulary
+    held = scratch.put(slim.mapInArrow(tokenize, "id long, wide boolean, ids binary"), "ids")
+    counts = held.select("wide", "ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).orderBy("id").toPandas()  # at most the vocabulary
     seen = counts["id"].to_numpy(np.int64)
     bits = code_lengths(counts["n"].to_numpy(np.int64))
     spark = docs.sparkSession
@@ -142,13 +160,16 @@ def write(docs: DataFrame, scratch: Scratch, spec: str, end: int = END, key: str
     bit_of[ids_by], code_of[ids_by] = bits_by, code_by
 
     def encode_docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, ids, bounds in tokens.encoded(batches, spec, "word", end):
+        for part in batches:
+            if not part.num_rows:
+                continue
+            ids, bounds = _ids(part)
             data, edge, marks = encode(ids, bounds, bit_of, code_of)
             n = np.diff(bounds)
             edges = np.concatenate([[0], np.cumsum((n - 1) // STEP)]) * 2
             runs = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(edge.astype(np.int32)), pa.py_buffer(data.tobytes())])
             checks = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(edges.astype(np.int32)), pa.py_buffer(marks.tobytes())])
-            yield pa.RecordBatch.from_arrays([part.column("_id"), pa.array(n, pa.int64()), runs, checks], names=["id", "n", "bits", "marks"])
+            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(n, pa.int64()), runs, checks], names=["id", "n", "bits", "marks"])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, before, held, size = TaskContext.get().partitionId(), 0, [], 0
@@ -178,8 +199,11 @@ def write(docs: DataFrame, scratch: Scratch, spec: str, end: int = END, key: str
         yield from block()
 
     schema = pa.schema([("part", pa.int64()), ("part_start", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("doc_lens", pa.list_(pa.int64())), ("doc_bytes", pa.list_(pa.int64())), ("bits", pa.binary()), ("marks", pa.binary())])
-    rows = slim.mapInArrow(encode_docs, "id long, n long, bits binary, marks binary").repartitionByRange("id").sortWithinPartitions("id")
+    coded = scratch.put(held.mapInArrow(encode_docs, "id long, n long, bits binary, marks binary"), "coded")
+    scratch.drop(held)
+    rows = coded.repartitionByRange("id").sortWithinPartitions("id")
     blocks = scratch.put(rows.mapInArrow(gather, "part long, part_start long, doc_ids array<long>, doc_lens array<long>, doc_bytes array<long>, bits binary, marks binary"), "blocks")
+    scratch.drop(coded)
     return codes, blocks
 
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 
 from weir.llm import text as tx
 
-MOST = 1_500_000
+MOST = 2_400_000
 _SLOTS = 1 << 22
 _BYTE_SEP = np.zeros(256, bool)
 _BYTE_SEP[[0x20, 0x0A]] = True
@@ -67,6 +67,15 @@ class _Table:
             keys, number, slot = keys[~won], number[~won], (slot[~won] + 1) & (_SLOTS - 1)
 
 
+def _room(x: np.ndarray, n: int) -> np.ndarray:
+    """x, or a copy half as large again that holds n."""
+    if n <= len(x):
+        return x
+    out = np.zeros(max(n, len(x) * 3 // 2), x.dtype)
+    out[: len(x)] = x
+    return out
+
+
 class Encoder:
     """mode: 'byte' (a space belongs to the word after it) or 'word' (white space is dropped, letter case as well)."""
 
@@ -80,14 +89,15 @@ class Encoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.table, self.starts, self.lens, self.pool = _Table(), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.uint32)
+        self.table, self.held = _Table(), 0
+        self.starts, self.lens, self.pool = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32), np.zeros(1 << 18, np.uint32)
 
     def _raw(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, keys: np.ndarray, pieces: list[str]) -> None:
         """Encode new pieces (none holds what stands between them), many to a call."""
-        ends, runs, held = [], [], len(self.pool)
+        ends, runs, held = [], [], self.held
         for at in range(0, len(pieces), 4096):
             some = pieces[at : at + 4096]
             run = np.array(self._raw([self.between.join([*some, ""])])[0], np.uint32)
@@ -97,10 +107,14 @@ class Encoder:
             runs.append(run)
             held += len(run)
         ends = np.concatenate(ends)
-        starts = np.concatenate([[len(self.pool)], ends[:-1] + 1])
-        self.starts = np.concatenate([self.starts, starts])
-        self.lens = np.concatenate([self.lens, (ends - starts).astype(np.int32)])
-        self.pool = np.concatenate([self.pool, *runs])
+        starts = np.concatenate([[self.held], ends[:-1] + 1])
+        n = self.table.n
+        self.starts = _room(self.starts, n + len(keys))
+        self.lens = _room(self.lens, n + len(keys))
+        self.pool = _room(self.pool, held)
+        self.starts[n : n + len(keys)], self.lens[n : n + len(keys)] = starts, ends - starts
+        self.pool[self.held : held] = np.concatenate(runs)
+        self.held = held
         self.table.add(keys)
 
     def _whole(self, raw: np.ndarray, bounds: np.ndarray) -> np.ndarray:
