@@ -45,8 +45,8 @@ def learn(docs: DataFrame, most: int = MOST, key: str = "doc_id", text: str = "t
     counts = np.zeros((BUCKETS, max(1, len(langs))))
     for k, name in enumerate(langs):
         texts = [r[1] for r in rows if r[2] == name]
-        for at in range(0, len(texts), 256):
-            _, bucket = ngrams.document_grams(*ngrams.as_flat(texts[at : at + 256]), LENGTHS, BUCKETS)
+        for _, some in ngrams.chunks(texts):
+            _, bucket = ngrams.document_grams(*ngrams.as_flat(some), LENGTHS, BUCKETS)
             counts[:, k] += np.bincount(bucket, minlength=BUCKETS)
     share = (counts + 0.5) / (counts.sum(axis=0) + 0.5 * BUCKETS)
     return langs, np.log(share).astype(np.float32)

@@ -78,18 +78,30 @@ def weight_sums(raw: np.ndarray, bounds: np.ndarray, lengths: tuple[int, ...], w
     return total, count
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, most: int, key: str = "doc_id", text: str = "text") -> tuple[list[str], np.ndarray]:
+def sample(docs: DataFrame, labels: DataFrame, label: str, most: int, key: str = "doc_id", text: str = "text", chars: int = EXAMPLE_CHARS) -> tuple[list[str], np.ndarray]:
     """Texts and labels of at most `most` labelled documents, those with the smallest hashes of their ids; half per class at least where there are enough."""
     own = labels.filter(F.col(label).isNotNull()).select(key, label).dropDuplicates([key])
     ids = None
     for value in (0, 1):
         some = own.filter(F.col(label) == value).orderBy(F.xxhash64(key), key).limit(most // 2)
         ids = some if ids is None else ids.unionByName(some)
-    pick = docs.select(key, text).filter(F.char_length(text) <= EXAMPLE_CHARS).join(F.broadcast(ids), key).select(key, text, label)  # at most `most` ids
+    pick = docs.select(key, text).filter(F.char_length(text) <= chars).join(F.broadcast(ids), key).select(key, text, label)  # at most `most` ids
     rows = sorted(pick.dropDuplicates([key]).collect(), key=lambda r: r[0])
     return [r[1] or "" for r in rows], np.array([r[2] for r in rows], np.int64)
 
 
+def chunks(texts: list[str], most: int = 1 << 18) -> Iterator[tuple[int, list[str]]]:
+    """(place of the first, texts) in runs of about `most` code points."""
+    at = 0
+    while at < len(texts):
+        to, size = at + 1, len(texts[at])
+        while to < len(texts) and size + len(texts[to]) <= most:
+            size += len(texts[to])
+            to += 1
+        yield at, texts[at:to]
+        at = to
+
+
 def as_flat(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return tx.flat(pa.array(texts, pa.large_string()))
 

@@ -175,7 +175,7 @@ class Network:
 def features(texts: list[str], vec: np.ndarray) -> np.ndarray:
     if not texts:
         return np.zeros((0, 1))
-    return np.concatenate([pooled(*ngrams.as_flat(texts[at : at + 256]), vec) for at in range(0, len(texts), 256)])
+    return np.concatenate([pooled(*ngrams.as_flat(some), vec) for _, some in ngrams.chunks(texts)])
 
 
 def quality(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = MOST, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +34,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _powers or len(_powers[0]) < n + 1:
-        n = max(n + 1, (1 << 20) + (1 << 17))
+        n = max(n + 1, (1 << 18) + (1 << 17))
         with np.errstate(over="ignore"):
             a, b = np.full(n, _P, U64), np.full(n, _PINV, U64)
             a[0] = b[0] = 1
@@ -60,7 +61,16 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]], off - off[0]
 
 
-def parts(batch: pa.RecordBatch, column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+def trim() -> None:
+    """Give freed memory back to the system, so that idle Python workers stay small."""
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+    pa.default_memory_pool().release_unused()
+
+
+def parts(batch: pa.RecordBatch, column: str, most: int = 1 << 18) -> Iterator[pa.RecordBatch]:
     """Slices of a batch whose texts hold about `most` bytes, at least one row each: what bounds the memory of a step."""
     if not batch.num_rows:
         return
@@ -71,6 +81,7 @@ def parts(batch: pa.RecordBatch, column: str, most: int = 1 << 20) -> Iterator[p
         to = min(max(to, at + 1), batch.num_rows)
         yield batch.slice(at, to - at)
         at = to
+    trim()
 
 
 def words(raw: np.ndarray, bounds: np.ndarray, sep: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -23,6 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weir.llm import text as tx
 from weir.llm import tokens
 from weir.session import Scratch, table
 
@@ -118,6 +119,18 @@ def decode(bits: np.ndarray, marks: np.ndarray, lens: np.ndarray, byte_bounds: n
     return out.T[keep]
 
 
+def _slices(batches: Iterator[pa.RecordBatch], most: int = 1 << 18) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Slices of about `most` bytes of ids, with their ids and bounds."""
+    for batch in batches:
+        size = np.cumsum([0, *(len(x) for x in batch.column("ids").to_pylist())])
+        at = 0
+        while at < batch.num_rows:
+            to = min(batch.num_rows, max(at + 1, int(np.searchsorted(size, size[at] + most, "right")) - 1))
+            yield batch.slice(at, to - at), *_ids(batch.slice(at, to - at))
+            at = to
+        tx.trim()
+
+
 def _ids(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all rows in a row (16 or 32 bits each) and their bounds."""
     wide = batch.column("wide").to_numpy(zero_copy_only=False)
@@ -140,8 +153,7 @@ def write(docs: DataFrame, scratch: Scratch, spec: str, end: int = END, key: str
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << 16, np.int64)
-        for batch in batches:
-            ids, _ = _ids(batch)
+        for _, ids, _ in _slices(batches):
             own = np.bincount(ids)
             if len(own) > len(total):
                 total = np.concatenate([total, np.zeros(len(own) - len(total), np.int64)])
@@ -160,10 +172,7 @@ def write(docs: DataFrame, scratch: Scratch, spec: str, end: int = END, key: str
     bit_of[ids_by], code_of[ids_by] = bits_by, code_by
 
     def encode_docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in batches:
-            if not part.num_rows:
-                continue
-            ids, bounds = _ids(part)
+        for part, ids, bounds in _slices(batches):
             data, edge, marks = encode(ids, bounds, bit_of, code_of)
             n = np.diff(bounds)
             edges = np.concatenate([[0], np.cumsum((n - 1) // STEP)]) * 2

@@ -3,7 +3,7 @@
 A text is the bag of the 3- to 5-byte n-grams of its lower-cased words with their borders; each n-gram's hash bucket has
 an embedding, a text is the mean of its n-grams' embeddings, and a softmax over two classes follows. Embeddings and
 softmax are learned together, from a bounded sample of labelled texts (MOST documents with the smallest id hashes, half
-of each class where there are enough, reweighted to the classes' shares), with a quarter of it held back to choose the
+of each class where there are enough and texts of CHARS code points at most, reweighted to the classes' shares), with a quarter of it held back to choose the
 number of epochs. Unseen misspellings share most n-grams with what was seen. Since the model is linear after the mean,
 scoring needs only each bucket's margin, which is what travels to the executors (BUCKETS floats).
 
@@ -24,25 +24,31 @@ from weir.llm import ngrams
 from weir.session import table
 
 LENGTHS, BUCKETS, DIM = (3, 4, 5), 1 << 18, 16
-MOST, FOLDS, HELD, CUT = 6000, 4, 2, 0.3
+MOST, CHARS, FOLDS, HELD, CUT = 4000, 8192, 4, 2, 0.3
 
 
 def remainder(key: str, folds: int) -> Column:
     return F.crc32(F.col(key).cast("string").cast("binary")) % folds
 
 
-def bags(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, bucket, share of the text's n-grams), one row for each distinct bucket of a text."""
+def bags(texts: list[str], least: int = 3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, bucket, share of the text's n-grams), one row for each distinct bucket of a text that `least` texts have."""
+    df = np.zeros(BUCKETS, np.int32)
+    for at, some in ngrams.chunks(texts):
+        text, bucket = ngrams.document_grams(*ngrams.as_flat(some), LENGTHS, BUCKETS)
+        df += np.bincount(np.unique(text * BUCKETS + bucket) % BUCKETS, minlength=BUCKETS).astype(np.int32)
     t, b, s = [], [], []
-    for at in range(0, len(texts), 256):
-        raw, bounds = ngrams.as_flat(texts[at : at + 256])
-        text, bucket = ngrams.document_grams(raw, bounds, LENGTHS, BUCKETS)
+    for at, some in ngrams.chunks(texts):
+        text, bucket = ngrams.document_grams(*ngrams.as_flat(some), LENGTHS, BUCKETS)
         both, count = np.unique(text * BUCKETS + bucket, return_counts=True)
-        text = both // BUCKETS
-        t.append(text + at)
-        b.append(both % BUCKETS)
-        s.append(count / np.bincount(text, weights=count, minlength=len(bounds) - 1)[text])
-    return np.concatenate(t), np.concatenate(b), np.concatenate(s)
+        text, bucket = both // BUCKETS, both % BUCKETS
+        part = count / np.bincount(text, weights=count, minlength=len(some))[text]
+        keep = df[bucket] >= least
+        t.append((text[keep] + at).astype(np.int32))
+        b.append(bucket[keep].astype(np.int32))
+        s.append(part[keep].astype(np.float32))
+    none = [np.zeros(0, np.int32)]
+    return np.concatenate(t or none), np.concatenate(b or none), np.concatenate(s or [np.zeros(0, np.float32)])
 
 
 def fit(texts: list[str], y: np.ndarray, share: float, epochs: int = 30, rate: float = 0.05, seed: int = 5) -> tuple[np.ndarray, float]:
@@ -52,10 +58,11 @@ def fit(texts: list[str], y: np.ndarray, share: float, epochs: int = 30, rate: f
     if len(set(y.tolist())) < 2:
         return margin, base if len(y) else -30.0
     text, bucket, part = bags(texts)
-    df = np.bincount(bucket, minlength=BUCKETS)
-    keep = df[bucket] >= 3
-    text, bucket, part = text[keep], bucket[keep], part[keep]
-    used, col = np.unique(bucket, return_inverse=True)
+    used = np.flatnonzero(np.bincount(bucket, minlength=BUCKETS))
+    place = np.zeros(BUCKETS, np.int32)
+    place[used] = np.arange(len(used))
+    col = place[bucket]
+    del bucket
     rng = np.random.default_rng(seed)
     emb = rng.normal(0, 0.1, (len(used), DIM)).astype(np.float32)
     soft = rng.normal(0, 0.1, (DIM, 2)).astype(np.float32)
@@ -64,9 +71,12 @@ def fit(texts: list[str], y: np.ndarray, share: float, epochs: int = 30, rate: f
     held = np.arange(len(texts)) % 4 == 3
     groups = rng.integers(0, 8, len(texts))
     groups[held] = -1
-    rows = [np.flatnonzero(groups[text] == g) for g in range(8)]
-    own = [(np.flatnonzero(groups == g), text[r], col[r], part[r]) for g, r in enumerate(rows)]
-    dev = np.flatnonzero(groups[text] == -1)
+    order = np.argsort(groups[text], kind="stable")  # groups lie one after the other, so that batches are views
+    text, col, part = text[order], col[order], part[order]
+    edge = np.searchsorted(groups[text], np.arange(9))
+    own = [(np.flatnonzero(groups == g), text[a:b], col[a:b], part[a:b]) for g, (a, b) in enumerate(zip(edge[:-1], edge[1:], strict=True))]
+    dev = slice(0, int(edge[0]))
+    del order
     params = [emb, soft, bias]
     m1, m2, step = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
     best = (np.inf, margin, base)
@@ -112,7 +122,7 @@ def score(docs: DataFrame, margin: np.ndarray, offset: float, key: str = "doc_id
 def toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = MOST, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each document: doc_id, held_out, score, predicted."""
     learn = labels.filter(remainder(key, FOLDS) != HELD)
-    texts, y = ngrams.sample(docs, learn, label, most, key, text)
+    texts, y = ngrams.sample(docs, learn, label, most, key, text, CHARS)
     share = learn.agg(F.avg((F.col(label) == 1).cast("double"))).first()[0]
     margin, offset = fit(texts, y, share or 0.0)
     out = score(docs, margin, offset, key, text)
