@@ -51,7 +51,7 @@ def bags(texts: list[str], least: int = 3) -> tuple[np.ndarray, np.ndarray, np.n
     return np.concatenate(t or none), np.concatenate(b or none), np.concatenate(s or [np.zeros(0, np.float32)])
 
 
-def fit(texts: list[str], y: np.ndarray, share: float, epochs: int = 30, rate: float = 0.05, seed: int = 5) -> tuple[np.ndarray, float]:
+def fit(texts: list[str], y: np.ndarray, share: float, epochs: int = 30, rate: float = 0.15, seed: int = 5) -> tuple[np.ndarray, float]:
     """Margin of each bucket and the bias: the log-odds of a text are the mean margin of its n-grams plus the bias."""
     base = float(np.log(max(share, 1e-6) / max(1 - share, 1e-6)))
     margin = np.zeros(BUCKETS, np.float32)
