@@ -10,8 +10,8 @@ counts. A network of HIDDEN units gives log-odds; a temperature fitted on a held
 The network learns from at most MOST labelled documents, those with the smallest id hashes, of ids whose crc32 (as text)
 mod FOLDS is not HELD; the vectors come from all documents' texts and from no label. A score depends on the text alone.
 
-Defined cases: a null or empty text is pooled as zeros and scored all the same; without labels of two classes every
-score is the share of class 1 (0.5 without labels); an empty table gives an empty result; repeated rows get a row each;
+Defined cases: a null or empty text is pooled as zeros and scored all the same; with fewer than LEAST labelled texts, or
+one class only, every score is the share of class 1 (0.5 without labels); an empty table gives an empty result; repeated rows get a row each;
 extra columns are ignored.
 """
 
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from weir.llm import ngrams
 from weir.llm import text as tx
-from weir.llm.toxicity import remainder
+from weir.llm.toxicity import LEAST, remainder
 from weir.session import table
 
 WORDS, SHAPES, DIM, NONZERO, HIDDEN = 1 << 13, 1 << 11, 24, 3, 24
@@ -126,7 +126,7 @@ class Network:
 
     def __init__(self, x: np.ndarray, y: np.ndarray, share: float, epochs: int = 150, rate: float = 0.01, seed: int = 3):
         self.flat = None
-        if len(set(y.tolist())) < 2:
+        if len(y) < LEAST or len(set(y.tolist())) < 2:
             self.flat = float(np.log((share + 1e-6) / (1 - share + 1e-6))) if len(y) else 0.0
             return
         rng = np.random.default_rng(seed)

@@ -9,8 +9,8 @@ scoring needs only each bucket's margin, which is what travels to the executors
 
 Labels are taken only from documents whose crc32(id as text) mod FOLDS is not HELD; a score depends on the text alone.
 
-Defined cases: a null or empty text has no n-grams and gets the share of the toxic class; without labels, or with one
-class only, every score is that share (0 without labels); an empty table gives an empty result; repeated rows get a row
+Defined cases: a null or empty text has no n-grams and gets the share of the toxic class; with fewer
+than LEAST labelled texts, or one class only, every score is that share (0 without labels); an empty table gives an empty result; repeated rows get a row
 each; extra columns are ignored.
 """
 
@@ -25,6 +25,8 @@ from weir.session import table
 
 LENGTHS, BUCKETS, DIM = (3, 4, 5), 1 << 18, 16
 MOST, CHARS, FOLDS, HELD, CUT = 4000, 8192, 4, 2, 0.3
+#: Fewer labelled texts than these teach nothing but the share.
+LEAST = 8
 
 
 def remainder(key: str, folds: int) -> Column:
@@ -55,7 +57,7 @@ def fit(texts: list[str], y: np.ndarray, share: float, epochs: int = 30, rate: f
     """Margin of each bucket and the bias: the log-odds of a text are the mean margin of its n-grams plus the bias."""
     base = float(np.log(max(share, 1e-6) / max(1 - share, 1e-6)))
     margin = np.zeros(BUCKETS, np.float32)
-    if len(set(y.tolist())) < 2:
+    if len(y) < LEAST or len(set(y.tolist())) < 2:
         return margin, base if len(y) else -30.0
     text, bucket, part = bags(texts)
     used = np.flatnonzero(np.bincount(bucket, minlength=BUCKETS))
