@@ -166,9 +166,9 @@ sql("k06_reject_samples", "SELECT source, doc_id, reason FROM (SELECT *, row_num
 sql("k07_category_counts", "SELECT lang, source, count(*) AS n FROM {documents} GROUP BY lang, source")
 
 # Generic relational coverage on the star schema and events (not derived from the curation operators)
-sql("q01_pricing", "SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 1) AS revenue, round(avg(l_discount), 6) AS avg_disc, count(*) AS n FROM {lineitem} GROUP BY l_returnflag, l_linestatus")
-sql("q03_shipping", "SELECT o.o_orderkey, round(sum(l.l_extendedprice * (1 - l.l_discount)), 1) AS revenue FROM {customer} c JOIN {orders} o ON c.c_custkey = o.o_custkey JOIN {lineitem} l ON l.l_orderkey = o.o_orderkey WHERE c.c_mktsegment = 'BUILDING' GROUP BY o.o_orderkey")
-sql("q05_nations", "SELECT n.n_name, round(sum(l.l_extendedprice * (1 - l.l_discount)), 1) AS revenue FROM {customer} c JOIN {orders} o ON c.c_custkey = o.o_custkey JOIN {lineitem} l ON l.l_orderkey = o.o_orderkey JOIN {supplier} s ON s.s_suppkey = l.l_suppkey JOIN {nation} n ON n.n_nationkey = s.s_nationkey JOIN {region} r ON r.r_regionkey = n.n_regionkey GROUP BY n.n_name")
+sql("q01_pricing", "SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, CAST(sum(CAST(round(l_extendedprice * (1 - l_discount) * 100) AS BIGINT)) AS BIGINT) AS revenue, round(avg(l_discount), 6) AS avg_disc, count(*) AS n FROM {lineitem} GROUP BY l_returnflag, l_linestatus")
+sql("q03_shipping", "SELECT o.o_orderkey, CAST(sum(CAST(round(l.l_extendedprice * (1 - l.l_discount) * 100) AS BIGINT)) AS BIGINT) AS revenue FROM {customer} c JOIN {orders} o ON c.c_custkey = o.o_custkey JOIN {lineitem} l ON l.l_orderkey = o.o_orderkey WHERE c.c_mktsegment = 'BUILDING' GROUP BY o.o_orderkey")
+sql("q05_nations", "SELECT n.n_name, CAST(sum(CAST(round(l.l_extendedprice * (1 - l.l_discount) * 100) AS BIGINT)) AS BIGINT) AS revenue FROM {customer} c JOIN {orders} o ON c.c_custkey = o.o_custkey JOIN {lineitem} l ON l.l_orderkey = o.o_orderkey JOIN {supplier} s ON s.s_suppkey = l.l_suppkey JOIN {nation} n ON n.n_nationkey = s.s_nationkey JOIN {region} r ON r.r_regionkey = n.n_regionkey GROUP BY n.n_name")
 sql("q_cube", "SELECT l_returnflag, l_linestatus, count(*) AS n FROM {lineitem} GROUP BY CUBE (l_returnflag, l_linestatus)")
 sql("q_rollup", "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM {orders} GROUP BY ROLLUP (o_orderstatus, o_orderpriority)")
 sql("q_full_outer", "SELECT count(*) AS n, count(d.doc_id) AS docs, count(l.doc_id) AS labels FROM {documents} d FULL OUTER JOIN {labels} l ON l.doc_id = d.doc_id + 5")
