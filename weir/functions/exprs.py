@@ -100,7 +100,12 @@ def pattern(p: str, ci: bool = False) -> E:
 
 
 def has(x: object, p: str, ci: bool = False) -> E:
-    return two("({} RLIKE {})", "regexp_matches({}, {})", x, pattern(p, ci))
+    """Whether the pattern occurs. Word borders are those of all letters; RE2 knows only ASCII ones, hence the spelling out."""
+    import re
+
+    edge = r"(?:^|$|[^\\p{L}\\p{N}_])"
+    wide = E(pattern(p, ci).spark, pattern(re.sub(r"(?<!\\)\\b", edge, p), ci).duck)
+    return two("({} RLIKE {})", "regexp_matches({}, {})", x, wide)
 
 
 def hits(x: object, p: str, ci: bool = False) -> E:
