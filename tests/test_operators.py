@@ -51,10 +51,10 @@ def test_near_against_is_exact(spark):
 
 
 def test_containment_joins(spark):
-    d = docs(spark, ["xx the quick brown fox jumps over it yy", "The Quick\nbrown fox jumps over it", "prefixthe quick brown fox jumps over itsuffix", "none"])
-    items = spark.createDataFrame([(1, "the quick brown fox jumps over it"), (2, "short"), (3, "unrelated sentence of some length")], "item_id long, text string")
-    assert sorted((r.item_id, r.doc_id) for r in contains.contained(d, items).collect()) == [(1, 0), (1, 1), (1, 2)]
-    assert sorted((r.item_id, r.doc_id) for r in contains.anchored(d, items).collect()) == [(1, 0), (1, 1), (1, 2)]
+    d = docs(spark, ["xx the quick brown fox jumps over it yy", "The Quick\nbrown fox jumps over it", "prefixthe quick brown fox jumps over itsuffix", "none", "x Yabcdefghijklmnopqrstuv z", "a leftmostpart rightmostparts"])
+    items = spark.createDataFrame([(1, "the quick brown fox jumps over it"), (2, "short"), (3, "unrelated sentence of some length"), (4, "abcdefghijklmnopqrstu"), (5, "leftmostpart rightmostpart")], "item_id long, text string")
+    assert sorted((r.item_id, r.doc_id) for r in contains.contained(d, items).collect()) == [(1, 0), (1, 1), (1, 2), (4, 4), (5, 5)]
+    assert sorted((r.item_id, r.doc_id) for r in contains.anchored(d, items.filter("item_id < 4")).collect()) == [(1, 0), (1, 1), (1, 2)]
 
 
 def test_prefix_sums_and_intervals(spark):

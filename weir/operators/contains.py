@@ -35,17 +35,23 @@ def contained(docs: DataFrame, items: DataFrame, least: int = 20, first: int | N
     """(item, doc) where the item's text is inside the document's anywhere.
 
     The join key is an inner word of the item (one with a space on both sides), which any text that holds the item must
-    have as a token between spaces; items without an inner word are few and short and are compared directly.
+    have as a token between spaces. Items of one or two words have none; their longest word has at least half of their
+    length, so its first letters are joined with the runs of as many letters inside the documents' tokens.
     """
     a = items.select(item, norm(text).alias("q")).filter(F.length("q") >= least)
-    inner = F.split("q", " ")
-    a = a.withColumn("w", F.when(F.size(inner) >= 3, F.array_max(F.transform(F.slice(inner, 2, F.size(inner) - 2), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]))
+    parts = F.split("q", " ")
+    longest = lambda words: F.array_max(F.transform(words, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    a = a.withColumn("w", F.when(F.size(parts) >= 3, longest(F.slice(parts, 2, F.size(parts) - 2))))
     t = docs.select(key, norm(text).alias("t"))
     tokens = t.select(key, F.explode(F.array_distinct(F.split("t", " "))).alias("w"))
     pairs = tokens.join(a.filter("w IS NOT NULL").select("w", item), "w").select(key, item)
-    hits = pairs.join(t, key).join(a.select(item, "q"), item).filter(F.contains("t", "q")).select(item, key)
-    rest = a.filter("w IS NULL").select(item, "q")
-    hits = hits.unionByName(t.join(F.broadcast(rest), F.contains("t", "q")).select(item, key))  # items of one or two words, bounded by the bank
+    rest = a.filter("w IS NULL").select(item, longest(parts).alias("w"))
+    if not rest.isEmpty():
+        k = max(1, (least - 1) // 2)
+        runs = F.transform(F.sequence(F.lit(1), F.length("w") - (k - 1)), lambda i: F.substring("w", i, F.lit(k)))
+        inside = tokens.filter(F.length("w") >= k).select(key, F.explode(F.array_distinct(runs)).alias("g"))
+        pairs = pairs.unionByName(inside.join(rest.select(F.substring("w", 1, k).alias("g"), item), "g").select(key, item))
+    hits = pairs.distinct().join(t, key).join(a.select(item, "q"), item).filter(F.contains("t", "q")).select(item, key)
     if first is None:
         return hits
     return hits.withColumn("_r", F.row_number().over(Window.partitionBy(item).orderBy(key))).filter(F.col("_r") <= first).drop("_r")
