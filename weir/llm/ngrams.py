@@ -78,12 +78,12 @@ def weight_sums(raw: np.ndarray, bounds: np.ndarray, lengths: tuple[int, ...], w
     return total, count
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, most: int, key: str = "doc_id", text: str = "text", chars: int = EXAMPLE_CHARS) -> tuple[list[str], np.ndarray]:
-    """Texts and labels of at most `most` labelled documents, those with the smallest hashes of their ids; half per class at least where there are enough."""
+def sample(docs: DataFrame, labels: DataFrame, label: str, most: int, key: str = "doc_id", text: str = "text", chars: int = EXAMPLE_CHARS, ones: float = 0.5) -> tuple[list[str], np.ndarray]:
+    """Texts and labels of at most `most` labelled documents, those with the smallest hashes of their ids; a share `ones` of label 1 and the rest of label 0, where there are enough."""
     own = labels.filter(F.col(label).isNotNull()).select(key, label).dropDuplicates([key])
     ids = None
     for value in (0, 1):
-        some = own.filter(F.col(label) == value).orderBy(F.xxhash64(key), key).limit(most // 2)
+        some = own.filter(F.col(label) == value).orderBy(F.xxhash64(key), key).limit(round(most * (ones if value else 1 - ones)))
         ids = some if ids is None else ids.unionByName(some)
     pick = docs.select(key, text).filter(F.char_length(text) <= chars).join(F.broadcast(ids), key).select(key, text, label)  # at most `most` ids
     rows = sorted(pick.dropDuplicates([key]).collect(), key=lambda r: r[0])

@@ -2,9 +2,10 @@
 
 A text is the bag of the 3- to 5-byte n-grams of its lower-cased words with their borders; each n-gram's hash bucket has
 an embedding, a text is the mean of its n-grams' embeddings, and a softmax over two classes follows. Embeddings and
-softmax are learned together, from a bounded sample of labelled texts (MOST documents with the smallest id hashes, half
-of each class where there are enough and texts of CHARS code points at most, reweighted to the classes' shares), with a quarter of it held back to choose the
-number of epochs. Unseen misspellings share most n-grams with what was seen. Since the model is linear after the mean,
+softmax are learned together, with a decay, from a bounded sample of labelled texts (MOST documents with the smallest id
+hashes, a share ONES of them toxic where there are enough, texts of CHARS code points at most, reweighted to the classes'
+shares), with a quarter of it held back to choose the number of epochs. The mean is drawn towards zero by PRIOR n-grams
+that say nothing. Unseen misspellings share most n-grams with what was seen. Since the model is linear after the mean,
 scoring needs only each bucket's margin, which is what travels to the executors (BUCKETS floats).
 
 Labels are taken only from documents whose crc32(id as text) mod FOLDS is not HELD; a score depends on the text alone.
@@ -24,9 +25,15 @@ from weir.llm import ngrams
 from weir.session import table
 
 LENGTHS, BUCKETS, DIM = (3, 4, 5), 1 << 18, 16
-MOST, CHARS, FOLDS, HELD, CUT = 4000, 8192, 4, 2, 0.3
+MOST, CHARS, FOLDS, HELD, CUT = 6000, 8192, 4, 2, 0.3
+#: Share of toxic ones in the sample, where there are enough.
+ONES = 0.25
 #: Fewer labelled texts than these teach nothing but the share.
 LEAST = 8
+#: A text counts as if it had so many more n-grams that say nothing, which keeps very short ones near the share.
+PRIOR = 200
+#: Share of itself that an embedding loses at each step, so that n-grams that say nothing stay near zero.
+DECAY = 0.02
 
 
 def remainder(key: str, folds: int) -> Column:
@@ -44,7 +51,7 @@ def bags(texts: list[str], least: int = 3) -> tuple[np.ndarray, np.ndarray, np.n
         text, bucket = ngrams.document_grams(*ngrams.as_flat(some), LENGTHS, BUCKETS)
         both, count = np.unique(text * BUCKETS + bucket, return_counts=True)
         text, bucket = both // BUCKETS, both % BUCKETS
-        part = count / np.bincount(text, weights=count, minlength=len(some))[text]
+        part = count / (np.bincount(text, weights=count, minlength=len(some))[text] + PRIOR)
         keep = df[bucket] >= least
         t.append((text[keep] + at).astype(np.int32))
         b.append(bucket[keep].astype(np.int32))
@@ -99,6 +106,7 @@ def fit(texts: list[str], y: np.ndarray, share: float, epochs: int = 30, rate: f
                 a += 0.1 * (g - a)
                 b += 0.01 * (g * g - b)
                 p -= rate * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.99**step)) + 1e-6)
+            emb *= 1 - DECAY
         own_margin = emb @ (soft[:, 1] - soft[:, 0])
         offset = float(bias[1] - bias[0])
         z = np.bincount(text[dev], weights=part[dev] * own_margin[col[dev]], minlength=len(texts))[held] + offset
@@ -115,7 +123,7 @@ def score(docs: DataFrame, margin: np.ndarray, offset: float, key: str = "doc_id
 
     def of(raw: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         total, count = ngrams.weight_sums(raw, bounds, LENGTHS, margin)
-        return 1 / (1 + np.exp(-np.clip(total[:, 0] / np.maximum(count, 1) + offset, -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(total[:, 0] / (count + PRIOR) + offset, -30, 30)))
 
     slim = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("_text"))
     return slim.mapInArrow(lambda batches: ngrams.scored(batches, of, ["doc_id"]), "doc_id long, score double")
@@ -124,7 +132,7 @@ def score(docs: DataFrame, margin: np.ndarray, offset: float, key: str = "doc_id
 def toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = MOST, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each document: doc_id, held_out, score, predicted."""
     learn = labels.filter(remainder(key, FOLDS) != HELD)
-    texts, y = ngrams.sample(docs, learn, label, most, key, text, CHARS)
+    texts, y = ngrams.sample(docs, learn, label, most, key, text, CHARS, ONES)
     share = learn.agg(F.avg((F.col(label) == 1).cast("double"))).first()[0]
     margin, offset = fit(texts, y, share or 0.0)
     out = score(docs, margin, offset, key, text)
