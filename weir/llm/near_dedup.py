@@ -294,10 +294,13 @@ def near_classes(docs: DataFrame, scratch: Scratch, k: int = 5, percent: int = 8
     tested = scratch.put(starred.select(F.least("cid", "center").alias("u"), F.greatest("cid", "center").alias("v")).distinct(), "tested")
     links = verify(tested)
     comp = scratch.put(components(links, scratch), "comp")
+    bins = None
     for best in (True, False):  # buckets that do not yet lie in one component, in blocks of members
         named = met.filter("c > 2").join(small(comp.withColumnRenamed("node", "cid")), "cid", "left").select("key", "c", "band", "cid", F.coalesce("comp", "cid").alias("comp"))
         still = named.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a <> b").select("key")
         rest = scratch.put(named.join(still, "key", "left_semi"), "rest")
+        if rest.isEmpty():
+            break
         if best:  # what is open later is open now
             own = docs.join(small(rest.select(F.col("cid").alias(key)).distinct()), key, "left_semi")
             bins = scratch.put(_bin_sketches(own, k, key, text), "bins")
@@ -306,9 +309,13 @@ def near_classes(docs: DataFrame, scratch: Scratch, k: int = 5, percent: int = 8
         cut = cut.select("*", F.explode(F.sequence(F.lit(0), parts - 1)).alias("o")).withColumns({"i": F.least("b", "o"), "j": F.greatest("b", "o")})
         cut = cut.select("key", "i", "j", "b", "band", "cid", "comp", "n", "regs", "bins").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
         fresh = scratch.put(cut.mapInArrow(_blocks(percent / 100, best), "u long, v long").distinct().join(small(tested), ["u", "v"], "left_anti"), "fresh")
-        links, tested = links.unionByName(verify(fresh)), tested.unionByName(fresh)
-        old, comp = comp, scratch.put(components(links, scratch), "comp")
-        scratch.drop(old, rest)
+        more = None if fresh.isEmpty() else verify(fresh)
+        tested = tested.unionByName(fresh)
+        if more is not None and not more.isEmpty():
+            links = links.unionByName(more)
+            old, comp = comp, scratch.put(components(links, scratch), "comp")
+            scratch.drop(old)
+        scratch.drop(rest)
     scratch.drop(met, reps, bins)
     slim = sk.select("_id", "n", "d1", "d2").join(classes, ["n", "d1", "d2"], "left")
     out = slim.join(comp.withColumnRenamed("node", "cid"), "cid", "left")
