@@ -146,12 +146,14 @@ def test_html_main_text(spark):
     page = "<!DOCTYPE html><html><head><title>x</title><script>var t='</p>';</script></head><body><nav><a href='/'>Home</a></nav><!-- c --><div class=\"ad\">buy</div>" + ARTICLE + "<aside>side</aside><form>f</form><footer>foot</footer></body></html>"
     bare = "<html><body><div id='menu'>m</div><div><p>Own words {i} here</p></div><div><p>Follow our channel</p></div><div class='cookie-notice'>c</div></body></html>"
     data = [(i, f"http://a.example.com/{i}", page.format(i=i)) for i in range(5)] + [(10 + i, f"http://b.example.com/{i}", bare.format(i=i)) for i in range(6)]
+    data += [(25, "http://e/", "<main><h2>Site</h2><article><div class='post-header'><h1>T</h1></div><p>a<b>b</b> c</p><section id='comments'>x</section></article><p>more</p></main>")]
     data += [(20, None, None), (21, "x", ""), (22, "http://c/", "plain < text"), (23, "http://a.example.com/0", page.format(i=0)), (24, "http://d/", "<article><p>open" + " w" * 30_000)]
     df = spark.createDataFrame([(*r, "k", 1) for r in data], "page_id long, url string, html string, `host` string, n int")
     got = {r.page_id: r for r in html_text.main_text(df, Scratch(spark, "t")).collect()}
     assert [got[i].text for i in range(5)] == [f"T & {i} First {i} line Second {i}" for i in range(5)]
     assert [got[10 + i].text for i in range(6)] == [f"Own words {i} here" for i in range(6)]
     assert (got[20].text, got[21].text, got[22].text, got[23].text) == ("", "", "plain < text", got[0].text)
+    assert got[25].text == "T ab c"
     assert got[24].n_chars == len(got[24].text) == 60_004
     assert html_text.main_text(df.limit(0), Scratch(spark, "t")).count() == 0
     assert html.unescape("&amp;") == "&"

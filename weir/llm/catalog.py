@@ -18,6 +18,7 @@ QUERIES = {
 }
 SQL = {
     "op1_near_dedup": near_dedup.SQL,
+    "op5_html_text": html_text.SQL,
     "op6_decontaminate": decontaminate.SQL,
     "op10_exact_dedup": exact_dedup.SQL,
 }

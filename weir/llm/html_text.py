@@ -6,8 +6,8 @@ page hashes times counts, so classes come from one grouped aggregation, whatever
 has an opening token and its closing one and stands on at least half of the host's pages; valid classes, nested by the
 order of their tokens, are the host's template. On each page elements cut the page into slots, and a slot is named by
 the elements around it: slots under menus, headers, footers, sidebars, notices, adverts, forms, comments and the like
-are left out. If a page has an article (or main) element, or one that the template has and that is named like one, only
-the slots under it count; if not, texts that belong to the template (the same on most pages of a host) are left out.
+are left out. If a page has an article (else a main) element, or one that the template has and that is named like one,
+only the slots under it count; if not, texts that belong to the template (the same on most pages of a host) are left out.
 What remains is decoded, with white space turned into one space, block by block.
 
 The templates (a few dozen tokens a host) are broadcast while hosts are few, else joined by host.
@@ -43,6 +43,9 @@ OUT_WORDS = frozenset("ad ads adbox advert adverts advertisement advertising spo
 IN_TAGS = frozenset(["article", "main"])
 IN_WORDS = frozenset("article-body article-content post-content entry-content post-body story-body main-content".split())
 
+#: Hosts whose templates (a few kB each) may be broadcast.
+BROADCAST_HOSTS = 5_000
+
 PIECE = re.compile(rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*>|<(?P<close>/?)(?P<name>[A-Za-z][A-Za-z0-9:-]*)(?P<attrs>(?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|(?P<text>[^<]+|<)", re.S | re.I)
 ATTR = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 WORD = re.compile(r"[^a-z0-9]+")
@@ -66,12 +69,15 @@ def token(name: str, attrs: dict[str, str]) -> str:
     return f"<{name} {re.sub(r'[0-9]+', '0', own)[:80]}>" if own else f"<{name}>"
 
 
-def is_out(name: str, attrs: dict[str, str]) -> bool:
+def is_out(name: str, attrs: dict[str, str], inside: bool = False) -> bool:
+    """Whether an element is no part of the article. Inside of one, a header holds its title."""
+    if inside and name == "header":
+        return False
     if name in OUT_TAGS or attrs.get("role", "") in OUT_ROLES:
         return True
     if name in ("html", "body", "article", "main"):
         return False
-    return any(w in OUT_WORDS for k in ("class", "id") for w in WORD.split(attrs.get(k, "")))
+    return any(w in OUT_WORDS and not (inside and w == "header") for k in ("class", "id") for w in WORD.split(attrs.get(k, "")))
 
 
 def is_in(name: str, attrs: dict[str, str]) -> bool:
@@ -137,6 +143,7 @@ def extract(page: str, template: frozenset[str]) -> str:
     """Text of the slots that count, blocks joined by one space."""
     run = list(pieces(page))
     heart = {i for i, (kind, name, attrs) in enumerate(run) if kind == "open" and is_in(name, attrs) and (name in IN_TAGS or token(name, attrs) in template)}
+    heart = {i for i in heart if run[i][1] == "article"} or heart  # an article inside of a main element is the narrower one
     stack: list[tuple[str, bool, bool]] = []  # element, left out, article
     out = main = 0
     blocks: list[str] = []
@@ -158,7 +165,7 @@ def extract(page: str, template: frozenset[str]) -> str:
         if name not in CONTAINERS:
             continue
         if kind == "open":
-            left = is_out(name, attrs) and not (name == "header" and main)
+            left = is_out(name, attrs, main > 0)
             stack.append((name, left, i in heart))
             out += left
             main += i in heart
@@ -188,9 +195,19 @@ def main_text(pages: DataFrame, scratch: Scratch, key: str = "page_id", url: str
                 yield pa.RecordBatch.from_arrays([part.column("_id"), part.column("_url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
     rows = pages.select(F.col(key).cast("long").alias("_id"), F.col(url).alias("_url"), F.col(page).alias("_html"), host(F.col(url)).alias("host"))
-    joined = rows.join(small(known), "host", "left").select("_id", "_url", "_html", "template")
+    joined = rows.join(small(known, BROADCAST_HOSTS), "host", "left").select("_id", "_url", "_html", "template")
     return joined.mapInArrow(run, "page_id long, url string, text string").withColumn("n_chars", F.char_length("text").cast("long"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text(table(spark, sf_dir, "pages"), Scratch(spark, "html"))
+
+
+#: Holds for pages with one article element of headings and paragraphs, as all of the driver's tables have.
+SQL = r"""
+SELECT page_id, url, text, length(text) AS n_chars FROM (
+  SELECT page_id, url, trim(regexp_replace(replace(replace(replace(replace(replace(
+    regexp_replace(regexp_replace(regexp_extract(coalesce(html, ''), '(?s)<article[^>]*>(.*)</article>', 1), '<br */?>|</?p>|</?h[1-6]>', ' ', 'g'), '<[^>]*>', '', 'g'),
+    '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&#39;', chr(39)), '&amp;', '&'), '\s+', ' ', 'g')) AS text
+  FROM pages)
+"""
