@@ -184,9 +184,15 @@ def lines(x: object) -> E:
 
 
 def grams(words: str, n: int) -> E:
-    """n-grams of an array column, joined by a space."""
+    """n-grams of an array column, joined by a space.
+
+    Spark zips the array with its shifted selves: a slice inside a lambda would copy the whole array for each word.
+    """
+    run = words
+    for j in range(1, n):
+        run = f"zip_with({run}, slice({words}, {j + 1}, greatest(0, size({words}) - {j})), (a, b) -> concat(a, ' ', b))"
     return E(
-        f"CASE WHEN size({words}) >= {n} THEN transform(sequence(1, size({words}) - {n - 1}), i -> array_join(slice({words}, i, {n}), ' ')) ELSE array() END",
+        f"CASE WHEN size({words}) >= {n} THEN slice({run}, 1, size({words}) - {n - 1}) ELSE array() END",
         f"list_transform(range(1, len({words}) - {n - 2}), lambda i: array_to_string({words}[i:i + {n - 1}], ' '))",
     )
 

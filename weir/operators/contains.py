@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weir.operators import segment
+
 WORD = r"[\p{L}\p{N}_]+"
 LEXEME = r"[\p{L}_][\p{L}\p{N}_]*|[0-9]+|[^\s]"
 
@@ -60,7 +62,7 @@ def contained(docs: DataFrame, items: DataFrame, least: int = 20, first: int | N
 def grams(text: Column | str, n: int) -> Column:
     """Hashes of the n-grams of the text's lexemes."""
     words = F.regexp_extract_all(F.lower(text), F.lit(LEXEME), F.lit(0))
-    return F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i: F.xxhash64(F.array_join(F.slice(words, i, n), " "))))
+    return F.transform(segment.grams(words, n), lambda g: F.xxhash64(g))
 
 
 def gram_contamination(docs: DataFrame, items: DataFrame, n: int = 13, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -10,6 +10,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weir.operators.segment import grams
+
 
 def text_key(text: Column | str) -> Column:
     """Digest of the lower-cased text with white space runs as one space."""
@@ -65,8 +67,7 @@ def shingles(text: Column | str, k: int = 5) -> Column:
     """Distinct k-word shingles; fewer words are one shingle."""
     words = F.filter(F.split(F.trim(F.regexp_replace(F.lower(text), r"\s+", " ")), " "), lambda w: w != "")
     n = F.size(words)
-    many = F.transform(F.sequence(F.lit(1), n - (k - 1)), lambda i: F.array_join(F.slice(words, i, k), " "))
-    return F.when(n >= k, F.array_distinct(many)).when(n > 0, F.array(F.array_join(words, " "))).otherwise(F.array().cast("array<string>"))
+    return F.when(n >= k, F.array_distinct(grams(words, k))).when(n > 0, F.array(F.array_join(words, " "))).otherwise(F.array().cast("array<string>"))
 
 
 def near_against(fresh: DataFrame, reference: DataFrame, threshold: float = 0.85, k: int = 5, text: str = "text", key: str = "doc_id") -> DataFrame:

@@ -67,8 +67,15 @@ def fences(text: Column | str) -> Column:
 
 
 def word_grams(text: Column | str, n: int) -> Column:
-    words = F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
-    return F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(F.array().cast("array<string>"))
+    return grams(F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != ""), n)
+
+
+def grams(words: Column, n: int) -> Column:
+    """n-grams of an array, joined by a space: the array zipped with its shifted selves, in time linear in its length."""
+    run = words
+    for j in range(1, n):
+        run = F.zip_with(run, F.slice(words, j + 1, F.greatest(F.lit(0), F.size(words) - j)), lambda a, b: F.concat(a, F.lit(" "), b))
+    return F.when(F.size(words) >= n, F.slice(run, F.lit(1), F.size(words) - (n - 1))).otherwise(F.array().cast("array<string>"))
 
 
 def messages(text: Column | str) -> Column:
