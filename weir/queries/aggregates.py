@@ -8,8 +8,7 @@ from weir.functions import metrics as m
 from weir.functions import exprs as x
 from weir.functions.exprs import Steps
 from weir.operators import policies as p
-from weir.queries.registry import QUERIES, SQL, grouped, query, sql
-from weir.session import table
+from weir.queries.registry import table, QUERIES, SQL, grouped, query, sql
 
 _quality = p.quality("english").steps
 grouped("a01_drop_histogram", "documents", _quality, "coalesce(reason, 'kept') AS reason", "count(*) AS docs, CAST(sum(length(text)) AS BIGINT) AS chars")

@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from weir.operators import policies
 from weir.queries import aggregates, dedup, mixing, models, records, scalars, segments  # noqa: F401
-from weir.queries.registry import QUERIES, SQL  # noqa: F401
-from weir.session import table
+from weir.queries.registry import QUERIES, SQL, table  # noqa: F401
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weir.operators import contains, dedup
-from weir.queries.registry import query, sql
-from weir.session import table
+from weir.queries.registry import table, query, sql
 
 KEY = r"sha1(trim(regexp_replace(lower(text), '\s+', ' ', 'g')))"
 NUM = "CAST(regexp_extract(source, '[0-9]+') AS INT)"

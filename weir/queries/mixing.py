@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weir.operators import contains, mix
-from weir.queries.registry import query, sql
-from weir.session import table
+from weir.queries.registry import table, query, sql
 
 
 

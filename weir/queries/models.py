@@ -6,8 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from weir.operators import retrieve, scoring, signals
-from weir.queries.registry import query, sql
-from weir.session import table
+from weir.queries.registry import table, query, sql
 
 
 @query("e01_unit_vectors", "SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE))))), 6) AS total FROM embeddings")

@@ -9,8 +9,7 @@ from weir.functions import metrics as m
 from weir.functions import records as r
 from weir.functions.exprs import Steps
 from weir.operators import generate
-from weir.queries.registry import query, sql, steps
-from weir.session import table
+from weir.queries.registry import table, query, sql, steps
 
 T = x.col("text")
 steps("n17_without_license_banner", "documents", Steps().add(code=x.both("concat('# Copyright 2020', {}, '# License: MIT', {}, {}, text)", *[x.two("'\\n'", "chr(10)")] * 3)).add(out=r.without_banner(x.col("code"))), "doc_id; md5(out) AS out_md5; length(out) AS n_out")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from weir.functions.exprs import E, Steps
-from weir.session import table
+from weir import session
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -15,6 +15,15 @@ SQL: dict[str, str] = {}
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table; texts that lie in fewer pieces than there are cores are dealt out first, which larger tables never need."""
+    df = session.table(spark, sf_dir, name)
+    cores = spark.sparkContext.defaultParallelism
+    if name in ("documents", "pages", "conversations") and df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
+
+
 def query(name: str, sql: str | None = None):
     """Register a function (spark, sf_dir) -> DataFrame."""
 

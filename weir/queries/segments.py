@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from weir.operators import segment as g
-from weir.queries.registry import query, sql
-from weir.session import table
+from weir.queries.registry import table, query, sql
 
 SENT = r"list_filter(list_transform(string_split(regexp_replace(trim(regexp_replace(text, '\s+', ' ', 'g')), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: trim(s)), lambda s: length(s) >= 24)"
 
