@@ -92,6 +92,36 @@ def test_field_adds_spans_beside_the_base(spark):
     assert "<phone>" in pii.redact(docs[0][1], field)
 
 
+def found_by(field, text):
+    return [(text[a:b], k) for a, b, k in pii.added_spans(text, pii.base_spans(text), field)]
+
+
+@pytest.fixture(scope="module")
+def learned():
+    r = np.random.default_rng(1)
+    some = lambda seed, n: " ".join(WORDS[(seed * 7 + i * 3) % len(WORDS)] for i in range(n))
+    numbers = [(i, r.integers(100, 999, 3)) for i in range(120)]
+    return pii.train([f"{some(i, 12)} +1 ({n[0]}) 555-{n[1]}1 {some(i + 1, 9)} {['user', 'info'][i % 2]}.{i}@mail{i % 9}.example.com {some(i + 2, 8)} {n[2] % 200}.{i}.7.{n[1] % 250} {some(i + 3, 9)}" for i, n in numbers])
+
+
+def test_long_spelled_out_addresses_are_found_whole(learned):
+    local, name = "verylonglocalpart.of.the.registrar.office", "mail.department.university.example.org"
+    for sign in (" (at) ", " [at] ", "(at)"):
+        address = local + sign + name
+        for text in (address, f"Write to {address} for a copy", f"Mail ({address}), or call"):
+            assert [text[a:b] for a, b in pii.regions(text) if address in text[a:b]], text
+            assert found_by(learned, text) == [(address, "email")]
+    text = f"Write to {local} (at) {name} for a copy"
+    assert pii.redact(text, learned) == "Write to <email> for a copy"
+
+
+def test_regions_cut_no_word():
+    text = "x" * 90 + " " + "y" * 60 + "5" + "z" * 60 + "\n" + "w" * 90 + " " + "v" * 40 + "@" + "u" * 10
+    spans = pii.regions(text)
+    assert all((a == 0 or text[a - 1].isspace()) and (b == len(text) or text[b].isspace()) for a, b in spans)
+    assert [text[a:b] for a, b in spans] == ["y" * 60 + "5" + "z" * 60, "v" * 40 + "@" + "u" * 10]
+
+
 def test_pii_odd_and_empty(spark, odd, empty):
     assert pii.train([]).fitted is False
     assert pii.find(odd, pii.Field()).count() == odd.count()

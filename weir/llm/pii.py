@@ -2,9 +2,10 @@
 
 The base patterns find e-mail and IP addresses, card and telephone numbers; what they find always stays. Around every
 digit, at sign or spelled-out at sign the text is cut into runs of letters, digits and white space and single signs. The
-random field scores candidate segments of up to LONGEST such tokens by features of the whole span (its shape, number of
+random field scores candidate segments of up to LONGEST such tokens, and the whole address around an at sign however
+many tokens it has, by features of the whole span (its shape, number of
 digits, checks such as Luhn's sum and address parts, the words before, what borders it) and a label transition; dynamic
-programming with that bounded length chooses boundaries and types together. Spans it adds overlap no base span.
+programming over these segments chooses boundaries and types together. Spans it adds overlap no base span.
 
 It is learned in numpy by conditional likelihood (forward and backward sums over all segmentations) from the base spans
 in at most MOST documents, those with the smallest id hashes among those with a base span, from rewritten forms of these
@@ -41,6 +42,7 @@ DIGIT = re.compile(r"[0-9]")
 
 LONGEST, FEATURES, MOST, EPOCHS = 16, 1 << 13, 300, 4
 TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|\s+|[\s\S]")
+SPACE = re.compile(r"\s")
 TRIGGER = re.compile(r"[0-9@]|[(\[]at[)\]]")
 
 Span = tuple[int, int, str]
@@ -81,7 +83,7 @@ def base_spans(text: str) -> list[Span]:
 
 
 def regions(text: str, margin: int = 24, gap: int = 24) -> list[tuple[int, int]]:
-    """Stretches of text around triggers, cut at white space where there is some."""
+    """Stretches of text around triggers: the margin on both sides and on from there to white space, so no word is cut."""
     out: list[list[int]] = []
     for m in TRIGGER.finditer(text):
         if out and m.start() - out[-1][1] <= gap:
@@ -91,8 +93,12 @@ def regions(text: str, margin: int = 24, gap: int = 24) -> list[tuple[int, int]]
     wide = []
     for a, b in out:
         a, b = max(0, a - margin), min(len(text), b + margin)
+        floor = wide[-1][1] if wide else 0
+        while a > floor and not text[a - 1].isspace():
+            a -= 1
+        b = m.start() if (m := SPACE.search(text, b)) else len(text)
         if wide and a <= wide[-1][1]:
-            wide[-1] = (wide[-1][0], b)
+            wide[-1] = (wide[-1][0], max(b, wide[-1][1]))
         else:
             wide.append((a, b))
     return wide
@@ -139,6 +145,39 @@ class Lattice:
                 if k == " " or k in ".-([/,;:+" or not (len(digits) >= 7 or "@" in signs or (spelled and any(c in signs for c in "(["))):
                     continue
                 self.spans.append((i, j + 1, self._features(i, j + 1, kinds, words, digits, signs, letters, blanks, spelled, last)))
+        there = {(i, j) for i, j, _ in self.spans}
+        for i, j in self._addresses(kinds, words):
+            if (i, j) not in there:
+                run = list(zip(kinds[i:j], words[i:j], strict=True))
+                digits, signs = "".join(w for k, w in run if k[0] == "d"), "".join(k for k, _ in run if k[0] not in "da ")
+                letters, blanks = sum(k == "a" for k, _ in run), sum(k == " " for k, _ in run)
+                last = next((w for w in reversed(words[:i]) if w.isalpha()), "^")
+                self.spans.append((i, j, self._features(i, j, kinds, words, digits, signs, letters, blanks, "at" in words[i:j], last)))
+
+    def _addresses(self, kinds: list[str], words: list[str]) -> list[tuple[int, int]]:
+        """First and end tokens of the whole local part and host around each at sign, written or spelled out."""
+        out = []
+        for p, k in enumerate(kinds):
+            if k == "@":
+                i, j = p, p + 1
+            elif k in ("(", "[") and words[p + 1 : p + 3] in (["at", ")"], ["at", "]"]):
+                i, j = p, p + 3
+                i -= i > 0 and kinds[i - 1] == " " and "\n" not in words[i - 1]
+                j += j < self.n and kinds[j] == " " and "\n" not in words[j]
+            else:
+                continue
+            left, right = i, j
+            while i > 0 and (kinds[i - 1][0] in "da" or kinds[i - 1] in "._%+-"):
+                i -= 1
+            while j < self.n and (kinds[j][0] in "da" or kinds[j] in ".-"):
+                j += 1
+            while i < left and kinds[i] in ".-":
+                i += 1
+            while j > right and kinds[j - 1] in ".-":
+                j -= 1
+            if i < left and j > right:
+                out.append((i, j))
+        return out
 
     def _features(self, i: int, j: int, kinds: list[str], words: list[str], digits: str, signs: str, letters: int, blanks: int, spelled: bool, last: str) -> list[int]:
         run = kinds[i:j]
