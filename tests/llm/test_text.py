@@ -115,6 +115,19 @@ def test_long_spelled_out_addresses_are_found_whole(learned):
     assert pii.redact(text, learned) == "Write to <email> for a copy"
 
 
+def test_short_rewritten_ip_addresses_are_candidates_and_found(learned):
+    r = np.random.default_rng(3)
+    some = lambda seed, n: " ".join(WORDS[(seed * 7 + i * 3) % len(WORDS)] for i in range(n))
+    field = pii.train([f"{some(i, 9)} {'.'.join(map(str, r.integers(1, 10 if i % 2 else 250, 4)))} {some(i + 2, 9)}" for i in range(120)])
+    for address in ("10[.]0[.]0[.]5", "8 . 8 . 8 . 8", "1(.)1(.)1(.)1"):
+        lat = pii.Lattice(f"the server {address} is down")
+        assert address in ["".join(t for t, _, _ in lat.tokens[i:j]) for i, j, _ in lat.spans]
+        assert found_by(field, f"the server {address} is down") == [(address, "ip")]
+        lat = pii.Lattice(f"chapter {address[:-4]} of {address[:5]}")
+        assert lat.spans == []
+    assert found_by(learned, "on 2024-03-05 at 10:20, rows 1, 2, 3, 4") == []
+
+
 def test_regions_cut_no_word():
     text = "x" * 90 + " " + "y" * 60 + "5" + "z" * 60 + "\n" + "w" * 90 + " " + "v" * 40 + "@" + "u" * 10
     spans = pii.regions(text)

@@ -2,7 +2,8 @@
 
 The base patterns find e-mail and IP addresses, card and telephone numbers; what they find always stays. Around every
 digit, at sign or spelled-out at sign the text is cut into runs of letters, digits and white space and single signs. The
-random field scores candidate segments of up to LONGEST such tokens, and the whole address around an at sign however
+random field scores candidate segments of up to LONGEST such tokens with seven digits or more, an at sign, or four groups
+of digits joined by dots (plain, spaced or in brackets, as addresses are rewritten), and the whole address around an at sign however
 many tokens it has, by features of the whole span (its shape, number of
 digits, checks such as Luhn's sum and address parts, the words before, what borders it) and a label transition; dynamic
 programming over these segments chooses boundaries and types together. Spans it adds overlap no base span.
@@ -43,6 +44,7 @@ DIGIT = re.compile(r"[0-9]")
 LONGEST, FEATURES, MOST, EPOCHS = 16, 1 << 13, 300, 4
 TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|\s+|[\s\S]")
 SPACE = re.compile(r"\s")
+DOTTED = re.compile(r"[0-9]+(?:(?:\.| \. |\[\.\]|\(\.\))[0-9]+){3}")
 TRIGGER = re.compile(r"[0-9@]|[(\[]at[)\]]")
 
 Span = tuple[int, int, str]
@@ -126,11 +128,12 @@ class Lattice:
                 last = words[i - 1]
             if kinds[i] == " " or kinds[i] in ".-)]/,;:":
                 continue
-            digits, signs, letters, blanks = "", "", 0, 0
+            digits, signs, letters, blanks, groups = "", "", 0, 0, 0
             for j in range(i, min(self.n, i + LONGEST)):
                 k = kinds[j]
                 if k[0] == "d":
                     digits += words[j]
+                    groups += 1
                 elif k == "a":
                     letters += 1
                 elif k == " ":
@@ -142,7 +145,7 @@ class Lattice:
                 if len(digits) > 19:
                     break
                 spelled = any(w == "at" for w in words[i : j + 1]) if letters else False
-                if k == " " or k in ".-([/,;:+" or not (len(digits) >= 7 or "@" in signs or (spelled and any(c in signs for c in "(["))):
+                if k == " " or k in ".-([/,;:+" or not (len(digits) >= 7 or "@" in signs or (spelled and any(c in signs for c in "([")) or (groups == 4 and k[0] == "d" and DOTTED.fullmatch("".join(words[i : j + 1])))):
                     continue
                 self.spans.append((i, j + 1, self._features(i, j + 1, kinds, words, digits, signs, letters, blanks, spelled, last)))
         there = {(i, j) for i, j, _ in self.spans}
