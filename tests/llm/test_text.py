@@ -214,6 +214,17 @@ def test_langid_fuses_evidence(spark):
     assert got[99].lang == "de" and got[1].lang == "de" and got[0].lang == "en" and not got[98].accepted
 
 
+def test_langid_learns_every_language_of_the_table(spark):
+    own = {"en": "the house and the river were long ago", "de": "das haus und der fluss waren lange her", "fi": "talo ja joki olivat kauan sitten", "eo": "la domo kaj la rivero estis antau longe"}
+    data = [(i, f"{own['en' if i % 9 else 'de']} {i}", "en" if i % 9 else "de", "s") for i in range(900)] + [(1000, own["fi"], "fi", "t"), (1001, own["eo"] + " " + own["eo"] * 900, "eo", "t"), (1002, "", "xx", "t"), (None, "ett gammalt hus låg vid en å och många människor bodde där för länge sedan " * 3, "sv", "u")]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string, source string")
+    langs, model = langid.learn(docs, most=40)
+    assert langs == ["de", "en", "eo", "fi", "sv"] and model.shape[1] == 5
+    got = {r.doc_id: r.lang for r in langid.documents(docs, langs, model, Scratch(spark, "t")).collect()}
+    assert got[1000] == "fi" and got[1001] == "eo" and got[1] == "en" and got[9] == "de" and got[None] == "sv"
+    assert langid.quotas({"a": 900, "b": 2, "c": 50}, 40) == {"b": 2, "a": 19, "c": 19} and langid.quotas({"a": 5, "b": 5}, 1) == {"a": 1, "b": 1}
+
+
 def test_langid_odd_and_empty(spark, odd, empty):
     langs, model = langid.learn(odd)
     got = {r.doc_id: r.accepted for r in langid.documents(odd, langs, model, Scratch(spark, "t")).collect()}

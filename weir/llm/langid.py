@@ -6,7 +6,10 @@ the suffix of the address, and a prior of the host. Host priors come from a grou
 of each language by text alone, smoothed towards the address's parent domain, which is smoothed towards the suffix and
 that towards all rows (KAPPA pseudo-rows each time). Evidence that a table lacks, or a row leaves empty, adds nothing.
 
-The n-gram model is learned from at most MOST labelled documents, those with the smallest id hashes; priors and the
+The languages are all that a labelled document with a text has. The n-gram model is learned from at most MOST such
+documents (one of each language at least): every language has its quota, an equal share of MOST or all it has if those
+are fewer, filled by the smallest id hashes; of texts too long for an example, used only where a language has no others,
+the start is taken. Priors and the
 evidence of declared languages and suffixes (how often each goes with each language by text) are counted over all rows.
 A row is accepted if its text has letters and its best language a probability of ACCEPT or more.
 
@@ -21,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weir.llm import ngrams
@@ -36,11 +39,38 @@ _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
 
 
+def quotas(sizes: dict[str, int], most: int) -> dict[str, int]:
+    """Examples of each language: all of a small one, else an equal part of what is left of `most`; one at least."""
+    out, left = {}, most
+    for k, (name, n) in enumerate(sorted(sizes.items(), key=lambda x: (x[1], x[0]))):
+        out[name] = min(n, max(1, left // (len(sizes) - k)))
+        left -= out[name]
+    return out
+
+
+def _examples(own: DataFrame, most: int) -> list:
+    """(id, text, language) of each language's quota, by id; long texts only where a language has no others, and their start."""
+    found = own.groupBy("_lang").agg(F.count_if(~F.col("_long")).alias("short"), F.count("*").alias("n"), F.min(F.struct("_long", "_hash")).alias("low")).collect()  # one row a language
+    if not found:
+        return []
+    sizes = {r["_lang"]: r["short"] or r["n"] for r in found}
+    some = quotas(sizes, most)
+    # About twice the quota lies under the cut, however many rows there are; the smallest hash always does.
+    cut = {x: min((1 << 63) - 1, -(1 << 63) + (1 << 64) * (2 * q + 64) // sizes[x]) for x, q in some.items()}
+    most_of = [(r["_lang"], not r["short"], max(cut[r["_lang"]], r["low"]["_hash"]), some[r["_lang"]]) for r in found]
+    own = own.join(F.broadcast(own.sparkSession.createDataFrame(most_of, "_lang string, _long boolean, _cut long, _quota int")), ["_lang", "_long"]).filter("_hash <= _cut")
+    first = Window.partitionBy("_lang").orderBy("_hash", "_key")
+    ids = own.select("_lang", "_key", "_hash", "_quota").distinct().withColumn("_rank", F.row_number().over(first)).filter("_rank <= _quota").select(F.col("_lang").alias("l"), F.col("_key").alias("k"))
+    pick = own.join(F.broadcast(ids), F.col("_lang").eqNullSafe(F.col("l")) & F.col("_key").eqNullSafe(F.col("k")), "left_semi")  # about `most` ids
+    rows = pick.select("_key", F.substring("_text", 1, ngrams.EXAMPLE_CHARS), "_lang").dropDuplicates(["_key", "_lang"]).collect()
+    return sorted(rows, key=lambda r: (r[0] is not None, r[0], r[2]))
+
+
 def learn(docs: DataFrame, most: int = MOST, key: str = "doc_id", text: str = "text", lang: str = "lang") -> tuple[list[str], np.ndarray]:
     """Languages and the (BUCKETS, languages) log-probabilities of their n-grams."""
-    own = docs.filter(F.col(lang).isNotNull() & (F.char_length(text) <= ngrams.EXAMPLE_CHARS) & (F.char_length(text) > 0))
-    ids = own.select(key).orderBy(F.xxhash64(key), key).limit(most)
-    rows = sorted(own.select(key, text, lang).join(F.broadcast(ids.distinct()), key).dropDuplicates([key]).collect(), key=lambda r: r[0])
+    own = docs.filter(F.col(lang).isNotNull() & (F.char_length(text) > 0)).select(F.col(key).alias("_key"), F.col(text).alias("_text"), F.col(lang).alias("_lang"))
+    own = own.withColumn("_long", F.char_length("_text") > ngrams.EXAMPLE_CHARS).withColumn("_hash", F.xxhash64("_key"))
+    rows = _examples(own, most)
     langs = sorted({r[2] for r in rows})
     counts = np.zeros((BUCKETS, max(1, len(langs))))
     for k, name in enumerate(langs):
