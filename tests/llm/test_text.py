@@ -202,6 +202,16 @@ def test_html_main_text(spark):
     assert html.unescape("&amp;") == "&"
 
 
+def test_html_template_chooses_slots_inside_of_articles(spark):
+    page = "<html><body><article><h1>T {i}</h1><p>Same first line</p><div class='box'><p>Follow our channel</p></div><div class='box'><p>Own part {i}</p></div><ul><li>item {i}</ul><section><p>Read the rules</p></section></article></body></html>"
+    copy = "<html><body><article><p>Text</p><ul><li>kept</ul></article></body></html>"
+    data = [(i, f"http://a.example.com/{i}", page.format(i=i)) for i in range(6)] + [(10 + i, f"http://b.example.com/{i}", copy) for i in range(6)] + [(20, "http://c.example.com/", page.format(i=20))]
+    got = {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame(data, "page_id long, url string, html string"), Scratch(spark, "t")).collect()}
+    assert [got[i] for i in range(6)] == [f"T {i} Same first line Own part {i} item {i}" for i in range(6)]
+    assert {got[10 + i] for i in range(6)} == {"Text kept"}
+    assert got[20] == "T 20 Same first line Follow our channel Own part 20 item 20 Read the rules"
+
+
 def test_langid_fuses_evidence(spark):
     en, de = "the house and the river were long ago", "das haus und der fluss waren lange her"
     docs = spark.createDataFrame([(i, (en if i % 2 else de) + f" {prose(i, 3)}", "en" if i % 2 else "de", f"s{i % 2}") for i in range(80)], "doc_id long, text string, lang string, source string")

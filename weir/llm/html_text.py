@@ -3,17 +3,18 @@
 A page is a run of tags and texts. Tags are tokens, named with their class or id. Tokens of a host's pages that share an
 occurrence vector (how often each page has them) form an equivalence class; vectors are compared by two sums of
 page hashes times counts, so classes come from one grouped aggregation, whatever a host's size. A class is valid if it
-has an opening token and its closing one and stands on at least half of the host's pages; valid classes, nested by the
-order of their tokens, are the host's template. On each page elements cut the page into slots, and a slot is named by
-the elements around it: slots under menus, headers, footers, sidebars, notices, adverts, forms, comments and the like
-are left out. If a page has an article (else a main) element, or one that the template has and that is named like one,
-only the slots under it count; if not, texts that belong to the template (the same on most pages of a host) are left out.
+has an opening token and its closing one and stands on at least half of the host's different pages. Elements nest, and a
+slot is the path of elements around a text, each numbered among its like; tag and word lists name the slots: those under
+menus, headers, footers, sidebars, notices, adverts, forms, comments and the like are left out. If a page has an article
+(else a main) element, or one of a valid class that is named like one, only the slots under it count. There the host's
+pages choose: what stands directly in the article is kept, a slot of an inner element stays if its text varies and is left
+out if most pages repeat it in the same place. On other pages texts that most pages of a host repeat are left out.
 What remains is decoded, with white space turned into one space, block by block.
 
 The templates (a few dozen tokens a host) are broadcast while hosts are few, else joined by host.
 
 Defined cases: a null or empty page has an empty text; a null address is a host of its own; tags left open end with
-their parent, closing tags without an opening one are skipped; a host with one page is its own template; an empty table
+their parent, closing tags without an opening one are skipped; a host with fewer than four different pages has no repeated texts, copies of a page being one; an empty table
 gives an empty result; repeated rows get a row each; extra columns are ignored.
 """
 
@@ -89,41 +90,43 @@ def host(url: Column) -> Column:
 
 
 def tokens(pages: DataFrame, url: str = "url", page: str = "html") -> DataFrame:
-    """For each page its distinct tokens: host, token, how often (n), two page hashes times n, whether it is an article's.
+    """For each different page of a host its distinct tokens: host, token, how often (n), two page hashes times n.
 
-    The token "" stands for the page itself. Texts are tokens too where a page has no article element.
+    The token "" stands for the page itself. The contents of an article's inner slots are tokens too and, where a page has
+    no article or main element, its texts.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in tx.parts(batch, "_html"):
-                cols: list[list] = [[], [], [], [], [], []]
-                for h, p, x, y in zip(*(part.column(c).to_pylist() for c in ("host", "_html", "x", "y")), strict=True):
-                    seen, article, texts = Counter({"": 1}), set(), []
-                    for kind, name, attrs in pieces(p or ""):
-                        if kind == "text":
-                            texts.append(name)
-                        elif name in CONTAINERS:
-                            t = token(name, attrs) if kind == "open" else f"</{name}>"
-                            seen[t] += 1
-                            if kind == "open" and is_in(name, attrs):
-                                article.add(t)
-                    if not article:
-                        seen.update(text_token(t) for t in texts if t.strip())
+                cols: list[list] = [[], [], [], []]
+                for h, p, mark in zip(*(part.column(c).to_pylist() for c in ("host", "_html", "mark")), strict=True):
+                    seen, page_run = Counter({"": 1}), list(pieces(p or ""))
+                    seen.update(token(name, attrs) if kind == "open" else f"</{name}>" for kind, name, attrs in page_run if kind != "text" and name in CONTAINERS)
+                    inner = hearts(page_run, None)
+                    if inner:
+                        seen.update(contents(slots(page_run, inner)).values())
+                    if not any(kind == "open" and name in IN_TAGS for kind, name, _ in page_run):
+                        seen.update(text_token(t) for kind, t, _ in page_run if kind == "text" and t.strip())
                     for t, n in seen.items():
-                        for col, value in zip(cols, (h, t, n, x * n, y * n, t in article), strict=True):
+                        for col, value in zip(cols, (h, t, n, mark), strict=True):
                             col.append(value)
-                kinds = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.bool_())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["host", "token", "n", "x", "y", "main"])
+                kinds = (pa.string(), pa.string(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["host", "token", "n", "mark"])
 
+    keyed = pages.select(host(F.col(url)).alias("host"), F.col(page).alias("_html"), F.xxhash64(F.col(page)).alias("mark"))
+    # Copies of a page in a host count once: they repeat the article too.
+    one = keyed.mapInArrow(run, "host string, token string, n long, mark long").groupBy("host", "token", "mark").agg(F.max("n").alias("n"))
     # Hashes of 20 bits, so that sums over any host stay in range; two of them tell occurrence vectors apart.
-    mark = F.xxhash64(F.col(url), F.col(page))
-    keyed = pages.select(host(F.col(url)).alias("host"), F.col(page).alias("_html"), F.pmod(mark, F.lit(1 << 20)).alias("x"), F.pmod(F.shiftright(mark, 24), F.lit(1 << 20)).alias("y"))
-    return keyed.mapInArrow(run, "host string, token string, n long, x long, y long, main boolean")
+    return one.select("host", "token", "n", (F.pmod("mark", F.lit(1 << 20)) * F.col("n")).alias("x"), (F.pmod(F.shiftright("mark", 24), F.lit(1 << 20)) * F.col("n")).alias("y"))
+
+
+def digest(text: str) -> str:
+    return hashlib.md5(text.encode("utf-8", "replace"), usedforsecurity=False).hexdigest()[:16]
 
 
 def text_token(text: str) -> str:
-    return "t:" + hashlib.md5(" ".join(html.unescape(text).split()).encode("utf-8", "replace"), usedforsecurity=False).hexdigest()[:16]
+    return "t:" + digest(" ".join(html.unescape(text).split()))
 
 
 def templates(seen: DataFrame) -> DataFrame:
@@ -135,48 +138,78 @@ def templates(seen: DataFrame) -> DataFrame:
     classes = wide.groupBy("host", "x", "y", "pages", "occ", "total").agg(F.collect_list("token").alias("class"))
     opened = lambda t: F.array_contains("class", F.regexp_replace(t, r"^<([a-z0-9:-]+)( [^>]*)?>$", "</$1>"))
     paired = F.exists("class", lambda t: t.startswith("<") & ~t.startswith("</") & opened(t))
-    fixed = F.exists("class", lambda t: t.startswith("t:")) & (F.col("total") >= 4)  # texts that most pages repeat
+    # Texts are in only if they repeat over enough pages, also those that share a class with tags.
+    classes = classes.withColumn("class", F.filter("class", lambda t: ~t.startswith("t:") | (F.col("total") >= 4)))
+    fixed = F.exists("class", lambda t: t.startswith("t:"))
     return classes.filter(paired | fixed).groupBy("host").agg(F.flatten(F.collect_list("class")).alias("template"))
 
 
-def extract(page: str, template: frozenset[str]) -> str:
-    """Text of the slots that count, blocks joined by one space."""
-    run = list(pieces(page))
-    heart = {i for i, (kind, name, attrs) in enumerate(run) if kind == "open" and is_in(name, attrs) and (name in IN_TAGS or token(name, attrs) in template)}
-    heart = {i for i in heart if run[i][1] == "article"} or heart  # an article inside of a main element is the narrower one
-    stack: list[tuple[str, bool, bool]] = []  # element, left out, article
-    out = main = 0
-    blocks: list[str] = []
-    block: list[str] = []
+def hearts(run: list, template: frozenset[str] | None) -> set[int]:
+    """Places of the opening tags of a page's article; without a template, of all that are named like one."""
+    heart = {i for i, (kind, name, attrs) in enumerate(run) if kind == "open" and is_in(name, attrs) and (name in IN_TAGS or template is None or token(name, attrs) in template)}
+    return {i for i in heart if run[i][1] == "article"} or heart  # an article inside of a main element is the narrower one
 
-    def flush() -> None:
-        words = "".join(block).split()
-        if words:
-            blocks.append(" ".join(words))
-        block.clear()
 
+def slots(run: list, heart: set[int]) -> list[tuple[str | None, str, bool]]:
+    """(text, slot, own) of the texts that names do not leave out, and (None, "", False) where a block ends.
+
+    A slot is the path of elements around it, each numbered among its like in the same parent; own: directly in the article.
+    """
+    stack: list[tuple[str, bool, bool, str]] = []  # element, left out, article, path
+    many: Counter = Counter()
+    out = main = 0
+    found: list[tuple[str | None, str, bool]] = []
     for i, (kind, name, attrs) in enumerate(run):
         if kind == "text":
-            if not out and (main or not heart and not (template and text_token(name) in template)):
-                block.append(html.unescape(name))
+            if not out and (main or not heart):
+                found.append((name, stack[-1][3] if stack else "", bool(stack) and stack[-1][2]))
             continue
         if name in BLOCKS:
-            flush()
+            found.append((None, "", False))
         if name not in CONTAINERS:
             continue
         if kind == "open":
             left = is_out(name, attrs, main > 0)
-            stack.append((name, left, i in heart))
+            step = (stack[-1][3] if stack else "", token(name, attrs))
+            many[step] += 1
+            stack.append((name, left, i in heart, digest(f"{step[0]}/{step[1]}#{many[step]}")))
             out += left
             main += i in heart
         elif any(s[0] == name for s in stack):
             while True:
-                top, left, inside = stack.pop()
+                top, left, inside, _ = stack.pop()
                 out -= left
                 main -= inside
                 if top == name:
                     break
-    flush()
+    return found
+
+
+def contents(found: list[tuple[str | None, str, bool]]) -> dict[str, str]:
+    """For each slot that is not the article's own a token of its whole text."""
+    texts: dict[str, list[str]] = {}
+    for t, slot, own in found:
+        if t is not None and not own and t.strip():
+            texts.setdefault(slot, []).append(t)
+    return {slot: "t:" + digest(slot + text_token(" ".join(ts))) for slot, ts in texts.items()}
+
+
+def extract(page: str, template: frozenset[str]) -> str:
+    """Text of the slots that count, blocks joined by one space."""
+    run = list(pieces(page))
+    heart = hearts(run, template)
+    found = slots(run, heart)
+    repeated = {slot for slot, t in contents(found).items() if t in template} if heart and template else set()
+    blocks: list[str] = []
+    block: list[str] = []
+    for t, slot, own in [*found, (None, "", False)]:
+        if t is None:
+            words = "".join(block).split()
+            if words:
+                blocks.append(" ".join(words))
+            block.clear()
+        elif own or slot not in repeated and (heart or not (template and text_token(t) in template)):
+            block.append(html.unescape(t))
     return " ".join(blocks)
 
 
