@@ -212,6 +212,15 @@ def test_html_template_chooses_slots_inside_of_articles(spark):
     assert got[20] == "T 20 Same first line Follow our channel Own part 20 item 20 Read the rules"
 
 
+def test_html_raw_elements_end_where_they_end():
+    def of(inner):
+        return html_text.extract(f"<article><p>a {inner} z</p></article>", frozenset())
+
+    assert of('<svg class="i"/>') == of("<svg/>") == of("<math/>") == of("<svg><path d='x'/><text>no</text></svg>") == of('<svg a="/"><text>no</text></svg>') == "a z"
+    assert of("<template-card>card</template-card>") == "a card z" and of("<template>no</template>") == "a z"
+    assert of("<math><mi>x</mi><mo>=</mo><mn>2</mn></math>") == "a x=2 z"
+
+
 def test_langid_fuses_evidence(spark):
     en, de = "the house and the river were long ago", "das haus und der fluss waren lange her"
     docs = spark.createDataFrame([(i, (en if i % 2 else de) + f" {prose(i, 3)}", "en" if i % 2 else "de", f"s{i % 2}") for i in range(80)], "doc_id long, text string, lang string, source string")

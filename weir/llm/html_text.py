@@ -35,7 +35,7 @@ from weir.llm.base import small
 from weir.session import Scratch, table
 
 # Element and attribute names with their roles.
-RAW = "script|style|noscript|template|textarea|svg|iframe|object|canvas|select|math"
+RAW = "script|style|noscript|template|textarea|svg|iframe|object|canvas|select"
 BLOCKS = frozenset("address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
 CONTAINERS = frozenset("html head body nav header footer aside form article main section div ul ol dl table figure details dialog fieldset menu title button label span".split())
 OUT_TAGS = frozenset("head title nav header footer aside form menu dialog button label fieldset".split())
@@ -47,7 +47,7 @@ IN_WORDS = frozenset("article-body article-content post-content entry-content po
 #: Hosts whose templates (a few kB each) may be broadcast.
 BROADCAST_HOSTS = 5_000
 
-PIECE = re.compile(rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*>|<(?P<close>/?)(?P<name>[A-Za-z][A-Za-z0-9:-]*)(?P<attrs>(?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|(?P<text>[^<]+|<)", re.S | re.I)
+PIECE = re.compile(rf"<!--.*?(?:-->|\Z)|<svg(?=[\s/])(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?<=/)>|<(?P<raw>{RAW})(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*>|<(?P<close>/?)(?P<name>[A-Za-z][A-Za-z0-9:-]*)(?P<attrs>(?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|(?P<text>[^<]+|<)", re.S | re.I)
 ATTR = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 WORD = re.compile(r"[^a-z0-9]+")
 
