@@ -24,6 +24,21 @@ def test_first_wins_and_cross_dataset(spark):
     assert got == {0: 0, 1: 1, 2: None}
 
 
+def test_first_wins_keeps_the_first_row_without_a_key(spark):
+    d = docs(spark, ["a b", None, "A b", None, "c"])
+    for key in (dedup.text_key("text"), dedup.prefix_key("text"), dedup.code_key("text")):
+        assert {1} == {r.doc_id for r in dedup.first_by(d, key, ["doc_id"]).collect() if r.text is None}
+    assert sorted(r.doc_id for r in dedup.first_by(d, dedup.text_key("text"), ["doc_id"]).collect()) == [0, 1, 4]
+
+
+def test_stratified_sample_has_rows_without_language(spark, tmp_path):
+    from weir.queries import mixing
+
+    spark.createDataFrame([(i, None if i % 2 else "en") for i in range(400)], "doc_id long, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = [r.lang for r in mixing.t05(spark, str(tmp_path)).collect()]
+    assert 40 < got.count(None) < 120 and 5 < got.count("en") < 45
+
+
 def test_caps_and_last_write(spark):
     d = spark.createDataFrame([(i, "k" if i < 7 else "l") for i in range(9)], "id long, k string")
     assert sorted(r.id for r in dedup.capped(d, F.col("k"), 3, ["id"]).collect()) == [0, 1, 2, 7, 8]

@@ -29,13 +29,14 @@ def code_key(text: Column | str) -> Column:
 
 
 def first_by(df: DataFrame, key: Column, order: Sequence[str]) -> DataFrame:
-    """The first row of each key, by a partial aggregation and a semi-join on the order columns.
+    """The first row of each key, by a partial aggregation and a semi-join on the order columns; null is a key like others.
 
     No window over the key: a key that holds a third of all rows costs one partial aggregate a task.
     """
     mark = F.struct(*order)
-    best = df.groupBy(key.alias("_k")).agg(F.min(mark).alias("_first"))
-    return df.withColumn("_k", key).withColumn("_o", mark).join(best.select("_k", F.col("_first").alias("_o")), ["_k", "_o"], "left_semi").drop("_k", "_o")
+    best = df.groupBy(key.alias("_bk")).agg(F.min(mark).alias("_bo"))
+    same = F.col("_k").eqNullSafe(F.col("_bk")) & F.col("_o").eqNullSafe(F.col("_bo"))
+    return df.withColumn("_k", key).withColumn("_o", mark).join(best, same, "left_semi").drop("_k", "_o")
 
 
 def capped(df: DataFrame, key: Column, cap: int, order: Sequence[str]) -> DataFrame:

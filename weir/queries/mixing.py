@@ -109,7 +109,7 @@ def t04(spark, sf):
 @query("t05_stratified", "SELECT doc_id, lang FROM documents WHERE ('0x' || substring(md5('5:' || doc_id), 1, 8))::UBIGINT / 4294967296.0::DOUBLE < CASE lang WHEN 'en' THEN 0.1 ELSE 0.4 END")
 def t05(spark, sf):
     d = docs(spark, sf)
-    return mix.bernoulli(d.filter("lang = 'en'"), 0.1, 5, "doc_id").unionByName(mix.bernoulli(d.filter("lang <> 'en'"), 0.4, 5, "doc_id")).select("doc_id", "lang")
+    return mix.bernoulli(d.filter("lang = 'en'"), 0.1, 5, "doc_id").unionByName(mix.bernoulli(d.filter("NOT (lang <=> 'en')"), 0.4, 5, "doc_id")).select("doc_id", "lang")
 
 
 @query("t06_hash_split", r"SELECT doc_id, bucket, CASE WHEN bucket < 5 THEN 'holdout' ELSE 'train' END AS split FROM (SELECT doc_id, (('0x' || substring(sha256(source || ':' || sha256(trim(regexp_replace(lower(text), '\s+', ' ', 'g')))), 1, 16))::UBIGINT % 1000)::INT AS bucket FROM documents)")
