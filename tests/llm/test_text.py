@@ -214,11 +214,64 @@ def test_html_template_chooses_slots_inside_of_articles(spark):
 
 def test_html_raw_elements_end_where_they_end():
     def of(inner):
-        return html_text.extract(f"<article><p>a {inner} z</p></article>", frozenset())
+        return html_text.extract(f"<article><p>a {inner} z</p></article>", None)
 
     assert of('<svg class="i"/>') == of("<svg/>") == of("<math/>") == of("<svg><path d='x'/><text>no</text></svg>") == of('<svg a="/"><text>no</text></svg>') == "a z"
     assert of("<template-card>card</template-card>") == "a card z" and of("<template>no</template>") == "a z"
-    assert of("<math><mi>x</mi><mo>=</mo><mn>2</mn></math>") == "a x=2 z"
+    assert of("<math><mi>x</mi><mo>=</mo><mn>2</mn></math>") == "a x=2 z" and of("<object>o</object> <canvas>c</canvas>") == "a o c z"
+
+
+def site(seed, n, named=True):
+    """Pages of a host, and their main texts; without `named` all names but those of inline elements are random strings."""
+    import random
+
+    r = random.Random(seed)
+    names = {x: x if named else "x" + "".join(r.choice("bcdfgkz") for _ in range(7)) for x in "nav ul li div article h2 p section footer ad side".split()}
+    t = names.get
+    pages, texts = [], []
+    for i in range(n):
+        own = [" ".join(r.choice(WORDS) + str(r.randrange(90)) for _ in range(r.randrange(5, 40))) for _ in range(r.randrange(1, 6))]
+        items = "".join(f"<{t('li')}><a href='/{x}'>{x}</a></{t('li')}>" for x in r.sample(WORDS, 3))
+        body = "".join(f"<{t('p')}>{x}</{t('p')}>\n" for x in own)
+        pages.append(
+            f"<html><body><{t('nav')}><{t('ul')}>{items}</{t('ul')}></{t('nav')}><{t('div')} class='{t('ad')}'>Buy {r.choice(WORDS)} now</{t('div')}>"
+            f"<{t('article')}><{t('h2')}>Title {i}</{t('h2')}>{body}<{t('section')} class='{t('side')}'><{t('p')}>Subscribe to all our letters</{t('p')}></{t('section')}></{t('article')}>"
+            f"<{t('footer')}>Since {r.choice(['1990', '1991'])}</{t('footer')}></body></html>"
+        )
+        texts.append(" ".join([f"Title {i}", *own]))
+    return pages, texts
+
+
+@pytest.mark.parametrize("named", [True, False])
+def test_html_template_needs_no_names(spark, named):
+    pages, texts = site(5, 12, named)
+    data = [(i, f"http://a.example.com/{i}", p) for i, p in enumerate(pages)] + [(100, "http://single.example.com/", pages[0])]
+    got = {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame(data, "page_id long, url string, html string"), Scratch(spark, "t")).collect()}
+    assert [got[i] for i in range(12)] == texts
+    assert got[100] != texts[0]  # one page has no template that could tell "Subscribe" from the text
+
+
+def test_html_single_pages_keep_their_text(spark):
+    data = [
+        (1, "http://one.example.com/", "<html><body><p>First paragraph</p><p>Second one</p></body></html>"),
+        (2, "http://two.example.com/", "<article><h1>T</h1><section id='related-work'><p>Earlier work</p></section><div class='search-results'>Found</div></article>"),
+        (3, "http://three.example.com/", "<div class='menu'>m</div><div>Text of the page</div>"),
+        (4, "http://four.example.com/", "<p>" * 3000 + "deep" + "</p>" * 3000),
+    ]
+    got = {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame(data, "page_id long, url string, html string"), Scratch(spark, "t")).collect()}
+    assert got == {1: "First paragraph Second one", 2: "T Earlier work Found", 3: "Text of the page", 4: "deep"}
+
+
+def test_html_template_decides_from_counts():
+    """Two elements: the one with more different text is the main element; a class of unsteady order is not valid."""
+    token = lambda i, up, kind, named=0: {"id": i, "up": up, "kind": kind, "named": named, "class": 7}
+    slot = lambda s, top, total, fresh, n=10: {"is_order": 0, "slot": s, "n": n, "top": top, "total": total, "fresh": fresh}
+    order = lambda top: {"is_order": 1, "slot": 7, "n": 10, "top": top, "total": 0, "fresh": 0}
+    tokens = [token(1, 0, 1), token(2, 1, 2), token(3, 2, 3), token(4, 1, 4), token(5, 4, 5)]
+    slots = [slot(3, 9, 1000, 200), slot(5, 1, 900, 880)]
+    assert html_text.decide(10, 10, tokens, [*slots, order(10)]) == (4, [4, 5], [])
+    assert html_text.decide(10, 10, tokens, [*slots, order(9)]) is None
+    assert html_text.decide(10, 1, tokens, [*slots, order(10)]) is None
 
 
 def test_langid_fuses_evidence(spark):
