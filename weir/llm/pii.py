@@ -2,23 +2,29 @@
 
 The base patterns find e-mail and IP addresses, card and telephone numbers; what they find always stays. Around every
 digit, at sign or spelled-out at sign the text is cut into runs of letters, digits and white space and single signs. The
-random field scores candidate segments of up to LONGEST such tokens with seven digits or more, an at sign, or four groups
-of digits joined by dots (plain, spaced or in brackets, as addresses are rewritten), and the whole address around an at sign however
-many tokens it has, by features of the whole span (its shape, number of
-digits, checks such as Luhn's sum and address parts, the words before, what borders it) and a label transition; dynamic
-programming over these segments chooses boundaries and types together. Spans it adds overlap no base span.
-
-It is learned in numpy by conditional likelihood (forward and backward sums over all segmentations) from the base spans
-in at most MOST documents, those with the smallest id hashes among those with a base span, from rewritten forms of these
-spans (other separators, spelled-out signs, no plus) and from numbers that are none of these.
+random field scores candidate segments of up to LONGEST such tokens, and the whole address around an at sign however many
+tokens it has, by features of the whole span (its shape, number of digits, the words before, what borders it) and a label
+transition; dynamic programming over these segments chooses boundaries and types together. A segment is a candidate only
+for kinds that it can be: an e-mail address has an at sign, written or spelled out; an IP address four groups of digits
+of at most 255 joined by dots (plain, spaced or in brackets); a card number 14 to 19 digits that pass Luhn's check; a
+telephone number 7 to 15 digits; the latter three have no letters. Spans it adds overlap no base span.
+
+It is learned in numpy by conditional likelihood (forward and backward sums over all segmentations, SOME stretches at a
+time) from base spans, at most SPANS of a document and EXAMPLES in all, in at most MOST documents of up to MOST_CHARS code
+points (of documents that hold something like a base span those with the least hash in MOST classes of hashes), from
+rewritten forms of these spans (other separators, spelled-out signs, no plus) and from numbers that are none of these:
+dates, amounts, versions, counters, book numbers, coordinates, measured values.
 
 Defined cases: a null text is empty and has no spans; offsets are code points, ends exclusive; equal starts are ordered
-as the kinds are listed; without any base span in the table nothing is added; an empty table gives an empty result;
-repeated rows get a row each; extra columns are ignored.
+as the kinds are listed; segmentations of equal score: the one found first, shorter segments first; without any base span
+in the table nothing is added; every text is searched whole, in time in proportion to its length, and a stretch of
+numbers without other words between takes about 300 bytes of memory for each of its tokens; an empty table gives an empty
+result; repeated rows, also under one id, get a row each; null ids stay null; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 import zlib
@@ -36,12 +42,14 @@ from weir.session import table
 KINDS = ("email", "ip", "card", "phone")
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+# From the first digit of a run on and without giving digits back, so that runs are read once.
+IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
 
-LONGEST, FEATURES, MOST, EPOCHS = 16, 1 << 13, 300, 4
+LONGEST, FEATURES, MOST, EPOCHS = 16, 1 << 13, 300, 12
+SPANS, EXAMPLES, MOST_CHARS, SOME = 4, 1200, 32_768, 32
 TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|\s+|[\s\S]")
 SPACE = re.compile(r"\s")
 DOTTED = re.compile(r"[0-9]+(?:(?:\.| \. |\[\.\]|\(\.\))[0-9]+){3}")
@@ -58,6 +66,12 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def octet(digits: str) -> bool:
+    """Whether a number without sign is at most 255, however many zeros it begins with."""
+    rest = digits.lstrip("0")
+    return len(rest) < 3 or len(rest) == 3 and rest <= "255"
+
+
 def base_spans(text: str) -> list[Span]:
     """Spans of the base patterns, by start and kind."""
     out: list[Span] = []
@@ -71,7 +85,7 @@ def base_spans(text: str) -> list[Span]:
                 out.append((start, m.end(), "email"))
                 end = m.end()
     for m in IP.finditer(text):
-        if all(len(p.lstrip("0")) < 4 and int(p) <= 255 for p in m[0].split(".")):
+        if all(map(octet, m[0].split("."))):
             out.append((m.start(), m.end(), "ip"))
     for m in CARD.finditer(text):
         digits = m[0].replace(" ", "").replace("-", "")
@@ -110,56 +124,80 @@ def _bucket(*parts: object) -> int:
     return zlib.crc32("\x1f".join(map(str, parts)).encode()) % FEATURES
 
 
+def possible(signs: str, digits: str, letters: int, spelled: bool, run: str, groups: list[str]) -> list[int]:
+    """Labels (1 and on, as KINDS) that a segment can have."""
+    out = [1] if "@" in signs or spelled and ("(" in signs or "[" in signs) else []
+    if not letters and "@" not in signs:
+        if len(groups) == 4 and DOTTED.fullmatch(run) and all(map(octet, groups)):
+            out.append(2)
+        if 14 <= len(digits) <= 19 and luhn(digits):
+            out.append(3)
+        if 7 <= len(digits) <= 15:
+            out.append(4)
+    return out
+
+
+Segment = tuple[int, list[int], list[int]]
+
+
 class Lattice:
-    """Tokens of a stretch and its candidate segments: start, end (tokens) and feature numbers."""
+    """Tokens of a stretch, features of each as outside of any entity, and the candidate segments that start at each."""
 
     def __init__(self, text: str, at: int = 0):
         self.tokens = [(m[0], m.start() + at, m.end() + at) for m in TOKEN.finditer(text)]
-        kinds = []
-        for t, _, _ in self.tokens:
-            kinds.append(f"d{min(len(t), 6)}" if t[0].isdigit() and t.isascii() else " " if t.isspace() else "a" if t.isalpha() else t)
         self.n = len(self.tokens)
-        self.outside = [[_bucket("o", k), _bucket("o2", kinds[i - 1] if i else "^", k)] for i, k in enumerate(kinds)]
-        self.spans: list[tuple[int, int, list[int]]] = []
-        words = [t.lower() for t, _, _ in self.tokens]
-        last = "^"
-        for i in range(self.n):
-            if i and words[i - 1].isalpha():
-                last = words[i - 1]
-            if kinds[i] == " " or kinds[i] in ".-)]/,;:":
-                continue
-            digits, signs, letters, blanks, groups = "", "", 0, 0, 0
-            for j in range(i, min(self.n, i + LONGEST)):
-                k = kinds[j]
-                if k[0] == "d":
-                    digits += words[j]
-                    groups += 1
-                elif k == "a":
-                    letters += 1
-                elif k == " ":
-                    blanks += 1
-                    if "\n" in words[j]:
-                        break
-                else:
-                    signs += k
-                if len(digits) > 19:
+        self.words = [t.lower() for t, _, _ in self.tokens]
+        self.kinds = [f"d{min(len(t), 6)}" if t[0].isdigit() and t.isascii() else " " if t.isspace() else "a" if t.isalpha() else t for t, _, _ in self.tokens]
+        self.last = ["^"] * (self.n + 1)  # word before each token
+        for i, w in enumerate(self.words):
+            self.last[i + 1] = w if w.isalpha() else self.last[i]
+        self.addresses: dict[int, list[int]] = {}
+        for i, j in self._addresses():
+            self.addresses.setdefault(i, []).append(j)
+
+    def outside(self, i: int) -> list[int]:
+        return [_bucket("o", self.kinds[i]), _bucket("o2", self.kinds[i - 1] if i else "^", self.kinds[i])]
+
+    def segments(self, i: int) -> list[Segment]:
+        """(end, features, possible labels) of the candidates that start at token i, shorter ones first."""
+        kinds, words, out = self.kinds, self.words, []
+        if kinds[i] == " " or kinds[i] in ".-)]/,;:":
+            return out
+        digits, signs, letters, blanks, groups, spelled = "", "", 0, 0, [], False
+        for j in range(i, min(self.n, i + LONGEST)):
+            k = kinds[j]
+            if k[0] == "d":
+                digits += words[j]
+                groups.append(words[j])
+            elif k == "a":
+                letters += 1
+                spelled |= words[j] == "at"
+            elif k == " ":
+                blanks += 1
+                if "\n" in words[j]:
                     break
-                spelled = any(w == "at" for w in words[i : j + 1]) if letters else False
-                if k == " " or k in ".-([/,;:+" or not (len(digits) >= 7 or "@" in signs or (spelled and any(c in signs for c in "([")) or (groups == 4 and k[0] == "d" and DOTTED.fullmatch("".join(words[i : j + 1])))):
-                    continue
-                self.spans.append((i, j + 1, self._features(i, j + 1, kinds, words, digits, signs, letters, blanks, spelled, last)))
-        there = {(i, j) for i, j, _ in self.spans}
-        for i, j in self._addresses(kinds, words):
-            if (i, j) not in there:
+            else:
+                signs += k
+            if len(digits) > 19:
+                break
+            if k == " " or k in ".-([/,;:+":
+                continue
+            labels = possible(signs, digits, letters, spelled, "".join(words[i : j + 1]) if len(groups) == 4 else "", groups)
+            if labels:
+                out.append((j + 1, self._features(i, j + 1, digits, signs, letters, blanks, groups, spelled), labels))
+        there = {j for j, _, _ in out}
+        for j in self.addresses.get(i, ()):
+            if j not in there:
                 run = list(zip(kinds[i:j], words[i:j], strict=True))
-                digits, signs = "".join(w for k, w in run if k[0] == "d"), "".join(k for k, _ in run if k[0] not in "da ")
+                groups = [w for k, w in run if k[0] == "d"]
+                signs = "".join(k for k, _ in run if k[0] not in "da ")
                 letters, blanks = sum(k == "a" for k, _ in run), sum(k == " " for k, _ in run)
-                last = next((w for w in reversed(words[:i]) if w.isalpha()), "^")
-                self.spans.append((i, j, self._features(i, j, kinds, words, digits, signs, letters, blanks, "at" in words[i:j], last)))
+                out.append((j, self._features(i, j, "".join(groups), signs, letters, blanks, groups, "at" in words[i:j]), [1]))
+        return out
 
-    def _addresses(self, kinds: list[str], words: list[str]) -> list[tuple[int, int]]:
+    def _addresses(self) -> list[tuple[int, int]]:
         """First and end tokens of the whole local part and host around each at sign, written or spelled out."""
-        out = []
+        kinds, words, out = self.kinds, self.words, []
         for p, k in enumerate(kinds):
             if k == "@":
                 i, j = p, p + 1
@@ -182,127 +220,148 @@ class Lattice:
                 out.append((i, j))
         return out
 
-    def _features(self, i: int, j: int, kinds: list[str], words: list[str], digits: str, signs: str, letters: int, blanks: int, spelled: bool, last: str) -> list[int]:
-        run = kinds[i:j]
-        parts = [int(w) for w, k in zip(words[i:j], run, strict=True) if k[0] == "d"]
+    def _features(self, i: int, j: int, digits: str, signs: str, letters: int, blanks: int, groups: list[str], spelled: bool) -> list[int]:
+        run = self.kinds[i:j]
         flat = "".join("d" if k[0] == "d" else k for k in run)
-        before = kinds[i - 1] if i else "^"
-        after = kinds[j] if j < self.n else "$"
-        f = [
+        before = self.kinds[i - 1] if i else "^"
+        after = self.kinds[j] if j < self.n else "$"
+        return [
             _bucket("s", "".join(run)),
             _bucket("c", flat),
             _bucket("n", len(digits)),
             _bucket("g", "".join(sorted(set(signs)))),
             _bucket("l", min(letters, 5), min(blanks, 5), len(digits) > 0),
             _bucket("a", before[0], after[0]),
-            _bucket("k", len(parts), all(p <= 255 for p in parts), letters > 0),
+            _bucket("k", len(groups), all(map(octet, groups)), letters > 0),
             _bucket("u", len(digits) >= 13 and luhn(digits), letters > 0, min(len(digits), 20)),
-            _bucket("w", last),
+            _bucket("w", self.last[i]),
             _bucket("b", run[0][0], run[-1][0], spelled, len(digits) > 0),
             _bucket("h", signs[:1], signs.count("."), signs.count("@")),
+            _bucket("z", [len(g) for g in groups[:6]]),
         ]
-        return f
+
+
+NEVER = -1e30
+WIDTH = len(KINDS) + 1
+
+
+def _lse(x: np.ndarray, axis: int) -> np.ndarray:
+    m = x.max(axis=axis, keepdims=True)
+    return np.squeeze(m, axis=axis) + np.log(np.exp(x - m).sum(axis=axis))
+
+
+def _merged(x: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log sums of the rows of equal `at` (sorted), and their `at`."""
+    cut = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+    m = np.maximum.reduceat(x, cut, axis=0)
+    many = np.diff(np.concatenate([cut, [len(at)]]))
+    return m + np.log(np.add.reduceat(np.exp(x - np.repeat(m, many, axis=0)), cut, axis=0)), at[cut]
+
+
+class Batch:
+    """Segments of several lattices as arrays; a lattice of n tokens has n + 1 positions."""
+
+    def __init__(self, data: list[tuple[Lattice, dict[tuple[int, int], int]]]):
+        rows, feats, masks, golds = [], [], [], []
+        wide = 12
+        self.first, self.final, at = [], [], 0
+        self.steps = np.zeros((WIDTH, WIDTH))
+        for b, (lat, gold) in enumerate(data):
+            inside = {k for i, j in gold for k in range(i, j)}
+            for i in range(lat.n):
+                for j, f, labels in [(i + 1, lat.outside(i), [0]), *lat.segments(i)]:
+                    rows.append((at + i, at + j, i, j, b))
+                    feats.append(f + [FEATURES] * (wide - len(f)))
+                    masks.append([0.0 if y in labels else NEVER for y in range(WIDTH)])
+                    y = 0 if labels == [0] and i not in inside else gold.get((i, j), -1) if labels != [0] else -1
+                    golds.append([float(k == y) for k in range(WIDTH)])
+            here, prev = 0, 0
+            while here < lat.n:
+                to, y = next(((j, y) for (i, j), y in gold.items() if i == here), (here + 1, 0))
+                self.steps[prev, y] += 1
+                here, prev = to, y
+            self.first.append(at)
+            self.final.append(at + lat.n)
+            at += lat.n + 1
+        self.positions = at
+        cols = np.array(rows, np.int64).reshape(-1, 5)
+        order = np.lexsort((cols[:, 1], cols[:, 3]))
+        self.start, self.end, self.i, self.j, self.b = cols[order].T
+        self.feats, self.mask, self.gold = np.array(feats)[order], np.array(masks)[order], np.array(golds)[order]
+        self.by_end = np.split(np.arange(len(order)), np.flatnonzero(self.j[1:] != self.j[:-1]) + 1)
+        back = np.lexsort((self.start, -self.i))
+        self.by_start = np.split(back, np.flatnonzero(self.i[back][1:] != self.i[back][:-1]) + 1)
 
 
 class Field:
     """Labels 0 (outside, one token a segment) and 1.. (KINDS)."""
 
-    def __init__(self, seed: int = 2):
-        self.w = np.zeros((len(KINDS) + 1, FEATURES))
-        self.t = np.zeros((len(KINDS) + 1, len(KINDS) + 1))
+    def __init__(self) -> None:
+        self.w = np.zeros((FEATURES + 1, WIDTH))  # the last row stands for no feature
+        self.t = np.zeros((WIDTH, WIDTH))
         self.fitted = False
 
-    def _segments(self, lat: Lattice) -> list[list[tuple[int, np.ndarray, list[int]]]]:
-        """For each end: (start, scores of the labels, features); a label that can't be is -inf."""
-        ends: list[list] = [[] for _ in range(lat.n + 1)]
-        for i in range(lat.n):
-            s = np.full(len(KINDS) + 1, -np.inf)
-            s[0] = self.w[0, lat.outside[i]].sum()
-            ends[i + 1].append((i, s, lat.outside[i]))
-        for i, j, f in lat.spans:
-            s = self.w[:, f].sum(axis=1)
-            s[0] = -np.inf
-            ends[j].append((i, s, f))
-        return ends
-
-    @staticmethod
-    def _lse(x: np.ndarray, axis: int | None = None) -> np.ndarray:
-        m = np.max(x, axis=axis, keepdims=True)
-        m = np.where(np.isfinite(m), m, 0)
-        with np.errstate(divide="ignore"):
-            return np.squeeze(m, axis=axis) + np.log(np.exp(x - m).sum(axis=axis))
-
-    def sums(self, lat: Lattice) -> tuple[list, np.ndarray, np.ndarray, float]:
-        """Segments, forward and backward log sums by position and label of the segment that ends or starts there, log Z."""
-        ends, width = self._segments(lat), len(KINDS) + 1
-        fwd = np.full((lat.n + 1, width), -np.inf)
-        fwd[0, 0] = 0
-        for e in range(1, lat.n + 1):
-            rows = [self._lse(fwd[i][:, None] + self.t, axis=0) + s for i, s, _ in ends[e]]
-            fwd[e] = self._lse(np.stack(rows), axis=0)
-        bwd = np.full((lat.n + 1, width), -np.inf)
-        bwd[lat.n] = 0
-        starts: list[list] = [[] for _ in range(lat.n + 1)]
-        for e in range(1, lat.n + 1):
-            for i, s, _ in ends[e]:
-                starts[i].append((e, s))
-        for i in range(lat.n - 1, -1, -1):
-            rows = [self._lse(self.t + (s + bwd[e])[None, :], axis=1) for e, s in starts[i]]
-            bwd[i] = self._lse(np.stack(rows), axis=0)
-        return ends, fwd, bwd, float(self._lse(fwd[lat.n]))
-
-    def fit(self, data: list[tuple[Lattice, dict[tuple[int, int], int]]], epochs: int = EPOCHS, rate: float = 0.5) -> None:
+    def sums(self, x: Batch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Scores of segments, forward and backward log sums by position and label, log Z of each lattice.
+
+        The label is that of the segment that ends (forward) or of the one before that starts (backward) there.
+        """
+        score = self.w[x.feats].sum(axis=1) + x.mask
+        fwd = np.full((x.positions, WIDTH), NEVER)
+        fwd[x.first, 0] = 0
+        for k in x.by_end:
+            got, at = _merged(_lse(fwd[x.start[k]][:, :, None] + self.t, 1) + score[k], x.end[k])
+            fwd[at] = got
+        bwd = np.full((x.positions, WIDTH), NEVER)
+        bwd[x.final] = 0
+        for k in x.by_start:
+            got, at = _merged(_lse(self.t + (score[k] + bwd[x.end[k]])[:, None, :], 2), x.start[k])
+            bwd[at] = got
+        return score, fwd, bwd, _lse(fwd[x.final], 1)
+
+    def gradient(self, x: Batch) -> tuple[np.ndarray, np.ndarray, float]:
+        """Of the log-likelihood of the gold segmentations by features and transitions, and the log-likelihood."""
+        score, fwd, bwd, z = self.sums(x)
+        after = score + bwd[x.end] - z[x.b][:, None]
+        pair = np.exp(np.minimum(fwd[x.start][:, :, None] + self.t + after[:, None, :], 0))
+        miss = x.gold - pair.sum(axis=1)
+        dw = np.zeros_like(self.w)
+        np.add.at(dw, x.feats, miss[:, None, :])
+        dw[FEATURES] = 0
+        own = float((np.where(x.gold > 0, score, 0)).sum() + (x.steps * self.t).sum() - z.sum())
+        return dw, x.steps - pair.sum(axis=0), own
+
+    def fit(self, data: list[tuple[Lattice, dict[tuple[int, int], int]]], epochs: int = EPOCHS, rate: float = 0.3) -> None:
         """data: a lattice and the labels of its entity segments (by first and end token)."""
-        gw, gt = np.full_like(self.w, 1e-6), np.full_like(self.t, 1e-6)
+        batches = [Batch(data[at : at + SOME]) for at in range(0, len(data), SOME)]
+        gw, gt = np.zeros_like(self.w), np.zeros_like(self.t)
         for _ in range(epochs):
-            for lat, gold in data:
-                ends, fwd, bwd, z = self.sums(lat)
-                dt = np.zeros_like(self.t)
-                inside = {k for i, j in gold for k in range(i, j)}
-                prev, touched = 0, []
-                for e in range(1, lat.n + 1):
-                    for i, s, f in ends[e]:
-                        into = self._lse(fwd[i][:, None] + self.t, axis=0)
-                        p = np.exp(into + s + bwd[e] - z)
-                        g = -p
-                        g[~np.isfinite(s)] = 0
-                        label = gold.get((i, e)) if e - i > 1 or (i, e) in gold else None
-                        if e - i == 1 and np.isfinite(s[0]) and i not in inside:
-                            g[0] += 1
-                        elif label and not np.isfinite(s[0]):
-                            g[label] += 1
-                        if np.abs(g).max() > 1e-4:
-                            touched.append((f, g))
-                        dt -= np.exp(fwd[i][:, None] + self.t + (s + bwd[e])[None, :] - z)
-                at = 0
-                while at < lat.n:
-                    step = next(((j, y) for (i, j), y in gold.items() if i == at), (at + 1, 0))
-                    dt[prev, step[1]] += 1
-                    prev, at = step[1], step[0]
-                for f, g in touched:
-                    for x in f:
-                        gw[:, x] += g * g
-                        self.w[:, x] += rate * g / np.sqrt(gw[:, x] + 0.1)
+            for x in batches:
+                dw, dt, _ = self.gradient(x)
+                dw -= 1e-3 * self.w
+                gw += dw * dw
                 gt += dt * dt
+                self.w += rate * dw / np.sqrt(gw + 0.1)
                 self.t += 0.2 * rate * dt / np.sqrt(gt + 0.1)
         self.fitted = True
 
     def best(self, lat: Lattice) -> list[tuple[int, int, int]]:
         """The likeliest segmentation's entity segments: first token, end token, label."""
-        ends, width = self._segments(lat), len(KINDS) + 1
-        top = np.full((lat.n + 1, width), -np.inf)
+        top = np.full((lat.n + 1, WIDTH), NEVER)
         top[0, 0] = 0
-        back: list[list] = [[None] * width for _ in range(lat.n + 1)]
-        for e in range(1, lat.n + 1):
-            for i, s, _ in ends[e]:
-                into = top[i][:, None] + self.t
-                prev = into.argmax(axis=0)
-                got = into[prev, np.arange(width)] + s
-                for y in np.flatnonzero(got > top[e]):
-                    top[e, y], back[e][y] = got[y], (i, int(prev[y]))
+        start, prev = np.zeros((lat.n + 1, WIDTH), np.int32), np.zeros((lat.n + 1, WIDTH), np.int8)
+        for i in range(lat.n):
+            into = top[i][:, None] + self.t
+            before = into.argmax(axis=0)
+            into = into[before, range(WIDTH)]
+            for j, f, labels in [(i + 1, lat.outside(i), [0]), *lat.segments(i)]:
+                s = self.w[f].sum(axis=0)
+                for y in labels:
+                    if into[y] + s[y] > top[j, y]:
+                        top[j, y], start[j, y], prev[j, y] = into[y] + s[y], i, before[y]
         out, e, y = [], lat.n, int(top[lat.n].argmax())
         while e > 0:
-            i, before = back[e][y]
+            i, before = int(start[e, y]), int(prev[e, y])
             if y:
                 out.append((i, e, y))
             e, y = i, before
@@ -310,16 +369,22 @@ class Field:
 
 
 def added_spans(text: str, base: list[Span], field: Field) -> list[Span]:
-    out = []
+    out: list[Span] = []
     if not field.fitted:
         return out
+    held: list[list[int]] = []  # stretches that base spans cover
+    for a, b, _ in sorted(base):
+        if held and a <= held[-1][1]:
+            held[-1][1] = max(held[-1][1], b)
+        else:
+            held.append([a, b])
+    ends = [b for _, b in held]
     for a, b in regions(text):
         lat = Lattice(text[a:b], a)
-        if not lat.spans:
-            continue
         for i, j, y in field.best(lat):
             start, end = lat.tokens[i][1], lat.tokens[j - 1][2]
-            if not any(s < end and start < e for s, e, _ in base):
+            k = bisect.bisect_right(ends, start)
+            if k == len(held) or held[k][0] >= end:
                 out.append((start, end, KINDS[y - 1]))
     return out
 
@@ -343,7 +408,28 @@ def _rewritten(kind: str, span: str, rng: np.random.Generator) -> str:
 def _nothing(rng: np.random.Generator) -> str:
     """A number that is no personal data."""
     r = lambda a, b: int(rng.integers(a, b))
-    return (f"{r(1900, 2100)}-{r(1, 13):02d}-{r(1, 29):02d}", f"{r(1, 99)},{r(100, 999)},{r(100, 999)}.{r(10, 99)}", f"{r(0, 2**62):x}", f"{r(10**7, 10**8)}", f"{r(1, 30)}.{r(1, 13)}.{r(1900, 2100)} {r(10, 24)}:{r(10, 60)}:{r(10, 60)}", f"v{r(1, 9)}.{r(0, 99)}.{r(0, 999)}-{r(1000, 9999)}")[r(0, 6)]
+    forms = (
+        lambda: f"{r(1900, 2100)}-{r(1, 13):02d}-{r(1, 29):02d}",
+        lambda: f"{r(1900, 2100)}-{r(1, 13):02d}-{r(1, 29):02d} {r(0, 24):02d}:{r(0, 60):02d}:{r(0, 60):02d}",
+        lambda: f"{r(1, 30):02d}.{r(1, 13):02d}.{r(1900, 2100)}",
+        lambda: f"{r(1, 99)},{r(100, 999)},{r(100, 999)}.{r(10, 99)}",
+        lambda: f"{r(0, 2**62):x}",
+        lambda: f"{r(10**6, 10 ** r(7, 16))}",
+        lambda: f"{r(1, 30)}.{r(1, 13)}.{r(1900, 2100)} {r(10, 24)}:{r(10, 60)}:{r(10, 60)}",
+        lambda: f"v{r(1, 9)}.{r(0, 99)}.{r(0, 999)}-{r(1000, 9999)}",
+        lambda: f"{r(1, 9)}.{r(0, 99)}.{r(300, 999)}.{r(1000, 9999)}",
+        lambda: f"97{r(8, 10)}-{r(0, 10)}-{r(100, 999)}-{r(10000, 99999)}-{r(0, 10)}",
+        lambda: f"{r(0, 90)}.{r(10**5, 10**6)}, {r(0, 180)}.{r(10**5, 10**6)}",
+        lambda: f"{r(1800, 2000)}-{r(2000, 2100)}, {r(100, 999)} pages",
+        lambda: f"{r(10, 99)}/{r(1000, 9999)}/{r(10**4, 10**5)}",
+        lambda: f"{r(1000, 9999)} {r(1000, 9999)} {r(1000, 9999)} {r(100, 999)}",
+        lambda: " ".join(str(r(1, 999)) for _ in range(r(4, 7))),
+        lambda: ", ".join(str(r(1, 9999)) for _ in range(r(3, 6))),
+        lambda: f"{r(10**13, 10**14)}",
+        lambda: f"0.{r(10**6, 10**12)}",
+        lambda: f"#{r(10**6, 10**9)}-{r(10, 99)}",
+    )
+    return forms[r(0, len(forms))]()
 
 
 def train(texts: list[str], seed: int = 9) -> Field:
@@ -353,12 +439,13 @@ def train(texts: list[str], seed: int = 9) -> Field:
         lat = Lattice(left + span + right)
         first = next((i for i, t in enumerate(lat.tokens) if t[1] == len(left)), None)
         last = next((i + 1 for i, t in enumerate(lat.tokens) if t[2] == len(left) + len(span)), None)
-        if first is not None and last is not None and (not label or any((i, j) == (first, last) for i, j, _ in lat.spans)):
-            data.append((lat, {(first, last): label} if label else {}))
+        if not label:
+            data.append((lat, {}))
+        elif first is not None and last is not None and any(j == last and label in labels for j, _, labels in lat.segments(first)):
+            data.append((lat, {(first, last): label}))
 
     for text in texts:
-        spans = base_spans(text)
-        for start, end, kind in spans[:4]:
+        for start, end, kind in base_spans(text)[:SPANS]:
             left, right = text[max(0, start - 24) : start], text[end : end + 24]
             if TRIGGER.search(left) or TRIGGER.search(right):
                 continue
@@ -366,18 +453,18 @@ def train(texts: list[str], seed: int = 9) -> Field:
             add(left, text[start:end], right, label)
             add(left, _rewritten(kind, text[start:end], rng), right, label)
             add(left, _nothing(rng), right, 0)
+            add(left, _nothing(rng), right, 0)
     if data:
-        order = rng.permutation(len(data))[: 4 * MOST]
-        field.fit([data[i] for i in order])
+        field.fit([data[i] for i in rng.permutation(len(data))[:EXAMPLES]])
     return field
 
 
 def sample(docs: DataFrame, most: int = MOST, key: str = "doc_id", text: str = "text") -> list[str]:
-    """At most `most` texts of up to 32,768 code points with an at sign, a plus or a long number, by the hash of their ids."""
-    some = docs.filter((F.char_length(text) <= 32_768) & F.col(text).rlike(r"@[A-Za-z0-9-]+\.|\+[0-9][ ().0-9-]{8}|[0-9]{14}|[0-9]\.[0-9]+\.[0-9]+\.[0-9]"))
-    ids = some.select(key).orderBy(F.xxhash64(key), key).limit(most).distinct()
-    rows = some.select(key, text).join(F.broadcast(ids), key).dropDuplicates([key]).collect()  # at most `most` ids
-    return [r[1] for r in sorted(rows, key=lambda r: r[0])]
+    """At most `most` texts with an at sign, a plus or a long number, in one pass: the least hash in each of `most` classes."""
+    some = docs.filter((F.char_length(text) <= MOST_CHARS) & F.col(text).rlike(r"@[A-Za-z0-9-]+\.|\+[0-9][ ().0-9-]{8}|[0-9]{14}|[0-9]\.[0-9]+\.[0-9]+\.[0-9]"))
+    hashed = some.select(F.xxhash64(key, text).alias("h"), F.col(text).alias("t"))
+    rows = hashed.groupBy(F.pmod("h", F.lit(most)).alias("class")).agg(F.min(F.struct("h", "t")).alias("m")).select("class", "m.t").collect()  # at most `most` rows
+    return [r[1] for r in sorted(rows)]
 
 
 def _digest(spans: list[Span]) -> str:
