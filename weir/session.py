@@ -9,7 +9,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-BATCH_ROWS = 2000
+#: Texts are long: fewer rows and bytes to an Arrow batch keep executors' and Python workers' buffers small.
+BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
 _own_dirs: dict[str, str] = {}
 
 
@@ -51,13 +52,19 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Tables written to the shared folder, which cut lineage and outlive lost executors."""
+    """Tables written to the shared folder, which cut lineage and outlive lost executors.
+
+    Lowers the session's bounds of Arrow batches to BATCH_ROWS and BATCH_BYTES if they are higher: results are lazy, so
+    the bounds must hold when they are computed.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        # Texts are long: fewer rows to an Arrow batch keep executors' and Python workers' buffers small.
-        if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
-            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+        for bound, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+            own = spark.conf.get(f"spark.sql.execution.arrow.{bound}")
+            size = own.removesuffix("b")
+            if not size.isdigit() or not 0 < int(size) <= most:
+                spark.conf.set(f"spark.sql.execution.arrow.{bound}", most)
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.n = 0
 
