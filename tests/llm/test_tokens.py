@@ -7,6 +7,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from weir.llm import packing, token_files, tokens
+from weir.llm import text as tx
 from weir.session import Scratch
 
 ODD = ["", " a", "a  b", "x\n\ny", "it's 'l l' don't", "Ä ß ﬁ Σας", "a <|endoftext|> b", "tab\tx y", "a  b c", "a b", "“q” ’s", None, "x\x01y z", "A\nB \x1c c", "\n", "  ", "日本語 text", "a" * 5000]
@@ -77,3 +78,58 @@ def test_code_lengths_are_limited_and_near_the_entropy(n):
     p = c / c.sum()
     # Without the limit a code is within a bit of the entropy; 49,000 ids leave little room below 16 bits each.
     assert n < 3 or (p * bits).sum() <= (-(p * np.log2(p)).sum() + 1 if n < 1000 else token_files.LIMIT)
+
+
+@pytest.mark.parametrize("n", [2, 5, 60, 400])
+def test_code_lengths_are_optimal(n):
+    """Where no code is longer than the limit, the total is that of Huffman's algorithm; else of the best of all limited codes."""
+    import heapq
+
+    c = np.random.default_rng(n).integers(1, 1000, n)
+    heap, total = c.tolist(), 0
+    heapq.heapify(heap)
+    while len(heap) > 1:
+        both = heapq.heappop(heap) + heapq.heappop(heap)
+        total += both
+        heapq.heappush(heap, both)
+    assert (c * token_files.code_lengths(c)).sum() == total
+    steep = np.array([1, 1, 2, 4, 8, 16])
+    from itertools import product
+
+    best = min(sum(a * b for a, b in zip(steep.tolist(), bits, strict=True)) for bits in product(range(1, 4), repeat=6) if sum(2.0**-b for b in bits) <= 1)
+    assert (steep * token_files.code_lengths(steep, 3)).sum() == best
+
+
+def test_more_ids_than_short_codes():
+    n = 100_000
+    r = np.random.default_rng(0)
+    assert token_files.limit_of(n) == 18 and token_files.limit_of(1 << 16) == 16
+    with pytest.raises(ValueError, match="more ids"):
+        token_files.limit_of(1 << 20)
+    ids = np.arange(n)
+    bits = token_files.code_lengths(r.zipf(1.2, n).clip(1, 10**9).astype(np.int64), 18)
+    by, length, code = token_files.canonical(ids, bits, 18)
+    bit_of, code_of = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    bit_of[by], code_of[by] = length, code
+    text = r.integers(0, n, 5000)
+    bounds = np.array([0, 1, 700, 5000])
+    data, edge, marks = token_files.encode(text, bounds, bit_of, code_of)
+    assert (token_files.decode(data, marks, np.diff(bounds), edge, *token_files.tables(ids, bits)) == text).all()
+
+
+def test_piece_table_grows():
+    table = tokens._Table()
+    keys = tx.mix(np.arange(1, 5_000_001, dtype=np.uint64))
+    table.add(keys[:3])
+    table.add(keys[3:])
+    assert (table.find(keys) == np.arange(len(keys))).all() and (table.find(tx.mix(np.arange(6_000_000, 6_000_009, dtype=np.uint64))) == -1).all()
+
+
+def test_a_text_of_many_new_words(monkeypatch):
+    monkeypatch.setattr(tokens, "MOST", 1000)
+    spec = tokens.load(public_tokenizers.path("word_bpe_49k.json"))
+    enc, lib = tokens.Encoder(spec, "word"), Tokenizer.from_str(spec)
+    for at in (0, 30_000):
+        text = " ".join(f"w{i}x" for i in range(at, at + 30_000))
+        ids, _ = enc(pa.array([text]))
+        assert ids.tolist() == lib.encode(text, add_special_tokens=False).ids

@@ -1,19 +1,58 @@
-"""What the operators share: keeping and dropping rows by id, and size-checked broadcasts."""
+"""What the operators share: marks that tell rows apart, dropping rows by mark, and size-checked broadcasts."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Rows of at most a few dozen bytes that may be broadcast; beyond it a shuffled join does the same.
+#: What may be broadcast; beyond either bound a shuffled join does the same.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 32 << 20
+
+#: Columns of a row's mark: its id (that of a null id is NO_ID) and a hash of all its columns.
+MARK = ["_mark_id", "_mark_row"]
+NO_ID = -(2**63)
+
+
+def fits(df: DataFrame, most: int = BROADCAST_ROWS) -> bool:
+    """Whether `df` has at most `most` rows and BROADCAST_BYTES, both counted."""
+    wide = [F.col(quoted(f.name)) for f in df.schema.fields if not isinstance(f.dataType, (T.NumericType, T.BooleanType))]
+    size = F.octet_length(F.to_json(F.struct(*wide))) if wide else F.lit(0)
+    rows, chars = df.limit(most + 1).select(size.alias("_size")).agg(F.count("*"), F.coalesce(F.sum("_size"), F.lit(0))).first()
+    return rows <= most and chars + 8 * rows * len(df.columns) <= BROADCAST_BYTES
 
 
 def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """`df`, marked for broadcast only if it has at most `most` rows (counted); narrow rows only."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df.hint("merge")
+    """`df`, marked for broadcast only if it `fits`, else for a merge join, whose hot keys Spark splits."""
+    return F.broadcast(df) if fits(df, most) else df.hint("merge")
+
+
+def _hashable(kind: T.DataType) -> bool:
+    if isinstance(kind, T.ArrayType):
+        return _hashable(kind.elementType)
+    if isinstance(kind, T.StructType):
+        return all(_hashable(f.dataType) for f in kind.fields)
+    return not isinstance(kind, (T.MapType, T.VariantType))
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def mark(docs: DataFrame, key: str = "doc_id") -> list[Column]:
+    """The columns MARK. Rows with equal marks are equal in all columns (maps aside), so any one may stand for them."""
+    every = [F.col(quoted(f.name)) for f in docs.schema.fields if _hashable(f.dataType)]
+    return [F.coalesce(F.col(quoted(key)).cast("long"), F.lit(NO_ID)).alias(MARK[0]), F.xxhash64(*every).alias(MARK[1])]
+
 
+def without(docs: DataFrame, dropped: DataFrame, key: str = "doc_id", twins: DataFrame | None = None) -> DataFrame:
+    """`docs` without the rows marked in `dropped` (a written table), and with one row only of each mark in `twins`.
 
-def without(docs: DataFrame, dropped: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Rows of `docs` whose id is not among `dropped` (a written table of ids). A null id is never dropped."""
-    return docs.join(small(dropped.select(key)), key, "left_anti")
+    Rows go one by one, whatever others share their id.
+    """
+    left = docs.select("*", *mark(docs, key)).join(small(dropped.select(*MARK)), MARK, "left_anti")
+    if twins is not None and not twins.isEmpty():
+        some = small(twins.select(*MARK))
+        left = left.join(some, MARK, "left_anti").unionByName(left.join(some, MARK, "left_semi").dropDuplicates(MARK))
+    return left.drop(*MARK)

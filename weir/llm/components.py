@@ -15,9 +15,9 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     while True:
         both = at.unionByName(at.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").filter("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(low.hint("merge"), "u").filter("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        hop = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        hop = large.join(low.hint("merge"), "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         step = scratch.put(hop.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "star")
         now = step.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003)).first()
         scratch.drop(at)

@@ -21,7 +21,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weir.llm.base import small, without
+from weir.llm.base import MARK, NO_ID, mark, quoted, small, without
 from weir.session import Scratch, table
 
 WINDOW, SHINGLE = 13, 3
@@ -49,8 +49,14 @@ def shingles(words: DataFrame, k: int, *keep: str) -> DataFrame:
 
 def contamination(docs: DataFrame, items: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "text", item: str = "item_id") -> DataFrame:
     """One row for each document: id, n_words, n_hit, n_items, items_sha256, contaminated."""
-    mark = [F.coalesce(F.col(key).cast("long"), F.lit(-(2**63))).alias("_id"), F.xxhash64(F.col(text)).alias("_rk")]
-    words = docs.select(F.col(key).alias("_doc"), *mark, word_array(F.col(text)).alias("ws"))
+    return judged(docs, items, scratch, key, text, item).drop(*MARK)
+
+
+def judged(docs: DataFrame, items: DataFrame, scratch: Scratch, key: str, text: str, item: str) -> DataFrame:
+    """The rows of `contamination`, each with its mark."""
+    plain = F.col(quoted(text))
+    own = [F.coalesce(F.col(quoted(key)).cast("long"), F.lit(NO_ID)).alias("_id"), F.xxhash64(plain).alias("_rk")]
+    words = docs.select(F.col(quoted(key)).alias("_doc"), *mark(docs, key), *own, word_array(plain).alias("ws"))
     wins = scratch.put(windows(items, item).withColumn("w", F.xxhash64("win")), "windows")
     sized = [r[0] for r in wins.select(F.least(F.size("win"), F.lit(SHINGLE))).distinct().collect()]  # at most SHINGLE values
 
@@ -92,10 +98,11 @@ def _report(words: DataFrame, hits: DataFrame, key: str) -> DataFrame:
     )
     per = hits.groupBy("_id", "_rk").agg(F.collect_set(F.struct("start", "len")).alias("spans"), F.collect_set("item").alias("items"))  # bounded by the document's words and items
     per = per.select("_id", "_rk", cover.cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(F.array_sort(F.transform("items", lambda i: i.cast("string"))), ",").cast("binary"), 256).alias("items_sha256"))
-    every = words.select("_doc", "_id", "_rk", F.size("ws").cast("long").alias("n_words"))
+    every = words.select("_doc", *MARK, "_id", "_rk", F.size("ws").cast("long").alias("n_words"))
     out = every.join(per, ["_id", "_rk"], "left")
     hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     return out.select(
+        *MARK,
         F.col("_doc").alias(key),
         "n_words",
         hit.alias("n_hit"),
@@ -106,8 +113,8 @@ def _report(words: DataFrame, hits: DataFrame, key: str) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, items: DataFrame, scratch: Scratch, key: str = "doc_id") -> DataFrame:
-    """`docs` without the contaminated ones."""
-    return without(docs, scratch.put(contamination(docs, items, scratch, key).filter("contaminated").select(key).distinct(), "dropped"), key)
+    """`docs` without the contaminated rows."""
+    return without(docs, scratch.put(judged(docs, items, scratch, key, "text", "item_id").filter("contaminated").select(*MARK).distinct(), "dropped"), key)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,10 +1,15 @@
 """Exact duplicates by progressive refinement: length, then prefix hash, then full hash of the surviving groups.
 
-Texts are equal when identical after deleting ASCII white space. Only DataFrame functions are used.
+Texts are equal when identical after deleting ASCII white space. Each step looks at the rows that the step before left:
+prefixes of texts whose length occurs twice, whole contents of those whose length and prefix do (if these pairs are too
+many to be broadcast, of all whose length does, since shuffling a text costs more than hashing it). Only DataFrame
+functions are used. The report adds the full hash of every text, as its contract asks; keeping one row of each group does not.
 
 Defined cases: a null text counts as empty, and all empty texts form one group; a null id loses ties and is never
-preferred to a present one; rows repeated under one id count one by one in group_size and share the verdict of that id;
-an empty table gives an empty result; extra columns are ignored, whatever their names.
+preferred to a present one; texts of equal length and id: the row with the smallest hash of all columns stays; rows
+repeated under one id count one by one in group_size and are judged by their own text, in the report those of one id and
+text alike, while one row only is kept; a very long text is hashed where it is read and never shuffled; an empty table
+gives an empty result; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -12,10 +17,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weir.llm.base import small
+from weir.llm.base import MARK, fits, mark, quoted, small, without
 from weir.session import Scratch, table
 
 PREFIX = 64
+#: Different lengths that occur twice; fewer than the longest text has bytes, 8 bytes each.
+LENGTHS = 4_000_000
 BLANK = "[\\x20\\x09-\\x0D]+"
 
 
@@ -23,28 +30,47 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), BLANK, "")
 
 
-def fingerprints(docs: DataFrame, key: str, text: str, full: bool) -> DataFrame:
-    """Length of the normalised and of the original text and the prefix hash; the full hash if `full`."""
-    norm = docs.select(F.col(key).alias("_id"), F.char_length(F.coalesce(F.col(text), F.lit(""))).cast("long").alias("_cp"), normalised(F.col(text)).alias("_norm"))
-    cols = ["_id", "_cp", F.octet_length("_norm").alias("_n"), F.xxhash64(F.substring("_norm", 1, PREFIX)).alias("_head")]
-    return norm.select(*cols, *([F.sha2(F.col("_norm").cast("binary"), 256).alias("_sha")] if full else []))
+def rows_of(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """Id, mark, code points of the original text (_cp), the normalised text and its length in bytes (_n)."""
+    plain = F.col(quoted(text))
+    norm = docs.select(F.col(quoted(key)).alias("_id"), *mark(docs, key), F.char_length(F.coalesce(plain, F.lit(""))).cast("long").alias("_cp"), normalised(plain).alias("_norm"))
+    return norm.withColumn("_n", F.octet_length("_norm"))
 
 
-def copies(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Groups of at least two equal texts: _sha, keep_id, group_size. Full hashes are taken of surviving groups only."""
-    marks = fingerprints(docs, key, text, full=False)
-    pair = scratch.put(marks.groupBy("_n", "_head").agg(F.count("*").alias("_c")), "prefixes")
-    lengths = pair.groupBy("_n").agg(F.sum("_c").alias("_c")).filter("_c > 1").select("_n")
-    alive = pair.filter("_c > 1").join(lengths, "_n", "left_semi").select("_n", "_head")
-    whole = fingerprints(docs, key, text, full=True).join(small(alive), ["_n", "_head"], "left_semi")
-    best = F.min(F.struct((-F.col("_cp")).alias("a"), F.col("_id").isNull().alias("b"), F.col("_id").alias("c")))
-    return whole.groupBy("_sha").agg(best.alias("_best"), F.count("*").alias("group_size")).filter("group_size > 1").select("_sha", F.col("_best.c").alias("keep_id"), "group_size")
+def head() -> Column:
+    return F.xxhash64(F.substring("_norm", 1, PREFIX)).alias("_head")
+
+
+def full() -> Column:
+    return F.sha2(F.col("_norm").cast("binary"), 256).alias("_sha")
+
+
+def copies(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Rows whose text may not be the only one of its kind (_id, mark, _sha), and groups of two or more equal texts.
+
+    Groups: _sha, keep_id, keep_mark, group_size.
+    """
+    rows = rows_of(docs, key, text)
+    lengths = scratch.put(rows.groupBy("_n").agg(F.count("*").alias("c")).filter("c > 1").select("_n"), "lengths")
+    second = rows.join(small(lengths, LENGTHS), "_n", "left_semi")
+    pairs = scratch.put(second.groupBy("_n", head()).agg(F.count("*").alias("c")).filter("c > 1").select("_n", "_head"), "prefixes")
+    if fits(pairs):
+        third = second.withColumn("_head", head()).join(F.broadcast(pairs), ["_n", "_head"], "left_semi").select("_id", *MARK, "_cp", full())
+    else:  # hashes are shuffled, not texts
+        third = second.select("_id", *MARK, "_cp", "_n", head(), full()).join(pairs.hint("merge"), ["_n", "_head"], "left_semi")
+    alive = scratch.put(third.select("_id", *MARK, "_cp", "_sha"), "alive")
+    best = F.min(F.struct((-F.col("_cp")).alias("a"), F.col("_id").isNull().alias("b"), F.col("_id").alias("c"), F.col(MARK[1]).alias("d"))).alias("best")
+    sized = alive.groupBy("_sha").agg(best, F.count("*").alias("group_size")).filter("group_size > 1")
+    groups = scratch.put(sized.select("_sha", F.col("best.c").alias("keep_id"), F.col("best.d").alias("keep_mark"), "group_size"), "groups")
+    scratch.drop(lengths, pairs)
+    return alive, groups
 
 
 def exact_dedup(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each document: its id, keep_id, group_size, kept and text_sha256."""
-    groups = scratch.put(copies(docs, scratch, key, text), "groups")
-    rows = fingerprints(docs, key, text, full=True).select("_id", "_sha").join(groups, "_sha", "left")
+    alive, groups = copies(docs, scratch, key, text)
+    scratch.drop(alive)
+    rows = rows_of(docs, key, text).select("_id", full()).join(small(groups), "_sha", "left")
     keep = F.when(F.col("group_size").isNull(), F.col("_id")).otherwise(F.col("keep_id"))
     return rows.select(
         F.col("_id").alias(key),
@@ -56,10 +82,12 @@ def exact_dedup(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: st
 
 
 def keep_first(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """`docs` without the rows whose text another row keeps."""
-    from weir.llm.base import without
-
-    return without(docs, scratch.put(exact_dedup(docs, scratch, key, text).filter("NOT kept").select(key).distinct(), "dropped"), key)
+    """`docs` with one row of each group of equal texts. Full hashes are taken of surviving groups only."""
+    alive, groups = copies(docs, scratch, key, text)
+    same = F.col("_id").eqNullSafe(F.col("keep_id")) & (F.col(MARK[1]) == F.col("keep_mark"))
+    judged = scratch.put(alive.join(small(groups), "_sha").select(*MARK, same.alias("stays")), "judged")
+    twins = scratch.put(judged.filter("stays").groupBy(*MARK).agg(F.count("*").alias("c")).filter("c > 1").select(*MARK), "twins")
+    return without(docs, judged.filter("NOT stays"), key, twins)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

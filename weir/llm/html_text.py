@@ -175,7 +175,7 @@ def _naming(name: str) -> int:
     return NAMED if name in IN_TAGS else HEADING if name in HEADINGS else 0
 
 
-def classes(pages: DataFrame) -> DataFrame:
+def classes(pages: DataFrame, scratch: Scratch) -> DataFrame:
     """pages: host, _html. For each host: total (pages), different (pages), tokens (id, up, kind, class, and whether it is an article or main element)."""
     names = ["host", "id", "up", "kind", "named", "mark"]
 
@@ -192,7 +192,8 @@ def classes(pages: DataFrame) -> DataFrame:
 
     seen = pages.select("host", "_html").mapInArrow(run, "host string, id long, up long, kind long, named long, mark long")
     # Hashes of 20 bits, so that sums over any host stay in range; two of them and the size tell occurrence vectors apart.
-    per = seen.groupBy("host", "id", "up", "kind", "named").agg(F.count("*").alias("pages"), F.sum(F.pmod("mark", F.lit(1 << 20))).alias("x"), F.sum(F.pmod(F.shiftright("mark", 24), F.lit(1 << 20))).alias("y"))
+    x, y = (F.sum(F.pmod(F.shiftright("mark", by), F.lit(1 << 20))) for by in (0, 24))
+    per = scratch.put(seen.groupBy("host", "id", "up", "kind", "named").agg(F.count("*").alias("pages"), x.alias("x"), y.alias("y")), "vectors")
     total = per.filter("id = 0").groupBy("host").agg(F.sum("pages").alias("total"), F.count("*").alias("different"))
     wide = per.filter("id <> 0").join(total, "host").filter("2 * pages >= total")
     token = F.struct("id", "up", "kind", "named", F.xxhash64("pages", "x", "y").alias("class"))
@@ -345,7 +346,7 @@ def decide(total: int, different: int, tokens: list[dict], slots: list[dict]) ->
 
 def templates(pages: DataFrame, scratch: Scratch) -> DataFrame:
     """pages: host, _html. host, main (element), inside (tokens), left (slots); of hosts that have a main element."""
-    known = scratch.put(classes(pages).filter("different >= 2"), "classes")
+    known = scratch.put(classes(pages, scratch).filter("different >= 2"), "classes")
     ids = known.select("host", F.transform("tokens", lambda t: t["id"]).alias("ids"), F.transform("tokens", lambda t: t["class"]).alias("own"))
     slots = scratch.put(contents(pages.join(small(ids), "host")), "slots")
     slot = F.struct("is_order", "slot", "n", "top", "total", "fresh")

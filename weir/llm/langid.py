@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from weir.llm import ngrams
 from weir.llm import text as tx
-from weir.llm.base import small, without
+from weir.llm.base import MARK, mark, small, without
 from weir.session import Scratch, table
 
 BUCKETS, LENGTHS, MOST = 1 << 16, (2, 4), 4000
@@ -167,10 +167,10 @@ def pages(table_: DataFrame, langs: list[str], model: np.ndarray, scratch: Scrat
 
 
 def keep_identified(docs: DataFrame, scratch: Scratch, key: str = "doc_id") -> DataFrame:
-    """`docs` without those that are not accepted."""
+    """`docs` without the rows that are not accepted."""
     langs, model = learn(docs, key=key)
-    found = documents(docs, langs, model, scratch, key)
-    return without(docs, scratch.put(found.filter("NOT accepted").select(key).distinct(), "dropped"), key)
+    found = identify(docs.select("*", *mark(docs, key)), langs, model, scratch, MARK, F.col("text"), F.col("source"))
+    return without(docs, scratch.put(found.filter("NOT accepted").select(*MARK).distinct(), "dropped"), key)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,16 +10,25 @@ are verified on full sets.
 Copies with equal sets form a class first; only class representatives are banded. A bucket's members are first compared
 with its center, the member that meets most others in all its buckets, which in a family of copies is nearest to the
 original; that is one pair a member and joins most families. Only buckets whose members then lie in several components
-are looked at again: members outside the bucket's largest component have their sketches compared with all others', in blocks
-of about BLOCK members so that no task holds a large bucket. Each is first linked with its likeliest partner where that
-is verified; then every remaining pair of different components that agrees often enough is verified. Sketches also hold
-the minima of BINS bins of the set (8 bits each), whose agreement tells pairs just below the threshold from links more
-sharply than the registers do. No pair that meets in a bucket goes unexamined. The chance that a pair of similarity s meets in no band is
-(1 - s^ROWS)^BANDS, 7e-6 at 0.8; that sampling error puts one exactly at the threshold out is about 1e-5.
+are looked at again. There the members outside of the bucket's largest component (its hub) have their sketches compared
+with those of all members, in cells of about BLOCK of the former and BLOCK of the latter, so that no task holds a large
+bucket and a member of the hub is sent once for every BLOCK members outside of it. Each member outside is first linked with
+its likeliest partner where that is verified; then every remaining pair of different components that agrees often enough
+is verified. Sketches also hold the minima of BINS bins of the set (8 bits each), whose agreement tells pairs just below
+the threshold from links more sharply than the registers do. No pair that meets in a bucket goes unexamined. The chance
+that a pair of similarity s meets in no band is (1 - s^ROWS)^BANDS, 7e-6 at 0.8; that sampling error puts one exactly at the
+threshold out is about 1e-5.
+
+A key that many rows share (a bucket, a class, a component, the center of a star) is joined with a broadcast side while
+that is small, else by a merge join, whose hot partitions Spark splits; it is never grouped other than by partial sums.
 
 Defined cases: null texts and texts without words have an empty set and are linked with nothing; a text of fewer than
-k words has its whole sequence as one shingle; rows repeated under one id are one node and share its result (they are
-taken to hold the same text); an empty table gives an empty result; extra columns are ignored.
+k words has its whole sequence as one shingle; a very long text is hashed whole, in memory of about 60 times its bytes;
+rows are nodes by their own text, whatever others share their id: rows repeated under one id with the same set share
+their result, those with other sets have their own; a null id is greater than none, so component_id is null only if a
+component has no other id, and `kept` marks the rows that bear their component's id; of a component the row with the least
+id and then the least hash of all columns is kept by `keep_one`, one only if rows repeat; an empty table gives an empty
+result; extra columns are ignored. A similarity below 0.8 is refused, since the bands are laid out for more.
 """
 
 from __future__ import annotations
@@ -28,11 +37,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weir.llm import text as tx
-from weir.llm.base import small, without
+from weir.llm.base import MARK, NO_ID, mark, quoted, small, without
 from weir.llm.components import components
 from weir.session import Scratch, table
 
@@ -60,7 +69,7 @@ def _sets(batch: pa.RecordBatch, k: int, text: str = "text") -> tuple[np.ndarray
 def registers(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """(texts, M) uint16; of an empty set all 0."""
     out = np.zeros((len(bounds) - 1, M), np.uint16)
-    with np.errstate(over="ignore"):
+    with np.errstate(over="ignore", divide="ignore"):
         for i in range(M):
             least = tx.segment(np.minimum, values * _MUL[i] + _ADD[i], bounds, np.uint64(2**64 - 1))
             u = ((least >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
@@ -118,8 +127,8 @@ def _fixed(x: np.ndarray, width: int) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(np.arange(len(x) + 1, dtype=np.int32) * width), pa.py_buffer(x.tobytes())])
 
 
-def sketch(docs: DataFrame, k: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """id, set size n, two sums that identify the set, and the registers."""
+def sketch(docs: DataFrame, k: int) -> DataFrame:
+    """docs: _id, mark, _text. _id, mark, set size n, two sums that identify the set, and the registers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -131,12 +140,11 @@ def sketch(docs: DataFrame, k: int, key: str = "doc_id", text: str = "text") ->
                     d2 = tx.segment(np.add, tx.mix(value ^ np.uint64(0x14057B7EF767814F)), bounds, np.uint64(0))
                 regs = registers(value, bounds).astype("<u2")
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("_id"), pa.array(n, pa.int64()), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), _fixed(regs, 2 * M)],
-                    names=["_id", "n", "d1", "d2", "regs"],
+                    [*(part.column(c) for c in ("_id", *MARK)), pa.array(n, pa.int64()), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), _fixed(regs, 2 * M)],
+                    names=["_id", *MARK, "n", "d1", "d2", "regs"],
                 )
 
-    slim = docs.select(F.col(key).cast("long").alias("_id"), F.col(text).alias("_text"))
-    return slim.mapInArrow(run, "_id long, n long, d1 long, d2 long, regs binary")
+    return docs.mapInArrow(run, f"_id long, {MARK[0]} long, {MARK[1]} long, n long, d1 long, d2 long, regs binary")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -165,101 +173,108 @@ def _likely(threshold: float):
     return run
 
 
-def _bin_sketches(docs: DataFrame, k: int, key: str, text: str) -> DataFrame:
+def _bin_sketches(texts: DataFrame, k: int) -> DataFrame:
+    """texts: cid, _text."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in tx.parts(batch, "_text"):
                 yield pa.RecordBatch.from_arrays([part.column("cid"), _fixed(bin_minima(*_sets(part, k, "_text")), BINS)], names=["cid", "bins"])
 
-    return docs.select(F.col(key).cast("long").alias("cid"), F.col(text).alias("_text")).mapInArrow(run, "cid long, bins binary")
+    return texts.mapInArrow(run, "cid long, bins binary").dropDuplicates(["cid"])
+
 
+def _full_sets(texts: DataFrame, k: int) -> DataFrame:
+    """texts: cid, _text."""
 
-def _full_sets(docs: DataFrame, k: int, key: str, text: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in tx.parts(batch, "_text"):
                 value, bounds = _sets(part, k, "_text")
-                yield pa.RecordBatch.from_arrays([part.column("node"), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(value.view(np.int64)))], names=["node", "s"])
+                yield pa.RecordBatch.from_arrays([part.column("cid"), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(value.view(np.int64)))], names=["cid", "s"])
 
-    return docs.select(F.col(key).cast("long").alias("node"), F.col(text).alias("_text")).mapInArrow(run, "node long, s array<long>")
+    return texts.mapInArrow(run, "cid long, s array<long>")
 
 
 class _Verifier:
     """Pairs (u, v) of classes -> those with the threshold or more, on full sets."""
 
-    def __init__(self, docs: DataFrame, reps: DataFrame, scratch: Scratch, k: int, percent: int, key: str, text: str):
-        self.docs, self.reps, self.scratch, self.k, self.percent, self.key, self.text = docs, reps, scratch, k, percent, key, text
+    def __init__(self, docs: DataFrame, reps: DataFrame, scratch: Scratch, k: int, percent: int):
+        self.docs, self.reps, self.scratch, self.k, self.percent = docs, reps, scratch, k, percent
+
+    def texts(self, nodes: DataFrame) -> DataFrame:
+        """cid and _text of the classes `nodes` (cid), from the row that stands for each (repeated rows: several)."""
+        wanted = self.reps.join(small(nodes), "cid").select("cid", *MARK)
+        return self.docs.join(small(wanted), MARK).select("cid", "_text")
 
     def __call__(self, pairs: DataFrame) -> DataFrame:
         r = self.reps
         first = r.select(F.col("cid").alias("u"), F.col("n").alias("na"), F.col("regs").alias("ra")).join(small(pairs), "u")
-        both = first.join(r.select(F.col("cid").alias("v"), F.col("n").alias("nb"), F.col("regs").alias("rb")), "v")
+        both = first.join(r.select(F.col("cid").alias("v"), F.col("n").alias("nb"), F.col("regs").alias("rb")).hint("merge"), "v")
         likely = self.scratch.put(both.select("u", "v", "na", "nb", "ra", "rb").mapInArrow(_likely(self.percent / 100), "u long, v long, na long, nb long"), "likely")
-        ids = likely.select(F.col("u").alias("node")).unionByName(likely.select(F.col("v").alias("node"))).distinct()
-        wanted = self.docs.join(small(ids.select(F.col("node").alias(self.key))), self.key, "left_semi")
-        sets = self.scratch.put(_full_sets(wanted, self.k, self.key, self.text), "sets")
-        one = sets.dropDuplicates(["node"])
-        got = likely.join(one.select(F.col("node").alias("u"), F.col("s").alias("su")), "u").join(one.select(F.col("node").alias("v"), F.col("s").alias("sv")), "v")
+        ids = self.scratch.put(likely.select(F.col("u").alias("cid")).unionByName(likely.select(F.col("v").alias("cid"))).distinct(), "ids")
+        sets = self.scratch.put(_full_sets(self.texts(ids), self.k).dropDuplicates(["cid"]), "sets")
+        of = lambda c: sets.select(F.col("cid").alias(c), F.col("s").alias(f"s{c}")).hint("merge")
+        got = likely.join(of("u"), "u").join(of("v"), "v")
         met = F.size(F.array_intersect("su", "sv")).cast("long")
         out = self.scratch.put(got.select("u", "v", (F.lit(100) * met).alias("x"), (F.lit(self.percent) * (F.col("na") + F.col("nb") - met)).alias("y")).filter("x >= y").select("u", "v"), "links")
-        self.scratch.drop(likely, sets)
+        self.scratch.drop(likely, ids, sets)
         return out
 
 
 def _blocks(threshold: float, best: bool):
-    """Rows sorted by (key, i, j) -> pairs of members of different components whose sketches agree often enough.
+    """Rows sorted by (key, i, j) -> pairs of an outsider and a member of another component whose sketches agree often enough.
 
-    best: of each member outside the largest component only the pair that agrees most often. Else a pair is examined in
-    the first band it meets in only. The minima of bins are a sample without replacement of the union, nearly all of it
-    for small sets, and their agreement varies the less.
+    A cell (i, j) of a bucket holds some of its members outside of the hub (`row`) and some of all members. best: of each
+    outsider only the pair that agrees most often in the cell. Else a pair is examined in the first band it meets in only.
+    The minima of bins are a sample without replacement of the union, nearly all of it for small sets, and their
+    agreement varies the less.
     """
     least = int(threshold * M - SLACK * (M * threshold * (1 - threshold)) ** 0.5)
 
-    def pairs(cid: np.ndarray, comp: np.ndarray, side: np.ndarray, i: int, j: int, band: int, n: np.ndarray, regs: np.ndarray, bins: np.ndarray) -> list[np.ndarray]:
-        names, code = np.unique(comp, return_inverse=True)
-        if len(names) < 2:
+    def pairs(row: np.ndarray, cid: np.ndarray, comp: np.ndarray, band: int, n: np.ndarray, regs: np.ndarray, bins: np.ndarray) -> list[np.ndarray]:
+        outside, every = np.flatnonzero(row), np.flatnonzero(~row)
+        if not len(outside) or not len(every):
             return []
-        hub = np.bincount(code).argmax()
+        is_out = np.isin(cid[every], cid[outside])  # two outsiders of one cell meet once
         low = (regs & 0xFF).astype(np.uint8)
         out = []
-        for at in range(0, len(cid), 64):
-            here = np.arange(at, min(at + 64, len(cid)))
-            here = here[code[here] != hub]
-            if len(here):
-                agree = (low[here][:, None, :] == low[None, :, :]).sum(axis=2, dtype=np.int16)
-                ok = (agree >= least) & (code[here][:, None] != code[None, :])
-                if i != j:
-                    ok &= side[here][:, None] != side[None, :]
-                if best:
-                    y = np.where(ok, agree, -1).argmax(axis=1)
-                    x = np.flatnonzero(ok[np.arange(len(here)), y])
-                    y = y[x]
-                else:
-                    x, y = np.nonzero(ok)
-                for a in range(0, len(x), 4096):
-                    p, q = here[x[a : a + 4096]], y[a : a + 4096]
-                    if not best:
-                        first = (regs[p] == regs[q]).reshape(len(p), BANDS, ROWS).all(axis=2).argmax(axis=1) == band
-                        p, q = p[first], q[first]
-                    some = np.count_nonzero(bins[p] | bins[q], axis=1)
-                    same = np.count_nonzero((bins[p] == bins[q]) & (bins[p] > 0), axis=1)
-                    left = np.maximum(1 - some * (1 + threshold) / (n[p] + n[q]), 0.05)
-                    near = same >= threshold * some - SLACK * np.sqrt(1.5 * left * some * threshold * (1 - threshold))
-                    out.append(np.stack([cid[p[near]], cid[q[near]]]))
+        for at in range(0, len(outside), 64):
+            here = outside[at : at + 64]
+            agree = np.concatenate([(low[here][:, None, :] == low[every[a : a + 512]][None, :, :]).sum(axis=2, dtype=np.int16) for a in range(0, len(every), 512)], axis=1)
+            ok = (agree >= least) & (comp[here][:, None] != comp[every][None, :])
+            if best:
+                y = np.where(ok, agree, -1).argmax(axis=1)
+                x = np.flatnonzero(ok[np.arange(len(here)), y])
+                y = y[x]
+            else:
+                ok &= ~is_out[None, :] | (cid[here][:, None] < cid[every][None, :])
+                x, y = np.nonzero(ok)
+            for a in range(0, len(x), 1024):
+                p, q = here[x[a : a + 1024]], every[y[a : a + 1024]]
+                if not best:
+                    first = (regs[p] == regs[q]).reshape(len(p), BANDS, ROWS).all(axis=2).argmax(axis=1) == band
+                    p, q = p[first], q[first]
+                some = np.count_nonzero(bins[p] | bins[q], axis=1)
+                same = np.count_nonzero((bins[p] == bins[q]) & (bins[p] > 0), axis=1)
+                left = np.maximum(1 - some * (1 + threshold) / (n[p] + n[q]), 0.05)
+                near = same >= threshold * some - SLACK * np.sqrt(1.5 * left * some * threshold * (1 - threshold))
+                out.append(np.stack([cid[p[near]], cid[q[near]]]))
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, mark = [], None
+        held, mark_ = [], None
 
         def flush() -> Iterator[pa.RecordBatch]:
             if held:
                 t = pa.Table.from_batches(held)
+                held.clear()
                 col = lambda c: t.column(c).to_numpy()
-                found = pairs(col("cid"), col("comp"), col("b"), mark[1], mark[2], int(col("band")[0]), col("n"), _matrix(t.column("regs")), np.frombuffer(b"".join(t.column("bins").to_pylist()), np.uint8).reshape(-1, BINS))
+                regs, bins = _matrix(t.column("regs")), np.frombuffer(b"".join(t.column("bins").to_pylist()), np.uint8).reshape(-1, BINS)
+                found = pairs(col("row"), col("cid"), col("comp"), int(col("band")[0]), col("n"), regs, bins)
                 if found:
                     uv = np.unique(np.sort(np.concatenate(found, axis=1), axis=0), axis=1)
                     yield pa.RecordBatch.from_arrays([pa.array(uv[0]), pa.array(uv[1])], names=["u", "v"])
-                held.clear()
 
         for batch in batches:
             if not batch.num_rows:
@@ -267,65 +282,121 @@ def _blocks(threshold: float, best: bool):
             k, i, j = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "i", "j"))
             cut = np.flatnonzero((k[1:] != k[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
             for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(k)], strict=True):
-                if mark != (k[a], i[a], j[a]):
+                if mark_ != (k[a], i[a], j[a]):
                     yield from flush()
-                    mark = (k[a], i[a], j[a])
+                    mark_ = (k[a], i[a], j[a])
                 held.append(batch.slice(a, b - a))
         yield from flush()
 
     return run
 
 
-def near_classes(docs: DataFrame, scratch: Scratch, k: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row for each document: id, n_shingles, component_id, kept, class_id (smallest id with an equal set)."""
+def _classes(sk: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Classes of equal sets: n, d1, d2, cid, mark of the row that stands for them, regs; and the written table they read.
+
+    cid is that row's id or, where several classes have it, a hash of the set's sums.
+    """
+    held = scratch.put(sk.filter("n > 0").groupBy("n", "d1", "d2").agg(F.min(_last_null(F.struct(*MARK))).alias("rep"), F.first("regs").alias("regs")).select("n", "d1", "d2", "rep.mark.*", "regs"), "classes")
+    shared = held.groupBy(MARK[0]).agg(F.count("*").alias("c")).filter((F.col("c") > 1) | (F.col(MARK[0]) == NO_ID)).select(MARK[0], F.lit(True).alias("shared"))
+    if shared.isEmpty():
+        return held.withColumn("cid", F.col(MARK[0])), held
+    return held.join(small(shared), MARK[0], "left").withColumn("cid", F.when(F.col("shared"), F.xxhash64("n", "d1", "d2")).otherwise(F.col(MARK[0]))).drop("shared"), held
+
+
+def _open_buckets(met: DataFrame, comp: DataFrame) -> DataFrame:
+    """Members of buckets that lie in several components: key, band, cid, comp, row (outside of the hub), c and o (members, outsiders)."""
+    named = met.filter("c > 2").join(small(comp.withColumnRenamed("node", "cid")), "cid", "left").select("key", "c", "band", "cid", F.coalesce("comp", "cid").alias("comp"))
+    sizes = named.groupBy("key", "comp").agg(F.count("*").alias("m"))
+    hubs = sizes.groupBy("key").agg(F.max(F.struct("m", "comp")).alias("hub"), F.sum("m").alias("c"), F.count("*").alias("many")).filter("many > 1")
+    return named.drop("c").join(small(hubs.select("key", F.col("hub.comp").alias("hub"), "c", (F.col("c") - F.col("hub.m")).alias("o"))), "key").withColumn("row", F.col("comp") != F.col("hub")).drop("hub")
+
+
+def _cells(rest: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Members dealt over the cells of their buckets, with their sketches: everyone as a column, outsiders also as rows."""
+    many = lambda c: F.greatest(F.lit(1), F.ceil(F.col(c) / BLOCK)).cast("int")
+    own = lambda c: F.pmod(F.xxhash64("cid"), many(c)).cast("int")
+    every = lambda c: F.explode(F.sequence(F.lit(0), many(c) - 1))
+    dealt = rest.join(sketches.hint("merge"), "cid")
+    kept = ["key", "band", "cid", "comp", "n", "regs", "bins"]
+    columns = dealt.select(*kept, F.lit(False).alias("row"), own("c").alias("j"), every("o").alias("i"))
+    rows = dealt.filter("row").select(*kept, F.lit(True).alias("row"), own("o").alias("i"), every("c").alias("j"))
+    return columns.unionByName(rows).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+
+def judged(docs: DataFrame, scratch: Scratch, k: int, percent: int, key: str, text: str) -> DataFrame:
+    """One row for each document: _id, mark, n, the class's id and mark (low_), and the component's (best_; null without links)."""
     if percent < 80:
         raise ValueError("the bands are laid out for a similarity of 0.8 or more")
-    docs = docs.select(key, text)
-    sk = scratch.put(sketch(docs, k, key, text), "sketch")
-    classes = scratch.put(sk.filter("n > 0").groupBy("n", "d1", "d2").agg(F.min("_id").alias("cid")), "classes")
-    reps = scratch.put(sk.filter("n > 0").join(classes.select(F.col("cid").alias("_id")), "_id", "left_semi").dropDuplicates(["_id"]).select(F.col("_id").alias("cid"), "n", "regs"), "reps")
-    bands = reps.select("cid", "regs").mapInArrow(_bands, "key long, cid long, band byte")
-    met = scratch.put(bands.join(bands.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1"), "key"), "met")
-    score = met.groupBy("cid").agg(F.sum("c").alias("score"))
+    docs = docs.select(F.col(quoted(key)).cast("long").alias("_id"), *mark(docs, key), F.col(quoted(text)).alias("_text"))
+    sk = scratch.put(sketch(docs, k), "sketch")
+    reps, held = _classes(sk, scratch)
+    bands = scratch.put(reps.select("cid", "regs").mapInArrow(_bands, "key long, cid long, band byte"), "bands")
+    counts = scratch.put(bands.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1"), "counts")
+    met = scratch.put(bands.join(small(counts), "key"), "met")
+    scratch.drop(bands, counts)
+    score = scratch.put(met.groupBy("cid").agg(F.sum("c").alias("score")), "score")
     center = F.max(F.struct("score", (-F.col("cid")).alias("m"))).alias("best")
-    centers = met.join(score, "cid").groupBy("key").agg(center).select("key", (-F.col("best.m")).alias("center"))
-    verify = _Verifier(docs, reps, scratch, k, percent, key, text)
-    starred = met.join(centers, "key").filter("cid <> center")
+    centers = scratch.put(met.join(small(score), "cid").groupBy("key").agg(center).select("key", (-F.col("best.m")).alias("center")), "centers")
+    verify = _Verifier(docs, reps, scratch, k, percent)
+    starred = met.join(small(centers), "key").filter("cid <> center")
     tested = scratch.put(starred.select(F.least("cid", "center").alias("u"), F.greatest("cid", "center").alias("v")).distinct(), "tested")
+    scratch.drop(score, centers)
     links = verify(tested)
+    made = [held, tested, links]
     comp = scratch.put(components(links, scratch), "comp")
-    bins = None
-    for best in (True, False):  # buckets that do not yet lie in one component, in blocks of members
-        named = met.filter("c > 2").join(small(comp.withColumnRenamed("node", "cid")), "cid", "left").select("key", "c", "band", "cid", F.coalesce("comp", "cid").alias("comp"))
-        still = named.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a <> b").select("key")
-        rest = scratch.put(named.join(still, "key", "left_semi"), "rest")
+    sketches = None
+    for best in (True, False):  # buckets that do not yet lie in one component
+        rest = scratch.put(_open_buckets(met, comp), "rest")
         if rest.isEmpty():
             break
         if best:  # what is open later is open now
-            own = docs.join(small(rest.select(F.col("cid").alias(key)).distinct()), key, "left_semi")
-            bins = scratch.put(_bin_sketches(own, k, key, text), "bins")
-        parts = F.ceil(F.col("c") / BLOCK).cast("int")
-        cut = rest.join(reps.join(bins.dropDuplicates(["cid"]), "cid").select("cid", "n", "regs", "bins"), "cid").withColumn("b", F.pmod(F.xxhash64("cid"), parts).cast("int"))
-        cut = cut.select("*", F.explode(F.sequence(F.lit(0), parts - 1)).alias("o")).withColumns({"i": F.least("b", "o"), "j": F.greatest("b", "o")})
-        cut = cut.select("key", "i", "j", "b", "band", "cid", "comp", "n", "regs", "bins").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-        fresh = scratch.put(cut.mapInArrow(_blocks(percent / 100, best), "u long, v long").distinct().join(small(tested), ["u", "v"], "left_anti"), "fresh")
+            nodes = scratch.put(rest.select("cid").distinct(), "nodes")
+            bins = scratch.put(_bin_sketches(verify.texts(nodes), k), "bins")
+            sketches = scratch.put(reps.join(small(nodes), "cid").select("cid", "n", "regs").join(bins.hint("merge"), "cid"), "sketches")
+            scratch.drop(bins, nodes)
+        fresh = scratch.put(_cells(rest, sketches).mapInArrow(_blocks(percent / 100, best), "u long, v long").distinct().join(small(tested), ["u", "v"], "left_anti"), "fresh")
         more = None if fresh.isEmpty() else verify(fresh)
+        made += [fresh, more]
         tested = tested.unionByName(fresh)
         if more is not None and not more.isEmpty():
             links = links.unionByName(more)
             old, comp = comp, scratch.put(components(links, scratch), "comp")
             scratch.drop(old)
         scratch.drop(rest)
-    scratch.drop(met, reps, bins)
-    slim = sk.select("_id", "n", "d1", "d2").join(classes, ["n", "d1", "d2"], "left")
-    out = slim.join(comp.withColumnRenamed("node", "cid"), "cid", "left")
-    found = F.coalesce("comp", "cid", "_id")
-    return out.select(F.col("_id").alias(key), F.col("n").alias("n_shingles"), found.alias("component_id"), F.col("_id").eqNullSafe(found).alias("kept"), F.coalesce("cid", "_id").alias("class_id"))
+    scratch.drop(met, sketches)
+    linked = comp.withColumnRenamed("node", "cid").join(reps.select("cid", F.struct(*MARK).alias("own")).hint("merge"), "cid")
+    first = scratch.put(linked.groupBy("comp").agg(F.min(_last_null(F.col("own"))).alias("best")), "first")
+    named = reps.select("n", "d1", "d2", "cid", F.struct(*MARK).alias("low")).join(comp.withColumnRenamed("node", "cid").join(small(first), "comp").select("cid", "best").hint("merge"), "cid", "left")
+    named = scratch.put(named.select("n", "d1", "d2", "low", F.col("best.mark").alias("best")), "named")
+    scratch.drop(*made, comp, first)
+    return sk.select("_id", *MARK, "n", "d1", "d2").join(small(named), ["n", "d1", "d2"], "left").drop("d1", "d2")
+
+
+def _last_null(own: Column) -> Column:
+    """A mark in the order of ids, those without an id last."""
+    return F.struct((own[MARK[0]] == NO_ID).alias("none"), own.alias("mark"))
+
+
+def _number(node: Column, id_: Column) -> Column:
+    """The id of a mark, that of the row itself without one; null for the mark of a null id."""
+    got = node[MARK[0]]
+    return F.when(node.isNull(), id_).when(got != NO_ID, got)
+
+
+def near_classes(docs: DataFrame, scratch: Scratch, k: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row for each document: id, n_shingles, component_id, kept, class_id (smallest id with an equal set)."""
+    found = judged(docs, scratch, k, percent, key, text)
+    class_id = _number(F.col("low"), F.col("_id"))
+    component = _number(F.coalesce("best", "low"), F.col("_id"))
+    return found.select(F.col("_id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("_id").eqNullSafe(component).alias("kept"), class_id.alias("class_id"))
 
 
 def keep_one(docs: DataFrame, scratch: Scratch, k: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """`docs` with one document of each near-duplicate component."""
-    return without(docs, scratch.put(near_classes(docs, scratch, k, percent, key, text).filter("NOT kept").select(key).distinct(), "dropped"), key)
+    """`docs` with one row of each near-duplicate component."""
+    found = judged(docs, scratch, k, percent, key, text).filter("low IS NOT NULL")
+    own = scratch.put(found.select(*MARK, (F.struct(*MARK) == F.coalesce("best", "low")).alias("stays")), "verdicts")
+    twins = scratch.put(own.filter("stays").groupBy(*MARK).agg(F.count("*").alias("c")).filter("c > 1").select(*MARK), "twins")
+    return without(docs, own.filter("NOT stays"), key, twins)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,8 +9,9 @@ belongs to the pattern, copy and place that r falls into, so pieces join pattern
 Sequences are padded to `size`, unless what they hold is a power of two already.
 
 Defined cases: a null or empty text is the end id alone; a text longer than a sequence is cut into several pieces, in
-order, each id in one piece; rows repeated under one id are packed one by one; an empty table gives an empty result;
-extra columns are ignored.
+order, each id in one piece, and takes memory in proportion to its length; null ids stay null; rows repeated under one
+id, with whatever texts, are packed one by one; pieces of equal length are interchangeable; an empty table gives an empty
+result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -51,8 +52,6 @@ def patterns(histogram: dict[int, int], size: int = SIZE) -> list[tuple[int, lis
                 room[gap].append((copies - used, pack))
             room.setdefault(gap - length, []).append((used, [*pack, length]))
             left -= used
-            if gap - length > gap:
-                gap = size
     return [p for gap in sorted(room) for p in room[gap]]
 
 

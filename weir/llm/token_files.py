@@ -1,7 +1,8 @@
 """Token files: ids under a canonical, length-limited Huffman code from global counts, decoded by table.
 
-Format. `codes`: a table (id, bits) of the code lengths, at most LIMIT bits each; the canonical code (shorter codes
-first, then smaller ids) follows from it. `blocks`: rows in ascending document order, each independent of the others,
+Format. `codes`: a table (id, bits) of the code lengths, at most `limit` bits each; the canonical code (shorter codes
+first, then smaller ids) follows from it. The limit is LIMIT, or as many bits as the number of different ids needs and one
+more, up to MOST_BITS. `blocks`: rows in ascending document order, each independent of the others,
 with the documents' ids (doc_ids), their numbers of ids (doc_lens), the document's codes from a byte boundary each
 (bits) and checkpoints (marks): for every STEP-th id of each document the length in bits of the STEP ids before it.
 Blocks carry the number of the range partition (part) they belong to and how many ids of it come before (part_start);
@@ -10,7 +11,9 @@ partitions ascend with the documents. A decoder runs all checkpoints of a block
 Only counts per id, at most the vocabulary, and one row per range partition reach the driver.
 
 Defined cases: a null or empty text is the end id alone; null document ids come first; rows repeated under one id stay
-next to each other, one after the other; an empty table gives an empty result; extra columns are ignored.
+next to each other, in an order of their own; a very long text is one document of one block and takes memory in
+proportion to its length; ids that occur equally often have codes in the order of the ids; more than 2 ** MOST_BITS
+different ids are refused; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,12 +30,20 @@ from weir.llm import text as tx
 from weir.llm import tokens
 from weir.session import Scratch, table
 
-LIMIT, STEP = 16, 64
+LIMIT, MOST_BITS, STEP = 16, 20, 64
 BLOCK_BYTES = 1 << 18
 VOCABULARY = "word_bpe_49k.json"
 END = 2
 
 
+def limit_of(n: int) -> int:
+    """Longest code for n different ids."""
+    limit = max(LIMIT, (n - 1).bit_length() + 1 if n > 1 << LIMIT else LIMIT)
+    if limit > MOST_BITS:
+        raise ValueError("more ids than the decoding table has room for")
+    return limit
+
+
 def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
     """Optimal code lengths of at most `limit` bits by package-merge; counts are positive."""
     n = len(counts)
@@ -59,12 +70,12 @@ def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
     return out
 
 
-def canonical(ids: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def canonical(ids: np.ndarray, bits: np.ndarray, limit: int = LIMIT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """ids, bits and codes, ordered by length and id."""
     order = np.lexsort((ids, bits))
     ids, bits = ids[order], bits[order]
-    width = np.int64(1) << (LIMIT - bits)
-    return ids, bits, (np.cumsum(width) - width) >> (LIMIT - bits)
+    width = np.int64(1) << (limit - bits)
+    return ids, bits, (np.cumsum(width) - width) >> (limit - bits)
 
 
 def encode(ids: np.ndarray, bounds: np.ndarray, bit_of: np.ndarray, code_of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -75,22 +86,23 @@ def encode(ids: np.ndarray, bounds: np.ndarray, bit_of: np.ndarray, code_of: np.
     byte_bounds = np.concatenate([[0], np.cumsum(-(-size // 8))])
     n = np.diff(bounds)
     place = ends[:-1] + np.repeat(byte_bounds[:-1] * 8 - ends[bounds[:-1]], n)
-    value = code << (24 - bits - (place & 7))
-    at, most = place >> 3, int(byte_bounds[-1]) + 3
+    value = code << (32 - bits - (place & 7))
+    at, most = place >> 3, int(byte_bounds[-1]) + 4
     out = np.zeros(most)
-    for k in range(3):
-        out += np.bincount(at + k, weights=(value >> (16 - 8 * k)) & 0xFF, minlength=most)[:most]
+    for k in range(4 if len(bits) and bits.max() > 17 else 3):  # a code and up to 7 bits before it
+        out += np.bincount(at + k, weights=(value >> (24 - 8 * k)) & 0xFF, minlength=most)[:most]
     within = np.arange(len(ids)) - np.repeat(bounds[:-1], n)
     first = np.flatnonzero((within % STEP == 0) & (within > 0))
-    marks = (ends[first] - ends[first - STEP]).astype("<u2")
-    return out[: most - 3].astype(np.uint8), byte_bounds, marks
+    marks = (ends[first] - ends[first - STEP]).astype("<u2")  # at most STEP * MOST_BITS
+    return out[: most - 4].astype(np.uint8), byte_bounds, marks
 
 
 def tables(ids: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For every LIMIT-bit window: the id of the code it begins with and its length."""
-    ids, bits, _ = canonical(ids, bits)
-    many = np.int64(1) << (LIMIT - bits)
-    symbol, length = np.zeros(1 << LIMIT, np.uint32), np.ones(1 << LIMIT, np.uint8)
+    """For every window of `limit` bits: the id of the code it begins with and its length."""
+    limit = limit_of(len(ids))
+    ids, bits, _ = canonical(ids, bits, limit)
+    many = np.int64(1) << (limit - bits)
+    symbol, length = np.zeros(1 << limit, np.uint32), np.ones(1 << limit, np.uint8)
     total = int(many.sum())
     symbol[:total], length[:total] = np.repeat(ids, many), np.repeat(bits, many)
     return symbol, length
@@ -107,12 +119,12 @@ def decode(bits: np.ndarray, marks: np.ndarray, lens: np.ndarray, byte_bounds: n
     step[inner] = marks
     run = np.cumsum(step)
     at = run - np.repeat(run[first], lanes) + np.repeat(byte_bounds[:-1] * 8, lanes)
-    data = np.concatenate([bits, np.zeros(4, np.uint8)]).astype(np.uint32)
+    data = np.concatenate([bits, np.zeros(5, np.uint8)]).astype(np.int64)
     out = np.empty((STEP, total), np.uint32)
-    last = len(data) - 3
+    last, limit = len(data) - 4, len(symbol).bit_length() - 1
     for k in range(STEP):
         byte = np.minimum(at >> 3, last)
-        window = ((data[byte] << 16 | data[byte + 1] << 8 | data[byte + 2]) >> (8 - (at & 7)).astype(np.uint32)) & 0xFFFF
+        window = ((data[byte] << 24 | data[byte + 1] << 16 | data[byte + 2] << 8 | data[byte + 3]) >> (32 - limit - (at & 7))) & (len(symbol) - 1)
         out[k] = symbol[window]
         at = at + length[window]
     keep = np.arange(STEP)[None, :] < np.minimum(STEP, np.repeat(lens, lanes) - (np.arange(total) - np.repeat(first, lanes)) * STEP)[:, None]
@@ -164,10 +176,11 @@ def write(docs: DataFrame, scratch: Scratch, spec: str, end: int = END, key: str
     held = scratch.put(slim.mapInArrow(tokenize, "id long, wide boolean, ids binary"), "ids")
     counts = held.select("wide", "ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).orderBy("id").toPandas()  # at most the vocabulary
     seen = counts["id"].to_numpy(np.int64)
-    bits = code_lengths(counts["n"].to_numpy(np.int64))
+    limit = limit_of(len(seen))
+    bits = code_lengths(counts["n"].to_numpy(np.int64), limit)
     spark = docs.sparkSession
     codes = scratch.put(spark.createDataFrame(list(zip(seen.tolist(), bits.tolist(), strict=True)), "id long, bits long").coalesce(1), "codes")
-    ids_by, bits_by, code_by = canonical(seen, bits)
+    ids_by, bits_by, code_by = canonical(seen, bits, limit)
     bit_of, code_of = np.zeros(int(seen.max(initial=0)) + 1, np.int64), np.zeros(int(seen.max(initial=0)) + 1, np.int64)
     bit_of[ids_by], code_of[ids_by] = bits_by, code_by
 

@@ -4,7 +4,7 @@ Where a text has no doubled, leading or trailing white space, a byte-level BPE n
 feed separates (the space goes with the word after it), and a BPE that drops white space never joins two words. So such
 texts are cut there, the library encodes distinct pieces only, and a table from 64-bit hashes of pieces to id runs gives
 the rest; all other texts go to the library whole. The table is emptied when it holds MOST pieces, which bounds its
-memory. (Two different pieces would have to share a 64-bit hash within one table for an id to be wrong.)
+memory to about 70 MB; it grows beyond that for a slice of texts with more new pieces, in proportion to their length. (Two different pieces would have to share a 64-bit hash within one table for an id to be wrong.)
 """
 
 from __future__ import annotations
@@ -19,8 +19,7 @@ import pyarrow as pa
 
 from weir.llm import text as tx
 
-MOST = 2_400_000
-_SLOTS = 1 << 22
+MOST = 1_000_000
 _BYTE_SEP = np.zeros(256, bool)
 _BYTE_SEP[[0x20, 0x0A]] = True
 _ODD = np.zeros(256, bool)  # white space and the like, which send a text to the library whole
@@ -37,34 +36,45 @@ def load(path: str) -> str:
 
 
 class _Table:
-    """64-bit keys to numbers 0, 1, ... in order of insertion; open addressing, whole arrays at a time."""
+    """64-bit keys (not 0) to numbers 0, 1, ... in order of insertion; open addressing, whole arrays at a time, at most half full."""
 
-    def __init__(self):
-        self.keys, self.values, self.n = np.zeros(_SLOTS, np.uint64), np.zeros(_SLOTS, np.int32), 0
+    def __init__(self, slots: int = 1 << 16):
+        self.keys, self.values, self.n = np.zeros(slots, np.uint64), np.zeros(slots, np.int32), 0
 
     def find(self, keys: np.ndarray) -> np.ndarray:
+        last = len(self.keys) - 1
         out = np.full(len(keys), -1, np.int32)
-        left, slot = np.arange(len(keys)), (keys & np.uint64(_SLOTS - 1)).astype(np.int64)
+        left, slot = np.arange(len(keys)), (keys & np.uint64(last)).astype(np.int64)
         while len(left):
             held = self.keys[slot]
             hit = held == keys[left]
             out[left[hit]] = self.values[slot[hit]]
             go = ~hit & (held != 0)
-            left, slot = left[go], (slot[go] + 1) & (_SLOTS - 1)
+            left, slot = left[go], (slot[go] + 1) & last
         return out
 
     def add(self, keys: np.ndarray) -> None:
         """New, distinct keys."""
         number = np.arange(self.n, self.n + len(keys), dtype=np.int32)
         self.n += len(keys)
-        slot = (keys & np.uint64(_SLOTS - 1)).astype(np.int64)
+        if 2 * self.n > len(self.keys):
+            full = self.keys != 0
+            old, values = self.keys[full], self.values[full]
+            slots = 1 << int(4 * self.n - 1).bit_length()
+            self.keys, self.values = np.zeros(slots, np.uint64), np.zeros(slots, np.int32)
+            self._put(old, values)
+        self._put(keys, number)
+
+    def _put(self, keys: np.ndarray, number: np.ndarray) -> None:
+        last = len(self.keys) - 1
+        slot = (keys & np.uint64(last)).astype(np.int64)
         while len(keys):
             free = np.flatnonzero(self.keys[slot] == 0)
             self.keys[slot[free]] = keys[free]
             won = np.zeros(len(keys), bool)
             won[free] = self.keys[slot[free]] == keys[free]
             self.values[slot[won]] = number[won]
-            keys, number, slot = keys[~won], number[~won], (slot[~won] + 1) & (_SLOTS - 1)
+            keys, number, slot = keys[~won], number[~won], (slot[~won] + 1) & last
 
 
 def _room(x: np.ndarray, n: int) -> np.ndarray:
