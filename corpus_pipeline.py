@@ -5,9 +5,9 @@ keeps one document of each component (five-word shingles, similarity 0.8 or more
 which benchmark windows cover a twentieth or more; packing returns the pieces of training sequences.
 
 Defined cases: each stage handles null and empty texts, repeated rows and empty tables as its operator says. Documents
-without letters are dropped by the first stage, so later ones see none. The four filtering stages drop by id, not by row:
-if different texts share an id and one is rejected, a copy, a near copy or contaminated, all rows of that id go; equal
-rows repeated under one id all stay; a row without an id is never dropped.
+without letters are dropped by the first stage, so later ones see none. The four filtering stages drop by row, not by id:
+rows that share an id, or have none, are judged on their own, and of rows that are equal in all columns one stays after
+deduplication.
 """
 
 from __future__ import annotations
