@@ -6,8 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from weir.functions import python_udfs as u
-from weir.operators import contains, dedup, mix, retrieve, scoring, segment, signals
+from weir.operators import contains, dedup, execute, mix, retrieve, scoring, segment, signals
 
 
 def docs(spark, texts, **more):
@@ -156,16 +155,21 @@ def test_signals(spark):
     assert s.groupBy("run").agg(F.collect_list("value").alias("v")).select(signals.ema(F.col("v")).alias("e")).first().e == pytest.approx(e)
 
 
-def test_python_scalars():
-    assert u.repaired("fÃ¼r Ã¤lter") == "für älter" and u.repaired("für") == "für" and u.repaired(None) is None
-    assert u.folded("Éclair Straße!") == "eclair strasse"
-    assert u.parses("x = 1") and not u.parses("x =")
-    assert u.arithmetic("2 * (3 + 4) ** 2") == 98 and u.arithmetic("__import__('os')") is None and u.arithmetic("1/0") is None
-    assert u.without_breadcrumbs("Sie sind hier: Start > Technik > Der Motor läuft") == "Der Motor läuft"
-    assert u.without_breadcrumbs("Home | A | Text hier") == "Text hier" and u.without_breadcrumbs("a | b") == "a | b"
-
-
-@settings(max_examples=60, deadline=None)
-@given(st.text(max_size=60))
-def test_repair_never_adds_damage(text):
-    assert u.score(u.repaired(text)) <= u.score(text)
+def test_python_scalars(spark):
+    assert execute.folded("Éclair Straße!") == "eclair strasse"
+    assert execute.parses("x = 1") and not execute.parses("x =")
+    for code, want in (("2 * (3 + 4) ** 2", "98"), ("```python\nprint(sqrt(16), max(2, 3))\n7 // 2\n```", "4 3\n3"), ("round(2 * pi, 3)", "6.283"), ("sum([1, 2, 3]) % 4", "2"), ("factorial(5) - -1", "121")):
+        assert execute.calculated(code) == want
+    for code in ("__import__('os')", "1/0", "x = 1", "", "2 ** 5000", "factorial(9999)", "'a' * 3", "pow(2, 99999)", "open('x')", "abs(x=1)", "True + 1"):
+        assert execute.calculated(code) is None, code
+    df = spark.createDataFrame([("Ärger & Café", "1+1", "x = (", "python"), (None, None, None, None), ("", "y", "<filename>a.py\nx = 1", "python"), ("", "", "Text\n```py\nz = 2\n```", "de")], "t string, a string, c string, l string")
+    code = execute.python_part(F.col("c"), F.col("l"))
+    got = df.select(execute.fold(F.col("t")).alias("f"), execute.evaluate(F.col("a")).alias("v"), code.alias("c"), execute.python_ok(code).alias("ok")).collect()
+    assert [tuple(r) for r in got] == [("arger cafe", "2", "x = (", False), (None, None, None, None), ("", None, "x = 1", True), ("", None, "z = 2\n", True)]
+
+
+def test_programs_run_against_tests(spark):
+    tests = '[{"args": [2, 3], "expected": 5}]'
+    rows = [(1, "def add(a, b):\n    return a + b", "add", tests), (2, "def add(a, b):\n    return a - b", "add", tests), (3, "def add(a, b):\n    while True: pass", "add", tests), (4, "import os\ndef add(a, b): return 5", "add", tests), (5, "def other(): pass", "add", tests), (6, None, None, None), (7, "def f(x):\n    return x == [True, None]", "f", '[{"args": [[true, null]], "expected": true}]')]
+    got = execute.verified(spark.createDataFrame(rows, "id long, code string, entrypoint string, tests string"), seconds=2).collect()
+    assert {r.id: r.outcome for r in got} == {1: "pass", 2: "mismatch", 3: "timeout", 4: "refused", 5: "error", 6: "refused", 7: "pass"}

@@ -1,6 +1,7 @@
 """Scenarios of the reject policies on hand-made rows: one text, one expected reason."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from weir.operators import policies, structure
 from weir.plans.curation import Run, Source
@@ -72,6 +73,33 @@ def test_structure_cleaner(spark):
     assert got[6].reason == "mojibake"
 
 
+def test_damaged_texts_are_repaired_not_rejected(spark, judge):
+    broken = PROSE_DE.encode().decode("latin1")
+    assert judge(policies.strict("german"), broken, PROSE_DE + " Das ist \ufffd.") == [None, "mojibake"]
+    got = structure.clean(spark.createDataFrame([(1, (PROSE_DE + " Größe – mit “Anführung”. ").encode().decode("cp1252", "replace").replace("\ufffd", "") * 3), (2, PROSE_DE.replace("gut", "&quot;gut&quot; &amp; sch&ouml;n") * 3), (3, "<p>" + broken * 3 + "</p>")], "doc_id long, text string")).orderBy("doc_id").collect()
+    assert '"gut" & schön' in got[1].structured and got[1].reason is None
+    assert got[2].reason is None and "Brücken" in got[2].structured and "<p>" not in got[2].structured
+
+
+def test_trails_are_cut(spark):
+    lines = {
+        "Home | A | B | Echter Text hier": "Echter Text hier",
+        "Sie befinden sich hier: Startseite > X > Echter Text": "Echter Text",
+        "Sie sind hier: Physik Entropie Isothermer Prozess Isothermer Prozess Zustand bleibt": "Isothermer Prozess Zustand bleibt",
+        "a | b": "a | b",
+        "x" * 50 + " | y | z": "x" * 50 + " | y | z",
+        "You are here no trail and nothing twice": "You are here no trail and nothing twice",
+        "": "",
+    }
+    df = spark.createDataFrame([(k,) for k in lines], "l string").select("l", structure.without_trail(F.col("l")).alias("o"))
+    assert {r.l: r.o for r in df.collect()} == lines
+
+
+def test_speaker_labels_begin_words(spark):
+    df = spark.createDataFrame([("HAMLET. To be. aHAMLET. KING LEAR. xÄHAM. NURSE.ROMEO.",)], "text string")
+    assert df.selectExpr(policies.speaker_labels(policies.T).spark + " AS s").first().s == ["HAMLET", "KING LEAR", "NURSE", "ROMEO"]
+
+
 def test_report_and_samples(spark):
     df = spark.createDataFrame([(i, "x" if i % 2 else PROSE_EN, f"s{i % 3}") for i in range(30)], "doc_id long, text string, source string")
     rows = {r.reason: (r.docs, r.bytes) for r in policies.report(df, policies.quality("english")).collect()}

@@ -116,6 +116,19 @@ def found(x: object, p: str, ci: bool = False) -> E:
     return two("regexp_extract_all({}, {}, 0)", "regexp_extract_all({}, {})", x, pattern(p, ci))
 
 
+def apart(x: object, letters: str, p: str, end: str) -> E:
+    """Matches of `p` before the fixed sign `end`, that no sign of the class `letters` comes before.
+
+    RE2 looks at nothing behind a match, so there the sign before is matched too, and one is put after each end.
+    """
+    return two(
+        "regexp_extract_all({}, {}, 1)",
+        f"regexp_extract_all(replace({{}}, {quote(end)}, {quote(end)} || chr(1)), {{}}, 1)",
+        x,
+        E(text(f"(?<!{letters})({p})\\{end}").spark, text(f"(?:^|[^{letters[1:]})({p})\\{end}").duck),
+    )
+
+
 def sub(x: object, p: str, by: str = "", ci: bool = False) -> E:
     """Replace all matches; groups as $1."""
     import re

@@ -13,7 +13,6 @@ EN_WORDS = "the and or not is are a an with for to of in that this you your we c
 CHAT_DE_WORDS = "der die das und oder nicht ist sind ein eine einer einen mit fuer fur auf von zu im den dem des dass ich du sie wir kann koennen konnen wird werden wenn weil aber auch als wie was warum bitte erklaere erklare beispiel loesung losung antwort deutsch nein ja dies diese dieser".split()
 CHAT_EN_WORDS = "the and or not is are a an with for to of in that this you your we can will if because please explain example solution answer".split()
 SIGNAL_WORDS = "der die das und oder nicht ist sind ein eine einer einen mit auf von zu im den dem des dass auch als wie wird werden fuer ueber für durch bei aus nach über".split()
-MOJIBAKE_HINTS = ("�", "Ã¤", "Ã¶", "Ã¼", "Ã\u009f", "Ã¢â‚¬", "Â ")
 TOC = r"\b(contents?|inhaltsverzeichnis|table of contents|page|seite)\b|(\.{3,}|…{2,})\s*\d{1,5}(\s|$)|(^|\s)(?:[ivxlcdm]{1,8}|\d{1,4})\s+[.\-–—]{2,}\s+\d{1,5}(\s|$)"
 BIBLIO = r"\b(isbn|doi:|copyright|all rights reserved|published by|herausgegeben|verlag|druckerei|bibliothek)\b"
 OCR = r"\b(?:thl|bd\.|s\.\s*\d+|a\.\s*a\.\s*o\.|vgl\.|nr\.|fig\.|tafel|abb\.|cap\.|ibid|ſ|flg\.|u\.\s*s\.\s*w\.)\b|\b[A-Za-zÄÖÜäöüß](?:\s+[A-Za-zÄÖÜäöüß]){4,}\b"
@@ -74,10 +73,7 @@ def list_score(t: E) -> E:
 
 
 def mojibake_score(t: E) -> E:
-    out = x.occurrences(t, "�") * 3
-    for h in MOJIBAKE_HINTS:
-        out = out + x.occurrences(t, h)
-    return out
+    return nz.damage(t, nz.STRICT_HINTS)
 
 
 def language_signal(tokens: E) -> E:

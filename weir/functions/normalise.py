@@ -29,8 +29,49 @@ def unix_lines(t: E) -> E:
     return x.sub(x.sub(t, r"\r\n?", "\n"), r"\x00")
 
 
+# What text read through the wrong one-byte code shows, by cleaner.
+STRICT_HINTS = ("\ufffd", "Ã¤", "Ã¶", "Ã¼", "Ã\u009f", "Ã¢â‚¬", "Â ")
+STRUCTURE_HINTS = ("Ã¤", "Ã¶", "Ã¼", "ÃŸ", "Ã„", "Ã–", "Ãœ", "â€", "Â ", "\ufffd")
+CHAT_HINTS = ("Ã", "Â", "â")
+#: Signs of the Windows code that Latin-1 lacks, and the bytes that stand for them.
+WINDOWS = "€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ"
+WINDOWS_BYTES = "\x80\x82\x83\x84\x85\x86\x87\x88\x89\x8a\x8b\x8c\x8e\x91\x92\x93\x94\x95\x96\x97\x98\x99\x9a\x9b\x9c\x9e\x9f"
+
+
+def damage(t: E, hints: tuple[str, ...]) -> E:
+    """How many hints a text holds; replacement signs count three times more."""
+    out = x.occurrences(t, "\ufffd") * 3
+    for h in hints:
+        out = out + x.occurrences(t, h)
+    return out
+
+
+def read_again(t: E) -> E:
+    """A text of signs below 256 as the UTF-8 that its signs' numbers spell; null if they spell none."""
+    return E(
+        f"CASE WHEN {x.has(t, '^[\\x00-\\xff]*$').spark} AND is_valid_utf8(CAST(encode({t.spark}, 'ISO-8859-1') AS STRING)) THEN CAST(encode({t.spark}, 'ISO-8859-1') AS STRING) END",
+        f"CASE WHEN regexp_full_match({t.duck}, '[\\x00-\\x{{ff}}]*') THEN TRY(decode(from_hex(array_to_string(list_transform(string_split({t.duck}, ''), lambda c: printf('%02X', ord(c))), '')))) END",
+    )
+
+
+def repaired(t: E, hints: tuple[str, ...]) -> E:
+    """The least damaged of a text and its readings as doubly decoded text, through Latin-1 and the Windows code.
+
+    Only texts that hold a hint are read again; of equal readings the first.
+    """
+    latin = read_again(t)
+    plain = x.two("{} RLIKE {}", "regexp_matches({}, {})", t, E(x.text(f"^[^\x80-\x9f]*$").spark, x.text(r"^[^\x{80}-\x{9f}]*$").duck))
+    windows = x.case((plain, read_again(x.both(f"translate({{}}, {x.quote(WINDOWS)}, {x.quote(WINDOWS_BYTES)})", t))))
+    own = damage(x.col("v"), hints)
+    chosen = E(
+        f"array_min(transform(filter(array({t.spark}, {latin.spark}, {windows.spark}), v -> v IS NOT NULL), (v, i) -> struct({own.spark} AS d, i, v))).v",
+        f"list_min(list_transform(list_filter([{t.duck}, {latin.duck}, {windows.duck}], lambda v: v IS NOT NULL), lambda v, i: {{'d': {own.duck}, 'i': i, 'v': v}})).v",
+    )
+    return x.case((x.contains_any(t, hints), chosen), otherwise=t)
+
+
 def strict_text(t: E) -> E:
-    return x.strip(x.sub(unix_lines(t), r"[ \t]{2,}", " "))
+    return x.strip(x.sub(unix_lines(repaired(t, STRICT_HINTS)), r"[ \t]{2,}", " "))
 
 
 def ascii_fold(t: E) -> E:
@@ -113,6 +154,11 @@ def without_list_marks(t: E) -> E:
 
 
 def structured_text(t: E) -> E:
+    """What `raw_structured` does after repair; character references are decoded in between where Python runs (`structure.decoded`)."""
+    return raw_structured(repaired(t, STRUCTURE_HINTS))
+
+
+def raw_structured(t: E) -> E:
     """Control signs, hyphenation at line ends, tags, addresses out; quotes made plain; spaces squeezed line by line."""
     out = x.sub(x.sub(x.sub(t, CONTROL, " "), r"\r\n?", "\n"), r"([\p{L}\p{N}_])-\n([\p{L}\p{N}_])", "$1$2")
     out = x.sub(x.sub(out, r"<[^>]{1,160}>", " "), r"https?://\S+|www\.\S+", " ", ci=True)

@@ -34,7 +34,8 @@ ADULT = r"(online casino|casino bonus|slot machine|sportwetten|porn(?:o|hub)?|xx
 OLDPRINT = r"(\bthun|\bthats(?:a|ä)ch|\bth(?:e|a)il|\bselb(?:st|ige)n?\b|\bverh(?:a|ä)ltni|\bge\s+stellt|\bbe\s+stimm|\bent\s+sch|\bver\s+fahr|\bVerzeichni(?:ß|ss)\b|\bUeber\b|\bGesetzsammlung\b|\bAmtsblatt\b|\bAbtheilung\b|\bCivilproze(?:ß|ss)\b|\bVerwaltungsgericht|[□�]|Å¿)"
 HYPHEN_BREAK = r"\b[A-Za-zÄÖÜäöüß]{2,}-\s+[A-Za-zÄÖÜäöüß]{2,}\b"
 SPACED_WORD = r"\b[A-Za-zÄÖÜäöüß]{2,}\s+[A-Za-zÄÖÜäöüß]{1,3}\s+[A-Za-zÄÖÜäöüß]{2,}\b"
-SPEAKER = r"[A-ZÄÖÜ][A-ZÄÖÜ]{2,}(?:\s+[A-ZÄÖÜ][A-ZÄÖÜ]{2,}){0,2}\."
+SPEAKER = r"[A-ZÄÖÜ][A-ZÄÖÜ]{2,}(?:\s+[A-ZÄÖÜ][A-ZÄÖÜ]{2,}){0,2}"
+LETTERS = "[A-Za-zÄÖÜäöüß]"
 MATH = r"\\\[|\\\(|\b(problem|solution|theorem|lemma|proof|beweis)\b|[=+\-*/^]{3,}"
 MIX_HTML = r"<\s*/?\s*(?:html|body|div|script|style|table|iframe|a)\b|&(?:amp|gt|lt|quot|#x?[0-9a-f]+);"
 MIX_BAD = r"erotik\s+(?:chat|kontakte|shop)|erotik,\s*wohlbefinden|porn|xxx|warenkorb|checkout|rabattcode|gutschein|trusted shops|all rights reserved|cookie policy|privacy policy"
@@ -101,6 +102,11 @@ def quality(language: str) -> Policy:
     return Policy(f"quality_{language}", steps.add(reason=x.case((protected & (x.length(n) <= most), E("NULL", "NULL")), otherwise=reason)))
 
 
+def speaker_labels(t: E) -> E:
+    """Words in capitals before a full stop that do not end a longer word."""
+    return x.apart(t, LETTERS, SPEAKER, ".")
+
+
 def language_ok(language: str) -> Steps:
     """ok: enough function words of the language in the first 10,000 code points. Needs `norm`."""
     steps = Steps().add(sample_words=x.found(nz.ascii_fold(x.left(x.col("norm"), 10_000)), m.WORD), umlauts=m.umlauts(x.col("norm")))
@@ -121,7 +127,7 @@ def strict(language: str, profile: str = "prose", structure: bool = True, drops:
     n = x.col("norm")
     head = x.left(n, 20_000)
     steps = Steps().add(norm=nz.strict_text(T)).add(fold=m.folded_words(n))
-    steps = steps.add(toc=x.hits(n, m.TOC, True), biblio=x.hits(n, m.BIBLIO, True), ocr=x.hits(n, m.OCR, True), listed=m.list_score(n), names=x.hits(head, m.NAMES), years=x.hits(head, m.YEARS), speakers=x.found(head, SPEAKER), ngram=m.gram_repetition("fold", 4, 16), digit=m.digit_density(n))
+    steps = steps.add(toc=x.hits(n, m.TOC, True), biblio=x.hits(n, m.BIBLIO, True), ocr=x.hits(n, m.OCR, True), listed=m.list_score(n), names=x.hits(head, m.NAMES), years=x.hits(head, m.YEARS), speakers=speaker_labels(head), ngram=m.gram_repetition("fold", 4, 16), digit=m.digit_density(n))
     toc, listed, ngram = x.col("toc"), x.col("listed"), x.col("ngram")
     structural: list[tuple[E, str]] = [(x.has(n, CHAT, True), "chat_marker")]
     if profile == "math":

@@ -4,7 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from weir.functions import classify
+from weir.functions import exprs as x
+from weir.functions import metrics as m
+from weir.functions import normalise as nz
 from weir.operators import segment as g
+from weir.operators import structure
 from weir.queries.registry import table, query, sql
 
 SENT = r"list_filter(list_transform(string_split(regexp_replace(trim(regexp_replace(text, '\s+', ' ', 'g')), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: trim(s)), lambda s: length(s) >= 24)"
@@ -124,8 +129,35 @@ def f16(spark, sf):
     return c.select("conv_id", reason.alias("reason"))
 
 
-@query("f04_structure_clean", None)
+def _structure_sql() -> str:
+    """The structure cleaner on texts without named trails and character references, which `documents` does not hold."""
+    fragment = lambda v: x.has(x.col(v), classify.FRAGMENT, True).duck
+    prefix, word = structure.PREFIX, m.WORD
+    bars = "length(h) - length(replace(h, '|', '')) >= 2 AND len(b) > 0 AND len(list_filter(b, lambda q: length(q) > 40)) = 0"
+    trail = (
+        "CASE WHEN " + bars.replace("h)", "substring(l, 1, 160))").replace("(h,", "(substring(l, 1, 160),").replace("(b", r"(list_filter(list_transform(string_split(regexp_extract(substring(l, 1, 160), '^(.*)\|', 1), '|'), lambda q: trim(q)), lambda q: q <> '')")
+        + r" THEN trim(substring(l, length(regexp_extract(substring(l, 1, 160), '^.*\|')) + 1)) ELSE l END"
+    )
+    bare = f"regexp_replace(regexp_replace(l, '{prefix}', ''), '^[ .:;|/-]+|[ .:;|/-]+$', '', 'g')"
+    noise = f"({bare} = '' OR regexp_matches({bare}, '(?i){structure.HEADER}') OR (len(regexp_extract_all({bare}, '{word}')) <= 2 AND length({bare}) < 32) OR {fragment('BARE').replace('BARE', bare)})"
+    lines = f"list_filter(list_transform(list_transform(string_split(n, chr(10)), lambda l: trim(l)), lambda l: {trail}), lambda l: NOT {noise})"
+    text = f"array_to_string(list_transform({lines}, lambda l: regexp_replace(l, '{prefix}', '')), chr(10))"
+    norm = nz.raw_structured(nz.repaired(x.col("text"), nz.STRUCTURE_HINTS)).duck
+    packed = PACK.rsplit("SELECT doc_id, md5(", 1)[0].format(parts=f"list_filter({SENT}, lambda s: NOT {fragment('s')})", target=650, least=2, most=1100, w=1, by="' '")
+    packed = packed.replace("FROM documents WHERE", f"FROM (SELECT doc_id, {text} AS text FROM (SELECT doc_id, {norm} AS n FROM documents)) WHERE")
+    out = f"SELECT doc_id, len(p) AS n_s, list_filter(CASE WHEN k > 0 THEN list_append(done, now) ELSE done END, lambda q: len(regexp_extract_all(q, '{word}')) >= 12) AS paragraphs FROM s WHERE i = len(p) + 1"
+    joined = f"(SELECT o.*, n AS _n, array_to_string(paragraphs, chr(10) || chr(10)) AS structured FROM ({out}) o JOIN (SELECT doc_id, {norm} AS n FROM documents) USING (doc_id))"
+    n, head = x.col("_n"), x.left(x.col("_n"), 2500)
+    short = f"len(list_filter(string_split_regex({head.duck}, '[.;]'), lambda q: len({x.spaced(x.col('q')).duck.replace('lambda x: x', 'lambda w: w')}) BETWEEN 1 AND 8)) >= 8"
+    items = f"length(regexp_replace({head.duck}, '[^,;]', '', 'g')) >= 8"
+    reason = (
+        f"CASE WHEN _n = '' THEN 'empty' WHEN {nz.damage(n, nz.STRUCTURE_HINTS).duck} > 0 THEN 'mojibake' WHEN {fragment('_n')} THEN 'boilerplate' WHEN {x.hits(n, structure.TEMPLATE, True).duck} >= 2 THEN 'template' "
+        f"WHEN {x.has(head, structure.LIST_ARTICLE, True).duck} AND ({items} OR {short}) THEN 'list_article' WHEN n_s < 2 THEN 'too_few_sentences' WHEN len(paragraphs) = 0 THEN 'too_short' "
+        f"WHEN n_words < {structure.MIN_WORDS} THEN 'too_few_words' WHEN signal < {structure.MIN_SIGNAL}::DOUBLE THEN 'language_mismatch' WHEN score < {structure.MIN_SCORE}::DOUBLE THEN 'low_quality' END"
+    )
+    return f"{packed} SELECT doc_id, {reason} AS reason, len(paragraphs) AS n_paragraphs, score FROM {classify.scored(x.col('structured')).duck(joined)}"
+
+
+@query("f04_structure_clean", _structure_sql())
 def f04(spark, sf):
-    from weir.operators import structure
-
     return structure.clean(table(spark, sf, "documents")).select("doc_id", "reason", F.size("paragraphs").alias("n_paragraphs"), "score")
