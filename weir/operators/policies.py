@@ -121,9 +121,10 @@ def language_ok(language: str) -> Steps:
     return steps.add(lang_ok=x.case((x.size(x.col("sample_words")) < 30, language not in ("german", "english")), otherwise=ok))
 
 
-def strict(language: str, profile: str = "prose", structure: bool = True, drops: bool = True) -> Policy:
+def strict(language: str, profile: str = "prose", structure: bool = True, drops: bool = True, least: int | None = None, most: int | None = None) -> Policy:
     """The strict filter: basic checks, structural checks by profile, and the language last."""
-    least = {"booster": 40, "math": 80}.get(profile, {"german": 240, "english": 180, "code": 8}.get(language, 180))
+    if least is None:
+        least = {"booster": 40, "math": 80}.get(profile, {"german": 240, "english": 180, "code": 8}.get(language, 180))
     n = x.col("norm")
     head = x.left(n, 20_000)
     steps = Steps().add(norm=nz.strict_text(T)).add(fold=m.folded_words(n))
@@ -153,7 +154,7 @@ def strict(language: str, profile: str = "prose", structure: bool = True, drops:
     s = x.col("structural")
     pairs = [
         (x.length(n) < least, "too_short"),
-        (x.length(n) > 80_000, "too_long"),
+        (x.length(n) > (80_000 if most is None else most), "too_long"),
         (x.both("({} IN ('chat_marker', 'toc_or_index', 'name_catalogue'))", s), s),
         (m.mojibake_score(n) > 0, "mojibake"),
         (x.has(n, HTML, True), "html"),

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Markers of the formats.
+AUTHOR = r"(?:^|\s)([A-Za-z0-9_-]{2,24}):\s"
 TURN = r"(?s)<\|(system|user|assistant)\|>\n(.*?)\n<\|end\|>"
 FENCE = r"(?s)(?:```|''')([A-Za-z0-9_+#.-]*)\n(.*?)(?:```|''')"
 CODE_DOC = r"(?ms)^<\|code\|>\[([A-Za-z0-9_+#.-]+)\][ \t]*\n(.*?)(?:\n<\|endcode\|>|\z)"
@@ -66,6 +67,15 @@ def fences(text: Column | str) -> Column:
     return F.arrays_zip(F.regexp_extract_all(text, F.lit(FENCE), F.lit(1)).alias("lang"), F.regexp_extract_all(text, F.lit(FENCE), F.lit(2)).alias("code"))
 
 
+def author_turns(text: Column | str) -> Column:
+    """(author, text) of a thread's turns between `author:` marks, empty ones left out."""
+    authors = F.regexp_extract_all(text, F.lit(AUTHOR), F.lit(1))
+    bodies = F.split(text, AUTHOR)
+    plain = lambda v: F.trim(F.regexp_replace(v, r"\s+", " "))
+    turns = F.transform(authors, lambda a, i: F.struct(a.alias("author"), plain(F.get(bodies, i + 1)).alias("text")))
+    return F.filter(turns, lambda t: t["text"] != "")
+
+
 def word_grams(text: Column | str, n: int) -> Column:
     return grams(F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != ""), n)
 

@@ -96,16 +96,7 @@ def a15(spark, sf):
     return f.orderBy(F.desc(f1), "i").limit(1).select(F.round(1 + F.col("i") * 0.05, 2).alias("threshold"), F.round(f1, 6).alias("f1"))
 
 
-sql("a16_bits_per_byte", "SELECT lang, round(sum(ln(1 + n_chars)) / ln(2.0) / sum(octet_length(text)), 9) AS bpb, max(n_chars) - min(n_chars) AS gap FROM {documents} GROUP BY lang", "SELECT lang, round(sum(ln(1 + n_chars)) / ln(2.0) / sum(strlen(text)), 9) AS bpb, max(n_chars) - min(n_chars) AS gap FROM documents GROUP BY lang")
 grouped("a17_fertility", "documents", Steps().add(n_tok=x.hits(x.col("text"), r"[\p{L}]+|[\p{N}]+|[^\s\p{L}\p{N}]"), n_word=x.size(x.spaced(x.col("text")))), "lang", "round(sum(n_tok) / CAST(sum(n_word) AS DOUBLE), 6) AS tokens_per_word, round(sum(length(text)) / CAST(sum(n_tok) AS DOUBLE), 6) AS chars_per_token")
-sql("a18_counts", "SELECT event_type, CAST(user_id % 5 AS INT) AS model, count(*) AS n FROM {events} GROUP BY event_type, CAST(user_id % 5 AS INT)", "SELECT event_type, (user_id % 5)::INT AS model, count(*) AS n FROM events GROUP BY 1, 2")
-sql("a19_margins", "SELECT event_type AS family, count(*) AS n, avg(CAST(CASE WHEN value > 50 THEN 1 ELSE 0 END AS DOUBLE)) AS pass_rate, avg(value - 50) AS mean_margin, min(value - 50) AS worst FROM {events} GROUP BY event_type")
-sql("a20_multiple_choice", "SELECT count(*) AS questions, count_if(best = 0) AS correct FROM (SELECT user_id, max_by(CAST(event_id % 4 AS INT), value) AS best FROM {events} GROUP BY user_id) x")
-
-
-@query("a20b_last_number", r"SELECT doc_id, list_last(regexp_extract_all(text, '-?[0-9]+(?:\.[0-9]+)?')) AS answer FROM documents")
-def a20b(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.try_element_at(F.regexp_extract_all("text", F.lit(r"-?[0-9]+(?:\.[0-9]+)?"), F.lit(0)), F.lit(-1)).alias("answer"))
 
 
 # Evaluation
@@ -122,5 +113,4 @@ for _name, _steps, _out in (
 
     _register(_name, "documents", _steps, _out)
 sql("v03b_gate_summary", "SELECT event_type AS split, count(*) AS probes, count_if(value > 20) AS passed, CASE WHEN count_if(value <= 20) = 0 THEN 'pass' ELSE 'fail' END AS verdict FROM {events} GROUP BY event_type")
-sql("v06_beats_distractor", "SELECT user_id, max(CASE WHEN event_type = 'click' THEN value END) > max(CASE WHEN event_type <> 'click' THEN value END) AS strict FROM {events} GROUP BY user_id")
 assert QUERIES and SQL

@@ -133,12 +133,6 @@ sql("j01_reply_prompt", "SELECT a.conv_id, a.turn, md5(p.text) AS prompt_md5, md
 sql("j02_holdout_skip", "SELECT doc_id FROM {documents} d WHERE NOT EXISTS (SELECT 1 FROM {labels} l WHERE l.doc_id = d.doc_id AND l.quality = 0)")
 sql("j03_resume_done", "SELECT d.doc_id FROM {documents} d LEFT JOIN {labels} l ON d.doc_id = l.doc_id WHERE l.doc_id IS NULL")
 sql("j04_score_band", "SELECT doc_id, source FROM {documents} d WHERE EXISTS (SELECT 1 FROM {labels} l WHERE l.doc_id = d.doc_id AND l.quality = 1 AND l.toxic = 0)")
-sql("j05_alias_target", "SELECT c.c_name, s.s_name FROM {customer} c JOIN {supplier} s ON c.c_custkey = s.s_suppkey WHERE EXISTS (SELECT 1 FROM {orders} o WHERE o.o_custkey = c.c_custkey)")
-sql("j06_probe_results", "SELECT count(*) AS probes, count(l.doc_id) AS answered, count_if(l.doc_id IS NULL) AS missing FROM {documents} d LEFT JOIN {labels} l ON d.doc_id = l.doc_id")
-sql("j12_budget_sources", "SELECT n.n_name, coalesce(x.suppliers, 0) AS suppliers FROM {nation} n LEFT JOIN (SELECT s_nationkey, count(*) AS suppliers FROM {supplier} GROUP BY s_nationkey) x ON x.s_nationkey = n.n_nationkey")
-sql("j13_available_splits", "SELECT n.n_name, count(*) AS customers FROM {nation} n JOIN {customer} c ON c.c_nationkey = n.n_nationkey GROUP BY n.n_name")
-sql("j14_preset_join", "SELECT r.r_name, n.n_name FROM {nation} n JOIN {region} r ON n.n_regionkey = r.r_regionkey")
-sql("j15_exact_else_fallback", "SELECT d.doc_id, 'exact' AS via FROM {documents} d WHERE EXISTS (SELECT 1 FROM {benchmark} b WHERE md5(b.text) = md5(d.text)) UNION ALL SELECT d.doc_id, 'fallback' AS via FROM {documents} d WHERE NOT EXISTS (SELECT 1 FROM {benchmark} b WHERE md5(b.text) = md5(d.text)) AND d.n_chars < 300")
 
 
 @query("j07_line_to_span", "SELECT e.event_id, o.o_orderkey FROM (SELECT event_id, event_id * 7 % 100000 AS pos FROM events) e JOIN (SELECT o_orderkey, sum(n) OVER (ORDER BY o_orderkey) - n AS lo, sum(n) OVER (ORDER BY o_orderkey) AS hi FROM (SELECT l_orderkey AS o_orderkey, count(*) AS n FROM lineitem GROUP BY 1)) o ON e.pos >= o.lo AND e.pos < o.hi")

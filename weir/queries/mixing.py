@@ -65,7 +65,6 @@ def w08(spark, sf):
 
 
 sql("w09_source_spans", "SELECT source, CAST(sum(n) OVER (ORDER BY source) - n AS BIGINT) AS lo, CAST(sum(n) OVER (ORDER BY source) AS BIGINT) AS hi FROM (SELECT source, count(*) AS n FROM {documents} GROUP BY source) x")
-sql("w10_rank_windows", "SELECT r.rank, CAST(floor(t.n * r.rank / 4.0) AS BIGINT) AS lo, CAST(floor(t.n * (r.rank + 1) / 4.0) AS BIGINT) AS hi FROM (SELECT count(*) AS n FROM {lineitem}) t, (SELECT n_nationkey AS rank FROM {nation} WHERE n_nationkey < 4) r")
 
 
 @query("w11_credit_apportionment", """WITH RECURSIVE s(step, e, g, c, ce, cg, cc) AS (
@@ -168,4 +167,3 @@ def t13(spark, sf):
 
 sql("p01_weight_plan", "SELECT source, round(w / sum(w) OVER (), 6) AS weight FROM (SELECT d.source, avg(CAST(l.quality AS DOUBLE)) * CASE WHEN avg(CAST(l.quality AS DOUBLE)) >= 0.9 THEN 1.25 WHEN sum(l.toxic) > 2 THEN 0.75 ELSE 1.0 END AS w FROM {documents} d JOIN {labels} l ON l.doc_id = d.doc_id GROUP BY d.source) x")
 sql("p02_budget_bytes", "SELECT source, CAST(floor(1000000 * (CAST(sum(length(text)) AS DOUBLE) / sum(1 + length(text) - length(replace(text, ' ', ''))))) AS BIGINT) AS target FROM {documents} GROUP BY source")
-sql("p03_inventory", "SELECT n.n_name, count(s.s_suppkey) AS suppliers, CASE WHEN count(s.s_suppkey) = 0 THEN 'missing' ELSE 'ready' END AS status FROM {nation} n LEFT JOIN {supplier} s ON s.s_nationkey = n.n_nationkey GROUP BY n.n_name")

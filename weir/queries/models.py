@@ -33,12 +33,6 @@ def e03(spark, sf):
 sql("e04_review_pool", "SELECT event_id, value FROM {events} WHERE abs(value - 50) < 5 ORDER BY abs(value - 50), event_id LIMIT 200")
 
 
-@query("e05_parsed_score", r"SELECT doc_id, CASE WHEN s <> '' THEN CAST(s AS INT) END AS score FROM (SELECT doc_id, coalesce(list_last(regexp_extract_all(text, '[0-5]')), '') AS s FROM documents)")
-def e05(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", F.try_element_at(F.regexp_extract_all("text", F.lit("[0-5]"), F.lit(0)), F.lit(-1)).alias("s"))
-    return d.select("doc_id", F.col("s").cast("int").alias("score"))
-
-
 sql("e08_tokens_per_byte", "SELECT lang, round(CAST(sum(1 + length(text) - length(replace(text, ' ', ''))) AS DOUBLE) / sum(octet_length(text)), 9) AS tokens_per_byte FROM {documents} GROUP BY lang", "SELECT lang, round(CAST(sum(1 + length(text) - length(replace(text, ' ', ''))) AS DOUBLE) / sum(strlen(text)), 9) AS tokens_per_byte FROM documents GROUP BY lang")
 
 
@@ -62,12 +56,6 @@ def r02(spark, sf):
     return retrieve.search(table(spark, sf, "benchmark"), p, n, 5).select("item_id", "doc_id", F.round("score", 6).alias("score"))
 
 
-@query("r03_title_candidates", r"SELECT item_id, array_to_string(list_transform(regexp_extract_all(text, '[A-Za-z]+')[1:4], lambda w: upper(w[1]) || lower(w[2:])), ' ') AS title FROM benchmark")
-def r03(spark, sf):
-    words = F.slice(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0)), 1, 4)
-    return table(spark, sf, "benchmark").select("item_id", F.array_join(F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 1000)))), " ").alias("title"))
-
-
 sql("r04_without_stubs", "SELECT doc_id FROM {documents} WHERE NOT contains(lower(text), 'begriffsklärung') AND NOT contains(lower(text), 'may refer to') AND length(text) >= 60")
 
 SERIES = "SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM {events}"
@@ -119,11 +107,8 @@ def w17(spark, sf):
 sql("z00_event_windows", "SELECT event_type, CAST(floor(unix_timestamp(ts) / 3600) AS BIGINT) AS hour, count(*) AS n, round(sum(value), 6) AS total FROM {events} GROUP BY event_type, CAST(floor(unix_timestamp(ts) / 3600) AS BIGINT)", "SELECT event_type, floor(epoch(ts) / 3600)::BIGINT AS hour, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2")
 
 # Remaining operators
-sql("b02_prompt_category", "SELECT conv_id, turn, CASE WHEN contains(text, '?') THEN 'qa_de' WHEN lower(text) LIKE 'schreib%' OR lower(text) LIKE 'write%' THEN 'instruction_de' ELSE 'response_de' END AS category FROM {conversations} WHERE role = 'user'")
-sql("b03_answer_shape", "SELECT conv_id FROM (SELECT conv_id, max_by(text, turn) AS answer FROM {conversations} WHERE role = 'assistant' GROUP BY conv_id) x WHERE length(answer) BETWEEN 40 AND 850 AND length(answer) - length(replace(answer, chr(10), '')) <= 8")
 sql("b04_gate_exclusion", "SELECT c.conv_id, c.turn FROM {conversations} c LEFT JOIN {benchmark} b ON lower(trim(c.text)) = lower(trim(b.text)) WHERE c.role = 'user' AND b.item_id IS NULL")
 sql("b05_provenance", "SELECT doc_id, concat(source, ':', coalesce(lang, 'unknown')) AS family FROM (SELECT *, row_number() OVER (PARTITION BY md5(text) ORDER BY doc_id) AS r FROM {documents}) x WHERE r = 1")
-sql("b06_code_gates", "SELECT doc_id, CASE WHEN n_chars < 100 THEN 'too_short' WHEN n_chars > 20000 THEN 'too_long' ELSE 'ok' END AS gate FROM {documents}")
 sql("b07_verification_routing", "SELECT doc_id, source IN ('src1', 'src2') OR md5(concat('v:', CAST(doc_id AS STRING))) < '4ccccccc' AS verify FROM {documents}", "SELECT doc_id, source IN ('src1', 'src2') OR md5('v:' || doc_id) < '4ccccccc' AS verify FROM documents")
 
 
@@ -143,20 +128,9 @@ def b09(spark, sf):
 
 
 sql("b10_knowledge_boundary", "SELECT user_id, CASE WHEN avg(CASE WHEN value > 50 THEN 1.0D ELSE 0.0D END) >= 0.6D THEN 'KNOWN' WHEN avg(CASE WHEN value > 50 THEN 1.0D ELSE 0.0D END) >= 0.25D THEN 'SHAKY' ELSE 'UNKNOWN' END AS label FROM {events} GROUP BY user_id", "SELECT user_id, CASE WHEN avg((value > 50)::INT) >= 0.6::DOUBLE THEN 'KNOWN' WHEN avg((value > 50)::INT) >= 0.25::DOUBLE THEN 'SHAKY' ELSE 'UNKNOWN' END AS label FROM events GROUP BY user_id")
-sql("b11_calibration_set", "SELECT user_id, 'known' AS part FROM (SELECT user_id, avg(value) AS a FROM {events} GROUP BY user_id) x WHERE a > 51 UNION ALL SELECT user_id, 'unknown' FROM (SELECT user_id, avg(value) AS a FROM {events} GROUP BY user_id) y WHERE a < 49")
-sql("b12_answer_gate", "SELECT count_if(role = 'assistant' AND length(text) < 40) AS short_answers, count_if(role = 'assistant') AS answers, count_if(role = 'user') AS prompts FROM {conversations}")
-sql("b13_knowledge_blocks", "SELECT n.n_nationkey, concat_ws(' | ', r.r_name, n.n_name) AS tagged FROM {nation} n JOIN {region} r ON r.r_regionkey = n.n_regionkey")
-sql("b14_generation_match", "SELECT doc_id, contains(lower(text), 'the') AS alias_hit, contains(lower(text), 'idiot') AS forbidden_hit, contains(text, '<|') AS tag_echo FROM {documents}")
-sql("b16_fixed_windows", "SELECT doc_id, CASE WHEN md5(concat('w:', CAST(doc_id AS STRING))) < '2' THEN 'tail' ELSE 'full' END AS region FROM {documents} WHERE n_chars >= 1000", "SELECT doc_id, CASE WHEN md5('w:' || doc_id) < '2' THEN 'tail' ELSE 'full' END AS region FROM documents WHERE n_chars >= 1000")
-sql("b17_trace_status", "SELECT user_id, CASE WHEN last_value >= 80 THEN 'strong' WHEN last_value >= 50 THEN 'watch' WHEN last_value >= 20 THEN 'weak' ELSE 'danger' END AS status FROM (SELECT user_id, max_by(value, event_id) AS last_value FROM {events} GROUP BY user_id) x")
 sql("b18_threshold_proposal", "SELECT event_type, greatest(0.5, 0.8 * median(value)) AS pass_at, greatest(0.1, 0.25 * abs(median(value))) AS margin FROM {events} GROUP BY event_type", "SELECT event_type, greatest(0.5, 0.8::DOUBLE * median(value)) AS pass_at, greatest(0.1, 0.25::DOUBLE * abs(median(value))) AS margin FROM events GROUP BY event_type")
-sql("b19_perplexity", "SELECT event_type, round(exp(sum(value) / 1000 / count(*)), 9) AS ppl FROM {events} GROUP BY event_type")
-sql("b20_seen_gate", "SELECT l.doc_id IS NOT NULL AS seen, count(*) AS n, count_if(d.n_chars > 1000) AS passed FROM {documents} d LEFT JOIN {labels} l ON l.doc_id = d.doc_id GROUP BY l.doc_id IS NOT NULL")
-sql("b21_record_projection", "SELECT doc_id, concat(source, '/', lang) AS title, md5(substring(text, 1, 1200)) AS body FROM {documents}")
-sql("b22_rag_gate", "SELECT count_if(value > 50) AS retrieved, count_if(value > 50 AND event_type = 'click') AS read_hit, count_if(value <= 50 AND event_type = 'view') AS abstained, count_if(value <= 50 AND event_type = 'click') AS bad FROM {events}")
 
 # Sources and sinks that tables can stand for
-sql("s16_selected_passage", "SELECT conv_id, md5(min_by(text, CASE WHEN length(text) >= 40 THEN turn ELSE turn + 1000 END)) AS passage FROM {conversations} GROUP BY conv_id")
 sql("s17_hash_sample", "SELECT doc_id FROM {documents} WHERE md5(concat('s:', CAST(doc_id AS STRING))) < '1'", "SELECT doc_id FROM documents WHERE md5('s:' || doc_id) < '1'")
 sql("s18_head", "SELECT doc_id FROM {documents} ORDER BY doc_id LIMIT 50")
 sql("s18b_tail", "SELECT doc_id FROM {documents} ORDER BY doc_id DESC LIMIT 50")

@@ -17,22 +17,14 @@ steps("n18b_fenced_tabs", "conversations", Steps().add(code=x.both("concat('```'
 steps("x20_polarity", "conversations", Steps().add(polarity=r.polarity(T)), "conv_id; turn; polarity")
 steps("c14_card_score", "part", r.card_score(x.col("p_size") * 1000, x.col("p_size"), x.both("(p_partkey % 3 = 0)"), x.both("(p_partkey % 2 = 0)")), "p_partkey; score; label")
 steps("c15_license", "part", Steps().add(raw=x.case((x.both("(p_partkey % 6 = 0)"), "CC BY 4.0"), (x.both("(p_partkey % 6 = 1)"), "cc-by-nc-4.0"), (x.both("(p_partkey % 6 = 2)"), "CC_BY_ND"), (x.both("(p_partkey % 6 = 3)"), "MIT"), (x.both("(p_partkey % 6 = 4)"), "GPL-3.0"), otherwise="cc-by-sa-4.0")).add(**r.license_ok(x.col("raw")).steps[0]).add(**r.license_ok(x.col("raw")).steps[1]), "p_partkey; verdict")
-steps("c16_detox_gate", "events", Steps().add(bad=x.both("(value > 90 OR event_type = 'error')")), "event_id; NOT bad AS safe")
 steps("f13_metadata_guard", "part", Steps().add(reason=r.metadata_guard(x.both("CASE WHEN p_size % 5 = 0 THEN NULL ELSE p_size * 2.0 END"), x.col("p_retailprice"), 40.0, 1500.0)), "p_partkey; reason")
 steps("f14_forum_comment", "conversations", r.forum_comment(T, x.both("(turn * 3 + 1)")), "conv_id; turn; reason")
-steps("f18_preference_gate", "conversations", Steps().add(reason=x.case((x.both("(turn < 1)"), "low_score"), (x.length(T) < 60, "short_problem"), (~x.has(T, r"[{};=()]"), "no_code"))), "conv_id; turn; reason")
 steps("f20_safe_code", "documents", Steps().add(verdict=r.safe_code(T)), "doc_id; verdict")
 steps("f21_term_search", "documents", Steps().add(hit=r.terms_match(T, ["the", "und"], ["idiot", "password"])), "doc_id; hit")
 steps("g14_memories", "conversations", Steps().add(kinds=x.joined(r.memories(T), ",")), "conv_id; turn; kinds")
-steps("g16_fenced_code", "conversations", Steps().add(n=x.hits(T, "```")), "conv_id; turn; n")
-sql("f12_record_gate", "SELECT p_partkey, CASE WHEN p_size > 45 THEN 'too_many_copies' WHEN p_retailprice > 1800 THEN 'long_line_field' WHEN p_brand LIKE '%5' THEN 'license_not_allowed' END AS reason FROM {part}")
 sql("f17_completeness", "SELECT conv_id, turn, CASE WHEN length(trim(text)) = 0 THEN 'parse_failed' WHEN text LIKE '%<div%' THEN 'garbage_or_html' WHEN role = 'assistant' AND length(text) >= 80 AND right(trim(text), 1) NOT IN ('.', '!', '?', ')') THEN 'truncated_assistant' END AS reason FROM {conversations}")
-sql("f19_score_threshold", "SELECT event_id FROM {events} WHERE value >= 75 AND value < 95")
-sql("f22_presets", "SELECT d.doc_id, CASE WHEN d.n_chars < p.least THEN 'too_short' END AS reason FROM {documents} d JOIN (SELECT lang, CASE WHEN lang = 'de' THEN 240 ELSE 180 END AS least FROM {documents} GROUP BY lang) p ON p.lang = d.lang")
 sql("x19_sample_quality", r.sample_signals("{documents}"))
-sql("s09_source_filters", "SELECT doc_id FROM {documents} WHERE source IN ('src1', 'src2', 'src3') AND n_chars BETWEEN 200 AND 5000")
 sql("s11_parquet_scan", "SELECT doc_id, lang FROM {documents} WHERE lang = 'de'")
-sql("g04_turn_split", "SELECT conv_id, count(*) AS turns, count(DISTINCT role) AS authors FROM {conversations} GROUP BY conv_id")
 
 
 def _report(view: str) -> str:
