@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weir.operators import segment
 
@@ -72,19 +75,58 @@ def gram_contamination(docs: DataFrame, items: DataFrame, n: int = 13, key: str
     return docs.select(key).join(hit.withColumn("contaminated", F.lit(True)), key, "left").select(key, F.coalesce("contaminated", F.lit(False)).alias("contaminated"))
 
 
-def prefix_sums(df: DataFrame, order: str, value: str, name: str, groups: int = 1000) -> DataFrame:
-    """Adds the sum of `value` over all rows before this one, by order, without one task for all rows.
+def _position(df: DataFrame, column: str) -> Column:
+    """A number in the order of the column: itself, or the first seven bytes of a text."""
+    kind = df.schema[column].dataType
+    if isinstance(kind, T.StringType):
+        return F.conv(F.rpad(F.substring(F.hex(column), 1, 14), 14, "0"), 16, 10).cast("double")
+    return F.col(column).cast("double")
+
+
+def running(df: DataFrame, order: Sequence[str], values: dict[str, Column], by: Sequence[str] = (), totals: bool = False, quantiles: int = 64, cells: int = 64) -> DataFrame:
+    """Adds for each name the sum of its value over all rows of the group before this one, by `order`; `totals`: and of all.
 
-    Rows are ranged into groups of the order column's values; sums of groups are few, and only those are summed in one
-    task; within a group a window does the rest. The order column is a number.
+    No task sees a whole group, however large: rows are ranged into quantiles of the first order column and those into
+    cells of equal width, so neither an outlier nor a dense stretch puts all rows into one cell. Sums of cells, at most
+    quantiles * cells for each group, are summed in one window; within a cell a window does the rest. Rows that share
+    the first order column share a cell.
     """
-    width = df.agg(F.max(order).alias("b"), F.min(order).alias("a")).first()
-    step = max(1, ((width["b"] or 0) - (width["a"] or 0)) // groups + 1)
-    cut = df.withColumn("_g", F.floor(F.col(order) / step))
-    total = cut.groupBy("_g").agg(F.sum(value).alias("_s"))
-    before = total.select("_g", F.coalesce(F.sum("_s").over(Window.orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))  # at most groups + 1 rows
-    inner = Window.partitionBy("_g").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return cut.join(F.broadcast(before), "_g").withColumn(name, F.col("_b") + F.coalesce(F.sum(value).over(inner), F.lit(0))).drop("_g", "_b")
+    at = _position(df, order[0])
+    cuts = df.agg(F.percentile_approx(at, [i / quantiles for i in range(quantiles + 1)], 10_000).alias("q")).first()["q"] or []
+    bounds = sorted(set(cuts))
+    placed = df.withColumns({f"_v{i}": v for i, v in enumerate(values.values())} | {"_at": F.coalesce(at, F.lit(float("-inf")))})
+    which = F.lit(0)
+    for b in bounds[1:-1]:
+        which = which + (F.col("_at") >= b).cast("int")
+    placed = placed.withColumn("_q", which)
+    if len(bounds) > 1:
+        low = F.get(F.array(*(F.lit(float(b)) for b in bounds[:-1])), F.col("_q"))
+        width = F.get(F.array(*(F.lit(max((y - x) / cells, 1e-300)) for x, y in zip(bounds, bounds[1:], strict=False))), F.col("_q"))
+        inner_cell = F.greatest(F.lit(0.0), F.least(F.lit(cells - 1.0), F.floor((F.greatest(F.col("_at"), F.lit(bounds[0])) - low) / width)))
+        placed = placed.withColumn("_g", (F.col("_q") * cells + inner_cell).cast("long"))
+    else:
+        placed = placed.withColumn("_g", F.lit(0).cast("long"))
+    sums = placed.groupBy(*by, "_g").agg(*(F.sum(f"_v{i}").alias(f"_s{i}") for i in range(len(values))))
+    over = Window.partitionBy(*by).orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)
+    every = Window.partitionBy(*by)
+    zero = F.lit(0)
+    cols = [F.coalesce(F.sum(f"_s{i}").over(over), zero).alias(f"_b{i}") for i in range(len(values))]
+    cols += [F.sum(f"_s{i}").over(every).alias(f"_t{i}") for i in range(len(values))] if totals else []
+    before = sums.select(*(F.col(c).alias(f"_k{j}") for j, c in enumerate(by)), F.col("_g").alias("_h"), *cols)
+    same = F.col("_g") == F.col("_h")
+    for j, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"_k{j}"))
+    joined = placed.join(before.hint("merge"), same)
+    inner = Window.partitionBy(*by, "_g").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    out = joined.withColumns({name: F.col(f"_b{i}") + F.coalesce(F.sum(f"_v{i}").over(inner), zero) for i, name in enumerate(values)})
+    if totals:
+        out = out.withColumns({f"{name}_total": F.col(f"_t{i}") for i, name in enumerate(values)})
+    return out.select(*df.columns, *values, *((f"{n}_total" for n in values) if totals else ()))
+
+
+def prefix_sums(df: DataFrame, order: str, value: str, name: str) -> DataFrame:
+    """Adds the sum of `value` over all rows before this one, by order, without one task for all rows."""
+    return running(df, [order], {name: F.col(value)})
 
 
 def spans(df: DataFrame, order: str, size: str) -> DataFrame:

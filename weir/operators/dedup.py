@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weir.operators.segment import grams
+from weir.session import Scratch
 
 
 def text_key(text: Column | str) -> Column:
@@ -71,28 +72,75 @@ def shingles(text: Column | str, k: int = 5) -> Column:
     return F.when(n >= k, F.array_distinct(grams(words, k))).when(n > 0, F.array(F.array_join(words, " "))).otherwise(F.array().cast("array<string>"))
 
 
+#: Shingles that may be told apart as common, how often one must occur, and the bits of the map that holds them.
+COMMON, OFTEN, BITS = 4096, 8, 1 << 16
+
+
 def near_against(fresh: DataFrame, reference: DataFrame, threshold: float = 0.85, k: int = 5, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Pairs (fresh id, reference id, jaccard) at or above the threshold by a prefix-filtered set join.
+    """Pairs (a: fresh class, b: reference class, jaccard) at or above the threshold by a prefix-filtered set join.
+
+    A class is the rows of one side with equal sets, named by its smallest id (`set_classes` has the members), so copies
+    never give pairs of rows. Any one order of shingles serves the prefix filter: two sets that reach the threshold share
+    one of the first n - ceil(threshold * n) + 1 of either. The order is by hash with common shingles last, so that
+    prefixes hold rare ones; which are common is a sketch's estimate, kept in a map of BITS bits, since the order need not
+    be exact. Sets are hashed once and written; prefixes alone are shuffled for the join, with length and position
+    bounds, and pairs are verified in full.
+    """
+    scratch = Scratch(fresh.sparkSession, "near-against")
+    a, b = (scratch.put(_classes_of(d, k, text, key), "sets") for d in (fresh, reference))
+    every = a.select(F.explode("s").alias("g")).unionByName(b.select(F.explode("s").alias("g")))
+    top = every.agg(F.expr(f"approx_top_k(g, {COMMON}, {16 * COMMON})").alias("t")).first()["t"] or []  # COMMON items at most
+    words = [0] * (BITS // 64)
+    for item, count in top:
+        if count >= OFTEN:
+            words[(item % BITS) // 64] |= 1 << (item % 64)
+    words = [w - (1 << 64) if w >= 1 << 63 else w for w in words]
+    held = F.array(*(F.lit(w).cast("long") for w in words))
 
-    Shingles are ordered by how rare they are; two sets that reach the threshold share one of their first
-    n - ceil(threshold * n) + 1 shingles, so only those are joined, with the length bound, and verified in full.
+    def prefix(x: DataFrame, name: str) -> DataFrame:
+        common = lambda g: F.get(held, F.shiftright(F.pmod(g, F.lit(BITS)), 6).cast("int"))
+        bit = lambda g: F.call_function("getbit", common(g), F.pmod(g, F.lit(64)).cast("int")).cast("long")
+        # One number for each shingle: the bit, then the hash's lower 61 bits, which sort as numbers do.
+        ordered = F.sort_array(F.transform("s", lambda g: F.shiftleft(bit(g), 61) + g.bitwiseAND(F.lit((1 << 61) - 1))))
+        most = (F.col("n") - F.ceil(F.col("n") * threshold) + 1).cast("int")
+        return x.select(F.col("cid").alias(name), F.col("n").alias(f"n_{name}"), F.posexplode(F.slice(ordered, F.lit(1), most)).alias(f"at_{name}", "g"))
+
+    met = prefix(a, "a").join(prefix(b, "b"), "g").filter((F.col("n_a") >= threshold * F.col("n_b")) & (F.col("n_b") >= threshold * F.col("n_a")))
+    # What both can still share from the first place on must be enough: `at` of them lie before it.
+    need = F.ceil((F.col("n_a") + F.col("n_b")) * (threshold / (1 + threshold)) - 1e-9)
+    met = met.filter(F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) + F.least("at_a", "at_b") >= need)
+    pairs = met.select("a", "b").distinct()
+    shared = F.size(F.array_intersect("x", "y"))
+    full = pairs.join(a.select(F.col("cid").alias("a"), F.col("s").alias("x"), F.col("n").alias("n_a")), "a").join(b.select(F.col("cid").alias("b"), F.col("s").alias("y"), F.col("n").alias("n_b")), "b")
+    out = full.select("a", "b", (shared / (F.col("n_a") + F.col("n_b") - shared)).alias("jaccard"))
+    return out.filter(F.col("jaccard") >= threshold)
+
+
+def _sets(df: DataFrame, k: int, text: str, key: str) -> DataFrame:
+    """key, s (distinct shingle hashes in order) and n; rows without words are left out.
+
+    Words are hashed once and a shingle's hash is folded from theirs: no text is joined again, and each step is a column
+    of its own, so that nothing is computed twice.
     """
+    words = F.transform(F.split(F.trim(F.regexp_replace(F.lower(text), r"\s+", " ")), " "), lambda w: F.xxhash64(w))
+    own = df.filter(F.col(text).rlike(r"\S")).select(F.col(key).alias("id"), words.alias("w"))
+    run = F.col("w")
+    for j in range(1, k):
+        run = F.zip_with(run, F.slice("w", j + 1, F.greatest(F.lit(0), F.size("w") - j)), lambda a, b: F.xxhash64(a, b))
+    grams_ = F.when(F.size("w") >= k, F.slice(run, F.lit(1), F.size("w") - (k - 1))).otherwise(F.array(F.xxhash64("w")))
+    return own.select("id", F.sort_array(F.array_distinct(grams_)).alias("s")).withColumn("n", F.size("s"))
 
-    def sets(df: DataFrame, name: str) -> DataFrame:
-        return df.select(F.col(key).alias(name), F.transform(shingles(text, k), lambda g: F.xxhash64(g)).alias("s")).filter(F.size("s") > 0).select(name, "s", F.size("s").alias("n"))
 
-    a, b = sets(fresh, "a"), sets(reference, "b")
-    df = a.select(F.explode("s").alias("g")).unionByName(b.select(F.explode("s").alias("g"))).groupBy("g").agg(F.count("*").alias("df"))
+def _classes_of(df: DataFrame, k: int, text: str, key: str) -> DataFrame:
+    """cid (smallest id), s, n of each class of equal sets."""
+    return _sets(df, k, text, key).groupBy(F.xxhash64("s").alias("h1"), F.hash("s").alias("h2"), "n").agg(F.min("id").alias("cid"), F.first("s").alias("s")).select("cid", "s", "n")
 
-    def prefix(x: DataFrame, name: str) -> DataFrame:
-        w = Window.partitionBy(name).orderBy("df", "g")  # one document's shingles
-        ranked = x.select(name, "n", F.explode("s").alias("g")).join(df, "g").withColumn("r", F.row_number().over(w))
-        return ranked.filter(F.col("r") <= F.col("n") - F.ceil(F.col("n") * threshold) + 1).select(name, "g", F.col("n").alias(f"n_{name}"))
-
-    pairs = prefix(a, "a").join(prefix(b, "b"), "g").filter((F.col("n_a") >= threshold * F.col("n_b")) & (F.col("n_b") >= threshold * F.col("n_a"))).select("a", "b").distinct()
-    met = F.size(F.array_intersect("x.s", "y.s"))
-    full = pairs.join(a.alias("x"), "a").join(b.alias("y"), "b").select("a", "b", (met / (F.col("x.n") + F.col("y.n") - met)).alias("jaccard"))
-    return full.filter(F.col("jaccard") >= threshold)
+
+def set_classes(df: DataFrame, k: int = 5, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(id, cid): the class of each row that has words."""
+    own = _sets(df, k, text, key).select("id", F.xxhash64("s").alias("h1"), F.hash("s").alias("h2"), "n")
+    least = own.groupBy("h1", "h2", "n").agg(F.min("id").alias("cid"))
+    return own.join(least, ["h1", "h2", "n"]).select("id", "cid")
 
 
 def top_words_bucket(df: DataFrame, key: str = "doc_id", text: str = "text", top: int = 32, first: int = 2000) -> DataFrame:

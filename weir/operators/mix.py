@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weir.operators.contains import running
+
 
 def hash_key(seed: object, *cols: str) -> Column:
     """A digest that orders rows by seed and columns, alike on every engine."""
@@ -14,11 +16,28 @@ def hash_key(seed: object, *cols: str) -> Column:
 
 
 def budget(df: DataFrame, target: int | Column, by: Sequence[str], order: Sequence[str], size: Column, at_least_one: bool = True) -> DataFrame:
-    """Whole rows of each group in order until the budget is reached; one row at least if asked for."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    out = df.withColumn("_s", F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_n", F.row_number().over(w))
-    keep = F.col("_s") <= target
-    return out.filter((keep | (F.col("_n") == 1)) if at_least_one else keep).drop("_s", "_n")
+    """Whole rows of each group in order until the budget is reached; one row at least if asked for.
+
+    Running sums are two-level (`contains.running`), so a group may hold any share of the rows.
+    """
+    out = running(df, order, {"_before": size, "_rank": F.lit(1)}, by)
+    keep = F.col("_before") + size <= target
+    return out.filter((keep | (F.col("_rank") == 0)) if at_least_one else keep).drop("_before", "_rank")
+
+
+def every_nth(df: DataFrame, n: int, by: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """The first row of each group and every n-th after it."""
+    return running(df, order, {"_rank": F.lit(1)}, by).filter(F.col("_rank") % n == 0).drop("_rank")
+
+
+def length_buckets(df: DataFrame, n: int, by: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Adds `bucket` from 1 to n: each group's rows in order in n parts, the first ones a row larger (as ntile)."""
+    out = running(df, order, {"_rank": F.lit(1)}, by, totals=True)
+    small = F.floor(F.col("_rank_total") / n)
+    large = F.col("_rank_total") % n
+    edge = large * (small + 1)
+    at = F.when(F.col("_rank") < edge, F.floor(F.col("_rank") / (small + 1))).otherwise(large + F.floor((F.col("_rank") - edge) / F.greatest(small, F.lit(1))))
+    return out.withColumn("bucket", (at + 1).cast("int")).drop("_rank", "_rank_total")
 
 
 def first_n(df: DataFrame, n: int, by: Sequence[str], order: Sequence) -> DataFrame:
@@ -28,17 +47,14 @@ def first_n(df: DataFrame, n: int, by: Sequence[str], order: Sequence) -> DataFr
 
 def interleave(df: DataFrame, chunk: int, source_rank: str, order: Sequence[str]) -> DataFrame:
     """Round-robin by chunks of each source: adds `round` and `slot`, by which (with the source's rank) to sort."""
-    w = Window.partitionBy(source_rank).orderBy(*order)
-    at = F.row_number().over(w) - 1
-    return df.withColumn("round", F.floor(at / chunk).cast("long")).withColumn("slot", (at % chunk).cast("long"))
+    at = running(df, order, {"_rank": F.lit(1)}, [source_rank])
+    return at.withColumn("round", F.floor(F.col("_rank") / chunk).cast("long")).withColumn("slot", (F.col("_rank") % chunk).cast("long")).drop("_rank")
 
 
 def tail_holdout(df: DataFrame, share: float, by: str, order: Sequence[str], size: Column) -> DataFrame:
     """Adds `holdout`: rows that start in the last `share` of their group's bytes."""
-    w = Window.partitionBy(by).orderBy(*order)
-    before = F.coalesce(F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    total = F.sum(size).over(Window.partitionBy(by))
-    return df.withColumn("holdout", before >= total * (1 - share))
+    out = running(df, order, {"_before": size}, [by], totals=True)
+    return out.withColumn("holdout", F.col("_before") >= F.col("_before_total") * (1 - share)).drop("_before", "_before_total")
 
 
 def bucket(key: Column, buckets: int = 1000) -> Column:

@@ -101,20 +101,31 @@ def terms(text: Column | str) -> Column:
 
 
 def index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Postings (term, key, tf) and lengths (key, dl)."""
-    t = docs.select(key, terms(text).alias("t"))
-    return t.select(key, F.explode("t").alias("term")).groupBy("term", key).agg(F.count("*").alias("tf")), t.select(key, F.size("t").alias("dl"))
+    """Postings (term, key, tf, dl: terms of the document) and statistics (one row: n, mean)."""
+    t = docs.select(key, terms(text).alias("t")).withColumn("dl", F.size("t"))
+    postings = t.select(key, "dl", F.explode("t").alias("term")).groupBy("term", key).agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    return postings, t.agg(F.count("*").alias("n"), F.avg("dl").alias("mean"))
 
 
-def search(queries: DataFrame, postings: DataFrame, lengths: DataFrame, k: int, query: str = "item_id", text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(query, key, score, rank): any of the query's distinct terms counts."""
+#: Distinct terms of all queries that may be broadcast (a term and a number each).
+ASKED = 500_000
+
+
+def search(queries: DataFrame, postings: DataFrame, stats: DataFrame, k: int, query: str = "item_id", text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(query, key, score, rank): any of the query's distinct terms counts.
+
+    Postings carry their document's length, so that only partial scores of asked terms are shuffled, summed map-side.
+    """
     q = queries.select(query, F.explode(F.array_distinct(terms(text))).alias("term"))
-    stats = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("mean"))
-    asked = postings.join(q.select("term").distinct(), "term", "left_semi")
+    words = q.select("term").distinct()
+    few = words.limit(ASKED + 1).count() <= ASKED
+    asked = postings.join(F.broadcast(words) if few else words, "term", "left_semi")
+    s = stats.first()  # one row
+    n, mean = float(s["n"]), float(s["mean"] or 1.0)
     df = asked.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("mean")))
-    weighted = asked.join(df, "term").join(lengths, key).join(F.broadcast(stats)).select("term", key, part.alias("part"))  # stats is one row
-    scores = q.join(weighted, "term").groupBy(query, key).agg(F.sum("part").alias("score"))
+    idf = df.select("term", F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    weighted = q.join(F.broadcast(idf) if few else idf, "term")
+    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(mean)))
+    scores = postings.join(F.broadcast(weighted) if few and q.limit(ASKED + 1).count() <= ASKED else weighted, "term").groupBy(query, key).agg(F.sum(part).alias("score"))
     w = Window.partitionBy(query).orderBy(F.desc(F.round("score", 9)), key)
     return scores.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)

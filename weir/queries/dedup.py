@@ -66,13 +66,20 @@ def u06(spark, sf):
 U07 = rf"""WITH w AS (SELECT doc_id, {NUM} % 2 AS side, list_filter(string_split(trim(regexp_replace(lower(text), '\s+', ' ', 'g')), ' '), lambda x: x <> '') AS l FROM documents),
 s AS (SELECT DISTINCT doc_id, side, unnest(CASE WHEN len(l) >= 5 THEN list_transform(range(1, len(l) - 3), lambda i: array_to_string(l[i:i + 4], ' ')) WHEN len(l) > 0 THEN [array_to_string(l, ' ')] ELSE [] END) AS g FROM w),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
-p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS m FROM s x JOIN s y ON x.g = y.g AND x.side = 0 AND y.side = 1 GROUP BY 1, 2)
-SELECT a, b, round(m / (u.n + v.n - m), 6) AS jaccard FROM p JOIN n u ON u.doc_id = a JOIN n v ON v.doc_id = b WHERE m / (u.n + v.n - m) >= 0.85"""
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS m FROM s x JOIN s y ON x.g = y.g AND x.side = 0 AND y.side = 1 GROUP BY 1, 2),
+h AS (SELECT doc_id, side, md5(string_agg(g, '|' ORDER BY g)) AS h FROM s GROUP BY 1, 2),
+c AS (SELECT doc_id, min(doc_id) OVER q AS cid, count(*) OVER q AS k FROM h WINDOW q AS (PARTITION BY side, h))
+SELECT a, b, round(m / (u.n + v.n - m), 6) AS jaccard, x.k AS rows_a, y.k AS rows_b FROM p JOIN n u ON u.doc_id = a JOIN n v ON v.doc_id = b JOIN c x ON x.cid = a AND x.doc_id = a JOIN c y ON y.cid = b AND y.doc_id = b
+WHERE m / (u.n + v.n - m) >= 0.85"""
 
 
 @query("u07_cross_dataset_near", U07)
 def u07(spark, sf):
-    return dedup.near_against(*halves(spark, sf)).select("a", "b", F.round("jaccard", 6).alias("jaccard"))
+    """Linked classes, with how many rows each has."""
+    fresh, ref = halves(spark, sf)
+    size = lambda d, c: dedup.set_classes(d).groupBy(F.col("cid").alias(c)).agg(F.count("*").alias(f"rows_{c}"))
+    pairs = dedup.near_against(fresh, ref).select("a", "b", F.round("jaccard", 6).alias("jaccard"))
+    return pairs.join(size(fresh, "a"), "a").join(size(ref, "b"), "b")
 
 
 @query("u08_first_reference", f"SELECT f.doc_id, min(r.num) AS matched FROM (SELECT doc_id, {KEY} AS k FROM documents WHERE {NUM} % 2 = 0) f LEFT JOIN (SELECT {KEY} AS k, {NUM} AS num FROM documents WHERE {NUM} % 2 = 1) r USING (k) GROUP BY f.doc_id")

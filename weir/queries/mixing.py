@@ -45,7 +45,8 @@ def w05(spark, sf):
 
 @query("w06_balanced_tail", "SELECT doc_id, n AS round FROM (SELECT doc_id, source, n, sum(strlen(text)) OVER (ORDER BY n, source) AS s FROM (SELECT doc_id, source, text, row_number() OVER (PARTITION BY source ORDER BY doc_id DESC) AS n FROM documents)) WHERE s <= 100000")
 def w06(spark, sf):
-    ranked = docs(spark, sf).withColumn("n", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("doc_id"))))
+    back = docs(spark, sf).withColumn("back", -F.col("doc_id"))
+    ranked = contains.running(back, ["back"], {"n": F.lit(1)}, ["source"]).withColumn("n", F.col("n") + 1)
     rounds = ranked.groupBy("n").agg(F.sum(size()).alias("b"))
     before = contains.prefix_sums(rounds, "n", "b", "before").select("n", "before")
     inner = Window.partitionBy("n").orderBy("source")
@@ -133,8 +134,7 @@ def t08(spark, sf):
 
 @query("t09_every_nth", "SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents) WHERE n % 10 = 1")
 def t09(spark, sf):
-    w = Window.partitionBy("source").orderBy("doc_id")
-    return docs(spark, sf).withColumn("n", F.row_number().over(w)).filter("n % 10 = 1").select("doc_id")
+    return mix.every_nth(docs(spark, sf), 10, ["source"], ["doc_id"]).select("doc_id")
 
 
 sql("t10_exact_n", "SELECT doc_id FROM {documents} ORDER BY md5(concat('17:', CAST(doc_id AS STRING))), doc_id LIMIT 100", "SELECT doc_id FROM documents ORDER BY md5('17:' || doc_id), doc_id LIMIT 100")
@@ -157,7 +157,7 @@ def t12(spark, sf):
 
 @query("t12b_length_buckets", "SELECT doc_id, ntile(8) OVER (PARTITION BY source ORDER BY n_chars, doc_id) AS bucket FROM documents")
 def t12b(spark, sf):
-    return docs(spark, sf).select("doc_id", F.ntile(8).over(Window.partitionBy("source").orderBy("n_chars", "doc_id")).alias("bucket"))
+    return mix.length_buckets(docs(spark, sf), 8, ["source"], ["n_chars", "doc_id"]).select("doc_id", "bucket")
 
 
 @query("t13_replicated", "SELECT doc_id, unnest(range(1, CASE WHEN quality = 1 THEN 4 ELSE 2 END)) AS copy FROM labels")

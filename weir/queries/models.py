@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from weir.operators import retrieve, scoring, signals
 from weir.queries.registry import table, query, sql
+from weir.session import Scratch
 
 
 @query("e01_unit_vectors", "SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE))))), 6) AS total FROM embeddings")
@@ -53,6 +54,8 @@ c AS (SELECT item_id, p.doc_id, sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::D
 SELECT item_id, doc_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS r FROM c) WHERE r <= 5""")
 def r02(spark, sf):
     p, n = retrieve.index(table(spark, sf, "documents"))
+    scratch = Scratch(spark, "bm25")
+    p, n = scratch.put(p, "postings"), scratch.put(n, "statistics")
     return retrieve.search(table(spark, sf, "benchmark"), p, n, 5).select("item_id", "doc_id", F.round("score", 6).alias("score"))
 
 
