@@ -137,7 +137,6 @@ sql("b18_threshold_proposal", "SELECT event_type, greatest(0.5, 0.8 * median(val
 sql("s17_hash_sample", "SELECT doc_id FROM {documents} WHERE md5(concat('s:', CAST(doc_id AS STRING))) < '1'", "SELECT doc_id FROM documents WHERE md5('s:' || doc_id) < '1'")
 sql("s18_head", "SELECT doc_id FROM {documents} ORDER BY doc_id LIMIT 50")
 sql("s18b_tail", "SELECT doc_id FROM {documents} ORDER BY doc_id DESC LIMIT 50")
-sql("s19_line_numbers", "SELECT d.doc_id, d.source FROM {documents} d WHERE d.doc_id IN (SELECT event_id FROM {events} WHERE event_type = 'error')")
 sql("k06_reject_samples", "SELECT source, doc_id, reason FROM (SELECT *, row_number() OVER (PARTITION BY source, reason ORDER BY doc_id) AS r FROM (SELECT doc_id, source, CASE WHEN n_chars < 200 THEN 'too_short' WHEN n_chars > 10000 THEN 'too_long' END AS reason FROM {documents}) x WHERE reason IS NOT NULL) y WHERE r <= 5")
 sql("k07_category_counts", "SELECT lang, source, count(*) AS n FROM {documents} GROUP BY lang, source")
 

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from weir.functions import exprs as x
 from weir.functions import normalise as nz
 from weir.functions.exprs import Steps
-from weir.operators import evaluate, gates, generate, knowledge, plan, policies, retrieve, segment
+from weir.operators import evaluate, execute, gates, generate, knowledge, plan, policies, retrieve, segment, structure
 from weir.queries.registry import TABLES, query, table
-from weir.sources import schemas
+from weir.sources import readers, schemas
 
 
 class View:
@@ -372,3 +372,35 @@ register(
     lambda s, sf: FENCED.spark(s, sf).select("conv_id", "turn", F.explode(segment.fences("text")).alias("f")).select("conv_id", "turn", "f.lang", F.md5("f.code").alias("code_md5")),
 )
 register("n06b_repaired", f"SELECT doc_id, md5({nz.repaired(x.col('text'), nz.STRICT_HINTS).duck}) AS out_md5 FROM (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN replace(text, 'ä', 'Ã¤') ELSE text END AS text FROM documents)", lambda s, sf: table(s, sf, "documents").withColumn("text", F.expr("CASE WHEN doc_id % 4 = 0 THEN replace(text, 'ä', 'Ã¤') ELSE text END")).select("doc_id", F.md5(F.expr(nz.repaired(x.col("text"), nz.STRICT_HINTS).spark)).alias("out_md5")))
+
+# What Python judges
+register(
+    "v05_arithmetic",
+    "SELECT i AS item, CAST((a + b) * 2 AS VARCHAR) AS result FROM (SELECT i, (('0x' || substring(md5('21:' || i || ':a'), 1, 6))::BIGINT % 1000) AS a, (('0x' || substring(md5('21:' || i || ':b'), 1, 6))::BIGINT % 1000) AS b FROM range(500) t(i))",
+    lambda s, sf: generate.sums(s, 500, 21).select("item", execute.evaluate(F.concat(F.lit("print(("), "a", F.lit(" + "), "b", F.lit(") * 2)"))).alias("result")),
+)
+register(
+    "v04_code_verified",
+    "SELECT i AS id, CASE i % 4 WHEN 0 THEN 'pass' WHEN 1 THEN 'mismatch' WHEN 2 THEN 'refused' ELSE 'error' END AS outcome FROM range(32) t(i)",
+    lambda s, sf: execute.verified(
+        s.range(32).select(
+            "id",
+            F.get(F.array(F.lit("def f(a, b):\n    return a + b"), F.lit("def f(a, b):\n    return a - b - 1"), F.lit("import socket"), F.lit("def g():\n    pass")), (F.col("id") % 4).cast("int")).alias("code"),
+            F.lit("f").alias("entrypoint"),
+            F.concat(F.lit('[{"args": [1, '), "id", F.lit('], "expected": '), F.col("id") + 1, F.lit("}]")).alias("tests"),
+        )
+    ),
+)
+PROGRAMS = View("SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN concat('<filename>a.py\\nx = ', CAST(turn AS STRING)) WHEN 1 THEN concat('x = (', substring(text, 1, 0)) ELSE 'a b c' END AS text, 'python' AS lang FROM {conversations}")
+register("c19_python_syntax", "SELECT conv_id, turn, turn % 3 = 0 AS ok FROM conversations", lambda s, sf: PROGRAMS.spark(s, sf).select("conv_id", "turn", execute.python_ok(execute.python_part(F.col("text"), F.col("lang"))).alias("ok")))
+TRAILS = View("SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN concat('Startseite > Thema > ', split_part(text, ' ', 1), ' und mehr') WHEN 1 THEN concat('Home | Teil | ', split_part(text, ' ', 2)) WHEN 2 THEN concat('Sie sind hier: Ort Haus Garten Haus Garten ', split_part(text, ' ', 1)) ELSE split_part(text, ' ', 1) END AS line FROM {conversations}")
+register(
+    "n19_without_trail",
+    f"SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN trim(regexp_replace(substring(line, 22), '^.*(?:>|//|/|›|»|·|\\|)\\s*', '')) WHEN 1 THEN trim(regexp_replace(line, '^.*\\|', '')) WHEN 2 THEN trim(regexp_replace(substring(line, 32), '\\s+', ' ', 'g')) ELSE line END AS text FROM {TRAILS.duck}",
+    lambda s, sf: TRAILS.spark(s, sf).select("conv_id", "turn", structure.without_trail(F.col("line")).alias("text")),
+)
+register(
+    "s19_line_numbers",
+    "SELECT doc_id, line_no FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS line_no FROM documents) WHERE line_no IN (SELECT event_id FROM events WHERE event_type = 'error')",
+    lambda s, sf: readers.numbered(table(s, sf, "documents"), ["doc_id"], table(s, sf, "events").filter("event_type = 'error'").select(F.col("event_id").alias("line_no"))).select("doc_id", "line_no"),
+)

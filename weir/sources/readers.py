@@ -13,7 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weir.functions import classify
+from weir.functions import exprs as x
 from weir.operators import segment
+from weir.operators.contains import running
 
 Paths = str | Sequence[str]
 
@@ -28,6 +31,20 @@ def lines(spark: SparkSession, paths: Paths) -> DataFrame:
     return df.select(F.col("_metadata.file_path").alias("source"), F.regexp_replace("value", r"\r$", "").alias("text")).filter("length(text) > 0")
 
 
+def plain_lines(spark: SparkSession, paths: Paths) -> DataFrame:
+    """source, text, lang: one document a line with the programming language that it looks like (unknown if none)."""
+    return classify.code_language(x.col("text")).spark(lines(spark, paths)).select("source", "text", F.col("label").alias("lang"))
+
+
+def numbered(df: DataFrame, order: Sequence[str], wanted: DataFrame, number: str = "line_no") -> DataFrame:
+    """Rows whose place in the order, from 1, is among `wanted` (a column of that name); adds it.
+
+    Places are two-level running counts, so no task numbers all rows.
+    """
+    placed = running(df, order, {number: F.lit(1)}).withColumn(number, F.col(number) + 1)
+    return placed.join(wanted.select(number).distinct(), number, "left_semi")
+
+
 def jsonl(spark: SparkSession, paths: Paths, schema: str | T.StructType) -> tuple[DataFrame, DataFrame]:
     """Good rows and, apart, corrupt lines; plain or gzip. Bad JSON is counted, not fatal."""
     wanted = T._parse_datatype_string(schema) if isinstance(schema, str) else schema

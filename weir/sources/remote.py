@@ -48,10 +48,38 @@ def paged(spark: SparkSession, fetch: str, pages: int, schema: str, done: Iterab
 
 
 def shards(spark: SparkSession, paths: list[str], schema: str) -> DataFrame:
-    """JSON shards of a listing; a damaged or missing shard is left out instead of failing the run."""
+    """JSON shards of a listing; a damaged or missing shard is left out instead of failing the run (`lost_shards` tells which)."""
     return spark.read.schema(schema).option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true").json(paths)
 
 
+def lost_shards(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """path and why (missing or damaged) of the shards that `shards` leaves out or reads in part."""
+    import gzip
+    import io
+
+    import pyarrow as pa
+
+    def run(batches):
+        for b in batches:
+            bad = []
+            for path, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if path.endswith(".gz"):
+                    try:
+                        with gzip.GzipFile(fileobj=io.BytesIO(content)) as f:
+                            while f.read(1 << 20):
+                                pass
+                    except (OSError, EOFError):
+                        bad.append(path)
+            yield pa.RecordBatch.from_arrays([pa.array(bad, pa.string()), pa.array(["damaged"] * len(bad), pa.string())], names=["path", "why"])
+
+    name = F.regexp_extract("path", r"([^/]+)$", 1)
+    there = spark.read.format("binaryFile").option("ignoreMissingFiles", "true").load(paths)
+    damaged = there.select("path", "content").mapInArrow(run, "path string, why string")
+    listed = spark.createDataFrame([(p,) for p in paths], "path string")
+    missing = listed.withColumn("name", name).join(there.select(name.alias("name")), "name", "left_anti").select("path", F.lit("missing").alias("why"))
+    return damaged.unionByName(missing)
+
+
 def blobs(metadata: DataFrame, fetch: Callable[[str], bytes | None], key: str = "blob_id", keep: str = "NOT is_vendor AND NOT is_generated") -> DataFrame:
     """Metadata rows that pass `keep`, with their blob as text; the filter comes before any fetch."""
     import pyarrow as pa

@@ -123,14 +123,15 @@ def write_manifest(m: dict, df: DataFrame, path: str) -> None:
 
 
 def token_pair(df: DataFrame, path: str, end: int, order: str = "doc", tokens: str = "tokens") -> dict:
-    """`path`.bin, the ids of all documents in order as little-endian uint32 with `end` after each, and `path`.idx, their offsets.
+    """`path`.bin, the ids of all documents in order as little-endian uint32 with `end` after each, and `path`.idx, their places.
 
-    Tasks write the parts of `token_bins`; the driver then appends their bytes one part at a time, so it holds one row.
-    Offsets (uint64) count ids: one for each document and the total last. Both files appear only when they are whole.
+    Tasks write the parts of `token_bins`; the driver then appends their bytes one document at a time, so it holds one.
+    The index has a pair (offset, length) of int64 for each document. Documents without ids are left out. Both files
+    appear only when they are whole.
     """
     spark = df.sparkSession
     parts = f"{path}.{uuid.uuid4().hex}.parts"
-    token_bins(df.withColumn(tokens, F.concat(F.coalesce(tokens, F.array().cast("array<int>")), F.array(F.lit(end)))), parts, order, tokens)
+    token_bins(df.filter(F.size(tokens) > 0).withColumn(tokens, F.concat(tokens, F.array(F.lit(end)))), parts, order, tokens)
     fs, _ = _path(spark, path)
     staged = {s: _path(spark, f"{path}.{s}.part")[1] for s in ("bin", "idx")}
     docs = ids = 0
@@ -138,9 +139,8 @@ def token_pair(df: DataFrame, path: str, end: int, order: str = "doc", tokens: s
     try:
         for row in spark.read.parquet(parts).orderBy("offset", "k").select("offset", "n", "ids").toLocalIterator():
             out["bin"].write(bytearray(row["ids"]))
-            out["idx"].write(bytearray(int(row["offset"]).to_bytes(8, "little")))
+            out["idx"].write(bytearray(np.array([row["offset"], row["n"]], "<i8").tobytes()))
             docs, ids = docs + 1, ids + row["n"]
-        out["idx"].write(bytearray(ids.to_bytes(8, "little")))
     finally:
         for stream in out.values():
             stream.close()

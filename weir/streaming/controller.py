@@ -58,6 +58,27 @@ def stream(df: DataFrame, by: str, value: str) -> DataFrame:
     return df.groupBy(by).applyInPandasWithState(step, "event_id long, stage long, decision string", "stage long, n long, last array<double>", "append", "NoTimeout")
 
 
+def alert_stream(df: DataFrame, by: str, value: str, high: float, times: int, spike: float, window: int = 20) -> DataFrame:
+    """`signals.alerts` over a stream, keyed by run: event_id, streak and alert of every point.
+
+    The state of a run is its streak and its last `window` values; points of a micro-batch are taken in order of event_id.
+    """
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        streak, last = state.get if state.exists else (0, [])
+        last, rows = list(last), []
+        for r in pd.concat(list(batches)).sort_values("event_id").itertuples():
+            v = float(getattr(r, value))
+            streak = streak + 1 if v > high else 0
+            odd = len(last) >= 4 and v > spike * sum(last) / len(last)
+            rows.append((r.event_id, streak, "STOP" if streak >= times else "WARN" if odd else None))
+            last = [*last, v][-window:]
+        state.update((streak, last))
+        yield pd.DataFrame(rows, columns=["event_id", "streak", "alert"])
+
+    return df.groupBy(by).applyInPandasWithState(step, "event_id long, streak long, alert string", "streak long, last array<double>", "append", "NoTimeout")
+
+
 def windows(df: DataFrame, every: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """Counts and sums by event type and tumbling window, with a watermark."""
     return df.withWatermark("ts", late).groupBy(F.window("ts", every), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
