@@ -16,12 +16,10 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table; texts that lie in fewer pieces than there are cores are dealt out first, which larger tables never need."""
+    """A table; texts that lie in fewer files than there are cores are dealt out first, which larger tables never need."""
     df = session.table(spark, sf_dir, name)
     cores = spark.sparkContext.defaultParallelism
-    if name in ("documents", "pages", "conversations") and df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df
+    return df.repartition(cores) if name in ("documents", "pages", "conversations") and len(df.inputFiles()) < cores else df
 
 
 def query(name: str, sql: str | None = None):
