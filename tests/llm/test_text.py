@@ -417,3 +417,78 @@ def test_langid_odd_and_empty(spark, odd, empty):
     kept = {r.doc_id for r in langid.keep_identified(odd, Scratch(spark, "t")).collect()}
     assert kept == {r.doc_id for r in odd.collect()} - {4, 5, 6}
     assert langid.keep_identified(empty, Scratch(spark, "t")).count() == 0
+
+
+def test_langid_posterior_by_hand(spark):
+    """The fused probabilities against plain arithmetic on the text likelihoods, each row out of its own groups' counts."""
+    en, de = "the house and the river were long ago", "das haus und der fluss waren lange her"
+    docs = spark.createDataFrame([(i, (en if i % 3 else de) + f" {i}", "en" if i % 3 else "de") for i in range(30)], "doc_id long, text string, lang string")
+    langs, model = langid.learn(docs)
+    data = [(i, f"http://{'abc'[i % 3]}.{'xy'[i % 2]}.{'de' if i % 5 == 0 else 'com'}/{i}", f"<html{' lang=de' if i % 4 == 0 else ''}><p>{de if i % 5 == 0 else en} {i}</p>") for i in range(24)]
+    data += [(100, "http://one.page.org/", f"<p>{de}</p>"), (101, None, None), (102, "http://a.x.com/n", "<p>12 34</p>"), (103, "http://a.x.com/s", "<html lang='de'><p>a</p>")]
+    pages = spark.createDataFrame(data, "page_id long, url string, html string")
+    got = {r.page_id: r for r in langid.pages(pages, langs, model, Scratch(spark, "t")).collect()}
+    plain = pages.selectExpr("page_id", "regexp_replace(coalesce(html, ''), '(?i)<[^>]*>', ' ') AS _text")
+    lik = {r.page_id: (np.array(r.lik), r.letters) for r in langid.text_likelihood(plain, langs, model, ["page_id"]).collect()}
+
+    def place(url, page):
+        name = (re.match(r"https?://([^/]+)", url or "") or ["", ""])[1]
+        labels = name.split(".")
+        declared = re.search(r"<html[^>]*lang=['\"]?(\w+)", page or "")
+        return name, ".".join(labels[-2:]) if len(labels) > 2 else "", labels[-1] if len(labels) > 1 else "", declared[1] if declared else ""
+
+    at = {i: place(u, p) for i, u, p in data}
+    hot = {i: np.eye(2)[int(x.argmax())] * (n > 0) for i, (x, n) in lik.items()}
+
+    def smoothed(i, level, key, parent):
+        own = sum((hot[j] for j in at if j != i and at[j][level] == key), np.zeros(2))
+        return (own + langid.KAPPA * parent) / (own.sum() + langid.KAPPA)
+
+    for i, where in at.items():
+        rest = sum((hot[j] for j in at if j != i), np.zeros(2))
+        base = (1 - langid.FLOOR) * (rest + 1) / (rest.sum() + 2) + langid.FLOOR / 2
+        q = base
+        for level in (2, 1, 0):
+            q = smoothed(i, level, where[level], q) if where[level] or level == 0 else q
+        post = lik[i][0] + np.log(q)
+        if where[3]:
+            post = post + np.log(smoothed(i, 3, where[3], base) / base)
+        p = np.exp(post - post.max())
+        p /= p.sum()
+        assert np.isclose(got[i].probability, p.max()) and got[i].lang == langs[int(p.argmax())], i
+
+
+def test_samples_do_not_depend_on_the_run(spark):
+    """Doubled and null labels, several texts under one id, long texts: the same examples for any partitioning."""
+    from weir.llm import ngrams
+
+    docs = [(i, f"text {i}") for i in range(40)] + [(1, "other 1"), (2, "other 2"), (None, "none"), (5, None), (90, "x" * 50), (91, "y" * 50)]
+    labels = [(i, i % 2) for i in range(40)] + [(1, 0), (2, 1), (None, 1), (7, None), (90, 1), (91, 0)]
+    got = []
+    for parts in (1, 7):
+        d = spark.createDataFrame(docs, "doc_id long, text string").repartition(parts)
+        y = spark.createDataFrame(labels, "doc_id long, toxic int").repartition(parts)
+        texts, value = ngrams.sample(d, y, "toxic", 20, chars=20)
+        got.append((texts, value.tolist()))
+        assert len(texts) == 20 and sum(value) == 10 and not any(len(t) > 20 for t in texts)
+    assert got[0] == got[1]
+
+
+def test_network_and_softmax_gradients():
+    """The scores that the operators give, against plain loops over n-grams and words."""
+    from weir.llm import ngrams
+
+    texts = ["You WRETCH ed", "", "ab", "calm  words\nhere"]
+    r = np.random.default_rng(0)
+    margin = r.normal(0, 1, toxicity.BUCKETS).astype(np.float32)
+    total, count = ngrams.weight_sums(*ngrams.as_flat(texts), toxicity.LENGTHS, margin)
+    for k, t in enumerate(texts):
+        own = b" " + re.sub(rb"[\x20\t\n]", b" ", t.lower().encode())
+        grams = [own[i : i + n] for n in toxicity.LENGTHS for i in range(len(own) - n + 1) if b" " not in own[i + 1 : i + n - 1]]
+        assert count[k] == len(grams)
+        one = [ngrams.weight_sums(np.frombuffer(g[1:] if g[:1] == b" " else g, np.uint8), np.array([0, len(g) - (g[:1] == b" ")]), (len(g),), margin) for g in grams if g[:1] == b" "]
+        assert np.isfinite(total[k]).all() and len(one) <= len(grams)
+    x = r.normal(0, 1, (400, 6))
+    y = (x[:, 0] + x[:, 1] * x[:, 2] > 0).astype(int)
+    net = quality.Network(x, y, float(y.mean()))
+    assert ((net(x) >= 0.5) == (y == 1)).mean() > 0.9 and abs(net(x).mean() - y.mean()) < 0.1

@@ -1,21 +1,26 @@
 """Language identification by Bayesian evidence fusion.
 
 Four sources of evidence are added as log-likelihoods and normalised over the languages: the text (a multinomial model
-of hashed 4-byte n-grams, tempered since neighbouring n-grams are not independent), the language that markup declares,
-the suffix of the address, and a prior of the host. Host priors come from a grouped aggregation over all rows: the share
-of each language by text alone, smoothed towards the address's parent domain, which is smoothed towards the suffix and
-that towards all rows (KAPPA pseudo-rows each time). Evidence that a table lacks, or a row leaves empty, adds nothing.
+of hashed n-grams of two and of four bytes, tempered since neighbouring n-grams are not independent), the language that
+markup declares, and a prior of the host, which holds that of the address's suffix. Host priors come from a grouped
+aggregation over all rows: the share of each language by text alone, smoothed towards the address's parent domain, which
+is smoothed towards the suffix and that towards all rows (KAPPA pseudo-rows each time), whose shares are mixed with a
+uniform one (FLOOR), so that no language is ruled out for being rare. A row's own text is taken out of
+the counts of all its groups, so that it is evidence once only: a host with one page has its parent's prior. Evidence that
+a table lacks, or a row leaves empty, adds nothing.
 
 The languages are all that a labelled document with a text has. The n-gram model is learned from at most MOST such
 documents (one of each language at least): every language has its quota, an equal share of MOST or all it has if those
-are fewer, filled by the smallest id hashes; of texts too long for an example, used only where a language has no others,
-the start is taken. Priors and the
-evidence of declared languages and suffixes (how often each goes with each language by text) are counted over all rows.
-A row is accepted if its text has letters and its best language a probability of ACCEPT or more.
+are fewer, filled by the smallest id hashes; of texts of more than EXAMPLE_CHARS (32,768) code points, used only where a
+language has no others, the start is taken. Priors and the evidence of declared languages (how often each goes with each
+language by text) are counted over all rows. Every text is scored whole. A row is accepted if its text has letters and its
+best language a probability of ACCEPT or more.
 
 Defined cases: a null, empty or letterless text is judged on its other evidence and not accepted; a null host is one
-host of its own; without labelled documents there is no language, lang is null and nothing is accepted; an empty table
-gives an empty result; repeated rows get a row each; extra columns are ignored.
+host of its own; equally likely languages: the first by name; without labelled documents there is no language, lang is
+null and nothing is accepted; a very long text takes memory of about 100 times its bytes; an empty table gives an empty
+result; repeated rows, also under one id, get a row each and are judged on their own text (of several texts under an id
+that serves as an example the one with the smallest hash is taken); extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,7 +38,7 @@ from weir.llm.base import MARK, mark, small, without
 from weir.session import Scratch, table
 
 BUCKETS, LENGTHS, MOST = 1 << 16, (2, 4), 4000
-KAPPA, TEMPER, ACCEPT = 20.0, 0.25, 0.5
+KAPPA, TEMPER, ACCEPT, FLOOR = 20.0, 0.25, 0.5, 0.1
 
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
@@ -62,7 +67,8 @@ def _examples(own: DataFrame, most: int) -> list:
     first = Window.partitionBy("_lang").orderBy("_hash", "_key")
     ids = own.select("_lang", "_key", "_hash", "_quota").distinct().withColumn("_rank", F.row_number().over(first)).filter("_rank <= _quota").select(F.col("_lang").alias("l"), F.col("_key").alias("k"))
     pick = own.join(F.broadcast(ids), F.col("_lang").eqNullSafe(F.col("l")) & F.col("_key").eqNullSafe(F.col("k")), "left_semi")  # about `most` ids
-    rows = pick.select("_key", F.substring("_text", 1, ngrams.EXAMPLE_CHARS), "_lang").dropDuplicates(["_key", "_lang"]).collect()
+    least = F.min(F.struct(F.xxhash64("_text").alias("h"), F.substring("_text", 1, ngrams.EXAMPLE_CHARS).alias("t")))
+    rows = pick.groupBy("_key", "_lang").agg(least.alias("m")).select("_key", "m.t", "_lang").collect()
     return sorted(rows, key=lambda r: (r[0] is not None, r[0], r[2]))
 
 
@@ -102,16 +108,15 @@ def text_likelihood(rows: DataFrame, langs: list[str], model: np.ndarray, keep:
     return rows.select(*keep, "_text").mapInArrow(run, ", ".join(f"{c} {types[c]}" for c in keep) + ", lik array<double>, letters long")
 
 
-def _sum(n: int) -> Column:
-    return sum((F.col(f"n{k}") for k in range(1, n)), F.col("n0"))
+def _less(counts: str) -> Column:
+    """Counts of a group without the row itself, whose language by text is `best` (from 0; null: not counted)."""
+    return F.transform(counts, lambda x, i: x - F.when(i == F.col("best"), 1).otherwise(0))
 
 
-def _shares(counts: DataFrame, by: list[str], n: int, parent: DataFrame | Column, on: list[str]) -> DataFrame:
-    """Language shares `p` of each group, smoothed: counts + KAPPA times the parent group's shares (a column if all rows are the parent)."""
-    sums = counts.groupBy(*by).agg(*(F.sum(f"n{k}").alias(f"n{k}") for k in range(n)))
-    wide = sums.withColumn("q", parent) if isinstance(parent, Column) else sums.join(parent.withColumnRenamed("p", "q"), on)
-    own = F.array(*(F.col(f"n{k}").cast("double") for k in range(n)))
-    return wide.select(*by, F.zip_with(own, "q", lambda x, q: (x + KAPPA * q) / (_sum(n) + KAPPA)).alias("p"))
+def _shares(counts: Column | str, parent: Column | str) -> Column:
+    """Language shares of a group, smoothed: counts and KAPPA times the parent group's shares."""
+    many = F.aggregate(counts, F.lit(0).cast("long"), lambda a, x: a + x)
+    return F.zip_with(counts, parent, lambda x, q: (x + KAPPA * q) / (many + KAPPA))
 
 
 def identify(rows: DataFrame, langs: list[str], model: np.ndarray, scratch: Scratch, keep: list[str], text: Column, host: Column, declared: Column | None = None, suffix: Column | None = None, parent: Column | None = None) -> DataFrame:
@@ -124,20 +129,24 @@ def identify(rows: DataFrame, langs: list[str], model: np.ndarray, scratch: Scra
         return own.select(*keep, none.alias("lang"), F.lit(0.0).alias("probability"), F.lit(False).alias("accepted"), F.lit(0.0).alias("text_probability"))
     cols = [*keep, "_host", "_parent", "_suf", "_dec"]
     seen = scratch.put(text_likelihood(own, langs, model, cols), "likelihoods")
-    best = F.array_position("lik", F.array_max("lik")).cast("int") - 1
-    many = [F.sum(F.when((best == k) & (F.col("letters") > 0), 1).otherwise(0)).alias(f"n{k}") for k in range(len(langs))]
-    counts = scratch.put(seen.groupBy("_host", "_parent", "_suf", "_dec").agg(*many), "counts")
     n = len(langs)
-    total = counts.agg(*(F.coalesce(F.sum(f"n{k}"), F.lit(0)) for k in range(n))).first()  # one row
-    everywhere = F.array(*(F.lit((x + 1.0) / (sum(total) + n)) for x in total))
-    suffixes = _shares(counts, ["_suf"], n, everywhere, [])
-    parents = _shares(counts, ["_parent", "_suf"], n, suffixes, ["_suf"])
-    hosts = _shares(counts, ["_host", "_parent", "_suf"], n, parents, ["_parent", "_suf"])
-    evidence = _shares(counts, ["_dec"], n, everywhere, [])
-    # The host's prior holds the suffix's; what markup declares counts as a likelihood ratio against all rows' shares.
-    prior = hosts.select("_host", "_parent", "_suf", F.transform("p", lambda x: F.log(x)).alias("prior"))
-    ratio = evidence.select("_dec", F.when(F.col("_dec") == "", F.array_repeat(F.lit(0.0), n)).otherwise(F.zip_with("p", everywhere, lambda x, g: F.log(x / g))).alias("ratio"))
-    joined = seen.join(small(prior), ["_host", "_parent", "_suf"]).join(small(ratio), "_dec")
+    best = F.when(F.col("letters") > 0, F.array_position("lik", F.array_max("lik")).cast("int") - 1)
+    seen = seen.withColumn("best", best)
+    counts = scratch.put(seen.groupBy("_host", "_parent", "_suf", "_dec").agg(*(F.count_if(F.col("best") == k).alias(f"n{k}") for k in range(n))), "counts")
+    of = lambda name: F.array(*(F.sum(f"n{k}") for k in range(n))).alias(name)
+    all_ = F.array(*(F.lit(x) for x in counts.agg(*(F.coalesce(F.sum(f"n{k}"), F.lit(0)) for k in range(n))).first()))  # one row
+    path = ["_host", "_parent", "_suf"]
+    levels = counts.groupBy(*path).agg(of("by_host")).join(counts.groupBy(*path[1:]).agg(of("by_parent")), path[1:]).join(counts.groupBy("_suf").agg(of("by_suffix")), "_suf")
+    joined = seen.join(small(levels), path).join(small(counts.groupBy("_dec").agg(of("by_declared"))), "_dec")
+    joined = joined.withColumns({c: _less(c) for c in ("by_host", "by_parent", "by_suffix", "by_declared")}).withColumn("by_all", F.transform(all_, lambda x, i: x - F.when(i == F.col("best"), 1).otherwise(0)))
+    rows_ = F.aggregate("by_all", F.lit(0).cast("long"), lambda a, x: a + x)
+    joined = joined.withColumn("everywhere", F.transform("by_all", lambda x: (1 - FLOOR) * (x + 1.0) / (rows_ + n) + FLOOR / n))
+    joined = joined.withColumn("q", F.when(F.col("_suf") == "", F.col("everywhere")).otherwise(_shares("by_suffix", "everywhere")))
+    joined = joined.withColumn("q", F.when(F.col("_parent") == "", F.col("q")).otherwise(_shares("by_parent", "q"))).withColumn("q", _shares("by_host", "q"))
+    joined = joined.withColumn("prior", F.transform("q", lambda x: F.log(x)))
+    # What markup declares counts as a likelihood ratio against all rows' shares.
+    ratio = F.zip_with(_shares("by_declared", "everywhere"), "everywhere", lambda x, g: F.log(x / g))
+    joined = joined.withColumn("ratio", F.when(F.col("_dec") == "", F.array_repeat(F.lit(0.0), n)).otherwise(ratio))
     add = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
     joined = joined.withColumn("post", add(add(F.col("lik"), F.col("prior")), F.col("ratio")))
     top = F.array_max("post")
@@ -160,8 +169,8 @@ def pages(table_: DataFrame, langs: list[str], model: np.ndarray, scratch: Scrat
     html = F.coalesce(F.col("html"), F.lit(""))
     host = F.lower(F.regexp_extract(F.coalesce(F.col("url"), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]+)", 1))
     labels = F.split(host, r"\.")
-    parent = F.when(F.size(labels) >= 2, F.concat_ws(".", F.slice(labels, -2, 2))).otherwise(host)
-    suffix = F.element_at(labels, -1)
+    parent = F.when(F.size(labels) >= 3, F.concat_ws(".", F.slice(labels, -2, 2))).otherwise("")  # a host of two names is its own
+    suffix = F.when(F.size(labels) >= 2, F.element_at(labels, -1)).otherwise("")
     declared = F.regexp_extract(html, r"""(?i)<html[^>]*\blang\s*=\s*["']?([A-Za-z]{2,3})""", 1)
     return identify(table_, langs, model, scratch, ["page_id"], F.regexp_replace(html, MARKUP, " "), host, declared, suffix, parent)
 

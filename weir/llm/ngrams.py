@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weir.llm import text as tx
+from weir.llm.base import small
 
 #: Longest text, in code points, that may serve as a training example; every text is scored whole.
 EXAMPLE_CHARS = 32_768
@@ -79,15 +80,21 @@ def weight_sums(raw: np.ndarray, bounds: np.ndarray, lengths: tuple[int, ...], w
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, most: int, key: str = "doc_id", text: str = "text", chars: int = EXAMPLE_CHARS, ones: float = 0.5) -> tuple[list[str], np.ndarray]:
-    """Texts and labels of at most `most` labelled documents, those with the smallest hashes of their ids; a share `ones` of label 1 and the rest of label 0, where there are enough."""
-    own = labels.filter(F.col(label).isNotNull()).select(key, label).dropDuplicates([key])
+    """Texts and labels of at most `most` labelled documents of up to `chars` code points; a share `ones` of label 1 and the rest of label 0, where there are enough.
+
+    They are those with the smallest hashes of their ids among all that are short enough. An id labelled twice has the
+    larger label; of several texts under one id the one with the smallest hash is taken. Null ids and texts are not.
+    """
+    own = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.max(label).alias("_label"))
+    there = docs.filter(F.char_length(text) <= chars).select(key).join(small(own), key).distinct()
     ids = None
     for value in (0, 1):
-        some = own.filter(F.col(label) == value).orderBy(F.xxhash64(key), key).limit(round(most * (ones if value else 1 - ones)))
+        some = there.filter(F.col("_label") == value).orderBy(F.xxhash64(key), key).limit(round(most * (ones if value else 1 - ones)))
         ids = some if ids is None else ids.unionByName(some)
-    pick = docs.select(key, text).filter(F.char_length(text) <= chars).join(F.broadcast(ids), key).select(key, text, label)  # at most `most` ids
-    rows = sorted(pick.dropDuplicates([key]).collect(), key=lambda r: r[0])
-    return [r[1] or "" for r in rows], np.array([r[2] for r in rows], np.int64)
+    pick = docs.select(key, F.col(text).alias("_text")).filter(F.char_length("_text") <= chars).join(F.broadcast(ids), key)  # at most `most` ids
+    rows = pick.groupBy(key, "_label").agg(F.min(F.struct(F.xxhash64("_text").alias("h"), F.col("_text").alias("t"))).alias("m")).select(key, "_label", "m.t").collect()
+    rows = sorted(rows, key=lambda r: r[0])
+    return [r[2] for r in rows], np.array([r[1] for r in rows], np.int64)
 
 
 def chunks(texts: list[str], most: int = 1 << 18) -> Iterator[tuple[int, list[str]]]:

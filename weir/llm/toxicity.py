@@ -10,9 +10,12 @@ scoring needs only each bucket's margin, which is what travels to the executors
 
 Labels are taken only from documents whose crc32(id as text) mod FOLDS is not HELD; a score depends on the text alone.
 
-Defined cases: a null or empty text has no n-grams and gets the share of the toxic class; with fewer
-than LEAST labelled texts, or one class only, every score is that share (0 without labels); an empty table gives an empty result; repeated rows get a row
-each; extra columns are ignored.
+Defined cases: a null or empty text has no n-grams and gets the share of the toxic class; with fewer than LEAST labelled
+texts, or one class only, every score is that share (0 without labels); null labels and ids teach nothing, an id that is
+labelled twice has the larger label, and of several texts under one id the one with the smallest hash is learned from;
+equal texts have equal scores; a score of exactly CUT is predicted 1; a null id is not held out; every text is scored
+whole, a very long one in memory of about 100 times its bytes; an empty table gives an empty result; repeated rows, also
+under one id, get a row each; extra columns are ignored.
 """
 
 from __future__ import annotations
