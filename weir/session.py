@@ -6,8 +6,11 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Texts are long: fewer rows and bytes to an Arrow batch keep executors' and Python workers' buffers small.
 BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
@@ -51,6 +54,33 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_own_dirs[app]}"
 
 
+class Written(NamedTuple):
+    """What is known of a written table: an upper bound if tasks were run again."""
+
+    rows: int
+    bytes: int
+    more: list
+
+
+def counts(df: DataFrame) -> Written | None:
+    """Of a table that `Scratch.put` gave; null for any other."""
+    return getattr(df, "_weir_counts", None)
+
+
+def width(df: DataFrame) -> Column:
+    """About the bytes of a row."""
+    total = F.lit(8 * len(df.columns)).cast("long")
+    for f in df.schema.fields:
+        c = F.col("`" + f.name.replace("`", "``") + "`")
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            total = total + F.coalesce(F.octet_length(c), F.lit(0))
+        elif isinstance(f.dataType, T.ArrayType) and not isinstance(f.dataType.elementType, (T.StringType, T.ArrayType, T.StructType, T.MapType)):
+            total = total + 8 * F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0))
+        elif isinstance(f.dataType, (T.ArrayType, T.StructType, T.MapType)):
+            total = total + F.coalesce(F.octet_length(F.to_json(c if not isinstance(f.dataType, T.ArrayType) else F.struct(c))), F.lit(0))
+    return total
+
+
 class Scratch:
     """Tables written to the shared folder, which cut lineage and outlive lost executors.
 
@@ -68,12 +98,16 @@ class Scratch:
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.n = 0
 
-    def put(self, df: DataFrame, name: str = "t") -> DataFrame:
+    def put(self, df: DataFrame, name: str = "t", *more: Column) -> DataFrame:
+        """`df` written and read back. Its rows, bytes and `more` aggregates (`Written`) are counted as it is written."""
         self.n += 1
         path = f"{self.root}/{name}-{self.n}"
-        df.write.parquet(path)
+        seen = Observation()
+        counts = [F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(width(df)), F.lit(0)).alias("bytes"), *more]
+        df.observe(seen, *counts).write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        out._weir_path = path
+        got = seen.get
+        out._weir_path, out._weir_counts = path, Written(got["rows"], got["bytes"], [got[k] for k in got if k not in ("rows", "bytes")])
         return out
 
     def drop(self, *tables: DataFrame | None) -> None:
