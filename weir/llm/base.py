@@ -6,26 +6,38 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weir.session import counts, width
+
 #: What may be broadcast; beyond either bound a shuffled join does the same.
 BROADCAST_ROWS = 200_000
-BROADCAST_BYTES = 32 << 20
+BROADCAST_BYTES = 16 << 20
 
 #: Columns of a row's mark: its id (that of a null id is NO_ID) and a hash of all its columns.
 MARK = ["_mark_id", "_mark_row"]
 NO_ID = -(2**63)
 
 
-def fits(df: DataFrame, most: int = BROADCAST_ROWS) -> bool:
-    """Whether `df` has at most `most` rows and BROADCAST_BYTES, both counted."""
-    wide = [F.col(quoted(f.name)) for f in df.schema.fields if not isinstance(f.dataType, (T.NumericType, T.BooleanType))]
-    size = F.octet_length(F.to_json(F.struct(*wide))) if wide else F.lit(0)
-    rows, chars = df.limit(most + 1).select(size.alias("_size")).agg(F.count("*"), F.coalesce(F.sum("_size"), F.lit(0))).first()
-    return rows <= most and chars + 8 * rows * len(df.columns) <= BROADCAST_BYTES
+def fits(df: DataFrame, most: int = BROADCAST_ROWS, of: DataFrame | None = None) -> bool:
+    """Whether `df` has at most `most` rows and BROADCAST_BYTES.
+
+    `of`: a written table that has as many rows and as much in them, or more, whose counts then tell; else those of `df`
+    if it is a written table; else they are counted now.
+    """
+    known = counts(of if of is not None else df)
+    if known is not None:
+        return known.rows <= most and known.bytes <= BROADCAST_BYTES
+    rows, size = df.limit(most + 1).select(width(df).alias("_size")).agg(F.count("*"), F.coalesce(F.sum("_size"), F.lit(0))).first()
+    return rows <= most and size <= BROADCAST_BYTES
 
 
-def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+def small(df: DataFrame, most: int = BROADCAST_ROWS, of: DataFrame | None = None) -> DataFrame:
     """`df`, marked for broadcast only if it `fits`, else for a merge join, whose hot keys Spark splits."""
-    return F.broadcast(df) if fits(df, most) else df.hint("merge")
+    return F.broadcast(df) if fits(df, most, of) else df.hint("merge")
+
+
+def empty(df: DataFrame) -> bool:
+    known = counts(df)
+    return df.isEmpty() if known is None else known.rows == 0
 
 
 def _hashable(kind: T.DataType) -> bool:
@@ -51,8 +63,8 @@ def without(docs: DataFrame, dropped: DataFrame, key: str = "doc_id", twins: Dat
 
     Rows go one by one, whatever others share their id.
     """
-    left = docs.select("*", *mark(docs, key)).join(small(dropped.select(*MARK)), MARK, "left_anti")
-    if twins is not None and not twins.isEmpty():
-        some = small(twins.select(*MARK))
+    left = docs.select("*", *mark(docs, key)).join(small(dropped.select(*MARK), of=dropped), MARK, "left_anti")
+    if twins is not None and not empty(twins):
+        some = small(twins.select(*MARK), of=twins)
         left = left.join(some, MARK, "left_anti").unionByName(left.join(some, MARK, "left_semi").dropDuplicates(MARK))
     return left.drop(*MARK)

@@ -87,7 +87,8 @@ def keep_first(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str
     same = F.col("_id").eqNullSafe(F.col("keep_id")) & (F.col(MARK[1]) == F.col("keep_mark"))
     judged = scratch.put(alive.join(small(groups), "_sha").select(*MARK, same.alias("stays")), "judged")
     twins = scratch.put(judged.filter("stays").groupBy(*MARK).agg(F.count("*").alias("c")).filter("c > 1").select(*MARK), "twins")
-    return without(docs, judged.filter("NOT stays"), key, twins)
+    dropped = scratch.put(judged.filter("NOT stays").select(*MARK).distinct(), "dropped")
+    return without(docs, dropped, key, twins)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weir.llm import text as tx
-from weir.llm.base import MARK, NO_ID, mark, quoted, small, without
+from weir.llm.base import MARK, NO_ID, empty, mark, quoted, small, without
 from weir.llm.components import components
 from weir.session import Scratch, table
 
@@ -199,22 +199,22 @@ def _full_sets(texts: DataFrame, k: int) -> DataFrame:
 class _Verifier:
     """Pairs (u, v) of classes -> those with the threshold or more, on full sets."""
 
-    def __init__(self, docs: DataFrame, reps: DataFrame, scratch: Scratch, k: int, percent: int):
-        self.docs, self.reps, self.scratch, self.k, self.percent = docs, reps, scratch, k, percent
+    def __init__(self, docs: DataFrame, reps: DataFrame, held: DataFrame, scratch: Scratch, k: int, percent: int):
+        self.docs, self.reps, self.held, self.scratch, self.k, self.percent = docs, reps, held, scratch, k, percent
 
     def texts(self, nodes: DataFrame) -> DataFrame:
         """cid and _text of the classes `nodes` (cid), from the row that stands for each (repeated rows: several)."""
-        wanted = self.reps.join(small(nodes), "cid").select("cid", *MARK)
+        wanted = self.scratch.put(self.reps.join(small(nodes), "cid").select("cid", *MARK), "wanted")
         return self.docs.join(small(wanted), MARK).select("cid", "_text")
 
     def __call__(self, pairs: DataFrame) -> DataFrame:
         r = self.reps
         first = r.select(F.col("cid").alias("u"), F.col("n").alias("na"), F.col("regs").alias("ra")).join(small(pairs), "u")
-        both = first.join(r.select(F.col("cid").alias("v"), F.col("n").alias("nb"), F.col("regs").alias("rb")).hint("merge"), "v")
+        both = first.join(r.select(F.col("cid").alias("v"), F.col("n").alias("nb"), F.col("regs").alias("rb")).transform(small, of=self.held), "v")
         likely = self.scratch.put(both.select("u", "v", "na", "nb", "ra", "rb").mapInArrow(_likely(self.percent / 100), "u long, v long, na long, nb long"), "likely")
         ids = self.scratch.put(likely.select(F.col("u").alias("cid")).unionByName(likely.select(F.col("v").alias("cid"))).distinct(), "ids")
         sets = self.scratch.put(_full_sets(self.texts(ids), self.k).dropDuplicates(["cid"]), "sets")
-        of = lambda c: sets.select(F.col("cid").alias(c), F.col("s").alias(f"s{c}")).hint("merge")
+        of = lambda c: small(sets.select(F.col("cid").alias(c), F.col("s").alias(f"s{c}")), of=sets)
         got = likely.join(of("u"), "u").join(of("v"), "v")
         met = F.size(F.array_intersect("su", "sv")).cast("long")
         out = self.scratch.put(got.select("u", "v", (F.lit(100) * met).alias("x"), (F.lit(self.percent) * (F.col("na") + F.col("nb") - met)).alias("y")).filter("x >= y").select("u", "v"), "links")
@@ -298,17 +298,19 @@ def _classes(sk: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """
     held = scratch.put(sk.filter("n > 0").groupBy("n", "d1", "d2").agg(F.min(_last_null(F.struct(*MARK))).alias("rep"), F.first("regs").alias("regs")).select("n", "d1", "d2", "rep.mark.*", "regs"), "classes")
     shared = held.groupBy(MARK[0]).agg(F.count("*").alias("c")).filter((F.col("c") > 1) | (F.col(MARK[0]) == NO_ID)).select(MARK[0], F.lit(True).alias("shared"))
-    if shared.isEmpty():
+    shared = scratch.put(shared, "shared")
+    if empty(shared):
         return held.withColumn("cid", F.col(MARK[0])), held
     return held.join(small(shared), MARK[0], "left").withColumn("cid", F.when(F.col("shared"), F.xxhash64("n", "d1", "d2")).otherwise(F.col(MARK[0]))).drop("shared"), held
 
 
-def _open_buckets(met: DataFrame, comp: DataFrame) -> DataFrame:
+def _open_buckets(met: DataFrame, comp: DataFrame, scratch: Scratch) -> DataFrame:
     """Members of buckets that lie in several components: key, band, cid, comp, row (outside of the hub), c and o (members, outsiders)."""
-    named = met.filter("c > 2").join(small(comp.withColumnRenamed("node", "cid")), "cid", "left").select("key", "c", "band", "cid", F.coalesce("comp", "cid").alias("comp"))
+    named = met.filter("c > 2").join(small(comp.withColumnRenamed("node", "cid"), of=comp), "cid", "left").select("key", "c", "band", "cid", F.coalesce("comp", "cid").alias("comp"))
     sizes = named.groupBy("key", "comp").agg(F.count("*").alias("m"))
     hubs = sizes.groupBy("key").agg(F.max(F.struct("m", "comp")).alias("hub"), F.sum("m").alias("c"), F.count("*").alias("many")).filter("many > 1")
-    return named.drop("c").join(small(hubs.select("key", F.col("hub.comp").alias("hub"), "c", (F.col("c") - F.col("hub.m")).alias("o"))), "key").withColumn("row", F.col("comp") != F.col("hub")).drop("hub")
+    hubs = scratch.put(hubs.select("key", F.col("hub.comp").alias("hub"), "c", (F.col("c") - F.col("hub.m")).alias("o")), "hubs")
+    return named.drop("c").join(small(hubs), "key").withColumn("row", F.col("comp") != F.col("hub")).drop("hub")
 
 
 def _cells(rest: DataFrame, sketches: DataFrame) -> DataFrame:
@@ -316,7 +318,7 @@ def _cells(rest: DataFrame, sketches: DataFrame) -> DataFrame:
     many = lambda c: F.greatest(F.lit(1), F.ceil(F.col(c) / BLOCK)).cast("int")
     own = lambda c: F.pmod(F.xxhash64("cid"), many(c)).cast("int")
     every = lambda c: F.explode(F.sequence(F.lit(0), many(c) - 1))
-    dealt = rest.join(sketches.hint("merge"), "cid")
+    dealt = rest.join(small(sketches), "cid")
     kept = ["key", "band", "cid", "comp", "n", "regs", "bins"]
     columns = dealt.select(*kept, F.lit(False).alias("row"), own("c").alias("j"), every("o").alias("i"))
     rows = dealt.filter("row").select(*kept, F.lit(True).alias("row"), own("o").alias("i"), every("c").alias("j"))
@@ -337,38 +339,41 @@ def judged(docs: DataFrame, scratch: Scratch, k: int, percent: int, key: str, te
     score = scratch.put(met.groupBy("cid").agg(F.sum("c").alias("score")), "score")
     center = F.max(F.struct("score", (-F.col("cid")).alias("m"))).alias("best")
     centers = scratch.put(met.join(small(score), "cid").groupBy("key").agg(center).select("key", (-F.col("best.m")).alias("center")), "centers")
-    verify = _Verifier(docs, reps, scratch, k, percent)
+    verify = _Verifier(docs, reps, held, scratch, k, percent)
     starred = met.join(small(centers), "key").filter("cid <> center")
     tested = scratch.put(starred.select(F.least("cid", "center").alias("u"), F.greatest("cid", "center").alias("v")).distinct(), "tested")
     scratch.drop(score, centers)
     links = verify(tested)
-    made = [held, tested, links]
+    made, linked = [held, tested], [links]
     comp = scratch.put(components(links, scratch), "comp")
     sketches = None
     for best in (True, False):  # buckets that do not yet lie in one component
-        rest = scratch.put(_open_buckets(met, comp), "rest")
-        if rest.isEmpty():
+        rest = scratch.put(_open_buckets(met, comp, scratch), "rest")
+        if empty(rest):
             break
         if best:  # what is open later is open now
             nodes = scratch.put(rest.select("cid").distinct(), "nodes")
             bins = scratch.put(_bin_sketches(verify.texts(nodes), k), "bins")
-            sketches = scratch.put(reps.join(small(nodes), "cid").select("cid", "n", "regs").join(bins.hint("merge"), "cid"), "sketches")
+            sketches = scratch.put(reps.join(small(nodes), "cid").select("cid", "n", "regs").join(small(bins), "cid"), "sketches")
             scratch.drop(bins, nodes)
-        fresh = scratch.put(_cells(rest, sketches).mapInArrow(_blocks(percent / 100, best), "u long, v long").distinct().join(small(tested), ["u", "v"], "left_anti"), "fresh")
-        more = None if fresh.isEmpty() else verify(fresh)
-        made += [fresh, more]
-        tested = tested.unionByName(fresh)
-        if more is not None and not more.isEmpty():
+        fresh = _cells(rest, sketches).mapInArrow(_blocks(percent / 100, best), "u long, v long").distinct()
+        for old in made[1:]:  # what was tested before
+            fresh = fresh.join(small(old), ["u", "v"], "left_anti")
+        fresh = scratch.put(fresh, "fresh")
+        more = None if empty(fresh) else verify(fresh)
+        made.append(fresh)
+        if more is not None and not empty(more):
+            linked.append(more)
             links = links.unionByName(more)
             old, comp = comp, scratch.put(components(links, scratch), "comp")
             scratch.drop(old)
         scratch.drop(rest)
     scratch.drop(met, sketches)
-    linked = comp.withColumnRenamed("node", "cid").join(reps.select("cid", F.struct(*MARK).alias("own")).hint("merge"), "cid")
-    first = scratch.put(linked.groupBy("comp").agg(F.min(_last_null(F.col("own"))).alias("best")), "first")
-    named = reps.select("n", "d1", "d2", "cid", F.struct(*MARK).alias("low")).join(comp.withColumnRenamed("node", "cid").join(small(first), "comp").select("cid", "best").hint("merge"), "cid", "left")
+    member = reps.select("cid", F.struct(*MARK).alias("own")).join(small(comp.withColumnRenamed("node", "cid"), of=comp), "cid")
+    first = scratch.put(member.groupBy("comp").agg(F.min(_last_null(F.col("own"))).alias("best")), "first")
+    named = reps.select("n", "d1", "d2", "cid", F.struct(*MARK).alias("low")).join(small(comp.withColumnRenamed("node", "cid").join(small(first), "comp").select("cid", "best"), of=comp), "cid", "left")
     named = scratch.put(named.select("n", "d1", "d2", "low", F.col("best.mark").alias("best")), "named")
-    scratch.drop(*made, comp, first)
+    scratch.drop(*made, *linked, comp, first)
     return sk.select("_id", *MARK, "n", "d1", "d2").join(small(named), ["n", "d1", "d2"], "left").drop("d1", "d2")
 
 
@@ -395,8 +400,9 @@ def keep_one(docs: DataFrame, scratch: Scratch, k: int = 5, percent: int = 80, k
     """`docs` with one row of each near-duplicate component."""
     found = judged(docs, scratch, k, percent, key, text).filter("low IS NOT NULL")
     own = scratch.put(found.select(*MARK, (F.struct(*MARK) == F.coalesce("best", "low")).alias("stays")), "verdicts")
+    dropped = scratch.put(own.filter("NOT stays").select(*MARK).distinct(), "dropped")
     twins = scratch.put(own.filter("stays").groupBy(*MARK).agg(F.count("*").alias("c")).filter("c > 1").select(*MARK), "twins")
-    return without(docs, own.filter("NOT stays"), key, twins)
+    return without(docs, dropped, key, twins)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
