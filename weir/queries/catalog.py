@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from weir.operators import policies
-from weir.queries import aggregates, dedup, mixing, models, records, scalars, segments, shaped  # noqa: F401
+from weir.queries import aggregates, dedup, mixing, models, records, scalars, segments, shaped, tabular  # noqa: F401
 from weir.queries.registry import QUERIES, SQL, table  # noqa: F401
 
 
