@@ -9,9 +9,11 @@ compared in full. Counts, windows and documents are all taken whole.
 Windows and anchors are broadcast while they are few (`base.small` counts them), else joined by a shuffle.
 
 Defined cases: null texts have no words; documents without words have no hits and items_sha256 of the empty string;
-items without words are never found; equal windows of several items count for each; rows repeated under one id give
-their rows each, those with other texts judged on their own text; an empty table gives an empty result; extra columns
-are ignored.
+items without words are never found; a null item id is never counted as an item; equal windows of several items count for
+each; equally rare shingles: the first in the window; rows repeated under one id give their rows each, those with other
+texts judged on their own text, and a null id is an id like others; a very long text, or word, is split and compared
+where it is read, only the places that may hold a window are shuffled; an empty table gives an empty result; extra
+columns are ignored.
 """
 
 from __future__ import annotations
