@@ -84,8 +84,10 @@ def test_near_against_is_exact(spark):
 
 
 def test_containment_joins(spark):
-    d = docs(spark, ["xx the quick brown fox jumps over it yy", "The Quick\nbrown fox jumps over it", "prefixthe quick brown fox jumps over itsuffix", "none", "x Yabcdefghijklmnopqrstuv z", "a leftmostpart rightmostparts"])
-    items = spark.createDataFrame([(1, "the quick brown fox jumps over it"), (2, "short"), (3, "unrelated sentence of some length"), (4, "abcdefghijklmnopqrstu"), (5, "leftmostpart rightmostpart")], "item_id long, text string")
+    d = docs(spark, ["xx the quick brown fox jumps over it yy", "The Quick\nbrown fox jumps over it", "prefixthe quick brown fox jumps over itsuffix", "none", "x "
+        "Yabcdefghijklmnopqrstuv z", "a leftmostpart rightmostparts"])
+    items = spark.createDataFrame([(1, "the quick brown fox jumps over it"), (2, "short"), (3, "unrelated sentence of some "
+        "length"), (4, "abcdefghijklmnopqrstu"), (5, "leftmostpart rightmostpart")], "item_id long, text string")
     assert sorted((r.item_id, r.doc_id) for r in contains.contained(d, items).collect()) == [(1, 0), (1, 1), (1, 2), (4, 4), (5, 5)]
     assert sorted((r.item_id, r.doc_id) for r in contains.anchored(d, items.filter("item_id < 4")).collect()) == [(1, 0), (1, 1), (1, 2)]
 
@@ -177,11 +179,13 @@ def test_signals(spark):
 def test_python_scalars(spark):
     assert execute.folded("Éclair Straße!") == "eclair strasse"
     assert execute.parses("x = 1") and not execute.parses("x =")
-    for code, want in (("2 * (3 + 4) ** 2", "98"), ("```python\nprint(sqrt(16), max(2, 3))\n7 // 2\n```", "4 3\n3"), ("round(2 * pi, 3)", "6.283"), ("sum([1, 2, 3]) % 4", "2"), ("factorial(5) - -1", "121")):
+    for code, want in (("2 * (3 + 4) ** 2", "98"), ("```python\nprint(sqrt(16), max(2, 3))\n7 // 2\n```", "4 3\n3"), ("round(2 * pi, 3)", "6.283"), ("sum([1, 2, 3]) % "
+        "4", "2"), ("factorial(5) - -1", "121")):
         assert execute.calculated(code) == want
     for code in ("__import__('os')", "1/0", "x = 1", "", "2 ** 5000", "factorial(9999)", "'a' * 3", "pow(2, 99999)", "open('x')", "abs(x=1)", "True + 1"):
         assert execute.calculated(code) is None, code
-    df = spark.createDataFrame([("Ärger & Café", "1+1", "x = (", "python"), (None, None, None, None), ("", "y", "<filename>a.py\nx = 1", "python"), ("", "", "Text\n```py\nz = 2\n```", "de")], "t string, a string, c string, l string")
+    df = spark.createDataFrame([("Ärger & Café", "1+1", "x = (", "python"), (None, None, None, None), ("", "y", "<filename>a.py\nx = "
+        "1", "python"), ("", "", "Text\n```py\nz = 2\n```", "de")], "t string, a string, c string, l string")
     code = execute.python_part(F.col("c"), F.col("l"))
     got = df.select(execute.fold(F.col("t")).alias("f"), execute.evaluate(F.col("a")).alias("v"), code.alias("c"), execute.python_ok(code).alias("ok")).collect()
     assert [tuple(r) for r in got] == [("arger cafe", "2", "x = (", False), (None, None, None, None), ("", None, "x = 1", True), ("", None, "z = 2\n", True)]
@@ -189,6 +193,8 @@ def test_python_scalars(spark):
 
 def test_programs_run_against_tests(spark):
     tests = '[{"args": [2, 3], "expected": 5}]'
-    rows = [(1, "def add(a, b):\n    return a + b", "add", tests), (2, "def add(a, b):\n    return a - b", "add", tests), (3, "def add(a, b):\n    while True: pass", "add", tests), (4, "import os\ndef add(a, b): return 5", "add", tests), (5, "def other(): pass", "add", tests), (6, None, None, None), (7, "def f(x):\n    return x == [True, None]", "f", '[{"args": [[true, null]], "expected": true}]')]
+    rows = [(1, "def add(a, b):\n    return a + b", "add", tests), (2, "def add(a, b):\n    return a - b", "add", tests), (3, "def add(a, b):\n    while True: "
+        "pass", "add", tests), (4, "import os\ndef add(a, b): return 5", "add", tests), (5, "def other(): pass", "add", tests), (6, None, None, None), (7, "def f(x):\n   "
+        " return x == [True, None]", "f", '[{"args": [[true, null]], "expected": true}]')]
     got = execute.verified(spark.createDataFrame(rows, "id long, code string, entrypoint string, tests string"), seconds=2).collect()
     assert {r.id: r.outcome for r in got} == {1: "pass", 2: "mismatch", 3: "timeout", 4: "refused", 5: "error", 6: "refused", 7: "pass"}

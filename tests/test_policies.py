@@ -27,14 +27,16 @@ def test_quality_chain(judge):
 
 def test_strict_order_and_profiles(judge):
     de = policies.strict("german")
-    assert judge(de, PROSE_DE, "kurz", PROSE_DE + " <|user|> hallo", PROSE_EN, PROSE_DE + " <div>", PROSE_DE + " in den warenkorb", PROSE_DE + " http://a http://b") == [None, "too_short", "chat_marker", "language_mismatch", "html", "web_boilerplate", "url_dense"]
+    assert judge(de, PROSE_DE, "kurz", PROSE_DE + " <|user|> hallo", PROSE_EN, PROSE_DE + " <div>", PROSE_DE + " in den warenkorb", PROSE_DE + " http://a "
+        "http://b") == [None, "too_short", "chat_marker", "language_mismatch", "html", "web_boilerplate", "url_dense"]
     index = "Inhaltsverzeichnis Seite Kapitel " + " ".join(f"Teil {i} ..... {i * 7}" for i in range(1, 30))
     assert judge(de, index + PROSE_DE) == ["toc_or_index"]
     names = " ".join(f"Anna, Maier{i} (1850–1901)" for i in range(40))
     assert judge(de, PROSE_DE + names) == ["name_catalogue"]
     play = " ".join(f"{n}. Komm herein." for n in ["FAUST", "WAGNER"] * 12)
     assert judge(de, PROSE_DE + play) == ["dialogue_script"]
-    assert judge(policies.strict("english", "math"), "Problem: What is 3 + 4? Solution: the sum of 3 and 4 is 7, and that is the answer to the problem for you. We can check it with a proof that is short and easy to see because 7 minus 4 is 3.") == [None]
+    assert judge(policies.strict("english", "math"), "Problem: What is 3 + 4? Solution: the sum of 3 and 4 is 7, and that is the answer to the problem for you. We can "
+        "check it with a proof that is short and easy to see because 7 minus 4 is 3.") == [None]
     assert judge(policies.strict("german", "booster"), "Rechne: 12 + 30 = 42. Das Ergebnis ist 42.") == [None]
 
 
@@ -43,7 +45,8 @@ def test_strict_repetition(judge):
 
 
 def test_mix_gates(judge):
-    got = judge(policies.mix(), PROSE_DE * 2, "kurz", PROSE_DE + " <|im_end|>", PROSE_DE + " &amp; ", PROSE_DE + " gutschein", PROSE_DE + " www.x.de", PROSE_DE + " diskussion:", "1 2 3 4 5 6 7 8 9 0 " * 10)
+    got = judge(policies.mix(), PROSE_DE * 2, "kurz", PROSE_DE + " <|im_end|>", PROSE_DE + " &amp; ", PROSE_DE + " gutschein", PROSE_DE + " www.x.de", PROSE_DE + " diskussion:", "1 "
+        "2 3 4 5 6 7 8 9 0 " * 10)
     assert got == [None, "too_short", "chat_marker", "html_or_entity", "bad_marker", "url_dense", "wiki_talk", "low_alpha"]
 
 
@@ -76,7 +79,9 @@ def test_structure_cleaner(spark):
 def test_damaged_texts_are_repaired_not_rejected(spark, judge):
     broken = PROSE_DE.encode().decode("latin1")
     assert judge(policies.strict("german"), broken, PROSE_DE + " Das ist \ufffd.") == [None, "mojibake"]
-    got = structure.clean(spark.createDataFrame([(1, (PROSE_DE + " Größe – mit “Anführung”. ").encode().decode("cp1252", "replace").replace("\ufffd", "") * 3), (2, PROSE_DE.replace("gut", "&quot;gut&quot; &amp; sch&ouml;n") * 3), (3, "<p>" + broken * 3 + "</p>")], "doc_id long, text string")).orderBy("doc_id").collect()
+    got = structure.clean(spark.createDataFrame([(1, (PROSE_DE + " Größe – mit "
+        "“Anführung”. ").encode().decode("cp1252", "replace").replace("\ufffd", "") * 3), (2, PROSE_DE.replace("gut", "&quot;gut&quot; &amp; "
+        "sch&ouml;n") * 3), (3, "<p>" + broken * 3 + "</p>")], "doc_id long, text string")).orderBy("doc_id").collect()
     assert '"gut" & schön' in got[1].structured and got[1].reason is None
     assert got[2].reason is None and "Brücken" in got[2].structured and "<p>" not in got[2].structured
 

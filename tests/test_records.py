@@ -15,7 +15,8 @@ DE = "Das ist eine Antwort, und sie ist nicht zu kurz, weil wir es so wollen."
 
 
 def chats(spark, *rows):
-    return spark.createDataFrame([(i, [r for r, _ in t], [c for _, c in t], cat, src) for i, (t, cat, src) in enumerate(rows)], "i int, roles array<string>, contents array<string>, category string, source string")
+    return spark.createDataFrame([(i, [r for r, _ in t], [c for _, c in t], cat, src) for i, (t, cat, src) in enumerate(rows)], "i int, roles array<string>, contents "
+        "array<string>, category string, source string")
 
 
 def test_response_fix_chain(spark):
@@ -40,14 +41,16 @@ def test_response_fix_chain(spark):
     assert got == list(rows)
     repaired = gates.response_fix().spark(chats(spark, talk(ask, ("assistant", (DE + " Größe.").encode().decode("latin1"))))).first()
     assert repaired.reason is None and repaired.answered.endswith("Größe.")
-    cats = gates.prompt_category().spark(chats(spark, ([("user", "x")], "c", "guard_2"), ([("user", "Erkläre mir das")], "c", "a"), ([("user", "Wer ist da?")], "c", "a"), ([("user", "Hm")], "c", "a"), ([], "c", "a")))
+    cats = gates.prompt_category().spark(chats(spark, ([("user", "x")], "c", "guard_2"), ([("user", "Erkläre mir das")], "c", "a"), ([("user", "Wer ist "
+        "da?")], "c", "a"), ([("user", "Hm")], "c", "a"), ([], "c", "a")))
     assert [r.prompt_category for r in cats.orderBy("i").collect()] == ["hallucination_guard", "instruction_de", "qa_de", "response_de", "response_de"]
 
 
 def test_members_and_speeches_from_xml(spark, tmp_path):
     (tmp_path / "m.xml").write_text(
         "<DOCUMENT><MDB><ID> 11 </ID><NAMEN><NAME><NACHNAME>Muster</NACHNAME><VORNAME>Eva</VORNAME><AKAD_TITEL>Dr.</AKAD_TITEL></NAME><NAME><NACHNAME>Alt</NACHNAME></NAME></NAMEN>"
-        "<BIOGRAFISCHE_ANGABEN><GEBURTSDATUM>1.2.1960</GEBURTSDATUM><GEBURTSORT>Ulm</GEBURTSORT><BERUF>Ärztin</BERUF><PARTEI_KURZ>X</PARTEI_KURZ><VITA_KURZ>Kurz &lt;b&gt;und&lt;/b&gt; gut</VITA_KURZ></BIOGRAFISCHE_ANGABEN>"
+        "<BIOGRAFISCHE_ANGABEN><GEBURTSDATUM>1.2.1960</GEBURTSDATUM><GEBURTSORT>Ulm</GEBURTSORT><BERUF>Ärztin</BERUF><PARTEI_KURZ>X</PARTEI_KURZ><VITA_KURZ>Kurz "
+            "&lt;b&gt;und&lt;/b&gt; gut</VITA_KURZ></BIOGRAFISCHE_ANGABEN>"
         "<WAHLPERIODEN><WAHLPERIODE><WP>19</WP><WKR_NAME>Ulm</WKR_NAME></WAHLPERIODE><WAHLPERIODE><WP>18</WP></WAHLPERIODE></WAHLPERIODEN></MDB><MDB><ID>12</ID></MDB></DOCUMENT>",
         encoding="utf-8",
     )
@@ -57,7 +60,8 @@ def test_members_and_speeches_from_xml(spark, tmp_path):
     assert got["12"].mandate == [] and got["12"].text.startswith("Politiker:")
     long = "Meine Damen und Herren, " * 4
     (tmp_path / "p.xml").write_text(
-        f"<dbtplenarprotokoll wahlperiode='20' sitzung-nr='7'><sitzungsverlauf><tagesordnungspunkt><rede><p><redner><name><vorname>Eva</vorname><nachname>Muster</nachname><fraktion>X</fraktion></name></redner></p><p>{long}</p><p>Ende.</p></rede><rede><p>kurz</p></rede></tagesordnungspunkt></sitzungsverlauf></dbtplenarprotokoll>",
+        f"<dbtplenarprotokoll wahlperiode='20' "
+            f"sitzung-nr='7'><sitzungsverlauf><tagesordnungspunkt><rede><p><redner><name><vorname>Eva</vorname><nachname>Muster</nachname><fraktion>X</fraktion></name></redner></p><p>{long}</p><p>Ende.</p></rede><rede><p>kurz</p></rede></tagesordnungspunkt></sitzungsverlauf></dbtplenarprotokoll>",
         encoding="utf-8",
     )
     (talk,) = schemas.speeches(spark, str(tmp_path / "p.xml")).collect()
@@ -67,13 +71,15 @@ def test_members_and_speeches_from_xml(spark, tmp_path):
 def test_schemas(spark):
     pairs = spark.createDataFrame([("\n\nHuman: a\n\nAssistant: b\n\nHuman: c?\n\nAssistant: good", "\n\nHuman: c?\n\nAssistant: bad"), ("no marks", None)], "chosen string, rejected string")
     assert [(r.user, r.preferred, r.rejected) for r in schemas.dialogue_pairs(pairs).collect()] == [("c?", "good", "bad"), ("", "no marks", "")]
-    nested = spark.createDataFrame([("T", [{"context": "C", "qas": [{"id": "1", "question": "Q", "answers": [{"text": "A"}]}, {"id": "2", "question": "R", "answers": []}]}])], "title string, paragraphs array<struct<context:string,qas:array<struct<id:string,question:string,answers:array<struct<text:string>>>>>>")
+    nested = spark.createDataFrame([("T", [{"context": "C", "qas": [{"id": "1", "question": "Q", "answers": [{"text": "A"}]}, {"id": "2", "question": "R", "answers": []}]}])], "title "
+        "string, paragraphs array<struct<context:string,qas:array<struct<id:string,question:string,answers:array<struct<text:string>>>>>>")
     assert [(r.id, r.answers) for r in schemas.nested_reading(nested).collect()] == [("1", ["A"]), ("2", [])]
     trees = spark.createDataFrame([("prompter", "hi"), ("assistant", "ho"), (None, None)], "role string, text string")
     assert [(r.user, r.preferred, r.category) for r in schemas.message_trees(trees).collect()] == [("hi", "", "prompter"), ("", "ho", "assistant"), ("", "", "unknown")]
     bad = spark.createDataFrame([(None, "b", "t", None)], "goal string, behavior string, target string, category string")
     assert schemas.harmful_requests(bad).first().asDict() == {"source": "harmful_requests", "kind": "harmful_request", "user": "b", "preferred": "", "rejected": "t", "category": "harmful"}
-    case = spark.createDataFrame([(7, "AG", None, "2020", ["1/2", "3/4"], None, "x" * 9000, None)], "k int, courtType string, documentType string, decisionDate string, fileNumbers array<string>, ecli string, body string, documentNumber string")
+    case = spark.createDataFrame([(7, "AG", None, "2020", ["1/2", "3/4"], None, "x" * 9000, None)], "k int, courtType string, documentType string, decisionDate string, "
+        "fileNumbers array<string>, ecli string, body string, documentNumber string")
     got = schemas.grounded(case, "caselaw", "k").first()
     assert (got.documentType, got.fileNumbers, len(got.body), got.raw_id) == ("?", "1/2, 3/4", 8000, "case_7")
     person = spark.createDataFrame([("9", "Muster", "zu viel")], "id string, nachname string, other string")
@@ -144,12 +150,15 @@ def test_plans(spark):
 
 
 def test_knowledge_blocks_and_calibration(spark):
-    entry = ("Alb", "ein Gebirge", ["Es ist hoch."], [], [], ["Berg"], "atlas", [("Was?", "Berg", "fact", [], []), ("Was noch?", "Fels", "definition", [], []), ("Meer?", "Nein", "counterfact", [], [])])
+    entry = ("Alb", "ein Gebirge", ["Es ist hoch."], [], [], ["Berg"], "atlas", [("Was?", "Berg", "fact", [], []), ("Was "
+        "noch?", "Fels", "definition", [], []), ("Meer?", "Nein", "counterfact", [], [])])
     e = knowledge.blocks(spark.createDataFrame([entry], knowledge.ENTRY)).first()
     assert e.plain == "Alb: ein Gebirge\nEs ist hoch.\nVerwandte Begriffe: Berg."
-    assert e.tagged.startswith("<memory>\nTyp: knowledge_dna\nBegriff: Alb\nDefinition: ein Gebirge\nFakten:\n- Es ist hoch.\nVerwandte Begriffe: Berg\nQuelle: atlas\n</memory>\n\n<recall>\nBegriff: Alb\nFrage: Was?")
+    assert e.tagged.startswith("<memory>\nTyp: knowledge_dna\nBegriff: Alb\nDefinition: ein Gebirge\nFakten:\n- Es ist hoch.\nVerwandte Begriffe: Berg\nQuelle: "
+        "atlas\n</memory>\n\n<recall>\nBegriff: Alb\nFrage: Was?")
     assert e.hybrid.count("<recall>") == 2 and "Meer?" in e.hybrid and "Was noch?" not in e.hybrid
-    labels = spark.createDataFrame([("Was ist die Hauptstadt von Peru?", ["lima"], "capital", "KNOWN"), ("Wer ist X?", None, "invented", "UNKNOWN"), ("Was ist Y?", ["y"], "other", "SHAKY"), ("Wer schrieb 'Faust'?", ["goethe"], "work", "KNOWN")], "q string, gold array<string>, cat string, label string")
+    labels = spark.createDataFrame([("Was ist die Hauptstadt von Peru?", ["lima"], "capital", "KNOWN"), ("Wer ist X?", None, "invented", "UNKNOWN"), ("Was ist "
+        "Y?", ["y"], "other", "SHAKY"), ("Wer schrieb 'Faust'?", ["goethe"], "work", "KNOWN")], "q string, gold array<string>, cat string, label string")
     none = spark.createDataFrame([], "text string, source string")
     anchors = spark.createDataFrame([("gut", "qa"), ("denk", "reasoning_de"), ("<tool:x>", "qa")], "text string, source string")
     rows = knowledge.calibration(labels, none, anchors).collect()

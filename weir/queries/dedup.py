@@ -32,12 +32,14 @@ def u02(spark, sf):
     return dedup.first_by(docs(spark, sf), dedup.text_key("text"), ["source", "doc_id"]).select("doc_id", "source")
 
 
-@query("u03_prefix_first", r"SELECT doc_id FROM (SELECT *, row_number() OVER (PARTITION BY substring(trim(regexp_replace(text, '\s+', ' ', 'g')), 1, 500) ORDER BY doc_id) AS r FROM documents) WHERE r = 1")
+@query("u03_prefix_first", r"SELECT doc_id FROM (SELECT *, row_number() OVER (PARTITION BY substring(trim(regexp_replace(text, '\s+', ' ', 'g')), 1, 500) ORDER BY "
+    r"doc_id) AS r FROM documents) WHERE r = 1")
 def u03(spark, sf):
     return dedup.first_by(docs(spark, sf), dedup.prefix_key("text"), ["doc_id"]).select("doc_id")
 
 
-@query("u04_code_first", r"SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '\s+$', '')), lambda x: x <> ''), chr(10)) ORDER BY doc_id) AS r FROM documents) WHERE r = 1")
+@query("u04_code_first", r"SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY array_to_string(list_filter(list_transform(string_split(text, chr(10)), "
+    r"lambda x: regexp_replace(x, '\s+$', '')), lambda x: x <> ''), chr(10)) ORDER BY doc_id) AS r FROM documents) WHERE r = 1")
 def u04(spark, sf):
     return dedup.first_by(docs(spark, sf), dedup.code_key("text"), ["doc_id"]).select("doc_id")
 
@@ -82,7 +84,8 @@ def u07(spark, sf):
     return pairs.join(size(fresh, "a"), "a").join(size(ref, "b"), "b")
 
 
-@query("u08_first_reference", f"SELECT f.doc_id, min(r.num) AS matched FROM (SELECT doc_id, {KEY} AS k FROM documents WHERE {NUM} % 2 = 0) f LEFT JOIN (SELECT {KEY} AS k, {NUM} AS num FROM documents WHERE {NUM} % 2 = 1) r USING (k) GROUP BY f.doc_id")
+@query("u08_first_reference", f"SELECT f.doc_id, min(r.num) AS matched FROM (SELECT doc_id, {KEY} AS k FROM documents WHERE {NUM} % 2 = 0) f LEFT JOIN (SELECT {KEY} AS "
+    f"k, {NUM} AS num FROM documents WHERE {NUM} % 2 = 1) r USING (k) GROUP BY f.doc_id")
 def u08(spark, sf):
     fresh, ref = halves(spark, sf)
     return dedup.attributed(fresh, ref, "num")
@@ -102,32 +105,37 @@ def u10(spark, sf):
     return dedup.capped(kept, F.sha1("a"), 3, ["conv_id"]).select("conv_id")
 
 
-@query("u11_first_question", r"SELECT conv_id, turn FROM (SELECT *, row_number() OVER (PARTITION BY trim(regexp_replace(regexp_replace(lower(text), '[^\p{L}\p{N}_\s]', '', 'g'), '\s+', ' ', 'g')) ORDER BY conv_id, turn) AS r FROM conversations WHERE role = 'user') WHERE r = 1")
+@query("u11_first_question", r"SELECT conv_id, turn FROM (SELECT *, row_number() OVER (PARTITION BY trim(regexp_replace(regexp_replace(lower(text), '[^\p{L}\p{N}_\s]', "
+    r"'', 'g'), '\s+', ' ', 'g')) ORDER BY conv_id, turn) AS r FROM conversations WHERE role = 'user') WHERE r = 1")
 def u11(spark, sf):
     users = table(spark, sf, "conversations").filter("role = 'user'")
     key = F.trim(F.regexp_replace(F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}_\s]", ""), r"\s+", " "))
     return dedup.first_by(users, F.sha1(key), ["conv_id", "turn"]).select("conv_id", "turn")
 
 
-@query("u12_last_write", "SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1")
+@query("u12_last_write", "SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id "
+    "DESC) AS r FROM events) WHERE r = 1")
 def u12(spark, sf):
     e = table(spark, sf, "events").select("user_id", "event_type", "ts", "event_id", "value")
     return dedup.last_write(e, ["user_id", "event_type"], ["ts", "event_id"]).select("user_id", "event_type", "event_id", "value")
 
 
 sql("u13_prefix_dup_rate", "SELECT source, 1 - count(DISTINCT substring(text, 1, 64)) / CAST(count(*) AS DOUBLE) AS dup_rate FROM {documents} GROUP BY source")
-sql("u14_duplicate_accounting", "SELECT source, count(*) AS unique_hashes, CAST(sum(c - 1) AS BIGINT) AS duplicates FROM (SELECT source, md5(text) AS h, count(*) AS c FROM {documents} GROUP BY source, md5(text)) x GROUP BY source")
+sql("u14_duplicate_accounting", "SELECT source, count(*) AS unique_hashes, CAST(sum(c - 1) AS BIGINT) AS duplicates FROM (SELECT source, md5(text) AS h, count(*) AS c "
+    "FROM {documents} GROUP BY source, md5(text)) x GROUP BY source")
 
 # Set operations
 sql("o01_union_all", "SELECT doc_id, 0 AS source_rank FROM {documents} WHERE lang = 'de' UNION ALL SELECT doc_id, 1 AS source_rank FROM {documents} WHERE lang = 'en'")
-sql("o02_union_first_wins", "SELECT h, min(rank) AS rank FROM (SELECT md5(text) AS h, 0 AS rank FROM {documents} WHERE lang = 'de' UNION ALL SELECT md5(text) AS h, 1 AS rank FROM {documents}) x GROUP BY h")
+sql("o02_union_first_wins", "SELECT h, min(rank) AS rank FROM (SELECT md5(text) AS h, 0 AS rank FROM {documents} WHERE lang = 'de' UNION ALL SELECT md5(text) AS h, 1 AS "
+    "rank FROM {documents}) x GROUP BY h")
 sql("o03_except", "SELECT md5(text) AS h FROM {documents} EXCEPT SELECT md5(text) AS h FROM {benchmark}")
 sql("o03b_except_all", "SELECT lang FROM {documents} EXCEPT ALL SELECT lang FROM {documents} WHERE doc_id < 10")
 sql("o05_intersect", "SELECT lang FROM {documents} WHERE doc_id % 2 = 0 INTERSECT SELECT lang FROM {documents} WHERE doc_id % 2 = 1")
 sql("o05b_intersect_all", "SELECT lang FROM {documents} WHERE doc_id % 2 = 0 INTERSECT ALL SELECT lang FROM {documents} WHERE doc_id % 2 = 1")
 
 
-@query("o04_set_algebra", r"SELECT d.doc_id, len(list_intersect(list_distinct(string_split(lower(d.text), ' ')), list_distinct(string_split(lower(l.text), ' ')))) AS common FROM documents d JOIN documents l ON l.doc_id = d.doc_id + 1")
+@query("o04_set_algebra", r"SELECT d.doc_id, len(list_intersect(list_distinct(string_split(lower(d.text), ' ')), list_distinct(string_split(lower(l.text), ' ')))) AS "
+    r"common FROM documents d JOIN documents l ON l.doc_id = d.doc_id + 1")
 def o04(spark, sf):
     d = docs(spark, sf)
     words = F.array_distinct(F.split(F.lower("text"), " "))
@@ -136,13 +144,16 @@ def o04(spark, sf):
 
 
 # Joins
-sql("j01_reply_prompt", "SELECT a.conv_id, a.turn, md5(p.text) AS prompt_md5, md5(a.text) AS reply_md5 FROM {conversations} a JOIN {conversations} p ON a.conv_id = p.conv_id AND a.turn = p.turn + 1 WHERE a.role = 'assistant' AND p.role = 'user'")
+sql("j01_reply_prompt", "SELECT a.conv_id, a.turn, md5(p.text) AS prompt_md5, md5(a.text) AS reply_md5 FROM {conversations} a JOIN {conversations} p ON a.conv_id = "
+    "p.conv_id AND a.turn = p.turn + 1 WHERE a.role = 'assistant' AND p.role = 'user'")
 sql("j02_holdout_skip", "SELECT doc_id FROM {documents} d WHERE NOT EXISTS (SELECT 1 FROM {labels} l WHERE l.doc_id = d.doc_id AND l.quality = 0)")
 sql("j03_resume_done", "SELECT d.doc_id FROM {documents} d LEFT JOIN {labels} l ON d.doc_id = l.doc_id WHERE l.doc_id IS NULL")
 sql("j04_score_band", "SELECT doc_id, source FROM {documents} d WHERE EXISTS (SELECT 1 FROM {labels} l WHERE l.doc_id = d.doc_id AND l.quality = 1 AND l.toxic = 0)")
 
 
-@query("j07_line_to_span", "SELECT e.event_id, o.o_orderkey FROM (SELECT event_id, event_id * 7 % 100000 AS pos FROM events) e JOIN (SELECT o_orderkey, sum(n) OVER (ORDER BY o_orderkey) - n AS lo, sum(n) OVER (ORDER BY o_orderkey) AS hi FROM (SELECT l_orderkey AS o_orderkey, count(*) AS n FROM lineitem GROUP BY 1)) o ON e.pos >= o.lo AND e.pos < o.hi")
+@query("j07_line_to_span", "SELECT e.event_id, o.o_orderkey FROM (SELECT event_id, event_id * 7 % 100000 AS pos FROM events) e JOIN (SELECT o_orderkey, sum(n) OVER "
+    "(ORDER BY o_orderkey) - n AS lo, sum(n) OVER (ORDER BY o_orderkey) AS hi FROM (SELECT l_orderkey AS o_orderkey, count(*) AS n FROM lineitem GROUP BY 1)) o ON e.pos "
+    ">= o.lo AND e.pos < o.hi")
 def j07(spark, sf):
     sizes = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("n"))
     spans = contains.spans(sizes, "o_orderkey", "n")

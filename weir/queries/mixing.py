@@ -18,7 +18,8 @@ def docs(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents")
 
 
-@query("w01_byte_budget", "SELECT doc_id, source FROM (SELECT doc_id, source, sum(strlen(text)) OVER w AS s, row_number() OVER w AS n FROM documents WINDOW w AS (PARTITION BY source ORDER BY doc_id)) WHERE s <= 20000 OR n = 1")
+@query("w01_byte_budget", "SELECT doc_id, source FROM (SELECT doc_id, source, sum(strlen(text)) OVER w AS s, row_number() OVER w AS n FROM documents WINDOW w AS "
+    "(PARTITION BY source ORDER BY doc_id)) WHERE s <= 20000 OR n = 1")
 def w01(spark, sf):
     return mix.budget(docs(spark, sf), 20000, ["source"], ["doc_id"], size()).select("doc_id", "source")
 
@@ -43,7 +44,8 @@ def w05(spark, sf):
     return mix.interleave(docs(spark, sf), 16, "source", ["doc_id"]).select("doc_id", "round", "slot")
 
 
-@query("w06_balanced_tail", "SELECT doc_id, n AS round FROM (SELECT doc_id, source, n, sum(strlen(text)) OVER (ORDER BY n, source) AS s FROM (SELECT doc_id, source, text, row_number() OVER (PARTITION BY source ORDER BY doc_id DESC) AS n FROM documents)) WHERE s <= 100000")
+@query("w06_balanced_tail", "SELECT doc_id, n AS round FROM (SELECT doc_id, source, n, sum(strlen(text)) OVER (ORDER BY n, source) AS s FROM (SELECT doc_id, source, "
+    "text, row_number() OVER (PARTITION BY source ORDER BY doc_id DESC) AS n FROM documents)) WHERE s <= 100000")
 def w06(spark, sf):
     back = docs(spark, sf).withColumn("back", -F.col("doc_id"))
     ranked = contains.running(back, ["back"], {"n": F.lit(1)}, ["source"]).withColumn("n", F.col("n") + 1)
@@ -54,18 +56,21 @@ def w06(spark, sf):
     return total.filter("s <= 100000").select("doc_id", F.col("n").alias("round"))
 
 
-@query("w07_tail_holdout", "SELECT doc_id, coalesce(sum(b) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) >= sum(b) OVER (PARTITION BY source) * (1 - 0.1::DOUBLE) AS holdout FROM (SELECT doc_id, source, strlen(text) AS b FROM documents)")
+@query("w07_tail_holdout", "SELECT doc_id, coalesce(sum(b) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) >= sum(b) OVER "
+    "(PARTITION BY source) * (1 - 0.1::DOUBLE) AS holdout FROM (SELECT doc_id, source, strlen(text) AS b FROM documents)")
 def w07(spark, sf):
     return mix.tail_holdout(docs(spark, sf), 0.1, "source", ["doc_id"], size()).select("doc_id", "holdout")
 
 
-@query("w08_offsets", "SELECT doc_id, coalesce(sum(n) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start, n AS n_tokens FROM (SELECT doc_id, len(string_split(text, ' ')) AS n FROM documents)")
+@query("w08_offsets", "SELECT doc_id, coalesce(sum(n) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start, n AS n_tokens FROM "
+    "(SELECT doc_id, len(string_split(text, ' ')) AS n FROM documents)")
 def w08(spark, sf):
     sized = docs(spark, sf).select("doc_id", F.size(F.split("text", " ")).alias("n_tokens"))
     return contains.prefix_sums(sized, "doc_id", "n_tokens", "start").select("doc_id", "start", "n_tokens")
 
 
-sql("w09_source_spans", "SELECT source, CAST(sum(n) OVER (ORDER BY source) - n AS BIGINT) AS lo, CAST(sum(n) OVER (ORDER BY source) AS BIGINT) AS hi FROM (SELECT source, count(*) AS n FROM {documents} GROUP BY source) x")
+sql("w09_source_spans", "SELECT source, CAST(sum(n) OVER (ORDER BY source) - n AS BIGINT) AS lo, CAST(sum(n) OVER (ORDER BY source) AS BIGINT) AS hi FROM (SELECT source, "
+    "count(*) AS n FROM {documents} GROUP BY source) x")
 
 
 @query("w11_credit_apportionment", """WITH RECURSIVE s(step, e, g, c, ce, cg, cc) AS (
@@ -88,7 +93,10 @@ def w11(spark, sf):
     return spark.sql(f"SELECT CAST(x.e AS BIGINT) AS english, CAST(x.g AS BIGINT) AS german, CAST(x.c AS BIGINT) AS code FROM (SELECT {fold.format(step=step)} AS x)")
 
 
-sql("w12_family_quota", "SELECT doc_id, source FROM (SELECT d.doc_id, d.source, row_number() OVER (PARTITION BY d.source ORDER BY d.doc_id) AS n, q.quota FROM {documents} d JOIN (SELECT source, CAST(count(*) / 10 AS INT) + 1 AS quota FROM {documents} GROUP BY source) q ON d.source = q.source) x WHERE n <= quota", "SELECT doc_id, source FROM (SELECT d.doc_id, d.source, row_number() OVER (PARTITION BY d.source ORDER BY d.doc_id) AS n, q.quota FROM documents d JOIN (SELECT source, count(*) // 10 + 1 AS quota FROM documents GROUP BY source) q ON d.source = q.source) x WHERE n <= quota")
+sql("w12_family_quota", "SELECT doc_id, source FROM (SELECT d.doc_id, d.source, row_number() OVER (PARTITION BY d.source ORDER BY d.doc_id) AS n, q.quota FROM "
+    "{documents} d JOIN (SELECT source, CAST(count(*) / 10 AS INT) + 1 AS quota FROM {documents} GROUP BY source) q ON d.source = q.source) x WHERE n <= quota", "SELECT "
+    "doc_id, source FROM (SELECT d.doc_id, d.source, row_number() OVER (PARTITION BY d.source ORDER BY d.doc_id) AS n, q.quota FROM documents d JOIN (SELECT source, "
+    "count(*) // 10 + 1 AS quota FROM documents GROUP BY source) q ON d.source = q.source) x WHERE n <= quota")
 sql("w16_latest_delta", "SELECT user_id, event_id, value, value - lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS delta FROM {events}")
 
 # Sampling and splits
@@ -112,7 +120,8 @@ def t05(spark, sf):
     return mix.bernoulli(d.filter("lang = 'en'"), 0.1, 5, "doc_id").unionByName(mix.bernoulli(d.filter("NOT (lang <=> 'en')"), 0.4, 5, "doc_id")).select("doc_id", "lang")
 
 
-@query("t06_hash_split", r"SELECT doc_id, bucket, CASE WHEN bucket < 5 THEN 'holdout' ELSE 'train' END AS split FROM (SELECT doc_id, (('0x' || substring(sha256(source || ':' || sha256(trim(regexp_replace(lower(text), '\s+', ' ', 'g')))), 1, 16))::UBIGINT % 1000)::INT AS bucket FROM documents)")
+@query("t06_hash_split", r"SELECT doc_id, bucket, CASE WHEN bucket < 5 THEN 'holdout' ELSE 'train' END AS split FROM (SELECT doc_id, (('0x' || substring(sha256(source || "
+    r"':' || sha256(trim(regexp_replace(lower(text), '\s+', ' ', 'g')))), 1, 16))::UBIGINT % 1000)::INT AS bucket FROM documents)")
 def t06(spark, sf):
     key = F.concat("source", F.lit(":"), F.sha2(contains.norm("text"), 256))
     return mix.hash_split(docs(spark, sf), key).select("doc_id", "bucket", "split")
@@ -137,10 +146,12 @@ def t09(spark, sf):
     return mix.every_nth(docs(spark, sf), 10, ["source"], ["doc_id"]).select("doc_id")
 
 
-sql("t10_exact_n", "SELECT doc_id FROM {documents} ORDER BY md5(concat('17:', CAST(doc_id AS STRING))), doc_id LIMIT 100", "SELECT doc_id FROM documents ORDER BY md5('17:' || doc_id), doc_id LIMIT 100")
+sql("t10_exact_n", "SELECT doc_id FROM {documents} ORDER BY md5(concat('17:', CAST(doc_id AS STRING))), doc_id LIMIT 100", "SELECT doc_id FROM documents ORDER BY "
+    "md5('17:' || doc_id), doc_id LIMIT 100")
 
 
-@query("t11_packed_blocks", "SELECT block, count(*) AS n, min(doc_id) AS first_doc, max(doc_id) AS last_doc FROM (SELECT doc_id, (row_number() OVER (ORDER BY doc_id, pos) - 1) // 1024 AS block FROM (SELECT doc_id, unnest(range(len(string_split(text, ' ')))) AS pos FROM documents)) GROUP BY block")
+@query("t11_packed_blocks", "SELECT block, count(*) AS n, min(doc_id) AS first_doc, max(doc_id) AS last_doc FROM (SELECT doc_id, (row_number() OVER (ORDER BY doc_id, "
+    "pos) - 1) // 1024 AS block FROM (SELECT doc_id, unnest(range(len(string_split(text, ' ')))) AS pos FROM documents)) GROUP BY block")
 def t11(spark, sf):
     """Blocks of 1024 tokens over the concatenation of all documents, from offsets: no row for each token."""
     sized = docs(spark, sf).select("doc_id", F.size(F.split("text", " ")).alias("n_tokens"))
@@ -165,5 +176,7 @@ def t13(spark, sf):
     return mix.replicated(table(spark, sf, "labels"), F.when(F.col("quality") == 1, 3).otherwise(1)).select("doc_id", F.col("copy").cast("long").alias("copy"))
 
 
-sql("p01_weight_plan", "SELECT source, round(w / sum(w) OVER (), 6) AS weight FROM (SELECT d.source, avg(CAST(l.quality AS DOUBLE)) * CASE WHEN avg(CAST(l.quality AS DOUBLE)) >= 0.9 THEN 1.25 WHEN sum(l.toxic) > 2 THEN 0.75 ELSE 1.0 END AS w FROM {documents} d JOIN {labels} l ON l.doc_id = d.doc_id GROUP BY d.source) x")
-sql("p02_budget_bytes", "SELECT source, CAST(floor(1000000 * (CAST(sum(length(text)) AS DOUBLE) / sum(1 + length(text) - length(replace(text, ' ', ''))))) AS BIGINT) AS target FROM {documents} GROUP BY source")
+sql("p01_weight_plan", "SELECT source, round(w / sum(w) OVER (), 6) AS weight FROM (SELECT d.source, avg(CAST(l.quality AS DOUBLE)) * CASE WHEN avg(CAST(l.quality AS "
+    "DOUBLE)) >= 0.9 THEN 1.25 WHEN sum(l.toxic) > 2 THEN 0.75 ELSE 1.0 END AS w FROM {documents} d JOIN {labels} l ON l.doc_id = d.doc_id GROUP BY d.source) x")
+sql("p02_budget_bytes", "SELECT source, CAST(floor(1000000 * (CAST(sum(length(text)) AS DOUBLE) / sum(1 + length(text) - length(replace(text, ' ', ''))))) AS BIGINT) AS "
+    "target FROM {documents} GROUP BY source")

@@ -64,10 +64,17 @@ for name, e in METRICS.items():
 steps("x08_document_vector", "documents", c.vector(T), "doc_id; chars; n_words; n_paragraphs; n_sentences; alpha; symbol; digit; rep; signal; mean_word")
 steps("x09_quality_score", "documents", c.scored(T), "doc_id; score")
 steps("x13_url_chars_alpha_words", "documents", c.url_chars(T), "doc_id; round(url_chars, 6) AS url_chars; round(alpha_words, 6) AS alpha_words")
-steps("x14_curator_scores", "documents", c.curator(T), "doc_id; word_count; round(non_alnum, 6) AS non_alnum; round(numbers, 6) AS numbers; round(urls, 6) AS urls; round(white, 6) AS white; round(bullets, 6) AS bullets; round(punct_lines, 6) AS punct_lines; round(symbol_words, 6) AS symbol_words; long_word; round(mean_word, 6) AS mean_word; round(with_alpha, 6) AS with_alpha; round(parens, 6) AS parens; round(ellipsis, 6) AS ellipsis; round(rep_lines, 6) AS rep_lines; round(rep_paragraphs, 6) AS rep_paragraphs; round(rep_line_chars, 6) AS rep_line_chars; round(rep_paragraph_chars, 6) AS rep_paragraph_chars; round(dup3, 6) AS dup3; round(top3, 6) AS top3")
-steps("x16_oldprint_score", "documents", Steps().add(head=x.left(T, 20_000)).add(hits=x.hits(x.col("head"), p.OLDPRINT, True), breaks=x.least(x.hits(x.col("head"), p.HYPHEN_BREAK), 6)), "doc_id; CAST(hits + breaks AS BIGINT) AS score")
-steps("x17_pattern_hits", "documents", Steps().add(toc=x.hits(T, m.TOC, True), biblio=x.hits(T, m.BIBLIO, True), ocr=x.hits(T, m.OCR, True), names=x.hits(T, m.NAMES), speakers=x.size(p.speaker_labels(T)), years=x.hits(T, m.YEARS)), "doc_id; toc; biblio; ocr; names; speakers; years")
-steps("x18_seed_signals", "documents", c.seed(T), "doc_id; n_chars_seen; n_words; has_code; dates; citations; imperatives; opinions; numerics; round(upper_share, 6) AS upper_share; round(symbol_share, 6) AS symbol_share")
+steps("x14_curator_scores", "documents", c.curator(T), "doc_id; word_count; round(non_alnum, 6) AS non_alnum; round(numbers, 6) AS numbers; round(urls, 6) AS urls; "
+    "round(white, 6) AS white; round(bullets, 6) AS bullets; round(punct_lines, 6) AS punct_lines; round(symbol_words, 6) AS symbol_words; long_word; round(mean_word, 6) "
+    "AS mean_word; round(with_alpha, 6) AS with_alpha; round(parens, 6) AS parens; round(ellipsis, 6) AS ellipsis; round(rep_lines, 6) AS rep_lines; "
+    "round(rep_paragraphs, 6) AS rep_paragraphs; round(rep_line_chars, 6) AS rep_line_chars; round(rep_paragraph_chars, 6) AS rep_paragraph_chars; round(dup3, 6) AS "
+    "dup3; round(top3, 6) AS top3")
+steps("x16_oldprint_score", "documents", Steps().add(head=x.left(T, 20_000)).add(hits=x.hits(x.col("head"), p.OLDPRINT, True), breaks=x.least(x.hits(x.col("head"), p.HYPHEN_BREAK), 6)), "doc_id; "
+    "CAST(hits + breaks AS BIGINT) AS score")
+steps("x17_pattern_hits", "documents", Steps().add(toc=x.hits(T, m.TOC, True), biblio=x.hits(T, m.BIBLIO, True), ocr=x.hits(T, m.OCR, True), names=x.hits(T, m.NAMES), speakers=x.size(p.speaker_labels(T)), years=x.hits(T, m.YEARS)), "doc_id; "
+    "toc; biblio; ocr; names; speakers; years")
+steps("x18_seed_signals", "documents", c.seed(T), "doc_id; n_chars_seen; n_words; has_code; dates; citations; imperatives; opinions; numerics; round(upper_share, 6) AS "
+    "upper_share; round(symbol_share, 6) AS symbol_share")
 
 LABELS = {
     "c01_language_gate_de": (Steps([*Steps().add(norm=T).steps, *p.language_ok("german").steps]), "lang_ok"),

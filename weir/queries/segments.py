@@ -43,17 +43,20 @@ def g02(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.explode(g.paragraphs("text")).alias("s")).select("doc_id", F.md5("s").alias("h"))
 
 
-@query("g03_book_chunks", PACK.format(parts=r"list_filter(list_transform(string_split_regex(text, '\n\s*\n|\n'), lambda q: trim(q)), lambda q: q <> '')", target=1800, least=1, most=3000, w=2, by="chr(10) || chr(10)", final="list_filter(out, lambda c: length(c) >= 700)"))
+@query("g03_book_chunks", PACK.format(parts=r"list_filter(list_transform(string_split_regex(text, '\n\s*\n|\n'), lambda q: trim(q)), lambda q: q <> "
+    r"'')", target=1800, least=1, most=3000, w=2, by="chr(10) || chr(10)", final="list_filter(out, lambda c: length(c) >= 700)"))
 def g03(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.explode(g.book_chunks("text")).alias("s")).select("doc_id", F.md5("s").alias("h"))
 
 
-@query("s04_blank_line_blocks", r"SELECT doc_id, len(list_filter(list_transform(string_split_regex(text, '\n[ \t]*\n\s*'), lambda b: trim(regexp_replace(b, '\s*\n\s*', ' ', 'g'))), lambda b: b <> '')) AS n FROM documents")
+@query("s04_blank_line_blocks", r"SELECT doc_id, len(list_filter(list_transform(string_split_regex(text, '\n[ \t]*\n\s*'), lambda b: trim(regexp_replace(b, '\s*\n\s*', ' "
+    r"', 'g'))), lambda b: b <> '')) AS n FROM documents")
 def s04(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.size(g.blocks("text")).alias("n"))
 
 
-@query("g05_word_grams", r"SELECT doc_id, len(l) - 4 AS n_grams, md5(array_to_string(l[1:5], ' ')) AS first FROM (SELECT doc_id, list_filter(string_split_regex(lower(text), '\s+'), lambda w: w <> '') AS l FROM documents) WHERE len(l) >= 5")
+@query("g05_word_grams", r"SELECT doc_id, len(l) - 4 AS n_grams, md5(array_to_string(l[1:5], ' ')) AS first FROM (SELECT doc_id, "
+    r"list_filter(string_split_regex(lower(text), '\s+'), lambda w: w <> '') AS l FROM documents) WHERE len(l) >= 5")
 def g05(spark, sf):
     grams = table(spark, sf, "documents").select("doc_id", g.word_grams("text", 5).alias("gr")).filter("size(gr) > 0")
     return grams.select("doc_id", F.size("gr").alias("n_grams"), F.md5(F.get("gr", F.lit(0))).alias("first"))
@@ -62,7 +65,8 @@ def g05(spark, sf):
 CONV = "(SELECT conv_id, list({'role': role, 'content': text} ORDER BY turn) AS m FROM conversations GROUP BY conv_id)"
 
 
-@query("g07_rendered_chat", f"SELECT conv_id, md5(array_to_string(list_transform(m, lambda x: '<|' || x.role || '|>' || chr(10) || x.content || chr(10) || '<|end|>' || chr(10)), '')) AS h FROM {CONV}")
+@query("g07_rendered_chat", f"SELECT conv_id, md5(array_to_string(list_transform(m, lambda x: '<|' || x.role || '|>' || chr(10) || x.content || chr(10) || '<|end|>' || "
+    f"chr(10)), '')) AS h FROM {CONV}")
 def g07(spark, sf):
     return g.conversations(table(spark, sf, "conversations")).select("conv_id", F.md5(g.rendered("messages")).alias("h"))
 
@@ -77,26 +81,34 @@ def g06(spark, sf):
 ORDER = "list_transform(CASE WHEN m[1].role = 'system' THEN m[2:] ELSE m END, lambda x: x.role)"
 
 
-@query("g08_role_order", f"SELECT conv_id, len(r) > 0 AND len(r) % 2 = 0 AND len(list_filter(list_zip(r, range(len(r))), lambda z: z[1] <> CASE WHEN z[2] % 2 = 0 THEN 'user' ELSE 'assistant' END)) = 0 AS ok FROM (SELECT conv_id, {ORDER} AS r FROM {CONV})")
+@query("g08_role_order", f"SELECT conv_id, len(r) > 0 AND len(r) % 2 = 0 AND len(list_filter(list_zip(r, range(len(r))), lambda z: z[1] <> CASE WHEN z[2] % 2 = 0 THEN "
+    f"'user' ELSE 'assistant' END)) = 0 AS ok FROM (SELECT conv_id, {ORDER} AS r FROM {CONV})")
 def g08(spark, sf):
     return g.conversations(table(spark, sf, "conversations")).select("conv_id", g.order_ok("messages").alias("ok"))
 
 
-@query("g09_first_exchange", "SELECT conv_id, md5(min_by(text, turn) FILTER (WHERE role = 'system')) AS system, md5(min_by(text, turn) FILTER (WHERE role = 'user')) AS user_text, md5(min_by(text, turn) FILTER (WHERE role = 'assistant')) AS assistant FROM conversations GROUP BY conv_id")
+@query("g09_first_exchange", "SELECT conv_id, md5(min_by(text, turn) FILTER (WHERE role = 'system')) AS system, md5(min_by(text, turn) FILTER (WHERE role = 'user')) AS "
+    "user_text, md5(min_by(text, turn) FILTER (WHERE role = 'assistant')) AS assistant FROM conversations GROUP BY conv_id")
 def g09(spark, sf):
     c = g.conversations(table(spark, sf, "conversations")).select("conv_id", g.first_exchange("messages").alias("x"))
     return c.select("conv_id", F.md5("x.system").alias("system"), F.md5("x.user").alias("user_text"), F.md5("x.assistant").alias("assistant"))
 
 
-sql("g10_templated", "SELECT a.conv_id, a.turn, md5(concat('Frage: ', trim(a.text), ' Antwort: ', trim(b.text))) AS h FROM {conversations} a JOIN {conversations} b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 WHERE a.role = 'user' AND b.role = 'assistant'")
+sql("g10_templated", "SELECT a.conv_id, a.turn, md5(concat('Frage: ', trim(a.text), ' Antwort: ', trim(b.text))) AS h FROM {conversations} a JOIN {conversations} b ON "
+    "a.conv_id = b.conv_id AND b.turn = a.turn + 1 WHERE a.role = 'user' AND b.role = 'assistant'")
 sql("g12_best_answer", "SELECT conv_id, md5(max_by(text, length(text) * 1000 - turn)) AS h FROM {conversations} WHERE role = 'assistant' GROUP BY conv_id")
-sql("g13_threaded_answer", "SELECT conv_id, count(*) AS answers FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM {conversations} WHERE role = 'assistant' AND length(text) >= 20) x WHERE n <= 3 GROUP BY conv_id")
-sql("g18_preference_pair", "SELECT conv_id, md5(max_by(text, length(text) * 1000 - turn)) AS chosen, md5(min_by(text, length(text) * 1000 + turn)) AS rejected FROM {conversations} WHERE role = 'assistant' GROUP BY conv_id HAVING count(*) >= 2")
+sql("g13_threaded_answer", "SELECT conv_id, count(*) AS answers FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM "
+    "{conversations} WHERE role = 'assistant' AND length(text) >= 20) x WHERE n <= 3 GROUP BY conv_id")
+sql("g18_preference_pair", "SELECT conv_id, md5(max_by(text, length(text) * 1000 - turn)) AS chosen, md5(min_by(text, length(text) * 1000 + turn)) AS rejected FROM "
+    "{conversations} WHERE role = 'assistant' GROUP BY conv_id HAVING count(*) >= 2")
 sql("g19_last_user_turn", "SELECT conv_id, md5(max_by(text, turn)) AS request FROM {conversations} WHERE role = 'user' GROUP BY conv_id")
-sql("g20_turn_pairs", "SELECT conv_id, turn, category, md5(reply) AS reply FROM (SELECT conv_id, turn, role, CASE WHEN text LIKE '%idiot%' THEN 'toxic' ELSE 'normal' END AS category, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS reply, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS next_role FROM {conversations}) x WHERE role = 'user' AND next_role = 'assistant'")
+sql("g20_turn_pairs", "SELECT conv_id, turn, category, md5(reply) AS reply FROM (SELECT conv_id, turn, role, CASE WHEN text LIKE '%idiot%' THEN 'toxic' ELSE 'normal' END "
+    "AS category, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS reply, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS next_role FROM {conversations}) "
+    "x WHERE role = 'user' AND next_role = 'assistant'")
 
 
-@query("g17_answer_mask", f"SELECT conv_id, CAST(sum(length(x.content)) FILTER (WHERE x.role = 'assistant') AS BIGINT) AS learned, CAST(sum(length(x.content)) AS BIGINT) AS total FROM (SELECT conv_id, unnest(m) AS x FROM {CONV}) GROUP BY conv_id")
+@query("g17_answer_mask", f"SELECT conv_id, CAST(sum(length(x.content)) FILTER (WHERE x.role = 'assistant') AS BIGINT) AS learned, CAST(sum(length(x.content)) AS BIGINT) "
+    f"AS total FROM (SELECT conv_id, unnest(m) AS x FROM {CONV}) GROUP BY conv_id")
 def g17(spark, sf):
     s = g.conversations(table(spark, sf, "conversations")).select("conv_id", F.explode(g.answer_mask("messages")).alias("x"))
     n = F.col("x.end") - F.col("x.start")
@@ -135,7 +147,9 @@ def _structure_sql() -> str:
     prefix, word = structure.PREFIX, m.WORD
     bars = "length(h) - length(replace(h, '|', '')) >= 2 AND len(b) > 0 AND len(list_filter(b, lambda q: length(q) > 40)) = 0"
     trail = (
-        "CASE WHEN " + bars.replace("h)", "substring(l, 1, 160))").replace("(h,", "(substring(l, 1, 160),").replace("(b", r"(list_filter(list_transform(string_split(regexp_extract(substring(l, 1, 160), '^(.*)\|', 1), '|'), lambda q: trim(q)), lambda q: q <> '')")
+        "CASE WHEN " + bars.replace("h)", "substring(l, 1, 160))").replace("(h,", "(substring(l, 1, "
+            "160),").replace("(b", r"(list_filter(list_transform(string_split(regexp_extract(substring(l, 1, 160), '^(.*)\|', 1), '|'), lambda q: trim(q)), lambda q: q "
+            r"<> '')")
         + r" THEN trim(substring(l, length(regexp_extract(substring(l, 1, 160), '^.*\|')) + 1)) ELSE l END"
     )
     bare = f"regexp_replace(regexp_replace(l, '{prefix}', ''), '^[ .:;|/-]+|[ .:;|/-]+$', '', 'g')"
@@ -151,9 +165,11 @@ def _structure_sql() -> str:
     short = f"len(list_filter(string_split_regex({head.duck}, '[.;]'), lambda q: len({x.spaced(x.col('q')).duck.replace('lambda x: x', 'lambda w: w')}) BETWEEN 1 AND 8)) >= 8"
     items = f"length(regexp_replace({head.duck}, '[^,;]', '', 'g')) >= 8"
     reason = (
-        f"CASE WHEN _n = '' THEN 'empty' WHEN {nz.damage(n, nz.STRUCTURE_HINTS).duck} > 0 THEN 'mojibake' WHEN {fragment('_n')} THEN 'boilerplate' WHEN {x.hits(n, structure.TEMPLATE, True).duck} >= 2 THEN 'template' "
+        f"CASE WHEN _n = '' THEN 'empty' WHEN {nz.damage(n, nz.STRUCTURE_HINTS).duck} > 0 THEN 'mojibake' WHEN {fragment('_n')} THEN 'boilerplate' "
+            f"WHEN {x.hits(n, structure.TEMPLATE, True).duck} >= 2 THEN 'template' "
         f"WHEN {x.has(head, structure.LIST_ARTICLE, True).duck} AND ({items} OR {short}) THEN 'list_article' WHEN n_s < 2 THEN 'too_few_sentences' WHEN len(paragraphs) = 0 THEN 'too_short' "
-        f"WHEN n_words < {structure.MIN_WORDS} THEN 'too_few_words' WHEN signal < {structure.MIN_SIGNAL}::DOUBLE THEN 'language_mismatch' WHEN score < {structure.MIN_SCORE}::DOUBLE THEN 'low_quality' END"
+        f"WHEN n_words < {structure.MIN_WORDS} THEN 'too_few_words' WHEN signal < {structure.MIN_SIGNAL}::DOUBLE THEN 'language_mismatch' WHEN score "
+            f"< {structure.MIN_SCORE}::DOUBLE THEN 'low_quality' END"
     )
     return f"{packed} SELECT doc_id, {reason} AS reason, len(paragraphs) AS n_paragraphs, score FROM {classify.scored(x.col('structured')).duck(joined)}"
 

@@ -59,7 +59,8 @@ OPERATORS = {
     "g10_templated": lambda s, f: t.templated(t.replies(C(s, f))).select("conv_id", (F.col("turn") - 1).alias("turn"), F.md5("document").alias("h")),
     "g12_best_answer": lambda s, f: t.best_answers(C(s, f), F.char_length("text")).select("conv_id", F.md5("chosen").alias("h")),
     "g13_threaded_answer": lambda s, f: t.threaded(C(s, f)).select("conv_id", F.size("answers").cast("long").alias("answers")),
-    "g18_preference_pair": lambda s, f: t.best_answers(C(s, f), F.char_length("text")).filter("rejected IS NOT NULL").select("conv_id", F.md5("chosen").alias("chosen"), F.md5("rejected").alias("rejected")),
+    "g18_preference_pair": lambda s, f: t.best_answers(C(s, f), F.char_length("text")).filter("rejected IS NOT "
+        "NULL").select("conv_id", F.md5("chosen").alias("chosen"), F.md5("rejected").alias("rejected")),
     "g19_last_user_turn": lambda s, f: t.last_request(C(s, f)).select("conv_id", F.md5("request").alias("request")),
 }
 assert set(OPERATORS) <= set(SQL)
