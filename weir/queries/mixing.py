@@ -161,7 +161,8 @@ def t11(spark, sf):
     return cut.groupBy("block").agg(F.sum(part).alias("n"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
 
 
-@query("t12_weighted_sample")
+@query("t12_weighted_sample", "SELECT doc_id, source FROM documents ORDER BY -ln((('0x' || substring(md5('19:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE) / ln(1 + n_chars::DOUBLE) "
+       "LIMIT 50")
 def t12(spark, sf):
     return mix.weighted_order(docs(spark, sf), F.log1p("n_chars"), 19, "doc_id").orderBy("sample_key").limit(50).select("doc_id", "source")
 

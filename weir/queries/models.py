@@ -106,7 +106,14 @@ def w15(spark, sf):
     return signals.regression(e, "user_id", "at", "value", 60).select("event_id", "regressed")
 
 
-@query("w17_curriculum")
+@query("w17_curriculum", """WITH RECURSIVE s AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+r(user_id, i, stage, n, last, event_id, decision) AS (
+  SELECT user_id, 0::BIGINT, 0::BIGINT, 0, []::DOUBLE[], NULL::BIGINT, '' FROM (SELECT DISTINCT user_id FROM events) UNION ALL
+  SELECT user_id, i, CASE WHEN d IN ('mastery', 'timeout') THEN stage + 1 ELSE stage END, CASE WHEN d IN ('mastery', 'timeout') THEN 0 ELSE n END,
+    CASE WHEN d IN ('mastery', 'timeout') THEN [] ELSE last END, event_id, d
+  FROM (SELECT *, CASE WHEN value < 5 THEN 'hold' WHEN n >= 5 AND len(last) = 3 AND list_sum(last) / 3 >= 60 THEN 'mastery' WHEN n >= 20 THEN 'timeout' ELSE 'stay' END AS d
+    FROM (SELECT r.user_id, s.i, r.stage, r.n + 1 AS n, list_append(r.last, s.value)[-3:] AS last, s.event_id, s.value FROM r JOIN s ON s.user_id = r.user_id AND s.i = r.i + 1)))
+SELECT event_id, stage, decision FROM r WHERE i > 0""")
 def w17(spark, sf):
     """Stage of each run after each point, by the stateful controller; tested against a plain loop."""
     from weir.streaming.controller import staged
