@@ -43,6 +43,15 @@ def test_contamination_matches_brute_force(spark, odd, bank):
     assert got == brute_contamination([(r.doc_id, r.text) for r in docs.collect()], [(r.item_id, r.text) for r in bank.collect()])
 
 
+def test_contamination_of_long_words_null_ids_and_shared_ids(spark):
+    long = "w" * 200_000
+    docs = spark.createDataFrame([(1, f"a b c d {long}"), (1, "other text"), (None, "a b c d"), (None, None)], "doc_id long, text string")
+    items = spark.createDataFrame([(3, "a b c d"), (4, long), (5, "w" * 200_001), (None, "other text")], "item_id long, text string")
+    got = {(r.doc_id, r.n_words): (r.n_hit, r.n_items, r.contaminated) for r in decontaminate.contamination(docs, items, Scratch(spark, "t")).collect()}
+    assert got == {(1, 5): (5, 2, True), (1, 2): (2, 0, True), (None, 4): (4, 1, True), (None, 0): (0, 0, False)}
+    assert [(r.doc_id, r.text) for r in decontaminate.keep_clean(docs, items, Scratch(spark, "t")).collect()] == [(None, None)]
+
+
 def test_contamination_empty_tables(spark, odd, empty, bank):
     assert decontaminate.contamination(empty, bank, Scratch(spark, "t")).count() == 0
     assert decontaminate.contamination(odd, bank.limit(0), Scratch(spark, "t")).filter("contaminated OR n_hit > 0").count() == 0
