@@ -12,14 +12,16 @@ from weir import session
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
+SPLIT = 4 << 20
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table; texts that lie in fewer files than there are cores are dealt out first, which larger tables never need."""
+    """A table; texts of less than SPLIT bytes a core are dealt out first, since Spark reads them in fewer tasks than there are cores."""
     df = session.table(spark, sf_dir, name)
     cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if name in ("documents", "pages", "conversations") and len(df.inputFiles()) < cores else df
+    few = name in ("documents", "pages", "conversations") and int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < SPLIT * cores
+    return df.repartition(cores) if few else df
 
 
 def query(name: str, sql: str | None = None):
