@@ -106,7 +106,7 @@ _numbers: dict[tuple, int] = {}
 def number(*parts: object) -> int:
     """A positive 62-bit number of the parts."""
     if parts not in _numbers:
-        if len(_numbers) > 200_000:
+        if len(_numbers) > 50_000:
             _numbers.clear()
         _numbers[parts] = (int.from_bytes(hashlib.md5(repr(parts).encode("utf-8", "replace"), usedforsecurity=False).digest()[:8], "big") >> 2) + 1
     return _numbers[parts]
@@ -229,7 +229,7 @@ def contents(pages: DataFrame) -> DataFrame:
                         for col, value in zip(cols, (h, 0, s, digest(t), len(t)), strict=True):
                             col.append(value)
                     for c, order in orders.items():
-                        for col, value in zip(cols, (h, 1, c, number(*order) if len(order) < 50 else digest(repr(order)), 0), strict=True):
+                        for col, value in zip(cols, (h, 1, c, digest(repr(order)), 0), strict=True):
                             col.append(value)
                 yield _rows(cols, names)
 
@@ -333,10 +333,11 @@ def decide(total: int, different: int, tokens: list[dict], slots: list[dict]) ->
         j = rest.pop()
         inside.append(j)
         rest += kids.get(j, ())
+    held = set(inside)
     few = {k for k, m in groups(main).items() if m.total and m.fresh * FEW <= m.total * best.share() and k != ROOT} if different >= ENOUGH * FEW else set()
     drop = []
     for s in slots:
-        if not s["is_order"] and owner[s["slot"]] in inside:
+        if not s["is_order"] and owner[s["slot"]] in held:
             at = owner[s["slot"]]
             direct = at == main or leaf(at) and up[at] == main
             if (at != main and node[at]["kind"] in few and up[at] == main and leaf(at)) or (not direct and different >= ENOUGH and 2 * s["top"] > total):
