@@ -158,6 +158,7 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             cid = np.repeat(batch.column("cid").to_numpy(zero_copy_only=False), BANDS)
             band = np.tile(np.arange(BANDS, dtype=np.int8), len(keys))
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(cid), pa.array(band)], names=["key", "cid", "band"])
+            tx.trim()
 
 
 def _likely(threshold: float):
@@ -169,6 +170,7 @@ def _likely(threshold: float):
                 na, nb = (batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("na", "nb"))
                 near = (np.minimum(na, nb) >= threshold * np.maximum(na, nb)) & (similarity(a, b, na, nb) >= low)
                 yield batch.select(["u", "v", "na", "nb"]).filter(pa.array(near))
+                tx.trim()
 
     return run
 
@@ -287,6 +289,7 @@ def _blocks(threshold: float, best: bool):
                     mark_ = (k[a], i[a], j[a])
                 held.append(batch.slice(a, b - a))
         yield from flush()
+        tx.trim()
 
     return run
 

@@ -4,7 +4,7 @@ Where a text has no doubled, leading or trailing white space, a byte-level BPE n
 feed separates (the space goes with the word after it), and a BPE that drops white space never joins two words. So such
 texts are cut there, the library encodes distinct pieces only, and a table from 64-bit hashes of pieces to id runs gives
 the rest; all other texts go to the library whole. The table is emptied when it holds MOST pieces, which bounds its
-memory to about 100 MB; it grows beyond that for a slice of texts with more new pieces, in proportion to their length. (Two different pieces would have to share a 64-bit hash within one table for an id to be wrong.)
+memory to about 60 MB; it grows beyond that for a slice of texts with more new pieces, in proportion to their length. (Two different pieces would have to share a 64-bit hash within one table for an id to be wrong.)
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ import pyarrow as pa
 
 from weir.llm import text as tx
 
-MOST = 2_000_000
+MOST = 1_000_000
 _BYTE_SEP = np.zeros(256, bool)
 _BYTE_SEP[[0x20, 0x0A]] = True
 _ODD = np.zeros(256, bool)  # white space and the like, which send a text to the library whole
