@@ -101,8 +101,8 @@ def text_likelihood(rows: DataFrame, langs: list[str], model: np.ndarray, keep:
                 seen = np.concatenate([[0], np.cumsum(_LETTER[raw])])
                 letters = seen[bounds[1:]] - seen[bounds[:-1]]
                 width = len(langs)
-                lik = pa.ListArray.from_arrays(pa.array(np.arange(len(total) + 1) * width, pa.int32()), pa.array(total[:, :width].ravel()))
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), lik, pa.array(letters, pa.int64())], names=[*keep, "lik", "letters"])
+                lik = pa.ListArray.from_arrays(tx.array((np.arange(len(total) + 1) * width).astype(np.int32)), tx.array(total[:, :width].ravel().astype(np.float64)))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), lik, tx.array(letters.astype(np.int64))], names=[*keep, "lik", "letters"])
 
     types = dict(rows.dtypes)
     return rows.select(*keep, "_text").mapInArrow(run, ", ".join(f"{c} {types[c]}" for c in keep) + ", lik array<double>, letters long")

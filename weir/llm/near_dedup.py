@@ -140,7 +140,7 @@ def sketch(docs: DataFrame, k: int) -> DataFrame:
                     d2 = tx.segment(np.add, tx.mix(value ^ np.uint64(0x14057B7EF767814F)), bounds, np.uint64(0))
                 regs = registers(value, bounds).astype("<u2")
                 yield pa.RecordBatch.from_arrays(
-                    [*(part.column(c) for c in ("_id", *MARK)), pa.array(n, pa.int64()), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), _fixed(regs, 2 * M)],
+                    [*(part.column(c) for c in ("_id", *MARK)), tx.array(n.astype(np.int64)), tx.array(d1.view(np.int64)), tx.array(d2.view(np.int64)), _fixed(regs, 2 * M)],
                     names=["_id", *MARK, "n", "d1", "d2", "regs"],
                 )
 
@@ -155,9 +155,9 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows:
             keys = band_keys(_matrix(batch.column("regs")))
-            cid = np.repeat(batch.column("cid").to_numpy(zero_copy_only=False), BANDS)
+            cid = np.repeat(tx.numbers(batch.column("cid")), BANDS)
             band = np.tile(np.arange(BANDS, dtype=np.int8), len(keys))
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(cid), pa.array(band)], names=["key", "cid", "band"])
+            yield pa.RecordBatch.from_arrays([tx.array(keys.ravel()), tx.array(cid), tx.array(band)], names=["key", "cid", "band"])
             tx.trim()
 
 
@@ -167,9 +167,9 @@ def _likely(threshold: float):
         for batch in batches:
             if batch.num_rows:
                 a, b = _matrix(batch.column("ra")), _matrix(batch.column("rb"))
-                na, nb = (batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("na", "nb"))
+                na, nb = (tx.numbers(batch.column(c)).astype(float) for c in ("na", "nb"))
                 near = (np.minimum(na, nb) >= threshold * np.maximum(na, nb)) & (similarity(a, b, na, nb) >= low)
-                yield batch.select(["u", "v", "na", "nb"]).filter(pa.array(near))
+                yield batch.select(["u", "v", "na", "nb"]).filter(tx.array(near))
                 tx.trim()
 
     return run
@@ -193,7 +193,7 @@ def _full_sets(texts: DataFrame, k: int) -> DataFrame:
         for batch in batches:
             for part in tx.parts(batch, "_text"):
                 value, bounds = _sets(part, k, "_text")
-                yield pa.RecordBatch.from_arrays([part.column("cid"), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(value.view(np.int64)))], names=["cid", "s"])
+                yield pa.RecordBatch.from_arrays([part.column("cid"), pa.ListArray.from_arrays(tx.array(bounds.astype(np.int32)), tx.array(value.view(np.int64)))], names=["cid", "s"])
 
     return texts.mapInArrow(run, "cid long, s array<long>")
 
@@ -271,17 +271,17 @@ def _blocks(threshold: float, best: bool):
             if held:
                 t = pa.Table.from_batches(held)
                 held.clear()
-                col = lambda c: t.column(c).to_numpy()
+                col = lambda c: tx.numbers(t.column(c))
                 regs, bins = _matrix(t.column("regs")), np.frombuffer(b"".join(t.column("bins").to_pylist()), np.uint8).reshape(-1, BINS)
                 found = pairs(col("row"), col("cid"), col("comp"), int(col("band")[0]), col("n"), regs, bins)
                 if found:
                     uv = np.unique(np.sort(np.concatenate(found, axis=1), axis=0), axis=1)
-                    yield pa.RecordBatch.from_arrays([pa.array(uv[0]), pa.array(uv[1])], names=["u", "v"])
+                    yield pa.RecordBatch.from_arrays([tx.array(uv[0]), tx.array(uv[1])], names=["u", "v"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            k, i, j = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "i", "j"))
+            k, i, j = (tx.numbers(batch.column(c)) for c in ("key", "i", "j"))
             cut = np.flatnonzero((k[1:] != k[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
             for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(k)], strict=True):
                 if mark_ != (k[a], i[a], j[a]):

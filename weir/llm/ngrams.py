@@ -118,4 +118,4 @@ def scored(batches: Iterator[pa.RecordBatch], score, extra: list[str]) -> Iterat
     for batch in batches:
         for part in tx.parts(batch, "_text"):
             raw, bounds = tx.flat(part.column("_text"))
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in extra), pa.array(np.asarray(score(raw, bounds), np.float64))], names=[*extra, "score"])
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in extra), tx.array(np.asarray(score(raw, bounds), np.float64))], names=[*extra, "score"])

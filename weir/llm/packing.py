@@ -24,6 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from weir.llm import text as tx
 from weir.llm import tokens
 from weir.llm.base import small
 from weir.session import Scratch, table
@@ -90,7 +91,7 @@ def pieces(docs: DataFrame, spec: str, end: int, size: int, key: str = "doc_id",
             rank += seen[length]
             seen += np.bincount(length, minlength=size + 1)
             yield pa.RecordBatch.from_arrays(
-                [part.column("_id").take(pa.array(owner)), pa.array(start), pa.array(length), pa.array(sums, pa.int64()), pa.array(n[owner]), pa.array(np.full(len(owner), task, np.int64)), pa.array(rank)],
+                [part.column("_id").take(tx.array(owner)), *(tx.array(np.asarray(c, np.int64)) for c in (start, length, sums, n[owner], np.full(len(owner), task), rank))],
                 names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "task", "rank"],
             )
 
@@ -109,11 +110,12 @@ def pack(docs: DataFrame, scratch: Scratch, spec: str, end: int = END, size: int
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         firsts, sequence, many, at = runs
         for batch in batches:
-            length, rank = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("length", "rank"))
+            length, rank = (tx.numbers(batch.column(c)) for c in ("length", "rank"))
             run = np.searchsorted(firsts, length << 40 | rank, "right") - 1
             past = rank - (firsts[run] & ((1 << 40) - 1)) if len(run) else rank
             out = [batch.column(c) for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")]
-            out += [pa.array(sequence[run] + past // many[run]), pa.array(at[run] + past % many[run] * length)] if len(run) else [pa.array([], pa.int64())] * 2
+            none = np.zeros(0, np.int64)
+            out += [tx.array(sequence[run] + past // many[run]), tx.array(at[run] + past % many[run] * length)] if len(run) else [tx.array(none)] * 2
             yield pa.RecordBatch.from_arrays(out, names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
     ranked = cut.join(small(first), ["length", "task"]).withColumn("rank", F.col("first") + F.col("rank")).drop("first", "task")

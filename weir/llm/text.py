@@ -49,7 +49,40 @@ def as_string(column: pa.Array | pa.ChunkedArray) -> pa.Array:
         column = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], pa.string())
     if not pa.types.is_large_string(column.type):
         column = column.cast(pa.large_string())
-    return column.fill_null("")
+    if column.null_count:  # a null rarely has bytes of its own
+        present = column.drop_null()
+        if _size(column) != _size(present):
+            column = column.fill_null("")
+    return column
+
+
+def _size(column: pa.Array) -> int:
+    off = np.frombuffer(column.buffers()[1], np.int64)
+    return int(off[column.offset + len(column)] - off[column.offset]) if len(column) else 0
+
+
+# Arrow's own conversions from and to numpy load pandas, some 30 MB in every worker; these do not.
+
+
+def array(x: np.ndarray) -> pa.Array:
+    """Numbers or truth values as an Arrow array, without a copy of numbers."""
+    x = np.ascontiguousarray(x)
+    if x.dtype == bool:
+        return pa.Array.from_buffers(pa.bool_(), len(x), [None, pa.py_buffer(np.packbits(x, bitorder="little").tobytes())])
+    return pa.Array.from_buffers(pa.from_numpy_dtype(x.dtype), len(x), [None, pa.py_buffer(x)])
+
+
+def numbers(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Numbers or truth values of a column without nulls."""
+    if isinstance(column, pa.ChunkedArray):
+        return np.concatenate([numbers(c) for c in column.chunks]) if column.num_chunks else column.to_numpy()
+    if column.null_count or not (pa.types.is_integer(column.type) or pa.types.is_floating(column.type) or pa.types.is_boolean(column.type)):
+        return column.to_numpy(zero_copy_only=False)
+    at, n = column.offset, len(column)
+    if pa.types.is_boolean(column.type):
+        return np.unpackbits(np.frombuffer(column.buffers()[1], np.uint8), bitorder="little")[at : at + n].astype(bool) if n else np.zeros(0, bool)
+    kind = np.dtype({"double": "float64", "float": "float32"}.get(str(column.type), str(column.type)))
+    return np.frombuffer(column.buffers()[1], kind)[at : at + n] if n else np.zeros(0, kind)
 
 
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

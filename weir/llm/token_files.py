@@ -145,7 +145,7 @@ def _slices(batches: Iterator[pa.RecordBatch], most: int = 1 << 18) -> Iterator[
 
 def _ids(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all rows in a row (16 or 32 bits each) and their bounds."""
-    wide = batch.column("wide").to_numpy(zero_copy_only=False)
+    wide = tx.numbers(batch.column("wide"))
     runs = [np.frombuffer(x, "<u4" if w else "<u2") for x, w in zip(batch.column("ids").to_pylist(), wide, strict=True)]
     ids = np.concatenate([np.zeros(0, np.uint16), *runs]).astype(np.int64)
     return ids, np.concatenate([[0], np.cumsum([len(r) for r in runs])]).astype(np.int64)
@@ -161,7 +161,7 @@ def write(docs: DataFrame, scratch: Scratch, spec: str, end: int = END, key: str
             kind = "<u4" if wide else "<u2"
             edge = (bounds * (4 if wide else 2)).astype(np.int32)
             runs = pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(edge), pa.py_buffer(ids.astype(kind).tobytes())])
-            yield pa.RecordBatch.from_arrays([part.column("_id"), pa.array(np.full(len(bounds) - 1, wide)), runs], names=["id", "wide", "ids"])
+            yield pa.RecordBatch.from_arrays([part.column("_id"), tx.array(np.full(len(bounds) - 1, wide)), runs], names=["id", "wide", "ids"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << 16, np.int64)
@@ -171,7 +171,7 @@ def write(docs: DataFrame, scratch: Scratch, spec: str, end: int = END, key: str
                 total = np.concatenate([total, np.zeros(len(own) - len(total), np.int64)])
             total[: len(own)] += own
         seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], names=["id", "n"])
+        yield pa.RecordBatch.from_arrays([tx.array(seen.astype(np.int64)), tx.array(total[seen])], names=["id", "n"])
 
     held = scratch.put(slim.mapInArrow(tokenize, "id long, wide boolean, ids binary"), "ids")
     counts = held.select("wide", "ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).orderBy("id").toPandas()  # at most the vocabulary
@@ -191,7 +191,7 @@ def write(docs: DataFrame, scratch: Scratch, spec: str, end: int = END, key: str
             edges = np.concatenate([[0], np.cumsum((n - 1) // STEP)]) * 2
             runs = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(edge.astype(np.int32)), pa.py_buffer(data.tobytes())])
             checks = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(edges.astype(np.int32)), pa.py_buffer(marks.tobytes())])
-            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(n, pa.int64()), runs, checks], names=["id", "n", "bits", "marks"])
+            yield pa.RecordBatch.from_arrays([part.column("id"), tx.array(n.astype(np.int64)), runs, checks], names=["id", "n", "bits", "marks"])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, before, held, size = TaskContext.get().partitionId(), 0, [], 0
@@ -200,7 +200,7 @@ def write(docs: DataFrame, scratch: Scratch, spec: str, end: int = END, key: str
             nonlocal before, size
             if held:
                 t = pa.Table.from_batches(held)
-                n = t.column("n").to_numpy()
+                n = tx.numbers(t.column("n"))
                 join = lambda c: b"".join(t.column(c).to_pylist())
                 row = {"part": part, "part_start": before, "doc_ids": t.column("id").to_pylist(), "doc_lens": n.tolist(), "doc_bytes": [len(x) for x in t.column("bits").to_pylist()], "bits": join("bits"), "marks": join("marks")}
                 yield pa.RecordBatch.from_pylist([row], schema=schema)
@@ -249,7 +249,7 @@ def read(codes: DataFrame, blocks: DataFrame) -> DataFrame:
                 ends = np.cumsum(lens)
                 start = base[batch.column("part")[i].as_py()] + batch.column("part_start")[i].as_py() + ends - lens
                 runs = pa.Array.from_buffers(pa.binary(), len(lens), [None, pa.py_buffer((np.concatenate([[0], ends]) * 4).astype(np.int32)), pa.py_buffer(ids.tobytes())])
-                yield pa.RecordBatch.from_arrays([doc_ids, pa.array(start), pa.array(lens), runs], names=["doc_id", "start", "n_tokens", "ids"])
+                yield pa.RecordBatch.from_arrays([doc_ids, tx.array(start), tx.array(lens), runs], names=["doc_id", "start", "n_tokens", "ids"])
 
     return blocks.mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
 

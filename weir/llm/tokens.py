@@ -198,7 +198,7 @@ class Encoder:
         count = np.bincount(owner, weights=size, minlength=n).astype(np.int64)
         if not len(whole):
             return flat, np.concatenate([[0], np.cumsum(count)])
-        texts = [t or "" for t in column.take(pa.array(whole)).to_pylist()]
+        texts = [t or "" for t in column.take(tx.array(whole)).to_pylist()]
         own = {int(i): np.array(ids, np.uint32) for i, t in zip(whole, texts, strict=True) for ids in self._raw([t])}
         edge = np.concatenate([[0], np.cumsum(count)])
         runs = [own[i] if i in own else flat[edge[i] : edge[i + 1]] for i in range(n)]
