@@ -50,7 +50,7 @@ M = ROWS * BANDS
 BASE, RATE = 1.001, 64.0
 #: Standard deviations by which a pair's estimate may fall below the threshold and still be verified.
 SLACK = 4.2
-BLOCK = 512
+BLOCK = 256
 #: Bins of a set whose least values sharpen the comparison in blocks.
 BINS = 1024
 
