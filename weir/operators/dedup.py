@@ -7,11 +7,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weir.operators.segment import grams
-from weir.session import Scratch
+from weir.operators import sets
+from weir.operators.segment import SPACES, grams
+from weir.session import Scratch, counts
 
 
 def text_key(text: Column | str) -> Column:
@@ -72,75 +74,91 @@ def shingles(text: Column | str, k: int = 5) -> Column:
     return F.when(n >= k, F.array_distinct(grams(words, k))).when(n > 0, F.array(F.array_join(words, " "))).otherwise(F.array().cast("array<string>"))
 
 
-#: Shingles that may be told apart as common, how often one must occur, and the bits of the map that holds them.
-COMMON, OFTEN, BITS = 4096, 8, 1 << 16
+#: Shingles that may be told apart as common, and how often one must occur.
+COMMON, OFTEN = 4096, 8
+#: What may be broadcast; beyond it a merge join does the same.
+FEW_ROWS, FEW_BYTES = 200_000, 16 << 20
 
 
 def near_against(fresh: DataFrame, reference: DataFrame, threshold: float = 0.85, k: int = 5, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Pairs (a: fresh class, b: reference class, jaccard) at or above the threshold by a prefix-filtered set join.
+    """Pairs (a: fresh class, b: reference class, jaccard) at or above the threshold by a prefix-filtered set join, and
+    how many rows each class has (rows_a, rows_b).
 
     A class is the rows of one side with equal sets, named by its smallest id (`set_classes` has the members), so copies
     never give pairs of rows. Any one order of shingles serves the prefix filter: two sets that reach the threshold share
     one of the first n - ceil(threshold * n) + 1 of either. The order is by hash with common shingles last, so that
-    prefixes hold rare ones; which are common is a sketch's estimate, kept in a map of BITS bits, since the order need not
-    be exact. Sets are hashed once and written; prefixes alone are shuffled for the join, with length and position
-    bounds, and pairs are verified in full.
+    prefixes hold rare ones; which are common is a sketch's estimate, since the order need not be exact. Sets are hashed
+    and written once, 8 bytes a shingle; only prefixes are shuffled for the join, with length and position bounds, and
+    only sets that met another are read again, to verify pairs in full.
     """
     scratch = Scratch(fresh.sparkSession, "near-against")
-    a, b = (scratch.put(_classes_of(d, k, text, key), "sets") for d in (fresh, reference))
-    every = a.select(F.explode("s").alias("g")).unionByName(b.select(F.explode("s").alias("g")))
+    own = [scratch.put(_sets(d, k, text, key), "sets") for d in (fresh, reference)]
+    classes = [scratch.put(_classes(d), "classes") for d in own]
+    copied = [scratch.put(c.filter("rows > 1"), "copied") for c in classes]
+    # What is no class's name.
+    others = [scratch.put(d.select("id", *SET).join(_few(c), SET).filter("id <> cid").select("id"), "others") for d, c in zip(own, copied)]
+    every = own[0].select("s").unionByName(own[1].select("s")).mapInArrow(sets.members, "g long")
     top = every.agg(F.expr(f"approx_top_k(g, {COMMON}, {16 * COMMON})").alias("t")).first()["t"] or []  # COMMON items at most
-    words = [0] * (BITS // 64)
-    for item, count in top:
-        if count >= OFTEN:
-            words[(item % BITS) // 64] |= 1 << (item % 64)
-    words = [w - (1 << 64) if w >= 1 << 63 else w for w in words]
-    held = F.array(*(F.lit(w).cast("long") for w in words))
-
-    def prefix(x: DataFrame, name: str) -> DataFrame:
-        common = lambda g: F.get(held, F.shiftright(F.pmod(g, F.lit(BITS)), 6).cast("int"))
-        bit = lambda g: F.call_function("getbit", common(g), F.pmod(g, F.lit(64)).cast("int")).cast("long")
-        # One number for each shingle: the bit, then the hash's lower 61 bits, which sort as numbers do.
-        ordered = F.sort_array(F.transform("s", lambda g: F.shiftleft(bit(g), 61) + g.bitwiseAND(F.lit((1 << 61) - 1))))
-        most = (F.col("n") - F.ceil(F.col("n") * threshold) + 1).cast("int")
-        return x.select(F.col("cid").alias(name), F.col("n").alias(f"n_{name}"), F.posexplode(F.slice(ordered, F.lit(1), most)).alias(f"at_{name}", "g"))
-
-    met = prefix(a, "a").join(prefix(b, "b"), "g").filter((F.col("n_a") >= threshold * F.col("n_b")) & (F.col("n_b") >= threshold * F.col("n_a")))
+    common = np.sort(np.array([item for item, count in top if count >= OFTEN], np.int64).view(np.uint64))
+
+    def prefix(i: int, name: str) -> DataFrame:
+        first = own[i].select("id", "n", "s").mapInArrow(sets.prefixes(threshold, common), "id long, n int, first array<long>")
+        first = first.join(_few(others[i]), "id", "left_anti")
+        return first.select(F.col("id").alias(name), F.col("n").alias(f"n_{name}"), F.posexplode("first").alias(f"at_{name}", "g"))
+
+    met = prefix(0, "a").join(prefix(1, "b"), "g").filter((F.col("n_a") >= threshold * F.col("n_b") - 1e-9) & (F.col("n_b") >= threshold * F.col("n_a") - 1e-9))
     # What both can still share from the first place on must be enough: `at` of them lie before it.
     need = F.ceil((F.col("n_a") + F.col("n_b")) * (threshold / (1 + threshold)) - 1e-9)
     met = met.filter(F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) + F.least("at_a", "at_b") >= need)
-    pairs = met.select("a", "b").distinct()
-    shared = F.size(F.array_intersect("x", "y"))
-    full = pairs.join(a.select(F.col("cid").alias("a"), F.col("s").alias("x"), F.col("n").alias("n_a")), "a").join(b.select(F.col("cid").alias("b"), F.col("s").alias("y"), F.col("n").alias("n_b")), "b")
-    out = full.select("a", "b", (shared / (F.col("n_a") + F.col("n_b") - shared)).alias("jaccard"))
-    return out.filter(F.col("jaccard") >= threshold)
+    # Up to where the shorter prefix ends, all that both share lies in both prefixes and is counted; after that, one of them has what is left of it.
+    left = lambda n: F.ceil(F.col(n) * threshold - 1e-9) - 1
+    met = met.groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("shared")).filter(F.col("shared") + F.greatest(left("n_a"), left("n_b")) >= need)
+    pairs = scratch.put(met.select("a", "b"), "pairs")
+
+    def held(i: int, name: str, as_name: str, brief: bool) -> DataFrame:
+        ids = scratch.put(pairs.select(F.col(name).alias("id")).distinct(), "met")
+        some = own[i].select("id", "n", "s").join(_few(ids), "id", "left_semi")
+        some = some.mapInArrow(sets.parities, "id long, n int, s binary") if brief else some
+        return some.select(F.col("id").alias(name), F.col("n").alias(f"n_{name}"), F.col("s").alias(as_name))
+
+    # Most pairs go by short parities of their sets, so that few move whole sets.
+    for brief in (True, False):
+        full = pairs.join(held(0, "a", "x", brief), "a").join(held(1, "b", "y", brief), "b").select("a", "b", "n_a", "n_b", "x", "y")
+        pairs = scratch.put(full.mapInArrow(sets.near(threshold) if brief else sets.similar(threshold), "a long, b long" + ("" if brief else ", jaccard double")), "near")
+    found = pairs
+    for c, name in zip(classes, "ab"):
+        found = found.join(c.select(F.col("cid").alias(name), F.col("rows").alias(f"rows_{name}")), name)
+    return found.select("a", "b", "jaccard", "rows_a", "rows_b")
+
+
+def _few(df: DataFrame) -> DataFrame:
+    """A written table, marked for broadcast only if its counts are small."""
+    known = counts(df)
+    return F.broadcast(df) if known.rows <= FEW_ROWS and known.bytes <= FEW_BYTES else df.hint("merge")
+
+
+#: What identifies a set.
+SET = ["h1", "h2", "n"]
 
 
-def _sets(df: DataFrame, k: int, text: str, key: str) -> DataFrame:
-    """key, s (distinct shingle hashes in order) and n; rows without words are left out.
+def _sets(df: DataFrame, k: int, text: str, key: str, whole: bool = True) -> DataFrame:
+    """id, n, h1, h2 and s (distinct shingle hashes in order, as bytes; empty if not `whole`); rows without words are left out.
 
-    Words are hashed once and a shingle's hash is folded from theirs: no text is joined again, and each step is a column
-    of its own, so that nothing is computed twice.
+    White space is what the oracle's patterns take for it, and what its trim takes off at the ends.
     """
-    words = F.transform(F.split(F.trim(F.regexp_replace(F.lower(text), r"\s+", " ")), " "), lambda w: F.xxhash64(w))
-    own = df.filter(F.col(text).rlike(r"\S")).select(F.col(key).alias("id"), words.alias("w"))
-    run = F.col("w")
-    for j in range(1, k):
-        run = F.zip_with(run, F.slice("w", j + 1, F.greatest(F.lit(0), F.size("w") - j)), lambda a, b: F.xxhash64(a, b))
-    grams_ = F.when(F.size("w") >= k, F.slice(run, F.lit(1), F.size("w") - (k - 1))).otherwise(F.array(F.xxhash64("w")))
-    return own.select("id", F.sort_array(F.array_distinct(grams_)).alias("s")).withColumn("n", F.size("s"))
+    body = F.trim(F.lower(text), F.lit(SPACES + "\t\n\f\r"))
+    return df.select(F.col(key).cast("long").alias("id"), body.alias("text")).filter(F.col("text") != "").mapInArrow(sets.of_texts(k, whole), sets.SCHEMA)
 
 
-def _classes_of(df: DataFrame, k: int, text: str, key: str) -> DataFrame:
-    """cid (smallest id), s, n of each class of equal sets."""
-    return _sets(df, k, text, key).groupBy(F.xxhash64("s").alias("h1"), F.hash("s").alias("h2"), "n").agg(F.min("id").alias("cid"), F.first("s").alias("s")).select("cid", "s", "n")
+def _classes(own: DataFrame) -> DataFrame:
+    """cid (smallest id) and rows of each class of equal sets."""
+    return own.groupBy(*SET).agg(F.min("id").alias("cid"), F.count("*").alias("rows"))
 
 
 def set_classes(df: DataFrame, k: int = 5, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(id, cid): the class of each row that has words."""
-    own = _sets(df, k, text, key).select("id", F.xxhash64("s").alias("h1"), F.hash("s").alias("h2"), "n")
-    least = own.groupBy("h1", "h2", "n").agg(F.min("id").alias("cid"))
-    return own.join(least, ["h1", "h2", "n"]).select("id", "cid")
+    own = _sets(df, k, text, key, whole=False).select("id", *SET)
+    return own.join(_classes(own), SET).select("id", "cid")
 
 
 def top_words_bucket(df: DataFrame, key: str = "doc_id", text: str = "text", top: int = 32, first: int = 2000) -> DataFrame:

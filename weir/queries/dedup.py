@@ -79,9 +79,7 @@ WHERE m / (u.n + v.n - m) >= 0.85"""
 def u07(spark, sf):
     """Linked classes, with how many rows each has."""
     fresh, ref = halves(spark, sf)
-    size = lambda d, c: dedup.set_classes(d).groupBy(F.col("cid").alias(c)).agg(F.count("*").alias(f"rows_{c}"))
-    pairs = dedup.near_against(fresh, ref).select("a", "b", F.round("jaccard", 6).alias("jaccard"))
-    return pairs.join(size(fresh, "a"), "a").join(size(ref, "b"), "b")
+    return dedup.near_against(fresh, ref).select("a", "b", F.round("jaccard", 6).alias("jaccard"), "rows_a", "rows_b")
 
 
 @query("u08_first_reference", f"SELECT f.doc_id, min(r.num) AS matched FROM (SELECT doc_id, {KEY} AS k FROM documents WHERE {NUM} % 2 = 0) f LEFT JOIN (SELECT {KEY} AS "
