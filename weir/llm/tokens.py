@@ -3,12 +3,15 @@
 Where a text has no doubled, leading or trailing white space, a byte-level BPE never joins what a single space or line
 feed separates (the space goes with the word after it), and a BPE that drops white space never joins two words. So such
 texts are cut there, the library encodes distinct pieces only, and a table from 64-bit hashes of pieces to id runs gives
-the rest; all other texts go to the library whole. The table is emptied when it holds MOST pieces, which bounds its
+the rest; all other texts go to the library whole. Where the tokenizer's own pattern parts letters, digits and other signs,
+pieces are cut there as well, so that a word is encoded once whatever stands around it; runs of letters, which no other
+step of the tokenizer changes but lower-casing, go straight to its merges. The table is emptied when it holds MOST pieces, which bounds its
 memory to about 60 MB; it grows beyond that for a slice of texts with more new pieces, in proportion to their length. (Two different pieces would have to share a 64-bit hash within one table for an id to be wrong.)
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -26,6 +29,23 @@ _ODD = np.zeros(256, bool)  # white space and the like, which send a text to the
 _ODD[[0x09, 0x0B, 0x0C, 0x0D, 0x1C, 0x1D, 0x1E, 0x1F]] = True
 _WIDE = "[\x85\xa0  -     　]"
 _WIDE_NEXT = re.compile(f"{_WIDE}[ \\n]|[ \\n]{_WIDE}")
+_LATIN = 0xC3  # first byte of U+00C0 to U+00FF, letters but for two
+_NORMAL = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_KIND = np.zeros(256, np.uint8)  # 0: white space, or beyond ASCII
+_LETTER, _DIGIT, _SIGN, _QUOTE = 1, 2, 3, 4
+_KIND[:0x80] = _SIGN
+_KIND[tx.SPACE] = 0
+_KIND[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = _LETTER
+_KIND[0x30:0x3A] = _DIGIT
+_KIND[0x27] = _QUOTE
+#: Kinds of two neighbours (8 * first + second) between which _PATTERN parts always; an apostrophe may go with the letters after it.
+_PARTS = np.zeros(64, bool)
+_PARTS[[8 * a + b for a in (1, 2, 3, 4) for b in (1, 2, 3, 4) if (a != b or a == _DIGIT) and not (a == _QUOTE and b == _LETTER) and not (a >= _SIGN and b >= _SIGN)]] = True
+#: Code points that byte-level tokenizers write for bytes, but for the space.
+_VISIBLE = np.arange(256, dtype="<u2")
+_VISIBLE[[*range(0x21), *range(0x7F, 0xA1), 0xAD]] = np.arange(256, 324)
+_VISIBLE[0x20] = 0x20
 _WIDE_BYTES = (b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80")
 
 
@@ -96,8 +116,28 @@ class Encoder:
         self.tokenizer, self.mode = Tokenizer.from_str(spec), mode
         self.between = "\n" if mode == "byte" else " \x01 "
         self.mark = self._raw([self.between])[0][0]
+        self.merges = self._merges() if mode == "word" else None
         self._clear()
 
+    def _merges(self):
+        """A tokenizer with the same model, for words of lower-case letters; none if the spec does other things to them."""
+        from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import CharDelimiterSplit
+
+        state = lambda x: json.loads(x.__getstate__()) if x is not None else {}
+        normal, before = state(self.tokenizer.normalizer), state(self.tokenizer.pre_tokenizer).get("pretokenizers", [])
+        split, level = before if len(before) == 2 else ({}, {})
+        known = normal.get("normalizers") == _NORMAL and split.get("type") == "Split" and split["pattern"] == {"Regex": _PATTERN} and split["behavior"] == "Removed" and split["invert"]
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        if not (known and suffix and level["type"] == "ByteLevel" and not level["add_prefix_space"] and not level["use_regex"]):
+            return None
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a word
+        self.last[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
+        out = Tokenizer(self.tokenizer.model)
+        out.pre_tokenizer = CharDelimiterSplit(" ")
+        return out
+
     def _clear(self) -> None:
         self.table, self.held = _Table(), 0
         self.starts, self.lens, self.pool = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32), np.zeros(1 << 18, np.uint32)
@@ -105,9 +145,10 @@ class Encoder:
     def _raw(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, keys: np.ndarray, pieces: list[str]) -> None:
-        """Encode new pieces (none holds what stands between them), many to a call."""
-        ends, runs, held = [], [], self.held
+    def _marked(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of pieces (none holds what stands between them), many to a call, and each piece's start and number of ids."""
+        ends, runs, held = [], [], 0
+        pieces = [p.decode("utf-8", "replace") for p in pieces]
         for at in range(0, len(pieces), 4096):
             some = pieces[at : at + 4096]
             run = np.array(self._raw([self.between.join([*some, ""])])[0], np.uint32)
@@ -117,16 +158,51 @@ class Encoder:
             runs.append(run)
             held += len(run)
         ends = np.concatenate(ends)
-        starts = np.concatenate([[self.held], ends[:-1] + 1])
-        n = self.table.n
+        starts = np.concatenate([[0], ends[:-1] + 1])
+        return np.concatenate(runs), starts, ends - starts
+
+    def _lettered(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The same for words of letters only, without the steps that leave these as they are."""
+        runs = []
+        try:
+            for at in range(0, len(words), 256):
+                text = b" ".join(words[at : at + 256]).decode("utf-8").lower()
+                seen = text if text.isascii() else _VISIBLE[np.frombuffer(text.encode("utf-8"), np.uint8)].tobytes().decode("utf-16-le")
+                runs += [np.array(e.ids, np.uint32) for e in self.merges.encode_batch_fast([seen], add_special_tokens=False)]
+        except UnicodeDecodeError:
+            return self._marked(words)
+        run = np.concatenate(runs)
+        ends = np.flatnonzero(self.last[run]) + 1
+        if len(ends) != len(words) or ends[-1] != len(run):  # a letter without an id
+            return self._marked(words)
+        starts = np.concatenate([[0], ends[:-1]])
+        return run, starts, ends - starts
+
+    def _learn(self, keys: np.ndarray, run: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> None:
+        """Keep the ids of new pieces."""
+        n, held = self.table.n, self.held + len(run)
         self.starts = _room(self.starts, n + len(keys))
         self.lens = _room(self.lens, n + len(keys))
         self.pool = _room(self.pool, held)
-        self.starts[n : n + len(keys)], self.lens[n : n + len(keys)] = starts, ends - starts
-        self.pool[self.held : held] = np.concatenate(runs)
+        self.starts[n : n + len(keys)], self.lens[n : n + len(keys)] = starts + self.held, lens
+        self.pool[self.held : held] = run
         self.held = held
         self.table.add(keys)
 
+    def _cut(self, raw: np.ndarray, bounds: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Words cut further where _PATTERN parts: starts, ends and text numbers of pieces, and the places of bytes that are no letters."""
+        kind = _KIND[raw]
+        at = np.flatnonzero(raw[:-1] == _LATIN)
+        after = raw[at + 1]
+        at = at[(after >> 6 == 2) & (after != 0x97) & (after != 0xB7)]
+        kind[at] = kind[at + 1] = _LETTER
+        first, final = np.zeros(len(raw), bool), np.zeros(len(raw), bool)
+        first[1:] = _PARTS[kind[:-1] << 3 | kind[1:]]
+        final[:-1] = first[1:]
+        first[start] = final[end - 1] = True
+        start = np.flatnonzero(first)
+        return start, np.flatnonzero(final) + 1, np.searchsorted(bounds, start, "right") - 1, np.flatnonzero(kind != _LETTER)
+
     def _whole(self, raw: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """Numbers of the texts that must go to the library whole."""
         data, bad = raw.tobytes(), np.zeros(len(bounds) - 1, bool)
@@ -160,6 +236,8 @@ class Encoder:
         n = len(bounds) - 1
         whole = self._whole(raw, bounds) if len(raw) else np.zeros(0, np.int64)
         start, end, owner = tx.words(raw, bounds, _BYTE_SEP if self.mode == "byte" else tx.SPACE)
+        if self.merges and len(start):
+            start, end, owner, other = self._cut(raw, bounds, start, end)
         key = tx.word_hashes(raw, start, end, fold=self.mode == "word") if len(start) else np.zeros(0, np.uint64)
         if len(whole):
             easy = np.ones(n, bool)
@@ -180,8 +258,11 @@ class Encoder:
         if (missing := code < 0).any():
             new, first = np.unique(key[missing], return_index=True)
             at = np.flatnonzero(missing)[first]
-            data = raw.tobytes()
-            self._learn(new, [data[a:b].decode("utf-8", "replace") for a, b in zip(start[at].tolist(), end[at].tolist(), strict=True)])
+            data, one, two = raw.tobytes(), start[at], end[at]
+            letters = np.searchsorted(other, one) == np.searchsorted(other, two) if self.merges else np.zeros(len(at), bool)
+            for own, encode in ((letters, self._lettered), (~letters, self._marked)):
+                if own.any():
+                    self._learn(new[own], *encode([data[a:b] for a, b in zip(one[own].tolist(), two[own].tolist(), strict=True)]))
             code[missing] = self.table.find(key[missing])
         lens = self.lens[code].astype(np.int64)
         size = lens + line  # a line feed before a word is an id of its own
@@ -220,8 +301,9 @@ def encoder(spec: str, mode: str) -> Encoder:
 def encoded(batches: Iterator[pa.RecordBatch], spec: str, mode: str, end: int, text: str = "_text") -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices of the batches, their texts' ids in a row with `end` after each text, and the texts' bounds in them."""
     for batch in batches:
+        encode = encoder(spec, mode)
         for part in tx.parts(batch, text):
-            ids, bounds = encoder(spec, mode)(part.column(text))
+            ids, bounds = encode(part.column(text))
             out = np.insert(ids, bounds[1:], np.uint32(end))
             yield part, out, bounds + np.arange(len(bounds))
 
